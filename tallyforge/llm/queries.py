@@ -13,5 +13,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, least=85, scale=100)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyforge.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_packing": op4_packing, "op7_jaccard_join": op7_jaccard_join, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
