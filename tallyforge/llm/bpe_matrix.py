@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.pretokens import PieceTable
+from tallyforge.llm.pretokens import PieceTable, flat_lists
 
 #: Widest matrix in bytes, and most cells in one.
 WIDEST, CELLS = 512, 1 << 20
@@ -183,7 +183,7 @@ def load(path: str) -> tuple[MatrixBpe, PieceTable]:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, file)}
         model = MatrixBpe(ranks)
-        _MODELS[path] = (model, PieceTable(model.encode))
+        _MODELS[path] = (model, PieceTable(lambda pieces: (*flat_lists(model.encode(pieces)), None)))
     return _MODELS[path]
 
 

@@ -12,7 +12,7 @@ _PLAIN = re.compile(r"[\t-\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧]*")
 _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters in a segment, and pieces in a cache before it starts anew.
-SEGMENT, CACHE = 1 << 18, 400_000
+SEGMENT, CACHE = 1 << 18, 800_000
 
 
 def segments(text: str) -> Iterator[str]:
@@ -38,57 +38,74 @@ class Splitter:
         return self._slow(text) if self._own or not _PLAIN.fullmatch(text) else _FAST.findall(text)
 
 
+class _Index(dict):
+    """Numbers keys as they come and notes the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceTable:
-    """Ids of pieces in flat arrays. encode: list of pieces -> list of id lists. Bounded: it starts anew when full."""
+    """Ids of pieces in flat arrays. Bounded: it starts anew when full.
 
-    def __init__(self, encode: Callable[[list[str]], list], split: Splitter | None = None):
+    encode: list of pieces -> (ids in a row, number of ids of each piece, order of the pieces or None if as given).
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple], split: Splitter | None = None):
         self.encode, self.split = encode, split or Splitter()
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, pieces: list[str]) -> None:
-        for ids in self.encode(pieces):
-            k, n = len(self.index), len(ids)
-            while k >= len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-            while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + n] = ids
-            self.first[k], self.count[k] = self.used, n
-            self.index[pieces[k - self._base]] = k
-            self.used += n
+    def _add(self) -> None:
+        pieces, self.index.new = self.index.new, []
+        ids, n, order = self.encode(pieces)
+        k = len(self.index)
+        if k > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = slice(k - len(n), k) if order is None else k - len(n) + order
+        self.first[at], self.count[at] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         out = [self._part(s) for s in segments(text)]
         return out[0] if len(out) == 1 else np.concatenate(out)
 
-    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """For one segment: each piece's place in the table, its number of ids, and the pieces."""
-        pieces = self.split(text)
+    def _part(self, text: str) -> np.ndarray:
         if len(self.index) > CACHE:
             self._reset()
-        new = list(dict.fromkeys(p for p in pieces if p not in self.index))
-        if new:
-            self._base = len(self.index)
-            self._add(new)
-        where = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        return where, self.count[where], pieces
-
-    def _part(self, text: str) -> np.ndarray:
-        where, n, _ = self.places(text)
-        if not len(where):
+        pieces = self.split(text)
+        if not pieces:
             return np.zeros(0, np.uint32)
+        where = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        if self.index.new:
+            self._add()
+        n = self.count[where]
         ends = np.cumsum(n)
         at = np.arange(ends[-1]) + np.repeat(self.first[where] - (ends - n), n)
         return self.flat[at]
 
 
+def flat_lists(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists in a row, and their lengths."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.concatenate(lists) if len(lists) else np.zeros(0, np.uint32), n
+
+
 _TABLES: dict[str, PieceTable] = {}
+_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def json_table(path: str) -> PieceTable:
@@ -101,5 +118,26 @@ def json_table(path: str) -> PieceTable:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _TABLES[path] = PieceTable(lambda p: [e.ids for e in tokenizer.encode_batch_fast(p, add_special_tokens=False)])
+
+        def one_by_one(pieces: list[str]) -> list:
+            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+            # Words with a space before them are split alike when they stand in a row, which costs one call for all.
+            plain = [k for k, p in enumerate(pieces) if _WORD.fullmatch(p)]
+            ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            if plain:
+                row = tokenizer.encode("".join([pieces[k] for k in plain]), add_special_tokens=False)
+                ids, n = np.array(row.ids, np.uint32), np.bincount(np.array(row.word_ids, np.int64))
+                if len(n) != len(plain):
+                    plain, ids, n = [], ids[:0], n[:0]
+            if len(plain) == len(pieces):
+                return ids, n, None
+            mark = np.zeros(len(pieces), bool)
+            mark[plain] = True
+            rest = np.flatnonzero(~mark)
+            more, m = flat_lists(one_by_one([pieces[k] for k in rest.tolist()]))
+            return np.concatenate((ids, more)), np.concatenate((n, m)), np.concatenate((np.flatnonzero(mark), rest))
+
+        _TABLES[path] = PieceTable(encode)
     return _TABLES[path]
