@@ -101,6 +101,37 @@ def word_hashes(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray,
     return out, starts, ends
 
 
+def batch_word_hashes(column, fold: bool = True, at_once: int = 1 << 20):
+    """Word hashes of each text of an Arrow string array, null as empty; texts are hashed together in bounded runs."""
+    column = column.fill_null("")
+    wide = np.int64 if str(column.type).startswith("large") else np.int32
+    ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    codes = _FOLDED if fold else _BYTES
+    i = 0
+    while i < len(column):
+        j = min(len(column), max(i + 1, int(np.searchsorted(ends, ends[i] + at_once, "right")) - 1))
+        if j == i + 1 and ends[j] - ends[i] > at_once:
+            yield word_hashes(data[ends[i] : ends[j]].tobytes(), fold)[0]
+            i = j
+            continue
+        raw, cuts = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        word = ~_SPACE[raw]
+        before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        inner = cuts[(cuts > 0) & (cuts < len(raw))]
+        before[inner], after[inner - 1] = False, False
+        starts, stops = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        up, down = _powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
+        hashes = mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _BASE)
+        places = np.searchsorted(starts, cuts)
+        for k in range(len(cuts) - 1):
+            yield hashes[places[k] : places[k + 1]]
+        i = j
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` word hashes; a shorter non-empty sequence is one run."""
     if len(words) == 0:

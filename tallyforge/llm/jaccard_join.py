@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.common import checkpointed, mix64, shingle_hashes, sized, word_hashes
+from tallyforge.llm.common import batch_word_hashes, checkpointed, mix64, shingle_hashes, sized
 from tallyforge.llm.components import components
 
 #: Entries a pair must share in the lists that large sets scan.
@@ -38,47 +38,51 @@ FREQUENT, LONG = 16, 8
 KNOWN = 1 << 20
 
 
-def text_set(text: str | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass"))[0], size))
+def hash_set(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a sequence of word hashes."""
+    s = np.sort(shingle_hashes(words, size))
+    if len(s) < 2:
+        return s
+    new = np.empty(len(s), bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def set_id(s: np.ndarray) -> int:
     """A 64-bit fingerprint of a set, signed."""
     if len(s) == 0:
         return 0
-    total = s.sum(dtype=np.uint64) + mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix64(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+    other = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    total = (int(s.sum(dtype=np.uint64)) + int(other) * 0x9E3779B97F4A7C15 + len(s)) % 2**64
+    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def _least_overlap(n: int, least: int, scale: int) -> int:
     return -(-least * n // scale)
 
 
-def _emit(docs: DataFrame, schema: str, types: list, once: bool, size: int, make: Callable) -> DataFrame:
-    """Rows that make(id, set, its id) gives as columns; once: only for the first document of a set in a task."""
+def _emit(docs: DataFrame, schema: str, types: list, size: int, make: Callable) -> DataFrame:
+    """Rows that make(set, its id) gives as columns, for the first document of a set in a task and no empty set."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             parts: list[list] = [[] for _ in types]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = text_set(text.as_py(), size)
+            for words in batch_word_hashes(batch.column(1)):
+                if not len(words):
+                    continue
+                s = hash_set(words, size)
                 sid = set_id(s)
-                if once:
-                    if len(s) == 0 or sid in seen:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(sid)
-                for p, x in zip(parts, make(doc, s, sid), strict=True):
+                if sid in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(sid)
+                for p, x in zip(parts, make(s, sid), strict=True):
                     p.append(x)
-            names = [x.split()[0] for x in schema.split(", ")]
-            arrays = []
-            for p, t in zip(parts, types, strict=True):
-                if p and isinstance(p[0], np.ndarray):
-                    arrays.append(pa.array(np.concatenate(p), t))
-                else:
-                    arrays.append(pa.array(p, t))
+            arrays = [pa.array(np.concatenate(p) if p else [], t) for p, t in zip(parts, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.mapInArrow(run, schema)
@@ -102,52 +106,89 @@ class JaccardJoin:
         self.sc = docs.sparkSession.sparkContext
 
     def sets(self) -> DataFrame:
-        """(doc_id, n, sid) of every document."""
-        return _emit(self.docs, "doc_id long, n long, sid long", [pa.int64()] * 3, False, self.size, lambda d, s, i: (d, len(s), i))
+        """(doc_id, n, sid, prefix) of every document; prefix: the first shingles by hash, once for a set in a task."""
+        size, least, scale = self.size, self.least, self.scale
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                n, sids, prefixes = [], [], []
+                for words in batch_word_hashes(batch.column(1)):
+                    s = hash_set(words, size)
+                    sid = set_id(s)
+                    n.append(len(s))
+                    sids.append(sid)
+                    fresh = len(s) > 0 and sid not in seen
+                    prefixes.append(s[: len(s) - _least_overlap(len(s), least, scale) + COMMON].view(np.int64) if fresh else None)
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(sid)
+                arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "prefix"])
+
+        return self.docs.mapInArrow(run, "doc_id long, n long, sid long, prefix array<long>")
+
+    def _second_rows(self, known) -> DataFrame:
+        """(key): shingles to count again: the prefix once frequent ones are put last, or the whole of a set whose
+        first prefix is mostly frequent (a near copy of many), as its next ones would be frequent too."""
+        least, scale = self.least, self.scale
+
+        def make(s, sid):
+            n = len(s) - _least_overlap(len(s), least, scale) + COMMON
+            first = s[:n]
+            at = np.minimum(np.searchsorted(known.value[0], first), len(known.value[0]) - 1)
+            hot = known.value[0][at] == first
+            if 2 * hot.sum() >= len(first):
+                return (s.view(np.int64),)
+            return (_ordered_prefix(s, n, known.value).view(np.int64) if hot.any() else s[:0].view(np.int64),)
+
+        return _emit(self.docs, "key long", [pa.int64()], self.size, make)
 
     def _prefix_rows(self, known, boundary: int) -> DataFrame:
-        """(key, sid, n, light): list entries of all sets, then (light) the 2-subsets of small ones."""
+        """(key, sid, n, pos, light): list entries of all sets, then (light) the 2-subsets of small ones."""
         least, scale = self.least, self.scale
 
-        def make(_, s, sid):
+        def make(s, sid):
             n = len(s)
             slack = n - _least_overlap(n, least, scale)
-            k = known.value if known is not None else None
-            first = _ordered_prefix(s, slack + COMMON, k)
+            first = _ordered_prefix(s, slack + COMMON, known.value if known is not None else None)
+            keys, pos = first, np.arange(len(first))
             if n <= boundary:
                 two = first[: slack + 2]
                 i, j = np.triu_indices(len(two), 1) if n > 1 else (np.zeros(1, int), np.zeros(1, int))
                 keys = np.concatenate((first, mix64(two[i] * np.uint64(0x9E3779B97F4A7C15) + mix64(two[j]))))
-            else:
-                keys = first
+                pos = np.concatenate((pos, i + j))
             light = np.arange(len(keys)) >= len(first)
-            return keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n), light
+            return keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n, np.int32), pos.astype(np.int32), light
 
-        return _emit(self.docs, "key long, sid long, n long, light boolean", [pa.int64(), pa.int64(), pa.int64(), pa.bool_()], True, self.size, make)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        return _emit(self.docs, "key long, sid long, n int, pos int, light boolean", types, self.size, make)
 
-    def frequent(self, rounds: int = 2):
+    def frequent(self, sets: DataFrame):
         """Shingles frequent among prefixes, as a broadcast of sorted shingles and counts; and a list's mean length."""
         known, mean = None, 1.0
-        for _ in range(rounds):
-            rows = self._prefix_rows(known, 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-            counts = checkpointed(rows.where("c > 1"))
-            bits = counts.groupBy(F.floor(F.log2("c")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s")).collect()
-            least, total = FREQUENT, known_count(known)
+        for again in (False, True):
+            rows = self._second_rows(known) if again else sets.select(F.explode("prefix").alias("key"))
+            counts = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+            bits = counts.groupBy(F.floor(F.log2("c")).alias("b")).agg(
+                F.count(F.lit(1)).alias("n"), F.sum(F.col("c") * F.col("c")).alias("s2"), F.sum("c").alias("s")
+            ).collect()
+            least, total = FREQUENT, 0 if known is None else len(known.value[0])
             while sum(r.n for r in bits if 2**r.b >= least) + total > KNOWN:
                 least *= 2
-            light = [r for r in bits if 2**r.b < least]
-            mean = 1 + sum(r.s2 for r in light) / max(1, sum(r.s for r in light))
+            if not again:
+                light = [r for r in bits if 2**r.b < least]
+                mean = 1 + sum(r.s2 for r in light) / max(1, sum(r.s for r in light))
             found = counts.where(F.col("c") >= least).toPandas()
-            if len(found):
-                keys, c = found["key"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-                if known is not None:
-                    keys, c = np.concatenate((known.value[0], keys)), np.concatenate((known.value[1], c))
-                order = np.lexsort((-c, keys))
-                keys, c = keys[order], c[order]
-                first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-                known = self.sc.broadcast((keys[first], c[first]))
-            else:
+            if not len(found):
                 break
+            keys, c = found["key"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+            if known is not None:
+                keys, c = np.concatenate((known.value[0], keys)), np.concatenate((known.value[1], c))
+            order = np.lexsort((-c, keys))
+            keys, c = keys[order], c[order]
+            first = np.concatenate(([True], keys[1:] != keys[:-1]))
+            known = self.sc.broadcast((keys[first], c[first]))
         return known, mean
 
     def boundary(self, mean: float) -> int:
@@ -172,7 +213,7 @@ class JaccardJoin:
 
         def binary(batches):
             for batch in batches:
-                sets = [text_set(t.as_py(), size) for t in batch.column(1)]
+                sets = [hash_set(words, size) for words in batch_word_hashes(batch.column(1))]
                 own = [set_id(s) == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
                 rows = [(i, s.tobytes()) for i, s, good in zip(batch.column(0).to_pylist(), sets, own, strict=True) if good]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "s"])
@@ -199,19 +240,21 @@ class JaccardJoin:
         """Sizes between which a link is possible."""
         return (F.col(n) * self.scale >= F.col(m) * self.least) & (F.col(m) * self.scale >= F.col(n) * self.least)
 
-    def links(self, reps: DataFrame) -> DataFrame:
+    def links(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
         """Verified pairs (a, b) of different sets, enough of them for the components of all links."""
-        known, mean = self.frequent()
+        known, mean = self.frequent(sets)
         bound = self.boundary(mean)
         rows = self._prefix_rows(known, bound).repartition("key", "light").dropDuplicates(["key", "light", "sid"])
         of = Window.partitionBy("key", "light")
         rows = rows.withColumn("c", F.count(F.lit(1)).over(of)).where("c > 1")
         lists = checkpointed(rows)
 
-        band = F.floor(F.log("n") / float(np.log(self.scale / self.least)))
+        # A pivot has the fewest rarer shingles: the original rather than one of its copies.
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.scale / self.least)))
         pivots = lists.where(F.col("c") >= LONG).withColumn("band", band)
-        pivots = pivots.withColumn("p", F.min("sid").over(Window.partitionBy("key", "light", "band"))).where("sid <> p")
-        best = pivots.groupBy(F.col("sid").alias("a"), F.col("p").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+        head = pivots.groupBy("key", "light", "band").agg(F.min(F.struct("pos", "sid")).alias("p"))
+        pivots = pivots.join(head, ["key", "light", "band"]).select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).where("a <> b")
+        best = pivots.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
         best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b")))
         first = self.verified(best.where("r <= 2").select("a", "b"), reps)
         of_set = components(first)
@@ -221,12 +264,15 @@ class JaccardJoin:
         sizes = rows.groupBy("key", "light", "label").agg(F.count(F.lit(1)).alias("m"))
         main = sizes.groupBy("key", "light").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         rows = checkpointed(rows.join(main.select("key", "light", "main"), ["key", "light"]))
-        x = rows.where("label <> main").select("key", "light", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = rows.select("key", "light", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-        # Small sets meet on their subsets only.
+        x = rows.where("label <> main").select("key", "light", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+        y = rows.select("key", "light", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), "main")
+        # Small sets meet on their subsets only. The r-th common shingle of two sets leaves room for r plus what follows
+        # it in either; linked sets need enough of it at each of their first COMMON ones.
+        room = COMMON + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+        enough = room.cast("long") * (self.scale + self.least) >= self.least * (F.col("na") + F.col("nb")).cast("long")
         met = x.join(y, ["key", "light"]).where(
             (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-            & self._near("na", "nb") & (F.col("light") | (F.col("na") > bound) | (F.col("nb") > bound))
+            & self._near("na", "nb") & (F.col("light") | (((F.col("na") > bound) | (F.col("nb") > bound)) & enough))
         )
         pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "light")
         # Sets of fewer shingles than COMMON are never large: the boundary is beyond them.
@@ -238,7 +284,7 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id of every row."""
         sets = checkpointed(self.sets())
         reps = checkpointed(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-        parts = components(self.links(reps))
+        parts = components(self.links(sets, reps))
         named = reps.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = named.join(smallest, "label").select("sid", "component_id")
@@ -246,10 +292,6 @@ class JaccardJoin:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def known_count(known) -> int:
-    return 0 if known is None else len(known.value[0])
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80, scale: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) for every row of docs."""
     return JaccardJoin(docs, id_col, text_col, size, least, scale).run()
