@@ -14,6 +14,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.jaccard_join import jaccard_components
 
@@ -66,6 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
