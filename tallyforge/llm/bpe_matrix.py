@@ -187,20 +187,18 @@ def load(path: str) -> tuple[MatrixBpe, PieceTable]:
     return _MODELS[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded binary (the bytes of the ids) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pieces = load(path)
-        for whole in batches:
-            for s in range(0, whole.num_rows, rows):
-                batch = whole.slice(s, rows)
-                ids = [pieces.ids(t.as_py() or "").astype(np.int32) for t in batch.column(1)]
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                decoded = pa.array([model.decode(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+        for batch in batches:
+            ids = [x.astype(np.int32) for x in pieces.ids_many(t.as_py() for t in batch.column(1))]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            decoded = pa.array([model.decode(x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

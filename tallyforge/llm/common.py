@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts are long: fewer rows in an Arrow batch keep a worker's memory small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -77,8 +77,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
         table = json_table(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(table.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            every = table.ids_many(t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), every, strict=True):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
                     rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), len(ids)))

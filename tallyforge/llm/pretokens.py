@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -12,7 +12,7 @@ _PLAIN = re.compile(r"[\t-\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧]*")
 _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters in a segment, and pieces in a cache before it starts anew.
-SEGMENT, CACHE = 1 << 18, 800_000
+SEGMENT, CACHE = 1 << 18, 500_000
 
 
 def segments(text: str) -> Iterator[str]:
@@ -80,22 +80,44 @@ class PieceTable:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        out = [self._part(s) for s in segments(text)]
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
-    def _part(self, text: str) -> np.ndarray:
-        if len(self.index) > CACHE:
-            self._reset()
-        pieces = self.split(text)
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        where = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        return next(self.ids_many([text]))
+
+    def ids_many(self, texts: Iterable[str | None], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty. New pieces of about `at_once` characters are encoded together."""
+        sizes, places, chars = [], [], 0
+        for text in texts:
+            if text and len(text) > at_once:
+                yield from self._cut(sizes, places)
+                sizes, places, chars = [], [], 0
+                done = []
+                for part in segments(text):
+                    pieces = self.split(part)
+                    done += self._cut([len(pieces)], [np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))])
+                yield np.concatenate(done)
+                continue
+            pieces = [p for part in segments(text) for p in self.split(part)] if text else []
+            places.append(np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)))
+            sizes.append(len(pieces))
+            chars += len(text or "")
+            if chars > at_once:
+                yield from self._cut(sizes, places)
+                sizes, places, chars = [], [], 0
+        yield from self._cut(sizes, places)
+
+    def _cut(self, sizes: list[int], places: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of texts given by their pieces' places, all at once; afterwards a full table starts anew."""
+        if not sizes:
+            return []
         if self.index.new:
             self._add()
+        where = np.concatenate(places)
         n = self.count[where]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(self.first[where] - (ends - n), n)
-        return self.flat[at]
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[where] - (ends - n), n)]
+        cuts = np.concatenate(([0], ends))[np.cumsum(sizes)]
+        if len(self.index) > CACHE:
+            self._reset()
+        return np.split(flat, cuts[:-1])
 
 
 def flat_lists(lists: list) -> tuple[np.ndarray, np.ndarray]:

@@ -78,7 +78,8 @@ def token_counts(
         table, lengths = json_table(tokenizer), token_lengths(tokenizer)
         for batch in batches:
             rows = []
-            for k in range(batch.num_rows):
+            every = table.ids_many(t.as_py() for t in batch.column(1))
+            for k, ids in enumerate(every):
                 text = batch.column(1)[k].as_py() or ""
                 raw = text.encode("utf-8", "surrogatepass")
                 if sections_col is None:
@@ -86,7 +87,6 @@ def token_counts(
                 else:
                     spans = [(x["start"] or 0, x["end"] or 0) for x in batch.column(2)[k].as_py() or [] if x]
                 spans = _clean(spans, len(text))
-                ids = table.ids(text)
                 start, end = token_spans(ids, lengths, raw)
                 n, outside = attribute(start, end, spans, rule)
                 rows.append((len(ids), outside, [{"start": a, "end": b, "n_tokens": c} for (a, b), c in zip(spans.tolist(), n.tolist(), strict=True)]))
