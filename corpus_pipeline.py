@@ -1,19 +1,85 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, PII redaction, packing.
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next
-stage. All but the last return the columns of documents.
+stage. All but the last return the columns of documents, with n_chars brought up to date where the text changes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import checkpointed, ensure_checkpoint_dir, sized, small_batches, table
+from tallyforge.llm.jaccard_join import jaccard_components
+from tallyforge.llm.line_dedup import dedup_lines
+from tallyforge.llm.packing import pack
+from tallyforge.llm.pii_crf import redact
 from tallyforge.llm.quality_llr import filter_quality, trusted_ids
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _sized_text(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return filter_quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
+    """Documents that the base rules or the likelihood ratio reject go."""
+    return filter_quality(docs, trusted_ids(table(spark, sf_dir, "labels"))).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; so do documents of which no word is left."""
+    return _sized_text(dedup_lines(docs).where("text rlike '[^ \\t-\\r]'"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component stays, once; documents without words or id stay as they are."""
+    small_batches(spark)
+    found = checkpointed(jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles"))
+    stay = found.where("_id = component_id or n_shingles = 0").select("_id").distinct()
+    kept = docs.join(sized(stay), docs.doc_id == F.col("_id"), "left_semi").select(*COLUMNS)
+    if found.groupBy("_id").count().where("count > 1 and _id is not null").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    small_batches(spark)
+    return _sized_text(redact(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    small_batches(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: SQL cannot express the stages; tests hold each against a brute-force version.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written and read again in the shared checkpoint folder."""
+    import uuid
 
-STAGES = [("quality rules", quality)]
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

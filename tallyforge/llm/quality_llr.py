@@ -123,6 +123,8 @@ def score_quality(
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(_places(F.col("_o"))), zero).alias("n_repeat_words"),
         (F.aggregate(single, zero, add) + F.aggregate(double, zero, add)).alias("_sum"),
+        # Stops a filter on the result from being pushed below, into expressions that lambdas would then repeat.
+        F.monotonically_increasing_id().alias("_barrier"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
@@ -135,7 +137,7 @@ def score_quality(
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & good).alias("kept"),
+        (~failed & good & (F.col("_barrier") >= 0)).alias("kept"),
         (F.col("_sum") / (grams * UNIT)).alias("llr"),
     )
 

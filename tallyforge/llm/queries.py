@@ -74,6 +74,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
@@ -82,5 +88,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
