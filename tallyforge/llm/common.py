@@ -107,8 +107,12 @@ def word_hashes(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray,
     return out, starts, ends
 
 
-def batch_word_hashes(column, fold: bool = True, at_once: int = 1 << 20):
-    """Word hashes of each text of an Arrow string array, null as empty; texts are hashed together in bounded runs."""
+def batch_runs(column, fold: bool = True, at_once: int = 1 << 20):
+    """Words of an Arrow string array (null as empty), several texts at a time.
+
+    Yields (bytes, word starts, word ends, word hashes, places): texts follow each other in the bytes, and the words
+    of text k of the run are those from places[k] to places[k + 1].
+    """
     column = column.fill_null("")
     wide = np.int64 if str(column.type).startswith("large") else np.int32
     ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -117,11 +121,12 @@ def batch_word_hashes(column, fold: bool = True, at_once: int = 1 << 20):
     i = 0
     while i < len(column):
         j = min(len(column), max(i + 1, int(np.searchsorted(ends, ends[i] + at_once, "right")) - 1))
-        if j == i + 1 and ends[j] - ends[i] > at_once:
-            yield word_hashes(data[ends[i] : ends[j]].tobytes(), fold)[0]
-            i = j
-            continue
         raw, cuts = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        i = j
+        if len(raw) > 2 * at_once:
+            hashes, starts, stops = word_hashes(raw.tobytes(), fold)
+            yield raw, starts, stops, hashes, np.array([0, len(hashes)])
+            continue
         word = ~_SPACE[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
         before[1:], after[:-1] = word[:-1], word[1:]
@@ -132,10 +137,48 @@ def batch_word_hashes(column, fold: bool = True, at_once: int = 1 << 20):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
         hashes = mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _BASE)
-        places = np.searchsorted(starts, cuts)
-        for k in range(len(cuts) - 1):
-            yield hashes[places[k] : places[k + 1]]
-        i = j
+        yield raw, starts, stops, hashes, np.searchsorted(starts, cuts)
+
+
+def batch_word_hashes(column, fold: bool = True):
+    """Word hashes of each text of an Arrow string array, null as empty."""
+    for _, _, _, hashes, places in batch_runs(column, fold):
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+            yield hashes[a:b]
+
+
+class HashIndex:
+    """Places of distinct uint64 keys in an array, by open addressing with linear probing; -1 if absent."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        slot, rest, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        while len(rest):
+            self.probes += 1
+            free = rest[self.at[slot[rest]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.at[slot[put]] = keys[put], put
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _BASE >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        at = self.at[slot]
+        wrong = np.flatnonzero((at >= 0) & (self.keys[slot] != keys))
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & self.mask
+            found = self.at[slot]
+            at[wrong] = found
+            more = (found >= 0) & (self.keys[slot] != keys[wrong])
+            wrong, slot = wrong[more], slot[more]
+        return at
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

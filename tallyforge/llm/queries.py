@@ -35,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
     "op6_line_dedup": op6_line_dedup,
