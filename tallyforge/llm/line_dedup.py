@@ -33,33 +33,29 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _cut(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line; the last ones are a character longer if need be."""
-    base = (length / F.lit(parts)).cast("int")
-    longer = F.greatest(F.lit(i - parts) + F.pmod(length, F.lit(parts)), F.lit(0))
-    return base * i + longer, base + (F.lit(i) >= F.lit(parts) - F.pmod(length, F.lit(parts))).cast("int")
+def key_rows(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """(h, key, own) for each line of lines (h, line, len): own segments, and probes of segments of other lines.
 
-
-def segment_keys(line: Column, length: Column, edits: int = MAX_EDITS) -> tuple[list[Column], list[Column]]:
-    """Index keys of a line's own segments, and probe keys of the substrings that may be another's (null: none)."""
+    One row for each (segment, length less, shift) is made first and its key afterwards, so that the key is one small
+    expression rather than one of a score in a method too large to be compiled.
+    """
     parts = edits + 1
-    key = lambda i, size, start, n: F.xxhash64(F.lit(i), size, F.substr(line, start + 1, n))
-    index, probes = [], []
-    for i in range(parts):
-        start, n = _cut(length, parts, i)
-        index.append(key(i, length, start, n))
-    for less in range(edits + 1):
-        size = length - less
+    wanted = []
+    for less in range(parts):
         for i in range(parts):
-            start, n = _cut(size, parts, i)
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                if less == 0 and shift == 0:
-                    continue
-                at = start + shift
-                fits = (at >= 0) & (at + n <= length) & (size >= MIN_CHARS)
-                probes.append(F.when(fits, key(i, size, at, n)))
-    return index, probes
+            wanted += [(i, less, shift) for shift in range(low, high + 1)]
+    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in wanted])
+    rows = lines.select("h", "line", "len", F.explode(kinds).alias("w")).select("h", "line", "len", "w.*")
+    size = F.col("len") - F.col("less")
+    over = F.pmod(size, F.lit(parts))
+    base = ((size - over) / parts).cast("int")
+    start = base * F.col("i") + F.greatest(F.col("i") - parts + over, F.lit(0)) + F.col("shift")
+    n = base + (F.col("i") >= parts - over).cast("int")
+    rows = rows.select("h", "line", "len", "i", "less", "shift", size.alias("size"), start.alias("at"), n.alias("n"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("len")) & (F.col("size") >= MIN_CHARS))
+    key = F.xxhash64("i", "size", F.substr("line", F.col("at") + 1, F.col("n")))
+    return rows.select("h", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
 
 
 def banded_distance(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
@@ -128,10 +124,7 @@ def _parity(chars: Column) -> Column:
 
 def linked_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """Pairs (a, b) of ids of different lines within `edits` edits. lines: h (id), line, len."""
-    index, probes = segment_keys(F.col("line"), F.col("len"), edits)
-    each = lambda keys, own: [F.struct(k.alias("key"), F.lit(own).alias("own")) for k in keys]
-    keys = lines.select("h", F.explode(F.array(*each(index, True), *each(probes, False))).alias("k"))
-    keys = keys.select("h", "k.key", "k.own").where("key is not null")
+    keys = key_rows(lines, edits)
     group = Window.partitionBy("key")
     shared = keys.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
     shared = shared.withColumn("any", F.max("own").over(group)).where("lo < hi and any")
