@@ -14,6 +14,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.srs_ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.line_dedup import dedup_lines
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
+    "op5_nearest": op5_nearest,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
