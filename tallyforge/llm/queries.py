@@ -47,6 +47,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.style_tree import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_style_tree": op2_style_tree,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
     "op5_nearest": op5_nearest,
