@@ -1,4 +1,385 @@
-"""Registry of the engine's queries over the driver's tables, with their DuckDB oracles."""
+"""Registry of the engine's queries over the driver's tables; their DuckDB oracles are in oracle.py."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyforge.functions.text import codes_to_names, sanitize, strip_charset, strip_prefix
+from tallyforge.operators import chat, curate, evaluate, labels, scoring, stats
+from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
+from tallyforge.plans.config import run_grid
+from tallyforge.plans.oracle import ORACLES
+from tallyforge.sources.adapters import annotations, gold, load, parsed, predictions
+
+__all__ = ["ORACLES", "QUERIES"]
+
+BIN = {"label_hateful": "hateful", "label_incivility_bin": "incivility", "label_intolerance_bin": "intolerance"}
+LABELS = ["label_hateful", "label_incivility", "label_intolerance"]
+KEEP = ["id", "annotator", "seq", "text", *LABELS]
+CODES = ["label_incivility", "label_intolerance"]
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def deduped(spark, d) -> DataFrame:
+    return labels.binarize(labels.keep_last(annotations(spark, d), ["annotator", "id"], ["seq"]), CODES)
+
+
+def long(spark, d, task, by=()) -> DataFrame:
+    return evaluate.long_predictions(parsed(predictions(spark, d), task), by)
+
+
+@query
+def coarse_eval_metrics(spark, d):
+    return evaluate.binary_metrics(long(spark, d, "coarse"))
+
+
+@query
+def coarse_eval_metrics_valid_only(spark, d):
+    return evaluate.binary_metrics(long(spark, d, "coarse"), invalid_policy="exclude")
+
+
+@query
+def fine_eval_metrics(spark, d):
+    return evaluate.binary_metrics(long(spark, d, "fine"))
+
+
+@query
+def joint_eval_metrics(spark, d):
+    return evaluate.binary_metrics(long(spark, d, "joint"))
+
+
+@query
+def eval_macro_average(spark, d):
+    out = evaluate.macro_average(evaluate.binary_metrics(long(spark, d, "joint")))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query
+def confusion_matrix_normalized(spark, d):
+    return evaluate.confusion_matrix(long(spark, d, "joint"))
+
+
+@query
+def bias_table(spark, d):
+    return evaluate.bias_table(long(spark, d, "joint"))
+
+
+@query
+def bias_by_group(spark, d):
+    return evaluate.bias_table(long(spark, d, "joint", ["o_orderpriority"]), ["o_orderpriority", "category"])
+
+
+@query
+def annotator_coverage(spark, d):
+    return labels.coverage(annotations(spark, d), 997)
+
+
+@query
+def exclusivity_violations(spark, d):
+    return labels.exclusivity_violations(annotations(spark, d), CODES)
+
+
+@query
+def dedupe_keep_last(spark, d):
+    return labels.keep_last(annotations(spark, d), ["annotator", "id"], ["seq"]).select(*KEEP)
+
+
+@query
+def dedupe_keep_first(spark, d):
+    return labels.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "source", "lang")
+
+
+@query
+def duplicate_count(spark, d):
+    return labels.duplicate_count(load(spark, d, "documents"), "text")
+
+
+@query
+def binarized_labels(spark, d):
+    return deduped(spark, d).select("id", "annotator", "label_incivility_bin", "label_intolerance_bin")
+
+
+@query
+def majority_mean(spark, d):
+    return labels.majority_mean(deduped(spark, d), ["id", "text"], BIN)
+
+
+@query
+def majority_mode(spark, d):
+    return labels.majority_mode(deduped(spark, d), ["id"], BIN)
+
+
+@query
+def majority_multilabel(spark, d):
+    return labels.majority_multilabel(deduped(spark, d), "id", "label_intolerance", INTOLERANCE, "intolerance")
+
+
+@query
+def soft_label_distribution(spark, d):
+    out = labels.soft_labels(deduped(spark, d), "id", "label_intolerance", INTOLERANCE, "intolerance")
+    return out.select("id", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+@query
+def label_frequency_share(spark, d):
+    return labels.label_frequency(deduped(spark, d), "label_incivility", dimension(spark, "incivility").select("code", "name"))
+
+
+def _agreement(spark, d):
+    return stats.pairwise_agreement(deduped(spark, d), list(BIN))
+
+
+@query
+def pairwise_agreement_kappa(spark, d):
+    return _agreement(spark, d)
+
+
+@query
+def agreement_summary(spark, d):
+    out = stats.agreement_summary(_agreement(spark, d))
+    return out.select("label", "n_pairs", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
+
+
+def _disagree(rows):
+    return labels.disagreement(rows, "id", ["label_incivility_bin", "label_intolerance_bin"])
+
+
+@query
+def disagreement_items(spark, d):
+    return _disagree(deduped(spark, d))
+
+
+@query
+def reannotation_queue(spark, d):
+    rows = deduped(spark, d)
+    return curate.semi(rows, _disagree(rows), "id").select(*KEEP)
+
+
+@query
+def gold_without_disagreement(spark, d):
+    rows = deduped(spark, d)
+    return curate.anti(rows, _disagree(rows), "id").select(*KEEP)
+
+
+@query
+def distinct_count_share(spark, d):
+    rows = deduped(spark, d)
+    total, part = rows.agg(F.countDistinct("id").alias("n_items")), _disagree(rows).agg(F.count(F.lit(1)).alias("n_disagree"))
+    return total.join(F.broadcast(part)).select("n_disagree", "n_items", F.try_divide("n_disagree", "n_items").alias("share"))
+
+
+@query
+def work_queue_remaining(spark, d):
+    return curate.remaining(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id", ["quality", "toxic"]).select("doc_id", "source")
+
+
+@query
+def value_counts_normalized(spark, d):
+    return curate.value_counts(gold(spark, d), "split")
+
+
+@query
+def crosstab_counts(spark, d):
+    return curate.crosstab(gold(spark, d), *CODES).drop("share")
+
+
+@query
+def crosstab_share(spark, d):
+    return curate.crosstab(gold(spark, d), *CODES).drop("n")
+
+
+def _hypotheses(spark, d):
+    a, b = F.col("label_incivility") == 1, F.col("label_intolerance") == 1
+    rules = {"intolerance": b, "incivility": a, "incivility_or_intolerance": a | b, "incivility_and_intolerance": a & b}
+    return stats.hypotheses(gold(spark, d), "label_hateful", {k: c.cast("int") for k, c in rules.items()})
+
+
+@query
+def hypothesis_match(spark, d):
+    return _hypotheses(spark, d).select("hypothesis", "n", "match_rate")
+
+
+@query
+def hypothesis_correlation(spark, d):
+    return _hypotheses(spark, d).select("hypothesis", "n", F.round("correlation", 9).alias("correlation"))
+
+
+@query
+def hypothesis_chi2(spark, d):
+    return _hypotheses(spark, d).select("hypothesis", "n", F.round("chi2", 6).alias("chi2"))
+
+
+def wide_votes(rows: DataFrame) -> DataFrame:
+    """id, hateful and one 0/1 column for each category but none, of deduplicated annotations."""
+    out = labels.majority_mode(rows, ["id"], {"label_hateful": "hateful"})
+    for name, names in DIMENSIONS.items():
+        out = out.join(labels.majority_multilabel(rows, "id", f"label_{name}", {k: v for k, v in names.items() if k}, name), "id")
+    return out
+
+
+def _categories(spark, d):
+    wide = wide_votes(deduped(spark, d))
+    return stats.category_table(wide, "hateful", wide.columns[2:])
+
+
+@query
+def category_conditional_rate(spark, d):
+    return _categories(spark, d).select("category", "n", "k", "rate")
+
+
+@query
+def category_phi(spark, d):
+    return _categories(spark, d).select("category", "n", F.round("phi", 9).alias("phi"))
+
+
+@query
+def category_wilson_ci(spark, d):
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return _categories(spark, d).select("category", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query
+def stratified_sample_fraction(spark, d):
+    return curate.sample_fraction(gold(spark, d), ["split"], "id", 0.21, 42).select("id", "split")
+
+
+@query
+def label_balanced_slice(spark, d):
+    return curate.sample_fraction(gold(spark, d), ["label_hateful"], "id", 0.5, 42).select("id", "label_hateful")
+
+
+@query
+def sample_n_per_group(spark, d):
+    return curate.sample_n(gold(spark, d), ["split"], "id", 3, 42).select("id", "split")
+
+
+@query
+def stratified_split(spark, d):
+    return curate.stratified_split(gold(spark, d), LABELS, "id", 42).select("id", "part")
+
+
+@query
+def split_label_balance(spark, d):
+    return curate.label_balance(curate.stratified_split(gold(spark, d), LABELS, "id", 42), LABELS)
+
+
+@query
+def best_seed(spark, d):
+    return curate.best_seed(gold(spark, d), LABELS, "id", LABELS, 50)
+
+
+@query
+def batch_assignment(spark, d):
+    return curate.batches(load(spark, d, "documents").select("doc_id", "source"), "doc_id", 32, ["source"])
+
+
+def _metadata(spark, d):
+    catalogue = load(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", "lang", "source")
+    return curate.attach(load(spark, d, "labels").select("doc_id", "quality"), catalogue, "doc_id", ["lang", "source"])
+
+
+@query
+def left_join_metadata(spark, d):
+    return _metadata(spark, d)
+
+
+@query
+def missing_metadata_count(spark, d):
+    return curate.missing(_metadata(spark, d), ["lang", "source"])
+
+
+@query
+def set_difference(spark, d):
+    return load(spark, d, "documents").select("doc_id").subtract(load(spark, d, "labels").select("doc_id"))
+
+
+@query
+def set_intersection(spark, d):
+    return load(spark, d, "documents").select("doc_id").intersect(load(spark, d, "labels").select("doc_id"))
+
+
+@query
+def set_equality(spark, d):
+    return curate.same_keys(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id")
+
+
+@query
+def union_tagged(spark, d):
+    return curate.union_tagged({"documents": load(spark, d, "documents").select("doc_id", "lang"), "labels": load(spark, d, "labels").select("doc_id", "quality")})
+
+
+QUERIES["codes_to_names"] = lambda spark, d: deduped(spark, d).select(
+    "id", "annotator", codes_to_names(F.col("label_intolerance"), INTOLERANCE).alias("names")
+)
+
+
+@query
+def sanitize_names(spark, d):
+    both = dimension(spark, "incivility").union(dimension(spark, "intolerance"))
+    return both.select("dimension", "code", sanitize(F.col("name")).alias("name"))
+
+
+@query
+def path_charset_strip(spark, d):
+    return gold(spark, d).select("id", strip_charset(F.col("img")).alias("stripped"), strip_prefix(F.col("img")).alias("without_prefix"))
+
+
+for _task in ("coarse", "fine", "joint"):
+    QUERIES[f"train_messages_{_task}"] = lambda spark, d, task=_task: chat.flat_messages(chat.training_messages(gold(spark, d), task))
+
+
+@query
+def inference_messages(spark, d):
+    return chat.flat_messages(chat.inference_messages(gold(spark, d), "joint"))
+
+
+@query
+def api_messages(spark, d):
+    items = gold(spark, d).withColumn("url", F.concat(F.lit("data:image/png;base64,"), "img"))
+    return chat.flat_messages(chat.api_messages(items, "coarse"))
+
+
+@query
+def assemble_conversations(spark, d):
+    rows = chat.conversations(load(spark, d, "conversations"))
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["text"], F.lit(""))))
+    return rows.select("conv_id", "n_turns", F.array_join(lines, "\n").alias("transcript"))
+
+
+@query
+def last_assistant_reply(spark, d):
+    return chat.last_reply(chat.conversations(load(spark, d, "conversations"))).select("conv_id", "reply")
+
+
+@query
+def image_fit_geometry(spark, d):
+    k = F.col("p_partkey")
+    sizes = load(spark, d, "part").select(k.alias("id"), (1 + k * 37 % 3000).cast("int").alias("w"), (1 + k * 91 % 2000).cast("int").alias("h"))
+    return chat.fit_geometry(sizes, 1024, 768)
+
+
+@query
+def run_grid_cross_join(spark, d):
+    runs = [{"lora_r": r, "learning_rate": rate} for rate in (0.0001, 0.0002) for r in (8, 16)]
+    data = load(spark, d, "documents").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    return data.crossJoin(F.broadcast(run_grid(spark, runs))).select("run", F.col("lora_r").cast("int").alias("lora_r"), "learning_rate", "split", "n")
+
+
+@query
+def logit_odds_ratios(spark, d):
+    rows = deduped(spark, d)
+    soft = labels.soft_labels(rows, "id", "label_incivility", INCIVILITY, "incivility")
+    wide = labels.majority_mean(rows, ["id"], {"label_hateful": "hateful"}).join(soft, "id")
+    return stats.logit_odds_ratios(wide, "hateful", soft.columns[2:])
+
+
+@query
+def batch_scorer_stub(spark, d):
+    rows = gold(spark, d).select("id", F.coalesce("text", F.lit("")).alias("prompt"), "label_hateful")
+    return scoring.score(rows, lambda texts: ["Hateful" if len(t) % 2 else "Neutral" for t in texts]).drop("prompt")
