@@ -32,4 +32,4 @@ def score(rows: DataFrame, scorer: Callable[[list[str]], list[str | None]], size
             frame["output"] = pd.Series(outputs, index=frame.index, dtype="object")
             yield frame[[*columns, "output"]]
 
-    return rows.mapInPandas(run, rows.select("*", F.lit("").alias("output")).schema)
+    return rows.mapInPandas(run, rows.select("*", F.lit(None).cast("string").alias("output")).schema)

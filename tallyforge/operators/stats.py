@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Standard normal quantile of 0.975.
 Z95 = 1.959963984540054
@@ -59,7 +60,7 @@ def yates_chi2(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     return F.coalesce(F.try_divide(n * gap * gap, margins), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(chi2: pd.Series) -> pd.Series:
     """Upper tail for one degree of freedom. Spark SQL has no erfc; this sees one row for each test."""
     return chi2.map(lambda x: math.erfc(math.sqrt(max(x, 0.0) / 2)) if pd.notna(x) else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Category codes of the two dimensions; code 0 stands for none.
@@ -23,8 +24,11 @@ PROMPTS = {
 
 def dimension(spark: SparkSession, name: str) -> DataFrame:
     """(code, name, dimension, version) of a dimension: a handful of rows, safe to broadcast."""
-    rows = [(k, v, name, VERSION) for k, v in DIMENSIONS[name].items()]
-    return spark.createDataFrame(rows, "code int, name string, dimension string, version int")
+    book = DIMENSIONS[name]
+    n = len(book)
+    columns = [pa.array(list(book), pa.int32()), pa.array(list(book.values())), pa.array([name] * n), pa.array([VERSION] * n, pa.int32())]
+    # An Arrow table becomes a local relation: no Python worker is started for it.
+    return spark.createDataFrame(pa.table(columns, names=["code", "name", "dimension", "version"]))
 
 
 def prompts(spark: SparkSession) -> DataFrame:

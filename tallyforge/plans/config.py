@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _REFERENCE = re.compile(r"\$\{([\w.]+)\}")
@@ -62,7 +63,7 @@ def load(*paths: str) -> dict:
 def run_grid(spark: SparkSession, runs: list[dict]) -> DataFrame:
     """Runs as a table, numbered; columns are the union of keys."""
     keys = list(dict.fromkeys(k for r in runs for k in r))
-    kind = {k: "double" if any(isinstance(r.get(k), float) for r in runs) else "long" if all(isinstance(r.get(k, 0), int) for r in runs) else "string" for k in keys}
-    cast = {"double": float, "long": int, "string": str}
-    rows = [(n, *[None if r.get(k) is None else cast[kind[k]](r[k]) for k in keys]) for n, r in enumerate(runs)]
-    return spark.createDataFrame(rows, ", ".join(["run int", *[f"{k} {kind[k]}" for k in keys]]))
+    kind = {k: pa.float64() if any(isinstance(r.get(k), float) for r in runs) else pa.int64() if all(isinstance(r.get(k, 0), int) for r in runs) else pa.string() for k in keys}
+    cast = {pa.float64(): float, pa.int64(): int, pa.string(): str}
+    columns = [pa.array([None if r.get(k) is None else cast[kind[k]](r[k]) for r in runs], kind[k]) for k in keys]
+    return spark.createDataFrame(pa.table([pa.array(range(len(runs)), pa.int32()), *columns], names=["run", *keys]))
