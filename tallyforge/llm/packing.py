@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import checkpointed
-from tallyforge.llm.pretokens import json_table
+from tallyforge.llm.pretokens import json_encoder
 
 CAPACITY = 2048
 #: Documents in a group, on average.
@@ -74,7 +74,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
     """One row per piece of each document: its place, length and checksum."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = json_table(tokenizer)
+        table = json_encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             every = table.ids_many(t.as_py() for t in batch.column(1))

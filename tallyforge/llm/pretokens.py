@@ -12,7 +12,7 @@ _PLAIN = re.compile(r"[\t-\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧]*")
 _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters in a segment, and pieces in a cache before it starts anew.
-SEGMENT, CACHE = 1 << 18, 500_000
+SEGMENT, CACHE = 1 << 18, 400_000
 
 
 def segments(text: str) -> Iterator[str]:
@@ -126,40 +126,76 @@ def flat_lists(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists) if len(lists) else np.zeros(0, np.uint32), n
 
 
-_TABLES: dict[str, PieceTable] = {}
-_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+class JsonEncoder:
+    """ids and ids_many of a tokenizers file of byte-level BPE.
 
+    Texts of plain characters go through a faster library with the file's own vocabulary as merge ranks: for a
+    byte-level BPE whose ids are in the order of its merges both give the same ids. Any other text, and any file of
+    another kind, goes through tokenizers itself.
+    """
 
-def json_table(path: str) -> PieceTable:
-    """One table per worker process for a tokenizers file."""
-    if path not in _TABLES:
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def one_by_one(pieces: list[str]) -> list:
-            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-            # Words with a space before them are split alike when they stand in a row, which costs one call for all.
-            plain = [k for k, p in enumerate(pieces) if _WORD.fullmatch(p)]
-            ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-            if plain:
-                row = tokenizer.encode("".join([pieces[k] for k in plain]), add_special_tokens=False)
-                ids, n = np.array(row.ids, np.uint32), np.bincount(np.array(row.word_ids, np.int64))
-                if len(n) != len(plain):
-                    plain, ids, n = [], ids[:0], n[:0]
-            if len(plain) == len(pieces):
-                return ids, n, None
-            mark = np.zeros(len(pieces), bool)
-            mark[plain] = True
-            rest = np.flatnonzero(~mark)
-            more, m = flat_lists(one_by_one([pieces[k] for k in rest.tolist()]))
-            return np.concatenate((ids, more)), np.concatenate((n, m)), np.concatenate((np.flatnonzero(mark), rest))
-
-        _TABLES[path] = PieceTable(encode)
-    return _TABLES[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.fast = self._ranked()
+
+    def _ranked(self):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        spec = json.loads(self.tokenizer.to_str())
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or spec["normalizer"] or model["type"] != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+            return None
+        byte = byte_alphabet()
+        try:
+            ranks = {bytes(byte[c] for c in name): i for name, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+            merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            made = [ranks[bytes(byte[c] for c in a + b)] for a, b in merges]
+        except KeyError:
+            return None
+        ordered = all(x < y for x, y in zip(made, made[1:], strict=False)) and sum(len(t) == 1 for t in ranks) == 256
+        if not ordered:
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        if not text:
+            return np.zeros(0, np.uint32)
+        if self.fast is not None and _PLAIN.fullmatch(text):
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        parts = segments(text) if self.fast is not None else [text]
+        return np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(parts), add_special_tokens=False)])
+
+    def ids_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        return (self.ids(t or "") for t in texts)
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies name bytes: printable ones themselves, the others from 256 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[chr(b)] = b
+        else:
+            out[chr(spare)], spare = b, spare + 1
+    return out
+
+
+_ENCODERS: dict[str, JsonEncoder] = {}
+
+
+def json_encoder(path: str) -> JsonEncoder:
+    """One encoder per worker process for a tokenizers file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = JsonEncoder(path)
+    return _ENCODERS[path]

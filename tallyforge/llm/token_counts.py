@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.pretokens import json_table
+from tallyforge.llm.pretokens import json_encoder
 
 RULES = ("first", "last", "proportional")
 _LINE = re.compile(r"[^\n]*[^\s][^\n]*")
@@ -75,7 +75,7 @@ def token_counts(
     inner = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths = json_table(tokenizer), token_lengths(tokenizer)
+        table, lengths = json_encoder(tokenizer), token_lengths(tokenizer)
         for batch in batches:
             rows = []
             every = table.ids_many(t.as_py() for t in batch.column(1))
