@@ -25,8 +25,9 @@ BUCKETS = 8192
 UNIT = 1000
 #: Mean log ratio (nats per n-gram) from which a document is kept.
 THRESHOLD = -0.12
-#: Pseudo-count of each bucket.
-ALPHA = 1.0
+#: Pseudo-count of each bucket, shared between target and raw as all n-grams are: a bucket seen a few times has a
+#: ratio near 1, so small corpora give mild verdicts.
+ALPHA = 20.0
 
 
 def _buckets(hashes: Column) -> tuple[Column, Column]:
@@ -52,9 +53,9 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     raw, target = sum(r.raw for r in counts), sum(r.target for r in counts)
     ratios = [0] * BUCKETS
     if target:
-        rest = math.log((raw + ALPHA * BUCKETS) / (target + ALPHA * BUCKETS))
+        share = target / raw
         for r in counts:
-            ratios[r["_b"]] = round(UNIT * (math.log((r.target + ALPHA) / (r.raw + ALPHA)) + rest))
+            ratios[r["_b"]] = round(UNIT * math.log((r.target + ALPHA * share) / ((r.raw + ALPHA) * share)))
     return ratios
 
 
