@@ -26,6 +26,8 @@ from tallyforge.llm.common import checkpointed, sized
 
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: Occurrences from which a line gives its keys once, at its first place, so that no key is hot by repetition.
+HOT = 1000
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -153,18 +155,21 @@ def kept_places(docs: DataFrame, id_col: str, text_col: str, edits: int = MAX_ED
     """(id, kept: sorted places of the compared lines that stay) for ids with any."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     lines = lines.where(_compared(F.col("line"))).select("id", "pos", "line", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"))
-    first = lines.groupBy("h", "len").agg(F.min(F.struct("id", "pos")).alias("at"))
+    first = lines.groupBy("h", "len").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
     first = checkpointed(first)
-    links = checkpointed(linked_lines(lines.select("h", "line", "len"), edits))
+    hot = sized(first.where(F.col("n") >= HOT).select(F.col("h").alias("_h"), F.col("at").alias("_at")))
+    once = lines.join(hot, F.col("h") == F.col("_h"), "left")
+    once = once.where(F.col("_at").isNull() | (F.col("id").eqNullSafe(F.col("_at.id")) & (F.col("pos") == F.col("_at.pos"))))
+    links = checkpointed(linked_lines(once.select("h", "line", "len"), edits))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = first.select(F.col("h").alias("b"), F.col("at").alias("other"))
     before = both.join(seen, "b").groupBy("a").agg(F.min("other").alias("other"))
-    stay = first.join(before, first.h == before.a, "left").where("other is null or at <= other")
+    stay = first.drop("n").join(before, first.h == before.a, "left").where("other is null or at <= other")
     return stay.groupBy(F.col("at.id").alias("id")).agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
-    """docs with the lines that stay in `text_col`, and columns n_lines, n_kept; see the module for the rule."""
+    """docs with the lines that stay in `text_col`, and n_lines, n_kept in place of any such columns."""
     kept = kept_places(docs, id_col, text_col, edits)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     joined = whole.join(kept, F.col("_doc")[id_col].eqNullSafe(F.col("id")), "left")
@@ -172,6 +177,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     free = F.filter(F.transform(F.col("_lines"), lambda s, i: F.when(~_compared(s), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("_stay", F.sort_array(F.concat(free, F.coalesce("kept", F.array().cast("array<int>")))))
     text = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
-    columns = [text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns]
+    columns = [text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_kept")]
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return joined.select(*columns, F.greatest(count("_lines"), F.lit(0)).alias("n_lines"), F.greatest(count("_stay"), F.lit(0)).alias("n_kept"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyforge.llm import line_dedup
 from tallyforge.llm.line_dedup import MIN_CHARS, banded_distance, dedup_lines, linked_lines
 
 SCHEMA = "doc_id long, text string, h long, id string, kept int"
@@ -73,6 +74,11 @@ def brute(rows, edits=2):
     return out
 
 
+def test_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    test_documents(spark)
+
+
 def test_documents(spark):
     lines, rng = some_lines(5, 25)
     rows = [(k, "\n".join(rng.choice([*lines, "short", "", " " * 30]) for _ in range(rng.randrange(0, 9)))) for k in range(40)]
