@@ -223,5 +223,12 @@ ORACLES: dict[str, str] = {
     "assemble_conversations": "SELECT conv_id, count(*)::INT AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id",
     "last_assistant_reply": "SELECT c.conv_id, r.text AS reply FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, text FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1) r ON c.conv_id = r.conv_id",
     "image_fit_geometry": "WITH i AS (SELECT p_partkey AS id, (1 + p_partkey * 37 % 3000)::INT AS w, (1 + p_partkey * 91 % 2000)::INT AS h FROM part), s AS (SELECT *, least(1.0::DOUBLE, 1024.0::DOUBLE / w, 768.0::DOUBLE / h) AS k FROM i), n AS (SELECT id, w, h, greatest(1, floor(w * k + 0.5)::INT) AS new_w, greatest(1, floor(h * k + 0.5)::INT) AS new_h FROM s) SELECT *, ((1024 - new_w) // 2)::INT AS pad_left, ((768 - new_h) // 2)::INT AS pad_top, (1024 - new_w - (1024 - new_w) // 2)::INT AS pad_right, (768 - new_h - (768 - new_h) // 2)::INT AS pad_bottom FROM n",
+    "parsed_predictions": f"WITH {PRED} SELECT c.id, c.p AS coarse, i.p AS incivility, t.p AS intolerance, h.p AS hateful FROM coarse c JOIN joint_ i ON c.id = i.id AND i.category = 'incivility' JOIN joint_ t ON c.id = t.id AND t.category = 'intolerance' JOIN joint_ h ON c.id = h.id AND h.category = 'hateful'",
+    "normalized_outputs": f"WITH {PRED} SELECT id, c AS output FROM low",
+    "confusion_matrix_array": f"WITH {PRED}, k AS (SELECT category, x.i AS y, z.j AS p FROM (SELECT DISTINCT category FROM joint_) c, (SELECT unnest([-1, 0, 1]) AS i) x, (SELECT unnest([-1, 0, 1]) AS j) z), n AS (SELECT category, y, p, count(*) AS n FROM joint_ GROUP BY ALL), t AS (SELECT category, y, count(*) AS t FROM joint_ GROUP BY ALL) SELECT k.category, (k.y + 1)::INT AS i, (k.p + 1)::INT AS j, coalesce(n.n / t.t, 0.0) AS rate FROM k LEFT JOIN n ON k.category = n.category AND k.y = n.y AND k.p = n.p LEFT JOIN t ON k.category = t.category AND k.y = t.y",
+    "csv_round_trip": f"WITH {ANN} SELECT seq, len(string_split(label_intolerance, ','))::INT AS n_codes, list_contains(string_split(label_intolerance, ','), '0') AS has_zero, label_intolerance AS codes FROM ann",
+    "data_urls": f"WITH {GOLD} SELECT id, 'data:image/png;base64,' || to_base64(encode(text)) AS url, 'img' AS folder, split AS picked FROM gold",
+    "calibration_review": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_hateful) > 1 OR count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT id, annotator, array_to_string(list_transform(string_split(label_incivility, ','), lambda x: {value_map(INCIVILITY)}[x::INT]), ', ') AS incivility, array_to_string(list_transform(string_split(label_intolerance, ','), lambda x: {value_map(INTOLERANCE)}[x::INT]), ', ') AS intolerance FROM bin WHERE id IN (SELECT id FROM d)",
+    "training_part_messages": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}), p AS (SELECT *, {PART} FROM s), q AS (SELECT id, row_number() OVER (PARTITION BY label_hateful ORDER BY md5(id || '-3407'), id) AS r2, count(*) OVER (PARTITION BY label_hateful) AS n2 FROM p WHERE part = 'train') SELECT id, 3 AS n_turns FROM q WHERE r2 <= round(n2 * 0.5)",
     "run_grid_cross_join": "SELECT run, lora_r, learning_rate, split, n FROM (VALUES (0, 8, 0.0001::DOUBLE), (1, 16, 0.0001), (2, 8, 0.0002), (3, 16, 0.0002)) AS g(run, lora_r, learning_rate), (SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang) d",
 }

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text
+from tallyforge.functions.parse import field_label, first_label
 from tallyforge.functions.text import codes_to_names, sanitize, strip_charset, strip_prefix
 from tallyforge.operators import chat, curate, evaluate, labels, scoring, stats
+from tallyforge.plans import pipelines
 from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
 from tallyforge.plans.config import run_grid
 from tallyforge.plans.oracle import ORACLES
@@ -364,6 +367,48 @@ def image_fit_geometry(spark, d):
     return chat.fit_geometry(sizes, 1024, 768)
 
 
+@query
+def parsed_predictions(spark, d):
+    rows = predictions(spark, d)
+    fields = ("incivility", "intolerance", "hateful")
+    return rows.select("id", first_label(F.col("output_coarse")).alias("coarse"), *[field_label(F.col("output_joint"), f).alias(f) for f in fields])
+
+
+@query
+def normalized_outputs(spark, d):
+    return predictions(spark, d).select("id", text.collapse_spaces(F.col("output_coarse")).alias("output"))
+
+
+@query
+def confusion_matrix_array(spark, d):
+    matrix = evaluate.confusion_array(long(spark, d, "joint"))
+    rows = matrix.select("category", F.posexplode("confusion_matrix").alias("i", "row"))
+    return rows.select("category", "i", F.posexplode("row").alias("j", "rate"))
+
+
+@query
+def csv_round_trip(spark, d):
+    codes = text.csv_codes(F.col("label_intolerance"))
+    return annotations(spark, d).select("seq", F.size(codes).alias("n_codes"), F.array_contains(codes, 0).alias("has_zero"), text.codes_csv(codes).alias("codes"))
+
+
+@query
+def data_urls(spark, d):
+    rows = gold(spark, d)
+    return rows.select("id", text.data_url(F.encode("text", "UTF-8")).alias("url"), text.parent_name(F.col("img")).alias("folder"), text.first_of(F.lit(""), F.col("split")).alias("picked"))
+
+
+@query
+def calibration_review(spark, d):
+    return pipelines.calibration_review(deduped(spark, d)).select("id", "annotator", "incivility", "intolerance")
+
+
+@query
+def training_part_messages(spark, d):
+    parts = curate.stratified_split(gold(spark, d), LABELS, "id", 42)
+    return pipelines.training_data(parts, "coarse", share=0.5).select("id", F.size("messages").alias("n_turns"))
+
+
 @query
 def run_grid_cross_join(spark, d):
     runs = [{"lora_r": r, "learning_rate": rate} for rate in (0.0001, 0.0002) for r in (8, 16)]
