@@ -113,6 +113,8 @@ def batch_runs(column, fold: bool = True, at_once: int = 1 << 20):
     Yields (bytes, word starts, word ends, word hashes, places): texts follow each other in the bytes, and the words
     of text k of the run are those from places[k] to places[k + 1].
     """
+    if not len(column):
+        return
     column = column.fill_null("")
     wide = np.int64 if str(column.type).startswith("large") else np.int32
     ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
