@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the lines that stay in `text_col`, and n_lines, n_kept in place of any such columns."""
     kept = kept_places(docs, id_col, text_col, edits)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    joined = whole.join(kept, F.col("_doc")[id_col].eqNullSafe(F.col("id")), "left")
+    # Places are few beside texts: hashing them spares sorting the texts.
+    joined = whole.join(kept.hint("shuffle_hash"), F.col("_doc")[id_col].eqNullSafe(F.col("id")), "left")
     joined = joined.select("_doc", "kept", F.split(F.col("_doc")[text_col], "\n").alias("_lines"))
     free = F.filter(F.transform(F.col("_lines"), lambda s, i: F.when(~_compared(s), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("_stay", F.sort_array(F.concat(free, F.coalesce("kept", F.array().cast("array<int>")))))
