@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,15 @@ def build(app: str = "tallyforge", master: str | None = None, **conf: str) -> Sp
 def local(cpus: int | None = None, memory: str = "12g") -> SparkSession:
     n = cpus or os.cpu_count() or 4
     return build(master=f"local[{n}]", **{"spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(n)})
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers started from now on find this package where the driver found it.
+
+    On a cluster without a shared folder the package is installed or sent with --py-files as usual; then this path
+    does not exist there and changes nothing.
+    """
+    root, own = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *paths])
