@@ -6,12 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.session import ship_package
+
 #: Rows of a key table that may be broadcast (16 bytes each at most); beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Texts are long: fewer rows in an Arrow batch keep a worker's memory small."""
+    """Texts are long: fewer rows in an Arrow batch keep a worker's memory small. Workers are told of the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
