@@ -4,9 +4,10 @@ The pages of a host are merged into one tree. An element node is a path of tags,
 sequence of child tags that pages have is a style. A node's importance is the entropy of its styles over its pages
 (base: their number), a leaf's that of its contents; a node found in one page only is wholly important. In a page the
 composite importance of a branch mixes its own with that of its children, weighed by GAMMA per style. A branch below
-THRESHOLD throughout is noise: menus, headers or notices that a site repeats. What markup says outright stands as the
-tree's prior: scripts, forms, navigation and the like are never content, and branches inside an article are never
-noise by repetition alone, so a story published twice on a host stays.
+THRESHOLD throughout is noise: menus, headers or notices that a site repeats, inside articles as outside them. What
+markup says outright stands as the tree's prior: scripts, forms, navigation and the like are never content. Of an
+article, blocks that the site repeats go unless they hold most of its text: then the story was published more than once
+and stays whole. Inside articles equal neighbours count as one in styles, so articles of any length share their nodes.
 
 The tree is only counts: each task counts nodes and styles of its pages, and sums per node go through one shuffle, so
 a host of any size is fine. Only nodes of low importance are told to the extracting tasks; beyond TOLD of them each page
@@ -144,56 +145,99 @@ def host_of(url: str | None) -> str:
     return (m[1] if m else url or "").lower()
 
 
+def _is_article(node: Node) -> bool:
+    return node.content and node.tag not in ("html", "body")
+
+
+def _inner(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and c.tag not in VOID and c.tag not in RAW]
+
+
+def _own_words(node: Node) -> list[str]:
+    return " ".join(c for c in node.children if isinstance(c, str)).split()
+
+
+def _style(inner: list[Node], inside: bool) -> tuple[int, list]:
+    """Hash of a sequence of child tags, and the place of each; inside articles of runs of equal tags and names."""
+    if not inside:
+        return _hash(*[c.tag for c in inner]), list(range(len(inner)))
+    runs: list[list[Node]] = []
+    for c in inner:
+        if runs and (runs[-1][0].tag, runs[-1][0].names) == (c.tag, c.names):
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+    places = [(r, k if k + 1 < len(run) else -1) for r, run in enumerate(runs) for k in range(len(run))]
+    return _hash("runs", *[run[0].tag for run in runs]), places
+
+
 def style_rows(root: Node, host: str) -> Iterator[tuple[int, int]]:
-    """(node, style or content) of each node of a page outside articles and what is never content."""
-    todo = [(root, _hash("host", host))]
+    """(node, style or content) of each node of a page outside what is never content."""
+    todo = [(root, _hash("host", host), False)]
     while todo:
-        node, key = todo.pop()
-        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in VOID and c.tag not in RAW]
+        node, key, inside = todo.pop()
+        inner, words = _inner(node), _own_words(node)
         if inner:
-            shape = _hash(*[c.tag for c in inner])
-            yield key, shape
-            for k, c in enumerate(inner):
-                if not c.content and not c.noise:
-                    todo.append((c, _hash(key, shape, k, c.tag, c.names)))
+            shape, places = _style(inner, inside)
+            yield key, _hash(shape, *words) if words else shape
+            for c, k in zip(inner, places, strict=True):
+                if not c.noise:
+                    todo.append((c, _hash(key, shape, k, c.tag, c.names), inside or _is_article(c)))
         else:
-            yield key, _hash("text", *" ".join(c for c in node.children if isinstance(c, str)).split())
+            yield key, _hash("text", *words)
 
 
 def mark_noise(root: Node, key: int, low) -> None:
     """Mark branches whose composite importance is below THRESHOLD as noise.
 
     low(key) gives a node's importance and number of styles, or None if it is high. A branch with an important part
-    stays; otherwise its importance mixes its own with the mean of its children's. Works from the leaves up.
+    stays; otherwise its importance mixes its own with the mean of its children's. Works from the leaves up. An article
+    is never noise itself, and its blocks are only if most of its text remains.
     """
-    order: list[tuple[Node, int, int]] = [(root, key, -1)]
+    order: list[tuple[Node, int, int, int]] = [(root, key, -1, -1)]
     at = 0
     while at < len(order):
-        node, own_key, _ = order[at]
-        inner = [c for c in node.children if isinstance(c, Node) and c.tag not in VOID and c.tag not in RAW]
-        # This walk does not enter articles: a header met here is the page's, while one inside holds the headline.
-        node.noise = node.noise or node.tag == "header" or "header" in node.names.replace("-", " ").replace("_", " ").split()
-        if inner and not (at and (node.noise or node.content)):
-            shape = _hash(*[c.tag for c in inner])
-            order += [(c, _hash(own_key, shape, k, c.tag, c.names), at) for k, c in enumerate(inner)]
+        node, own_key, _, article = order[at]
+        # A header met outside articles is the page's, while one inside holds the headline.
+        if article in (-1, at):
+            node.noise = node.noise or node.tag == "header" or "header" in node.names.replace("-", " ").replace("_", " ").split()
+        inner = _inner(node)
+        if inner and not (at and node.noise):
+            shape, places = _style(inner, article >= 0)
+            for c, k in zip(inner, places, strict=True):
+                order.append((c, _hash(own_key, shape, k, c.tag, c.names), at, len(order) if article < 0 and _is_article(c) else article))
         at += 1
     parts: list[list[float]] = [[] for _ in order]
+    repeated: dict[int, list[Node]] = {}
     for at in range(len(order) - 1, -1, -1):
-        node, own_key, parent = order[at]
+        node, own_key, parent, article = order[at]
         own, styles = low(own_key) or (1.0, 1)
-        if at and (node.noise or node.content):
-            own = 0.0 if node.noise else 1.0
+        if at and node.noise:
+            own = 0.0
+        elif article == at:
+            own = 1.0
         elif parts[at]:
             weight = GAMMA ** max(1, styles)
-            top = max(parts[at])
+            top = max(parts[at] + [own] * bool(_own_words(node)))
             own = top if top >= THRESHOLD else (1 - weight) * own + weight * sum(parts[at]) / len(parts[at])
         if parent >= 0:
             parts[parent].append(own)
-            node.noise = node.noise or own < THRESHOLD
-
-
-def blocks(root: Node) -> list[str]:
-    """Texts of the blocks that are no noise, in page order."""
+            if own < THRESHOLD and article < 0:
+                # Part of a sentence goes only with it.
+                node.noise = node.noise or node.tag in BLOCKS or not _own_words(order[parent][0])
+            elif own < THRESHOLD and not node.noise and node.tag in BLOCKS:
+                repeated.setdefault(article, []).append(node)
+    for article, nodes in repeated.items():
+        whole = sum(map(len, blocks(order[article][0])))
+        for node in nodes:
+            node.noise = True
+        if 2 * sum(map(len, blocks(order[article][0]))) < whole:
+            for node in nodes:
+                node.noise = False
+
+
+def blocks(root: Node, bare: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks that are no noise, in page order; nodes whose id() is in bare give no text of their own."""
     out, line = [], []
 
     def end() -> None:
@@ -219,38 +263,30 @@ def blocks(root: Node) -> list[str]:
         if node.tag in BLOCKS:
             end()
             todo.append((node, True))
-        todo += [(c, False) for c in reversed(node.children)]
+        todo += [(c, False) for c in reversed(node.children) if id(node) not in bare or isinstance(c, Node)]
     end()
     return out
 
 
 def extract_page(page: str | None, url: str | None, low) -> str:
-    """The main text of a page. If it has article branches, text outside them is left out as well."""
+    """The main text of a page: what is no noise. Loose text beside an article has no element and is left out."""
     root = parse(page or "")
     mark_noise(root, _hash("host", host_of(url)), low)
-    articles, todo = [], [root]
+    beside: set[int] = set()
+    above: dict[int, Node] = {}
+    todo = [root]
     while todo:
         node = todo.pop()
         for c in node.children:
             if isinstance(c, Node) and not c.noise:
-                if c.tag == "article" or c.content and c.tag not in ("body", "html"):
-                    articles.append(c)
-                else:
+                above[id(c)] = node
+                if not _is_article(c):
                     todo.append(c)
-    if articles:
-        own = set(map(id, articles))
-        inside = [a for a in articles if blocks(a)]
-        if inside:
-            order = []
-            todo = [root]
-            while todo:
-                node = todo.pop()
-                if id(node) in own:
-                    order.append(node)
-                    continue
-                todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
-            return "\n".join(b for a in order for b in blocks(a))
-    return "\n".join(blocks(root))
+                elif blocks(c):
+                    while c is not root and id(above[id(c)]) not in beside:
+                        c = above[id(c)]
+                        beside.add(id(c))
+    return "\n".join(blocks(root, beside))
 
 
 def importances(pages: DataFrame) -> DataFrame:

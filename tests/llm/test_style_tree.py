@@ -68,3 +68,25 @@ def test_copies_of_an_article_stay(spark):
     page = "<nav>menu</nav><article><p>The same story</p></article>"
     df = spark.createDataFrame([(k, "http://a.b/", page, "", 1, 1) for k in range(30)], SCHEMA)
     assert {r.text for r in extract(df).collect()} == {"The same story"}
+
+
+def test_tree_decides_inside_and_beside_articles(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data, truth = [], {}
+    for k in range(24):
+        body = [" ".join(word() for _ in range(20)) for _ in range(1 + k % 4)]
+        note = f"By {word()}"
+        inside = "".join(f"<p>{b}</p>" for b in body)
+        page = f"<body><div class=k><p>Join our list</p></div><article><h1>{body[0][:9]}</h1>{inside}<div class=z>Read more on this site</div></article><div class=n>{note}</div></body>"
+        data.append((k, "http://a.b/", page, "", 1, 1))
+        truth[k] = "\n".join([body[0][:9], *body, note])
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    for told in (10**6, 0):
+        assert {r.page_id: r.text for r in extract(df, told=told).collect()} == truth
+
+
+def test_repeated_inline_parts_stay_in_their_paragraph(spark):
+    data = [(k, "http://a.b/", f"<article><p><b>Note</b> of {k} things</p></article><div><i>Also</i> number {k}</div>", "", 1, 1) for k in range(9)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {k: f"Note of {k} things\nAlso number {k}" for k in range(9)}
