@@ -5,9 +5,9 @@ symbols of their own, in classes of WORDS_IN_CLASS by rank; every other word bel
 spelling, within which its probability is its smoothed share of the class's count. So the whole vocabulary, however
 large, has a proper distribution: P(class | state), then P(word | class, state) or the share.
 
-Counts cover all training documents. The network learns in ROUNDS rounds from one of TRAIN_EVERY training documents,
-chosen by a hash of the id, so what it reads grows with the corpus: in a round every task runs truncated
-backpropagation over its partition's documents from the weights so far, and the results are averaged by tokens.
+Counts cover all training documents, and the network reads each of them once: a hash of the id deals them to ROUNDS
+rounds, and in a round every task runs truncated backpropagation over its partition's documents from the weights so
+far, and the results are averaged by tokens.
 Scoring runs documents in lanes, with the state carried from window to window to a document's end.
 
 Defined results: null or empty text is one end token; a null id belongs to no fold and is read as training; rows that
@@ -32,8 +32,8 @@ CLASSES = WORDS // WORDS_IN_CLASS + RARE
 START = WORDS + RARE
 #: Most frequent words whose counts all tasks are told (24 bytes each); the counts of others are joined.
 TOLD = 1 << 18
-#: Training documents per one that the network reads, rounds, lanes and window of backpropagation.
-TRAIN_EVERY, ROUNDS, TRAIN_LANES, WINDOW = 8, 4, 64, 16
+#: Rounds, lanes and window of backpropagation.
+ROUNDS, TRAIN_LANES, WINDOW = 4, 64, 16
 #: Longest stretch that is read in one lane in training; scoring always reads whole documents.
 PART = 4096
 #: Most models trained side by side in a round; more partitions than that are read several to a task.
@@ -388,7 +388,7 @@ def train(docs: DataFrame, told) -> Gru:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().tolist()], pa.list_(pa.float32()))], names=["n", "w"])
 
-        part = docs.where("training").where(F.pmod(F.xxhash64("id"), F.lit(TRAIN_EVERY * ROUNDS)) == k)
+        part = docs.where("training").where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k)
         each = part.select("text").coalesce(MODELS).mapInArrow(run, "n long, w array<float>").select("n", F.posexplode("w").alias("i", "x"))
         mean = each.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toPandas()
         if len(mean):

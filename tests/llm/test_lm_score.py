@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import lm_score
 from tallyforge.llm.common import HashIndex
@@ -129,3 +130,15 @@ def test_hash_index():
     index = HashIndex(keys)
     assert (index(keys) == np.arange(len(keys))).all() and (index(keys + np.uint64(1)) == -1).mean() > 0.99
     assert (HashIndex(keys[:0])(keys) == -1).all()
+
+
+def test_every_training_document_is_learnt_from(spark):
+    df = spark.createDataFrame([(i, t) for i, t in corpus(200)], "id long, text string").repartition(1)
+    source = df.select("id", "text", lm_score.training("id").alias("training"))
+    counts = lm_score.checkpointed(lm_score.token_counts(source))
+    told = spark.sparkContext.broadcast(lm_score.vocabulary(source, counts))
+    whole = lm_score.train(source, told).flat()
+    for k in (4, 13, 31):
+        without = source.where(F.pmod(F.xxhash64("id"), F.lit(32)) != k)
+        assert without.where("training").count() < source.where("training").count()
+        assert not np.array_equal(lm_score.train(without, told).flat(), whole)
