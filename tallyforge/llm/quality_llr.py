@@ -2,8 +2,8 @@
 
 Each document's word unigrams and bigrams are hashed into a fixed number of buckets. Two smoothed multinomials over
 the buckets, one of the trusted target documents and one of the raw corpus, give an integer log ratio per bucket.
-A document's score is the mean ratio over its n-grams; it is kept if that reaches a fixed threshold. All sums are
-over integers, so the verdict does not depend on partitioning.
+A document's score is the mean ratio over its n-grams; it is kept if that reaches a threshold: a given one, or the one
+that the trusted documents' own scores set. All sums are over integers, so the verdict does not depend on partitioning.
 
 Defined results: null or empty text has no words and fails the base rules; an empty table gives an empty result;
 without trusted documents every ratio is 0 and only the base rules decide; repeated rows are scored one by one;
@@ -23,8 +23,10 @@ from tallyforge.llm.common import sized, words_column
 BUCKETS = 8192
 #: Fixed-point unit of the log ratios.
 UNIT = 1000
-#: Mean log ratio (nats per n-gram) from which a document is kept.
+#: Mean log ratio (nats per n-gram) from which a document is kept, if nothing sets it.
 THRESHOLD = -0.12
+#: Trusted documents that a threshold set by their scores may reject, one of so many.
+TRUSTED_PER_MISS = 200
 #: Pseudo-count of each bucket, shared between target and raw as all n-grams are: a bucket seen a few times has a
 #: ratio near 1, so small corpora give mild verdicts.
 ALPHA = 20.0
@@ -59,6 +61,34 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     return ratios
 
 
+def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The highest threshold, in steps of 1 / UNIT, that rejects at most one of TRUSTED_PER_MISS trusted documents.
+
+    Documents of fewer than 10 words fail the base rules and do not count; without others it is THRESHOLD.
+    """
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sized(ids), "_id", "left_semi")
+    own = own.select(F.transform(words_column(F.col("_t")), lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= 10)
+    own = own.select((2 * F.size("_h") - 1).alias("n"), _total(F.col("_h"), ratios).alias("_sum"))
+    score = F.floor(F.col("_sum") / F.col("n")).cast("long")
+    counts = own.groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    spare = sum(r.n for r in counts) // TRUSTED_PER_MISS
+    for r in counts:
+        if r.n > spare:
+            return r.s / UNIT
+        spare -= r.n
+    return THRESHOLD
+
+
+def _total(hashes: Column, ratios: list[int]) -> Column:
+    """Sum of the ratios of all n-grams."""
+    model = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
+    zero = F.lit(0).cast("long")
+    add = lambda a, b: a + F.get(model, b)
+    single, double = _buckets(hashes)
+    return F.aggregate(single, zero, add) + F.aggregate(double, zero, add)
+
+
 def _repeated(hashes: Column) -> Column:
     """Words in 5-word windows that occur at least twice, from the array of word hashes."""
     windows = F.transform(
@@ -93,11 +123,15 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: list[str] | None = None,
-    threshold: float = THRESHOLD,
+    threshold: float | None = THRESHOLD,
 ) -> DataFrame:
-    """Columns `keep` (default: the id) of every row, with the base figures, llr (mean ratio) and kept."""
+    """Columns `keep` (default: the id) of every row, with the base figures, llr (mean ratio) and kept.
+
+    threshold: None sets it by the scores of the trusted documents.
+    """
     ratios = bucket_ratios(docs, trusted, id_col, text_col)
-    model = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
+    if threshold is None:
+        threshold = trusted_threshold(docs, trusted, ratios, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = F.char_length(text)
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike("[^ \\t-\\r]"))
@@ -113,8 +147,6 @@ def score_quality(
     rows = rows.withColumn("_w", _repeated(F.col("_h")))
     again = F.size(F.array_distinct(F.col("_w")["w"])) < F.size("_w")
     rows = rows.withColumn("_o", F.when(again, F.sort_array("_w")))
-    single, double = _buckets(F.col("_h"))
-    add = lambda a, b: a + F.get(model, b)
     zero = F.lit(0).cast("long")
     rows = rows.select(
         "_row",
@@ -123,7 +155,7 @@ def score_quality(
         "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(_places(F.col("_o"))), zero).alias("n_repeat_words"),
-        (F.aggregate(single, zero, add) + F.aggregate(double, zero, add)).alias("_sum"),
+        _total(F.col("_h"), ratios).alias("_sum"),
         # Stops a filter on the result from being pushed below, into expressions that lambdas would then repeat.
         F.monotonically_increasing_id().alias("_barrier"),
     )
@@ -147,7 +179,7 @@ def filter_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     """The rows of docs that the rules keep, with all their columns."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     flat = whole.select("_doc", F.col("_doc")[id_col].alias("_key"), F.col("_doc")[text_col].alias("_text"))
-    scored = score_quality(flat, trusted, "_key", "_text", keep=["_doc"])
+    scored = score_quality(flat, trusted, "_key", "_text", keep=["_doc"], threshold=None)
     return scored.where("kept").select("_doc.*")
 
 

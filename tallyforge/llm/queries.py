@@ -11,7 +11,7 @@ from tallyforge.llm.common import table
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.quality_llr import score_quality, trusted_ids
 
-    return score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    return score_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")), threshold=None)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

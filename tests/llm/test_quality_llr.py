@@ -88,3 +88,15 @@ def test_separates_and_filters(spark):
     assert filter_quality(docs.limit(0), trusted_ids(labels)).collect() == []
     untaught = filter_quality(docs, trusted_ids(labels.limit(0)))
     assert untaught.count() == sum(not base(t)[-1] for _, t in corpus())
+
+
+def test_threshold_follows_trusted_scores(spark):
+    docs, labels = frames(spark)
+    trusted = trusted_ids(labels)
+    fixed = score_quality(docs, trusted).where("n_words >= 10 and doc_id is not null").collect()
+    ids = {r[0] for r in trusted.collect()}
+    least = min(math.floor(r.llr * UNIT + 1e-9) for r in fixed if r.doc_id in ids) / UNIT
+    assert least > THRESHOLD
+    for r in score_quality(docs, trusted, threshold=None).where("doc_id is not null").collect():
+        assert r.kept == (not r.base_failed and r.llr >= least - 1e-9)
+    assert score_quality(docs, trusted_ids(labels.limit(0)), threshold=None).where("kept = base_failed").count() == 0
