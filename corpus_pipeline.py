@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; so do documents of which no word is left."""
-    return _sized_text(dedup_lines(docs).where("text rlike '[^ \\t-\\r]'"))
+    return _sized_text(dedup_lines(docs, short=True).where("text rlike '[^ \\t-\\r]'"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

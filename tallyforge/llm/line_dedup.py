@@ -1,8 +1,8 @@
 """Line dedup: a segment-partition edit join over lines, in DataFrame functions only.
 
 A line stays only where it occurs first, in order of (document id, place), and only if no other line within
-`max_edits` edits occurs first before it. Lines of fewer than MIN_CHARS characters, and those without a non-space
-character, are never compared and always stay.
+`max_edits` edits occurs first before it. Lines of fewer than MIN_CHARS characters have no edits: with `short` an equal
+one before them takes them away, without it they stay. Lines without a non-space character always stay.
 
 A line of length l is cut into max_edits + 1 segments. Of two lines within that many edits, the longer holds one of
 the shorter's segments unchanged near its place. So every line gives its own segments as index keys, with its length,
@@ -147,18 +147,18 @@ def linked_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     return whole.where(banded_distance(F.col("ca"), F.col("cb"), edits) <= edits).select("a", "b")
 
 
-def _compared(line: Column) -> Column:
-    return (F.char_length(line) >= MIN_CHARS) & line.rlike("[^ \\t-\\r]")
+def _compared(line: Column, short: bool) -> Column:
+    return (F.char_length(line) >= (1 if short else MIN_CHARS)) & line.rlike("[^ \\t-\\r]")
 
 
-def kept_places(docs: DataFrame, id_col: str, text_col: str, edits: int = MAX_EDITS) -> DataFrame:
+def kept_places(docs: DataFrame, id_col: str, text_col: str, edits: int = MAX_EDITS, short: bool = False) -> DataFrame:
     """(id, kept: sorted places of the compared lines that stay) for ids with any."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    lines = lines.where(_compared(F.col("line"))).select("id", "pos", "line", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"))
+    lines = lines.where(_compared(F.col("line"), short)).select("id", "pos", "line", F.xxhash64("line").alias("h"), F.char_length("line").alias("len"))
     first = lines.groupBy("h", "len").agg(F.min(F.struct("id", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
     first = checkpointed(first)
-    hot = sized(first.where(F.col("n") >= HOT).select(F.col("h").alias("_h"), F.col("at").alias("_at")))
-    once = lines.join(hot, F.col("h") == F.col("_h"), "left")
+    hot = sized(first.where((F.col("n") >= HOT) & (F.col("len") >= MIN_CHARS)).select(F.col("h").alias("_h"), F.col("at").alias("_at")))
+    once = lines.where(F.col("len") >= MIN_CHARS).join(hot, F.col("h") == F.col("_h"), "left")
     once = once.where(F.col("_at").isNull() | (F.col("id").eqNullSafe(F.col("_at.id")) & (F.col("pos") == F.col("_at.pos"))))
     links = checkpointed(linked_lines(once.select("h", "line", "len"), edits))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -168,14 +168,14 @@ def kept_places(docs: DataFrame, id_col: str, text_col: str, edits: int = MAX_ED
     return stay.groupBy(F.col("at.id").alias("id")).agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, short: bool = False) -> DataFrame:
     """docs with the lines that stay in `text_col`, and n_lines, n_kept in place of any such columns."""
-    kept = kept_places(docs, id_col, text_col, edits)
+    kept = kept_places(docs, id_col, text_col, edits, short)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     # Places are few beside texts: hashing them spares sorting the texts.
     joined = whole.join(kept.hint("shuffle_hash"), F.col("_doc")[id_col].eqNullSafe(F.col("id")), "left")
     joined = joined.select("_doc", "kept", F.split(F.col("_doc")[text_col], "\n").alias("_lines"))
-    free = F.filter(F.transform(F.col("_lines"), lambda s, i: F.when(~_compared(s), i)), lambda i: i.isNotNull())
+    free = F.filter(F.transform(F.col("_lines"), lambda s, i: F.when(~_compared(s, short), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("_stay", F.sort_array(F.concat(free, F.coalesce("kept", F.array().cast("array<int>")))))
     text = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
     columns = [text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_kept")]

@@ -23,7 +23,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 

@@ -89,3 +89,10 @@ def test_documents(spark):
     assert got.columns == [*df.columns, "n_lines", "n_kept"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute(rows), key=key)
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_short_copies_go(spark):
+    rows = [(2, "short\n\nshorts\nshort"), (1, "a line that is long enough\nshort\n  \n"), (3, None), (4, "short"), (5, "é\né")]
+    df = spark.createDataFrame([(i, t, 5, "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: r.text for r in dedup_lines(df, short=True).collect()}
+    assert got == {1: rows[1][1], 2: "\nshorts", 3: None, 4: "", 5: "é"}
