@@ -64,7 +64,8 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col: str = "text") -> float:
     """The highest threshold, in steps of 1 / UNIT, that rejects at most one of TRUSTED_PER_MISS trusted documents.
 
-    Documents of fewer than 10 words fail the base rules and do not count; without others it is THRESHOLD.
+    Documents of fewer than 10 words fail the base rules and do not count. Of fewer than
+    TRUSTED_PER_MISS others that share cannot be told, as the least of a few bounds no unseen document: it is THRESHOLD.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sized(ids), "_id", "left_semi")
@@ -73,7 +74,7 @@ def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[int], id
     score = F.floor(F.col("_sum") / F.col("n")).cast("long")
     counts = own.groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy("s").collect()
     spare = sum(r.n for r in counts) // TRUSTED_PER_MISS
-    for r in counts:
+    for r in counts if spare else ():
         if r.n > spare:
             return r.s / UNIT
         spare -= r.n
