@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import HashIndex, batch_runs, checkpointed, mix64
 
-WORDS, WORDS_IN_CLASS, RARE, HIDDEN = 2048, 32, 8, 16
-CLASSES = WORDS // WORDS_IN_CLASS + RARE
+WORDS, WORDS_IN_CLASS, RARE, HIDDEN = 4096, 64, 64, 16
+CLASSES, RARE_BITS = WORDS // WORDS_IN_CLASS + RARE, 6
 START = WORDS + RARE
 #: Most frequent words whose counts all tasks are told (24 bytes each); the counts of others are joined.
 TOLD = 1 << 18
-#: Rounds, lanes and window of backpropagation.
-ROUNDS, TRAIN_LANES, WINDOW = 4, 64, 16
-#: Longest stretch that is read in one lane in training; scoring always reads whole documents.
-PART = 4096
+#: Rounds of training, least steps of a window of backpropagation, and the most where few lanes are left.
+ROUNDS, WINDOW, LONGEST = 4, 16, 512
+#: Symbols for each lane of training, and the least and most lanes.
+LANE, TRAIN_LANES = 1200, (32, 512)
+#: Learning rate of the first round, and the bound of a score before exp.
+RATE, LOGIT = 0.06, 60.0
 #: Most models trained side by side in a round; more partitions than that are read several to a task.
 MODELS = 4096
 #: Lanes and window of scoring, and tokens gathered before lanes are filled.
@@ -46,14 +48,6 @@ END_HASH = int(mix64(np.array([0xE0D], np.uint64))[0])
 # --- network ------------------------------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
 class Lanes:
     """Documents dealt to lanes, longest first to the shortest lane; lanes are in order of length, longest first."""
 
@@ -79,16 +73,23 @@ class Lanes:
         before[starts] = START
         return target, before, starts
 
-    def windows(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (steps, active lanes) of each window, and which are within their lane."""
-        top = int(self.size[0]) if len(self.size) else 0
-        for t in range(0, top, length):
+    def windows(self, least: int, symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (steps, active lanes) of each window, and which are within their lane.
+
+        A window has `least` steps, and more where few lanes are left, up to about `symbols` symbols.
+        """
+        top, t = (int(self.size[0]) if len(self.size) else 0), 0
+        while t < top:
             active = int(np.searchsorted(-self.size, -t, "left"))
-            steps = t + np.arange(min(length, top - t))[:, None]
+            n = min(max(least, min(symbols // active, LONGEST)), top - t)
+            steps = t + np.arange(n)[:, None]
             yield self.begin[:active] + steps, steps < self.size[:active]
+            t += n
 
 
 class Gru:
+    """Gates z and r are kept at half scale: a logistic function is then one tanh."""
+
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         h = HIDDEN
@@ -101,6 +102,7 @@ class Gru:
             "wb": np.zeros(WORDS),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.steps, self.m, self.v = 0, {}, {}
 
     def start_from(self, words: np.ndarray, rare: np.ndarray) -> None:
         """Output biases that give the unigram distribution; words without a count are ruled out."""
@@ -108,8 +110,9 @@ class Gru:
         mass[: len(words)] = words
         of_class = np.concatenate((mass.reshape(-1, WORDS_IN_CLASS).sum(1), rare + 0.1))
         with np.errstate(divide="ignore"):
-            self.p["cb"] = np.maximum(np.log(of_class / of_class.sum()), -1e4).astype(np.float32)
-            self.p["wb"] = np.maximum(np.log(mass), -1e4).astype(np.float32)
+            self.p["cb"] = np.maximum(np.log(of_class / of_class.sum()), -LOGIT).astype(np.float32)
+            of_word = np.repeat(of_class[: WORDS // WORDS_IN_CLASS], WORDS_IN_CLASS)
+            self.p["wb"] = np.maximum(np.log(mass / np.maximum(of_word, 1)), -LOGIT).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -121,87 +124,117 @@ class Gru:
             at += v.size
         return self
 
-    def states(self, before: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def states(self, before: np.ndarray, h: np.ndarray, memo: dict | None = None) -> np.ndarray:
         """States after each step (steps, lanes); a lane's state is cleared where a document begins."""
         n = HIDDEN
-        x, u = self.p["x"], self.p["u"]
+        u, fed = self.p["u"], self.p["x"][before]
         out = np.empty((*before.shape, n), np.float32)
+        fresh = before == START
+        clears = fresh.any(1).tolist()
+        if memo is not None:
+            old, gates, inner = np.empty_like(out), np.empty((*before.shape, 2 * n), np.float32), np.empty_like(out)
+            memo.update(old=old, gates=gates, inner=inner, fresh=fresh, clears=clears)
         for t in range(len(before)):
-            fresh = before[t] == START
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            a, b = x[before[t]], h @ u
-            zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-            after = new + z * (h - new)
-            if keep is not None:
-                keep.append((h, z, r, b[:, 2 * n :], new, fresh))
-            out[t] = h = after
+            if clears[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            b, a = h @ u, fed[t]
+            g = np.add(a[:, : 2 * n], b[:, : 2 * n], out=None if memo is None else gates[t])
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            c = b[:, 2 * n :]
+            if memo is not None:
+                old[t], inner[t] = h, c
+            new = g[:, n:] * c
+            new += a[:, 2 * n :]
+            np.tanh(new, out=new)
+            h = h - new
+            h *= g[:, :n]
+            h = np.add(h, new, out=out[t])
         return out
 
     def log_probabilities(self, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
-        """Natural log probability of each target symbol, given rows of states; with grad, also what flows back."""
-        p = self.p
+        """Natural log probability of each target symbol, given rows of states; with grad, also what flows back.
+
+        Scores are held within LOGIT of 0, so that no maximum need be taken out of them before exp.
+        """
+        p, ones = self.p, np.ones(CLASSES, np.float32)
         word = target < WORDS
         of = np.where(word, target // WORDS_IN_CLASS, target - WORDS + WORDS // WORDS_IN_CLASS)
-        scores = states @ p["c"] + p["cb"]
-        scores -= scores.max(1, keepdims=True)
-        picked = scores[np.arange(len(of)), of]
+        each = np.arange(len(of))
+        scores = states @ p["c"]
+        scores += p["cb"]
+        np.clip(scores, -LOGIT, LOGIT, out=scores)
+        picked = scores[each, of]
         np.exp(scores, out=scores)
-        total = scores.sum(1)
+        total = scores @ ones
         out = picked - np.log(total)
         d_states = None
         if grad is not None:
             scores /= total[:, None]
-            scores[np.arange(len(of)), of] -= 1
+            scores[each, of] -= 1
             grad["c"], grad["cb"] = states.T @ scores, scores.sum(0)
             grad["w"], grad["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
             d_states = scores @ p["c"].T
         rows = np.flatnonzero(word)
         rows = rows[np.argsort(of[rows], kind="stable")]
         cuts = np.searchsorted(of[rows], np.arange(WORDS // WORDS_IN_CLASS + 1))
+        sorted_states, place = states[rows], target[rows] % WORDS_IN_CLASS
+        found = np.empty(len(rows), np.float32)
+        flow = None if grad is None else np.empty_like(sorted_states)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
-            r, span = rows[cuts[k] : cuts[k + 1]], slice(k * WORDS_IN_CLASS, (k + 1) * WORDS_IN_CLASS)
-            s = states[r]
-            inner = s @ p["w"][span].T + p["wb"][span]
-            inner -= inner.max(1, keepdims=True)
-            place = target[r] - k * WORDS_IN_CLASS
-            each = np.arange(len(r))
-            own = inner[each, place]
+            a, b = cuts[k], cuts[k + 1]
+            span, s = slice(k * WORDS_IN_CLASS, (k + 1) * WORDS_IN_CLASS), sorted_states[a:b]
+            inner = s @ p["w"][span].T
+            inner += p["wb"][span]
+            np.clip(inner, -LOGIT, LOGIT, out=inner)
+            own = inner[each[: b - a], place[a:b]]
             np.exp(inner, out=inner)
-            total = inner.sum(1)
-            out[r] += own - np.log(total)
+            total = inner @ ones[:WORDS_IN_CLASS]
+            found[a:b] = own - np.log(total)
             if grad is not None:
                 inner /= total[:, None]
-                inner[each, place] -= 1
+                inner[each[: b - a], place[a:b]] -= 1
                 grad["w"][span], grad["wb"][span] = inner.T @ s, inner.sum(0)
-                d_states[r] += inner @ p["w"][span]
+                np.matmul(inner, p["w"][span], out=flow[a:b])
+        out[rows] += found
+        if grad is not None:
+            d_states[rows] += flow
         return out, d_states
 
-    def back(self, before: np.ndarray, memo: list, d_out: np.ndarray, grad: dict) -> None:
+    def back(self, before: np.ndarray, memo: dict, out: np.ndarray, d_out: np.ndarray, grad: dict) -> None:
+        """Gradients of u and x from those of the states; only what follows the state goes step by step."""
         n = HIDDEN
-        u = self.p["u"]
-        du, dx = np.zeros_like(u), np.empty((*before.shape, 3 * n), np.float32)
+        turned = np.ascontiguousarray(self.p["u"].T)
+        old, inner = memo["old"], memo["inner"]
+        z, r = memo["gates"][..., :n], memo["gates"][..., n:]
+        new = np.where(z < 1, (out - z * old) / np.maximum(1 - z, np.float32(1e-6)), 0)
+        to_new = (1 - z) * (1 - new * new)
+        # Half scale: the derivative of a gate by its stored sum is twice z * (1 - z).
+        to_z = 2 * (old - new) * z * (1 - z)
+        to_r = 2 * inner * r * (1 - r)
+        flow = np.empty((*before.shape, 3 * n), np.float32)
+        fed = np.empty_like(flow)
         dh = np.zeros_like(d_out[0])
         for t in range(len(before) - 1, -1, -1):
-            h, z, r, b, new, fresh = memo[t]
-            dh = dh + d_out[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (h - new) * z * (1 - z)
-            d_r = d_new * b * r * (1 - r)
-            d_b = np.concatenate((d_z, d_r, d_new * r), 1)
-            dx[t] = np.concatenate((d_z, d_r, d_new), 1)
-            du += h.T @ d_b
-            dh = dh * z + d_b @ u.T
-            if fresh.any():
-                dh[fresh] = 0
-        grad["u"] = du
+            dh += d_out[t]
+            f = flow[t]
+            d_new = np.multiply(dh, to_new[t], out=fed[t][:, 2 * n :])
+            np.multiply(dh, to_z[t], out=f[:, :n])
+            np.multiply(d_new, to_r[t], out=f[:, n : 2 * n])
+            np.multiply(d_new, r[t], out=f[:, 2 * n :])
+            dh *= z[t]
+            dh += f @ turned
+            if memo["clears"][t]:
+                dh[memo["fresh"][t]] = 0
+        fed[..., : 2 * n] = flow[..., : 2 * n]
+        grad["u"] = old.reshape(-1, n).T @ flow.reshape(-1, 3 * n)
         grad["x"] = np.zeros_like(self.p["x"])
-        flat, rows = dx.reshape(-1, 3 * n), before.ravel()
+        rows = before.ravel()
         order = np.argsort(rows, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) != 0)))
-        grad["x"][rows[order][heads]] = np.add.reduceat(flat[order], heads)
+        ordered = rows[order]
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        grad["x"][ordered[heads]] = np.add.reduceat(fed.reshape(-1, 3 * n)[order], heads)
 
     def score(self, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         """Natural log probability of each document's symbols."""
@@ -211,7 +244,7 @@ class Gru:
         target, before, starts = deal.flat(docs)
         logs = np.empty(len(target), np.float32)
         h = np.zeros((len(deal.size), HIDDEN), np.float32)
-        for places, within in deal.windows(CHUNK):
+        for places, within in deal.windows(CHUNK, CHUNK * lanes):
             inside = np.where(within, before[np.minimum(places, len(before) - 1)], 0)
             out = self.states(inside, h[: places.shape[1]])
             h = out[-1]
@@ -222,35 +255,49 @@ class Gru:
         result[deal.docs] = sums
         return result
 
-    def fit(self, docs: list[np.ndarray], rate: float, lanes: int = TRAIN_LANES) -> int:
-        """One pass of truncated backpropagation over documents with Adam; the number of symbols read.
+    def fit(self, docs: list[np.ndarray], rate: float) -> int:
+        """One pass of truncated backpropagation over whole documents with Adam; the number of symbols read.
 
-        Documents of more than PART symbols are read in parts, so that a very long one does not leave lanes idle.
+        The state runs on from window to window to a document's end, however long it is. The number of lanes follows
+        the symbols at hand, so that small and large tasks make about as many steps.
         """
-        docs = [d[s : s + PART] for d in docs for s in range(0, len(d), PART)]
-        deal = Lanes(np.array([len(d) for d in docs]), lanes)
+        sizes = np.array([len(d) for d in docs])
+        deal = Lanes(sizes, int(np.clip(sizes.sum() // LANE, *TRAIN_LANES)))
         target, before, _ = deal.flat(docs)
-        m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
-        h, n = np.zeros((len(deal.size), HIDDEN), np.float32), 0
-        for places, within in deal.windows(WINDOW):
+        h = np.zeros((len(deal.size), HIDDEN), np.float32)
+        for places, within in deal.windows(WINDOW, WINDOW * len(deal.size)):
             h, grad = self.window_gradient(places, within, target, before, h)
-            n += 1
-            for k, g in grad.items():
-                g = np.clip(g / within.sum(), -0.05, 0.05)
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.02 * (g * g - v[k])
-                self.p[k] -= rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.98**n)) + 1e-6)
+            self.update(grad, int(within.sum()), rate)
         return len(target)
 
+    def update(self, grad: dict, n: int, rate: float) -> None:
+        self.steps += 1
+        up, down = 1 / (1 - 0.9**self.steps), 1 / (1 - 0.98**self.steps)
+        for k, g in grad.items():
+            g = g * np.float32(1 / n)
+            np.clip(g, -0.05, 0.05, out=g)
+            m, v = self.m.setdefault(k, np.zeros_like(g)), self.v.setdefault(k, np.zeros_like(g))
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            v *= 0.98
+            v += 0.02 * g
+            np.multiply(v, down, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= rate * up
+            self.p[k] -= g
+
     def window_gradient(self, places, within, target, before, h):
-        memo: list = []
+        memo: dict = {}
         inside = np.where(within, before[np.minimum(places, len(before) - 1)], 0)
         out = self.states(inside, h[: places.shape[1]], memo)
         grad: dict = {}
         _, d_rows = self.log_probabilities(out[within], target[places[within]], grad)
         d_out = np.zeros_like(out)
         d_out[within] = d_rows
-        self.back(inside, memo, d_out, grad)
+        self.back(inside, memo, out, d_out, grad)
         return out[-1], grad
 
 
@@ -258,11 +305,15 @@ class Gru:
 
 
 def rare_class(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Class of a word by its spelling: bytes beyond ASCII, a last byte that is no letter or digit, eight bytes or more."""
-    wide = np.concatenate(([0], np.cumsum(raw >= 128)))
-    last = raw[stops - 1] if len(stops) else raw[:0]
-    letter = ((last | 32) >= 97) & ((last | 32) <= 122) | (last >= 128) | (last >= 48) & (last <= 57)
-    return (wide[stops] > wide[starts]) * 4 + ~letter * 2 + (stops - starts >= 8) * 1
+    """Class of a word by its spelling: a hash of its last three bytes (fewer, if it is shorter), A-Z lower-cased.
+
+    Endings tell languages, kinds of words and closing marks apart.
+    """
+    folded = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
+    key = np.zeros(len(stops), np.uint64)
+    for k in range(1, 4):
+        key = key << np.uint64(8) | np.where(stops - k >= starts, folded[np.maximum(stops - k, 0)] if len(raw) else 0, 0).astype(np.uint64)
+    return (mix64(key) >> np.uint64(64 - RARE_BITS)).astype(np.int64)
 
 
 def _hash_runs(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -300,15 +351,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def word_key(hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """61 bits of a word's hash, and its rare class, which depends on the word alone."""
-    return hashes >> np.uint64(3) << np.uint64(3) | rare.astype(np.uint64)
+    """58 bits of a word's hash, and its rare class, which depends on the word alone."""
+    return hashes >> np.uint64(RARE_BITS) << np.uint64(RARE_BITS) | rare.astype(np.uint64)
 
 
 class Vocabulary:
     """What tasks are told: keys and counts of the most frequent words, and totals."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, of_rare: np.ndarray, distinct_rare: np.ndarray, ends: int):
-        self.end = np.uint64(END_HASH >> 3 << 3)
+        self.end = np.uint64(END_HASH >> RARE_BITS << RARE_BITS)
         if ends:
             keys, counts = np.append(keys, self.end), np.append(counts, ends)
         order = np.lexsort((keys, -counts))
@@ -316,7 +367,7 @@ class Vocabulary:
         self.index = HashIndex(self.keys)
         self.total, self.distinct = total + ends, distinct + (ends > 0)
         explicit = self.keys[:WORDS]
-        rare = (explicit & np.uint64(7)).astype(np.int64)
+        rare = (explicit & np.uint64(RARE - 1)).astype(np.int64)
         own = explicit != self.end
         self.rare_total = of_rare - np.bincount(rare[own], self.counts[:WORDS][own], RARE)
         self.rare_distinct = distinct_rare - np.bincount(rare[own], minlength=RARE)
@@ -326,13 +377,13 @@ class Vocabulary:
     def symbols(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each key, and its place among the words told (-1: not told)."""
         place = self.index(keys)
-        rare = WORDS + (keys & np.uint64(7)).astype(np.int64)
+        rare = WORDS + (keys & np.uint64(RARE - 1)).astype(np.int64)
         return np.where((place >= 0) & (place < WORDS), place, rare).astype(np.int16), place
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     """counts: (k, c), materialised. At most TOLD of its rows reach the driver."""
-    rare = F.col("k").bitwiseAND(F.lit(7).cast("long"))
+    rare = F.col("k").bitwiseAND(F.lit(RARE - 1).cast("long"))
     sums = counts.groupBy(rare.alias("r")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     of_rare, distinct_rare = np.zeros(RARE), np.zeros(RARE)
     for r in sums:
@@ -372,7 +423,7 @@ def train(docs: DataFrame, told) -> Gru:
     model.start_from(vocab.counts[:WORDS], np.maximum(vocab.rare_total, 0))
     for k in range(ROUNDS):
         weights = spark.sparkContext.broadcast(model.flat())
-        rate = 0.01 / (1 + k)
+        rate = RATE / (1 + k)
 
         def run(batches: Iterator[pa.RecordBatch], weights=weights, rate=rate) -> Iterator[pa.RecordBatch]:
             own, n, held, size = Gru().load(weights.value), 0, [], 0

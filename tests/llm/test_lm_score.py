@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import lm_score
 from tallyforge.llm.common import HashIndex
-from tallyforge.llm.lm_score import HIDDEN, Gru, Lanes, score_documents
+from tallyforge.llm.lm_score import CLASSES, HIDDEN, START, WORDS, WORDS_IN_CLASS, Gru, Lanes, score_documents
 
 SCHEMA = "doc_id long, text string, score double, id string"
 
@@ -55,7 +55,6 @@ def test_told_words_do_not_matter(spark, monkeypatch):
     key = lambda r: (r.doc_id, r.n_tokens)
     whole = sorted(score_documents(df).collect(), key=key)
     monkeypatch.setattr(lm_score, "TOLD", 10)
-    monkeypatch.setattr(lm_score, "WORDS", 2048)
     few = sorted(score_documents(df).collect(), key=key)
     assert [r.n_known for r in whole] == [r.n_known for r in few]
     assert [r.base_score for r in whole] == pytest.approx([r.base_score for r in few], rel=1e-9)
@@ -82,7 +81,7 @@ def test_learns_and_carries_state():
     unigram = sum(np.log(count[d] / (count.sum() + 0.8)).sum() for d in held)
     assert abs(before - unigram) < 0.05 * abs(unigram)
     for k in range(3):
-        model.fit(train, 0.01 / (1 + k))
+        model.fit(train, 0.06 / (1 + k))
     after = model.score(held)
     assert after.sum() > 0.7 * before
     alone = np.array([model.score([d], lanes=1)[0] for d in held[:20]])
@@ -106,7 +105,7 @@ def test_gradient():
     docs = [rng.integers(0, lm_score.START, n) for n in (9, 4, 6)]
     deal = Lanes(np.array([9, 4, 6]), 2)
     target, before, _ = deal.flat(docs)
-    places, within = next(deal.windows(12))
+    places, within = next(deal.windows(12, 1))
 
     def loss():
         out = model.states(np.where(within, before[np.minimum(places, len(before) - 1)], 0), np.zeros((places.shape[1], HIDDEN)))
@@ -142,3 +141,59 @@ def test_every_training_document_is_learnt_from(spark):
         without = source.where(F.pmod(F.xxhash64("id"), F.lit(32)) != k)
         assert without.where("training").count() < source.where("training").count()
         assert not np.array_equal(lm_score.train(without, told).flat(), whole)
+
+
+def plain_score(p, symbols):
+    """The network symbol by symbol, in plain loops: gates, state, class and word."""
+    tanh, n = math.tanh, HIDDEN
+    h, before, total = [0.0] * n, START, 0.0
+    for symbol in symbols:
+        own = {k: v.astype(float) for k, v in p.items() if k in ("cb", "wb")}
+        fed = p["x"][before].astype(float)
+        turned = [sum(h[i] * float(p["u"][i, j]) for i in range(n)) for j in range(3 * n)]
+        gate = [1 / (1 + math.exp(-2 * (fed[j] + turned[j]))) for j in range(2 * n)]
+        new = [tanh(fed[2 * n + j] + gate[n + j] * turned[2 * n + j]) for j in range(n)]
+        h = [gate[j] * h[j] + (1 - gate[j]) * new[j] for j in range(n)]
+        rare = WORDS // WORDS_IN_CLASS
+        k = symbol // WORDS_IN_CLASS if symbol < WORDS else symbol - WORDS + rare
+        scores = [own["cb"][c] + sum(h[i] * float(p["c"][i, c]) for i in range(n)) for c in range(CLASSES)]
+        total += scores[k] - math.log(sum(map(math.exp, scores)))
+        if symbol < WORDS:
+            span = range(k * WORDS_IN_CLASS, (k + 1) * WORDS_IN_CLASS)
+            inner = [own["wb"][w] + sum(h[i] * float(p["w"][w, i]) for i in range(n)) for w in span]
+            total += inner[symbol % WORDS_IN_CLASS] - math.log(sum(map(math.exp, inner)))
+        before = symbol
+    return total
+
+
+def test_score_is_the_plain_networks():
+    rng = np.random.default_rng(6)
+    model = Gru()
+    model.start_from(rng.integers(1, 500, 900), np.full(lm_score.RARE, 7.0))
+    docs = [rng.choice([3, 17, 400, 899, WORDS + 2, WORDS + 50], n).astype(np.int16) for n in (1, 5, 40, 150, 9)]
+    model.fit(docs * 40, 0.05)
+    got = model.score(docs, lanes=2)
+    assert got == pytest.approx([plain_score(model.p, d.tolist()) for d in docs], rel=1e-4)
+
+
+def test_training_carries_the_state_through_a_long_document():
+    rng = np.random.default_rng(7)
+    model = Gru()
+    model.start_from(np.full(WORDS, 5), np.ones(lm_score.RARE))
+    long = rng.integers(0, START, 3000).astype(np.int16)
+    before = np.concatenate(([START], long[:-1])).astype(np.int16)[:, None]
+    whole = model.states(before, np.zeros((1, HIDDEN), np.float32))[:, 0]
+    seen, at = [], 0
+    own = model.window_gradient
+
+    def spy(places, within, target, before, h):
+        nonlocal at
+        seen.append((at, h[0].copy()))
+        at += len(places)
+        return own(places, within, target, before, h)
+
+    model.window_gradient = spy
+    model.fit([long, long[:20]], 0.0)
+    assert len(seen) > 4
+    for t, h in seen[1:]:
+        assert np.allclose(h, whole[t - 1], atol=1e-5)
