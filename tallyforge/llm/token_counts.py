@@ -5,14 +5,13 @@ column or else its lines that hold a non-space character. A token that touches n
 touches several is allocated by `rule`: "first" gives it whole to the first section touched, "last" to the last,
 "proportional" divides it by the characters touched (what lies between sections goes to none, the rest sums to 1).
 
-Defined results: null or empty text has no tokens and no lines; null or empty sections leave all tokens outside; null
-ends are read as an empty span; overlapping sections are an error of the caller: spans are sorted and cut to begin
+Defined results: null or empty text has no tokens and no lines; a line of white space alone is no section, whatever its
+length; null or empty sections leave all tokens outside; null ends are read as an empty span; null ids stay null; overlapping sections are an error of the caller: spans are sorted and cut to begin
 where the one before ends; repeated rows are counted one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,16 @@ from pyspark.sql import functions as F
 from tallyforge.llm.pretokens import json_encoder
 
 RULES = ("first", "last", "proportional")
-_LINE = re.compile(r"[^\n]*[^\s][^\n]*")
+
+
+def line_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of the lines that hold a character other than white space; one pass over the text."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line and not line.isspace():
+            out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out
 
 
 def token_spans(ids: np.ndarray, lengths: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +91,7 @@ def token_counts(
                 text = batch.column(1)[k].as_py() or ""
                 raw = text.encode("utf-8", "surrogatepass")
                 if sections_col is None:
-                    spans = [m.span() for m in _LINE.finditer(text)]
+                    spans = line_spans(text)
                 else:
                     spans = [(x["start"] or 0, x["end"] or 0) for x in batch.column(2)[k].as_py() or [] if x]
                 spans = _clean(spans, len(text))

@@ -49,3 +49,17 @@ def test_lines(spark):
     assert [(x.start, x.end) for x in got[0].sections] == [(0, 5), (10, 12)] and got[0] == got[1]
     assert sum(x.n_tokens for x in got[0].sections) + got[0].n_outside == got[0].n_tokens
     assert got[2].n_tokens == 0 and token_counts(df.limit(0), PATH).collect() == []
+
+
+def test_long_blank_lines_take_linear_time(spark):
+    import time
+
+    from tallyforge.llm.token_counts import line_spans
+
+    began = time.perf_counter()
+    assert line_spans(" " * 3_000_000 + "\n\t\x0c\n" + " x ") == [(3_000_004, 3_000_007)]
+    assert time.perf_counter() - began < 2
+    rows = [(None, " " * 200_000 + "\nab"), (1, "word " * 40_000)]
+    got = sorted(token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), key=lambda r: r.doc_id or 0)
+    assert [len(r.sections) for r in got] == [1, 1] and got[0].doc_id is None
+    assert got[1].sections[0].n_tokens + got[1].n_outside == got[1].n_tokens
