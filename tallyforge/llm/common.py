@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """Use the folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder will do in local mode; on a cluster, whose machines do not share one, it is
+    an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -32,6 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if folder is None:
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         folder = tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
     sc.setCheckpointDir(folder)
 
