@@ -1,12 +1,14 @@
 """Packing of token sequences: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
 A document's ids (its text's, then one closing id) are cut into pieces of at most `capacity`; every full piece is a
-sequence of its own and the remainders are packed by first-fit decreasing. Documents are dealt to groups by a hash of
-their id, so a group holds about GROUP documents whatever the corpus, and each group is packed by one task on its own.
-Only lengths and checksums are shuffled, never texts or ids.
-
-Defined results: null or empty text is the closing id alone; repeated rows are packed one by one; ties are broken by
-id, then place; an empty table gives an empty result; other columns are ignored.
+sequence of its own, without a shuffle, and the remainders, one of a document at most, are packed by first-fit
+decreasing. They are dealt to groups by a hash of id and row, so a group holds about GROUP documents whatever the corpus
+and however often an id repeats, and each group is packed by one task on its own. Only lengths and checksums are
+shuffled, never texts or ids.
+
+Defined results: null or empty text is the closing id alone; a null id stays null; repeated rows are packed one by one;
+ties are broken by id, then place; an empty table gives an empty result; other columns are ignored. The numbers of
+sequences depend on how rows lie in partitions; what they hold is always whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ CAPACITY = 2048
 #: Documents in a group, on average.
 GROUP = 4096
 END_ID = 1
+#: Sequences of one full piece are numbered from here, beyond those of any group.
+FULL = 1 << 62
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -95,18 +98,18 @@ def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = checkpointed(tokenized_pieces(docs, tokenizer, id_col, text_col, capacity))
-    groups = max(1, round(pieces.where("start = 0").count() / GROUP))
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(groups)))
-
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
-        whole = (pdf["length"] >= capacity).to_numpy()
-        bins, offsets = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        bins[~whole], offsets[~whole] = first_fit_decreasing(pdf["length"].to_numpy()[~whole], capacity)
-        used = int(bins[~whole].max()) + 1 if (~whole).any() else 0
-        bins[whole] = used + np.arange(int(whole.sum()))
-        pdf["sequence_id"], pdf["offset"] = (int(key[0]) << 32) + bins, offsets
-        return pdf.drop(columns="_g")
-
-    return dealt.groupBy("_g").applyInPandas(place, f"{_PIECES}, sequence_id long, offset long")
+    pieces = checkpointed(tokenized_pieces(docs, tokenizer, id_col, text_col, capacity).withColumn("_row", F.monotonically_increasing_id()))
+    full = F.col("length") >= capacity
+    groups = max(1, round(pieces.where(~full).count() / GROUP))
+    # The row's number is fixed by the checkpoint: documents that share an id, or have none, go to groups of their own.
+    dealt = pieces.where(~full).withColumn("_g", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(groups)))
+
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32", "_row")])
+        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
+        rows = rows.drop_columns(["_g", "_row"]).append_column("sequence_id", pa.array((int(key[0].as_py()) << 32) + bins))
+        return rows.append_column("offset", pa.array(offsets))
+
+    packed = dealt.groupBy("_g").applyInArrow(place, f"{_PIECES}, sequence_id long, offset long")
+    alone = pieces.where(full).withColumn("sequence_id", F.col("_row") + F.lit(FULL)).withColumn("offset", F.lit(0).cast("long"))
+    return packed.union(alone.select(*packed.columns))

@@ -59,3 +59,26 @@ def test_pieces_round_trip(spark):
         assert at <= 2048
     assert (got.doc_id == 4).sum() % 2 == 0
     assert pack(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_repeated_and_missing_ids_are_dealt_out(spark, monkeypatch):
+    from tallyforge.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None if k % 2 else 9007199254740993, "x y z " * (k % 7)) for k in range(600)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).collect()
+    assert len(got) == 600 and {r.doc_id for r in got} == {None, 9007199254740993}
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 32] += 1
+    assert len(groups) > 8 and max(groups.values()) < 150
+
+
+def test_long_text_and_exact_piece(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "the " * 2047), (2, "the " * 60000), (3, " " * 100000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), path).toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+    full = got[got.length == 2048]
+    assert (full.offset == 0).all() and full.sequence_id.is_unique and not set(full.sequence_id) & set(got[got.length < 2048].sequence_id)
