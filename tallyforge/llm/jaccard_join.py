@@ -13,7 +13,8 @@ lost by that, as the result is components.
 
 Defined results: null, empty or blank text has the empty set, which links with nothing; fewer words than a shingle make
 one shingle; equal sets link whatever their number (they are one set from the start); rows that repeat an id are
-documents of that id, linked where their sets are; an empty table gives an empty result; other columns are ignored.
+documents of that id, linked where their sets are; rows without an id are linked like others, and a component's id is
+the smallest one there is, null if there is none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +37,8 @@ FREQUENT, LONG = 16, 8
 #: Most frequent shingles that are told to all tasks (16 bytes each); FREQUENT doubles until they fit. Fewer known
 #: frequent shingles make longer lists, never another result.
 KNOWN = 1 << 20
+#: Pairs of one set that are verified in a task.
+SIDE = 256
 
 
 def hash_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -100,13 +103,15 @@ def _ordered_prefix(s: np.ndarray, n: int, known: tuple[np.ndarray, np.ndarray]
 
 
 class JaccardJoin:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, least: int, scale: int):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, least: int, scale: int, row: Column | None = None):
+        """row: a 64-bit key that tells rows of different texts apart; by default a hash of id and text."""
+        row = F.xxhash64(id_col, text_col) if row is None else row
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
         self.size, self.least, self.scale = size, least, scale
         self.sc = docs.sparkSession.sparkContext
 
     def sets(self) -> DataFrame:
-        """(doc_id, n, sid, prefix) of every document; prefix: the first shingles by hash, once for a set in a task."""
+        """(doc_id, row, n, sid, prefix) of every document; prefix: the first shingles by hash, once for a set in a task."""
         size, least, scale = self.size, self.least, self.scale
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +128,10 @@ class JaccardJoin:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sid)
-                arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "prefix"])
+                arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n", "sid", "prefix"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, sid long, prefix array<long>")
+        return self.docs.mapInArrow(run, "doc_id long, row long, n long, sid long, prefix array<long>")
 
     def _second_rows(self, known) -> DataFrame:
         """(key): shingles to count again: the prefix once frequent ones are put last, or the whole of a set whose
@@ -206,20 +211,13 @@ class JaccardJoin:
         """Those of the pairs (a, b) of sets that link."""
         least, scale, size = self.least, self.scale, self.size
         pairs = checkpointed(pairs)
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        ids = reps.join(wanted, "sid", "left_semi").select(F.col("doc_id").alias("_rep"), F.col("sid").alias("_sid"))
-        ids = checkpointed(ids)
-        texts = self.docs.join(sized(ids), F.col("doc_id") == F.col("_rep")).select("_sid", "text")
 
         def binary(batches):
             for batch in batches:
-                sets = [hash_set(words, size) for words in batch_word_hashes(batch.column(1))]
-                own = [set_id(s) == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
-                rows = [(i, s.tobytes()) for i, s, good in zip(batch.column(0).to_pylist(), sets, own, strict=True) if good]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "s"])
-
-        # A repeated id may hold several texts; only the one of the set wanted is emitted, and any copy of it will do.
-        sets = texts.mapInArrow(binary, "sid long, s binary").dropDuplicates(["sid"])
+                sets = [hash_set(words, size) for words in batch_word_hashes(batch.column(2))]
+                own = pa.array([set_id(s) == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+                out = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([x.filter(own) for x in (batch.column(0), batch.column(1), out)], names=["sid", "salt", "s"])
 
         def test(batches):
             for batch in batches:
@@ -231,10 +229,19 @@ class JaccardJoin:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-        left = sets.select(F.col("sid").alias("a"), F.col("s").alias("sa"))
-        right = sets.select(F.col("sid").alias("b"), F.col("s").alias("sb"))
-        whole = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        return checkpointed(whole.mapInArrow(test, "a long, b long"))
+        whole = pairs
+        for side in ("a", "b"):
+            # A pivot meets many sets: it is read several times over, so that no task gets more than about SIDE pairs of one.
+            asked = checkpointed(pairs.groupBy(F.col(side).alias("sid")).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts")))
+            ids = reps.join(asked, "sid").select(F.col("row").alias("_rep"), "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+            texts = self.docs.join(sized(checkpointed(ids)), F.col("row") == F.col("_rep")).select("sid", "salt", "text")
+            # Should two rows share a key, only the one of the set wanted is emitted; any copy of it will do.
+            sets = texts.mapInArrow(binary, "sid long, salt int, s binary").dropDuplicates(["sid", "salt"])
+            sets = sets.select(F.col("sid").alias(side), "salt", F.col("s").alias(f"s{side}"))
+            many = sized(asked.where("parts > 1").select(F.col("sid").alias(side), "parts"))
+            salt = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")
+            whole = whole.join(many, side, "left").withColumn("salt", salt).drop("parts").join(sets, [side, "salt"]).drop("salt")
+        return checkpointed(whole.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"))
 
     def _near(self, n: str, m: str):
         """Sizes between which a link is possible."""
@@ -281,17 +288,25 @@ class JaccardJoin:
         return first.union(rest)
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+        """doc_id, row, n_shingles, label (of the component; null for empty sets), component_id of every row."""
         sets = checkpointed(self.sets())
-        reps = checkpointed(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+        reps = checkpointed(sets.where("n > 0").groupBy("sid").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
         parts = components(self.links(sets, reps))
         named = reps.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(smallest, "label").select("sid", "component_id")
+        named = named.join(smallest, "label").select("sid", "label", "component_id")
         out = sets.join(named, "sid", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80, scale: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) for every row of docs."""
-    return JaccardJoin(docs, id_col, text_col, size, least, scale).run()
+    return JaccardJoin(docs, id_col, text_col, size, least, scale).run().select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80, scale: int = 100) -> DataFrame:
+    """doc_id, row, n_shingles, label for every row of docs; row: a column that tells rows of different texts apart.
+
+    Rows are of one component if and only if their labels are equal, whatever ids they share; no label: no words.
+    """
+    return JaccardJoin(docs, id_col, text_col, size, least, scale, F.col(row)).run().drop("component_id")

@@ -77,3 +77,21 @@ def test_same_id_twice(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")]
     df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA)
     assert {r.component_id for r in jaccard_components(df).collect()} == {1}
+
+
+def test_many_pairs_of_one_set(spark, monkeypatch):
+    from tallyforge.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SIDE", 5)
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(200)}" for _ in range(200)]
+    rows = [(k, " ".join([*base[:150], *[f"x{rng.randrange(10**6)}" for _ in range(3)], *base[150:]])) for k in range(60)]
+    check(spark, rows, 4, 85)
+
+
+def test_null_ids_and_a_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(60000))
+    rows = [(None, "a b c d e f"), (7, "A b c d e f"), (None, "p q r s t"), (None, "p q r s t"), (3, long), (4, long + " end"), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in rows], SCHEMA).repartition(2)
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_components(df, size=4, least=85).collect())
+    assert got == [(0, 0, None), (0, 2, None), (0, 2, None), (0, 3, 7), (3, 59997, 3), (4, 59998, 3), (7, 3, 7)]
