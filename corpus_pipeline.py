@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import checkpointed, ensure_checkpoint_dir, sized, small_batches, table
-from tallyforge.llm.jaccard_join import jaccard_components
+from tallyforge.llm.jaccard_join import jaccard_groups
 from tallyforge.llm.line_dedup import dedup_lines
 from tallyforge.llm.packing import pack
 from tallyforge.llm.pii_crf import redact
@@ -24,34 +24,57 @@ def _sized_text(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the likelihood ratio reject go."""
+    """Documents that the base rules or the likelihood ratio reject go.
+
+    Null or empty text fails the base rules; a null id is never a trusted one; rows that repeat are judged one by one; an
+    empty table gives an empty result; other columns are left out. Without labels only the base rules decide.
+    """
     return filter_quality(docs, trusted_ids(table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; so do documents of which no word is left."""
+    """Lines that repeat an earlier one go; so do documents of which no word is left.
+
+    Null text has no word; null ids come first in the order of documents; rows that repeat an id are one document for that
+    order; an empty table gives an empty result; other columns are left out.
+    """
     return _sized_text(dedup_lines(docs, short=True).where("text rlike '[^ \\t-\\r]'"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component stays, once; documents without words or id stay as they are."""
+    """Of each component of near copies one document stays, that of the smallest id; documents without words all stay.
+
+    Rows are told apart by their whole contents, not by their id: rows that share an id but are not linked all stay, and
+    of equal rows one does. Rows without an id come last in the choice. An empty table gives an empty result; null text
+    has no words; columns other than those of documents are left out, whatever their names.
+    """
     small_batches(spark)
-    found = checkpointed(jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles"))
-    stay = found.where("_id = component_id or n_shingles = 0").select("_id").distinct()
-    kept = docs.join(sized(stay), docs.doc_id == F.col("_id"), "left_semi").select(*COLUMNS)
-    if found.groupBy("_id").count().where("count > 1 and _id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+    whole = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    found = checkpointed(jaccard_groups(whole, "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = checkpointed(found.where("label is not null").groupBy("label").agg(first.alias("f")).select(F.col("f.row").alias("_stay")))
+    empty = found.where("label is null").select(F.col("row").alias("_stay")).distinct()
+    kept = whole.join(sized(stay), F.col("_row") == F.col("_stay"), "left_semi")
+    if found.where("label is not null").groupBy("row").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.union(whole.join(sized(empty), F.col("_row") == F.col("_stay"), "left_semi")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind. No row goes: null text stays null, repeated rows are read one by one.
+
+    An empty table gives an empty result; other columns are left out.
+    """
     small_batches(spark)
     return _sized_text(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in sequences of 2048 tokens."""
+    """The pieces of documents in sequences of 2048 tokens.
+
+    Null or empty text is its closing id alone; rows that repeat an id, or have none, are packed one by one; an empty table
+    gives an empty result.
+    """
     import public_tokenizers
 
     small_batches(spark)
