@@ -63,5 +63,32 @@ def test_empty(spark, tmp_path):
         assert docs.collect() == []
 
 
+def test_near_duplicates_with_repeated_ids_and_clashing_columns(spark):
+    words = lambda a, n=40: " ".join(f"{a}{k}" for k in range(n))
+    rows = [
+        (1, words("a")), (1, words("b")), (2, words("c")), (3, words("a") + " end"), (None, words("b") + " end"),
+        (4, words("d")), (4, words("d")), (5, None), (5, "  "), (5, "  "), (None, words("e")), (None, words("e")), (0, words("f")), (1, words("f") + " x"),
+    ]
+    df = spark.createDataFrame([(i, t, "en", None, 0, "x", 7, "y") for i, t in rows], SCHEMA + ", _id string, row long, _row string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    out = sorted(((r.doc_id or 0), r.text or "") for r in got.collect())
+    assert out == sorted([(1, words("a")), (1, words("b")), (2, words("c")), (4, words("d")), (5, ""), (5, "  "), (5, "  "), (0, words("e")), (0, words("f"))])
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null in any column, repeated rows, a very long text and columns of clashing names pass every stage."""
+    spark.createDataFrame([(1, 1, 0), (None, 1, None), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"word{k}" for k in range(30000))
+    text = " ".join(f"some{k}" for k in range(30))
+    rows = [(1, text, None, None, None), (1, text, "en", "s", 5), (None, long, "en", None, 1), (2, None, None, None, None), (3, "", "en", "s", 0), (4, long + " end", "x", "y", 1)]
+    extra = ", _doc string, _row long, _id long, kept string, n_lines long, spans string"
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, spark.createDataFrame([(*r, "a", 1, 2, "b", 3, "c") for r in rows], SCHEMA + extra), str(tmp_path))
+        if k < 4:
+            assert got.columns == corpus_pipeline.COLUMNS
+        assert got.count() >= 2
+
+
 def test_registry():
     assert sum(n.startswith("op") for n in QUERIES) == 10 and "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
