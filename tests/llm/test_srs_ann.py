@@ -35,7 +35,43 @@ def test_recall_and_pruning():
     found, verified = search(vectors, queries, 20, norm)
     truth = np.argsort(-(queries @ vectors.T), axis=1)[:, :20]
     recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, truth, strict=True)])
-    assert recall >= 0.95 and verified < 200 * 6000
+    assert recall >= 0.95 and verified < 0.3 * 200 * 6000
+    # A bound that another cell has given spares more and loses none within it.
+    kth = 2 * (norm * norm - np.sort(queries @ vectors.T, axis=1)[:, -20] * norm / np.sqrt((queries**2).sum(1)))
+    again, fewer = search(vectors, queries, 20, norm, kth * (1 + 1e-9))
+    assert fewer < verified and np.mean([len(set(a) & set(b)) / 20 for a, b in zip(again, truth, strict=True)]) >= 0.9
+
+
+def test_quantile_and_tree():
+    for freedom, share, x in ((8, 0.95, 15.507), (24, 0.9, 33.196)):
+        assert srs_ann.chi_square_quantile(share, freedom) == pytest.approx(x, abs=1e-3)
+    rng = np.random.default_rng(4)
+    points = np.concatenate((rng.normal(size=(500, 4)), np.zeros((300, 4)), rng.integers(0, 2, (300, 4)).astype(float)))
+    tree = srs_ann.KdTree(points, 20)
+    assert sorted(np.concatenate(tree.leaves)) == list(range(1100))
+    part = tree.part(points)
+    assert all((part[own] == k).all() for k, own in enumerate(tree.leaves))
+    assert (np.bincount(part)[[len(set(map(tuple, points[own]))) > 1 for own in tree.leaves]] <= 20).all()
+
+
+def test_queries_are_routed(spark, monkeypatch):
+    monkeypatch.setattr(srs_ann, "SHARD", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 24)) * 3
+    rows = [(k, (centres[k % 20] + 0.3 * rng.normal(size=24)).tolist()) for k in range(2000)]
+    df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows], SCHEMA).repartition(3)
+    unique = df.select(F.size("embedding").alias("d"), F.hash("vec_id").cast("long").alias("h"), F.col("embedding").cast("array<double>").alias("v"), F.array("vec_id").alias("ids"))
+    index = srs_ann.Index(srs_ann.checkpointed(unique))
+    cells = len(index.boxes[24][0])
+    assert cells >= 16 and index.cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 400
+    queries = unique.limit(100).withColumn("qid", F.monotonically_increasing_id())
+    asked = queries.withColumn("bound", F.lit(0.02 * index.norms[24] ** 2))
+    assert index.routed(queries.withColumn("bound", F.lit(None).cast("double"))).count() == 100 * srs_ann.NEAR
+    assert index.routed(asked).count() < 0.5 * 100 * cells
+    truth, hits = brute(rows, 20), 0
+    for r in nearest(df, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
+        hits += len(set(r.ids) & {i for _, i in truth[r.query_id]})
+    assert hits >= 0.9 * 20 * len(truth)
 
 
 def test_frames(spark, monkeypatch):
