@@ -10,6 +10,10 @@ and as probes the substrings that could be a segment of a line up to max_edits s
 candidates unless the parities of their letter counts differ in more letters than the edits can explain; candidates
 are verified by a banded bit-parallel edit distance: one word of 2 * max_edits + 1 bits moves down the diagonal.
 
+Lines of one template share segments without being alike. A key of more than CROWD lines is therefore made finer: what its
+lines hold beside the segment, without the beginning and end common to all of them, is cut into segments in its turn,
+and so on until keys are small or next to nothing is left. Every pair within the edits still shares a key.
+
 Defined results: null text stays null; an empty table gives an empty result; rows that repeat an id are one document
 for the order and keep the same places; null ids come first; other columns pass through whatever their names.
 """
@@ -28,6 +32,8 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 #: Occurrences from which a line gives its keys once, at its first place, so that no key is hot by repetition.
 HOT = 1000
+#: Rows of a key from which its lines are told apart by one more segment, rather than each compared with all.
+CROWD = 100
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -35,29 +41,111 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def key_rows(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
-    """(h, key, own) for each line of lines (h, line, len): own segments, and probes of segments of other lines.
+def _kinds(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter its line is, shift of its place) of all segments that a line may hold of others."""
+    out = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            out += [(i, less, shift) for shift in range(low, high + 1)]
+    return out
 
-    One row for each (segment, length less, shift) is made first and its key afterwards, so that the key is one small
-    expression rather than one of a score in a method too large to be compiled.
-    """
+
+def _placed(rows: DataFrame, edits: int) -> DataFrame:
+    """rows (len, i, less, shift, ..) with size of the shorter line, place and length of its segment i, where they fit."""
     parts = edits + 1
-    wanted = []
-    for less in range(parts):
-        for i in range(parts):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            wanted += [(i, less, shift) for shift in range(low, high + 1)]
-    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in wanted])
-    rows = lines.select("h", "line", "len", F.explode(kinds).alias("w")).select("h", "line", "len", "w.*")
     size = F.col("len") - F.col("less")
     over = F.pmod(size, F.lit(parts))
     base = ((size - over) / parts).cast("int")
     start = base * F.col("i") + F.greatest(F.col("i") - parts + over, F.lit(0)) + F.col("shift")
     n = base + (F.col("i") >= parts - over).cast("int")
-    rows = rows.select("h", "line", "len", "i", "less", "shift", size.alias("size"), start.alias("at"), n.alias("n"))
-    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("len")) & (F.col("size") >= MIN_CHARS))
+    rows = rows.select("*", size.alias("size"), start.alias("at"), n.alias("n"))
+    return rows.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("len")))
+
+
+def _kind_array(edits: int) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in _kinds(edits)])
+
+
+_OWN = "less = 0 and shift = 0"
+
+
+def _beside(text: str) -> Column:
+    """What is left of a text without its segment."""
+    return F.concat(F.substr(text, F.lit(1), F.col("at")), F.substr(text, F.col("at") + F.col("n") + 1))
+
+
+def key_rows(lines: DataFrame, edits: int = MAX_EDITS, rest: bool = False) -> DataFrame:
+    """(h, key, own) for each line of lines (h, line, len): own segments, and probes of segments of other lines.
+
+    One row for each (segment, length less, shift) is made first and its key afterwards, so that the key is one small
+    expression rather than one of a score in a method too large to be compiled. rest: also less, and the line beside
+    the segment.
+    """
+    rows = lines.select("h", "line", "len", F.explode(_kind_array(edits)).alias("w")).select("h", "line", "len", "w.*")
+    rows = _placed(rows, edits).where(F.col("size") >= MIN_CHARS)
     key = F.xxhash64("i", "size", F.substr("line", F.col("at") + 1, F.col("n")))
-    return rows.select("h", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+    more = [F.col("less"), _beside("line").alias("rest")] if rest else []
+    return rows.select("h", key.alias("key"), F.expr(_OWN).alias("own"), *more)
+
+
+def _common(a: str, b: str) -> Column:
+    """Number of characters at the beginning of both texts that are the same."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.least(F.char_length(a), F.char_length(b)).cast("long")).cast("int")
+
+
+def finer_rows(rows: DataFrame, edits: int = MAX_EDITS) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, key, own, less, rest) of crowded keys, dealt to finer keys; and (key, h, own) of those too short for that.
+
+    Lines that share a segment are within the edits only if what they hold beside it is. Beginnings and ends that all
+    lines of a key have in common say nothing and are cut off; of the rest one segment again is unchanged.
+    """
+    turned = F.reverse("rest")
+    groups = rows.groupBy("key").agg(
+        F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.min(turned).alias("rlo"), F.max(turned).alias("rhi"), F.min(F.char_length("rest")).alias("short")
+    )
+    groups = groups.select("key", "short", F.least(_common("lo", "hi"), F.col("short")).alias("front"), _common("rlo", "rhi").alias("back"))
+    groups = checkpointed(groups.select("key", "front", F.least(F.col("back"), F.col("short") - F.col("front")).alias("back")))
+    rows = rows.join(sized(groups), "key").withColumn("len", F.char_length("rest") - F.col("front") - F.col("back"))
+    rows = rows.select("h", "key", "own", "less", "len", F.substr("rest", F.col("front") + 1, F.col("len")).alias("rest"))
+    short = F.col("len") - F.col("less") <= edits
+    own = rows.where(~short).withColumn("w", F.explode(F.filter(_kind_array(edits), lambda w: w["less"] == F.col("less"))))
+    own = _placed(own.select("h", "key", "own", "len", "rest", "w.*"), edits)
+    key = F.xxhash64("key", "i", "size", F.substr("rest", F.col("at") + 1, F.col("n")))
+    own = own.select("h", key.alias("key"), (F.col("own") & F.expr(_OWN)).alias("own"), "less", _beside("rest").alias("rest"))
+    return own, rows.where(short).select("key", "h", "own")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows of keys that several lines have, one at least as its own."""
+    group = Window.partitionBy("key")
+    shared = keys.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
+    return shared.withColumn("any", F.max("own").over(group)).where("lo < hi and any").drop("lo", "hi", "any")
+
+
+def candidate_rows(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """(key, h, own): lines that share a key are candidates. Keys of more than CROWD rows are made finer, level by level."""
+    level = checkpointed(_shared(key_rows(lines, edits)).select("key", "h", "own").distinct())
+    found, rest = None, None
+    while True:
+        crowd = checkpointed(level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"))
+        none = crowd.limit(1).count() == 0
+        calm = level if none else level.join(sized(crowd), "key", "left_anti")
+        calm = calm.select("key", "h", "own").distinct()
+        found = calm if found is None else found.union(calm)
+        if none:
+            return found
+        if rest is None:
+            wanted = sized(checkpointed(level.join(sized(crowd), "key", "left_semi").select("h").distinct()))
+            texts = lines.join(wanted, "h", "left_semi").groupBy("h", "len").agg(F.first("line").alias("line"))
+            rest = key_rows(texts, edits, rest=True).join(sized(crowd), "key", "left_semi")
+        else:
+            rest = level.join(sized(crowd), "key", "left_semi")
+        finer, short = finer_rows(checkpointed(rest.distinct()), edits)
+        found = found.union(short.distinct())
+        level = checkpointed(_shared(finer))
 
 
 def banded_distance(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
@@ -126,11 +214,7 @@ def _parity(chars: Column) -> Column:
 
 def linked_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """Pairs (a, b) of ids of different lines within `edits` edits. lines: h (id), line, len."""
-    keys = key_rows(lines, edits)
-    group = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
-    shared = shared.withColumn("any", F.max("own").over(group)).where("lo < hi and any")
-    shared = checkpointed(shared.select("key", "h", "own").distinct())
+    shared = checkpointed(candidate_rows(lines, edits))
 
     wanted = sized(shared.select("h").distinct())
     texts = lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
@@ -144,6 +228,16 @@ def linked_lines(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     pairs = x.join(y, "key").where(near & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = texts.select(F.col("h").alias("a"), F.col("chars").alias("ca")), texts.select(F.col("h").alias("b"), F.col("chars").alias("cb"))
     whole = pairs.join(left, "a").join(right, "b")
+    # Common beginnings and ends do not change a distance. Each step is a row of its own (inline): what a lambda refers to
+    # must be a column, or it is computed for every element.
+    for _ in ("beginnings", "ends"):
+        same = F.zip_with("ca", "cb", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        most = F.least(F.size("ca"), F.size("cb")) - edits - 1
+        first = F.array_position(same, False).cast("int")
+        cut = F.struct("ca", "cb", (1 + F.when(first > 0, F.least(first - 1, most)).otherwise(most)).alias("at"))
+        whole = whole.select("a", "b", F.inline(F.array(cut)))
+        left = F.struct(*[F.reverse(F.slice(c, F.col("at"), F.size(c))).alias(c) for c in ("ca", "cb")])
+        whole = whole.select("a", "b", F.inline(F.array(left)))
     return whole.where(banded_distance(F.col("ca"), F.col("cb"), edits) <= edits).select("a", "b")
 
 

@@ -96,3 +96,38 @@ def test_short_copies_go(spark):
     df = spark.createDataFrame([(i, t, 5, "x", 1) for i, t in rows], SCHEMA).repartition(3)
     got = {r.doc_id: r.text for r in dedup_lines(df, short=True).collect()}
     assert got == {1: rows[1][1], 2: "\nshorts", 3: None, 4: "", 5: "é"}
+
+
+def template_lines(rng, n, digits=20):
+    """Log lines, counters and footers: one template each, with numbers in it; some are within two edits of others."""
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = [f"2024-05-01 user {number(digits)} logged in from the server room" for _ in range(n)]
+    out += [f"page {k} of the annual report of the company" for k in range(n // 4)]
+    out += [f"id={number(8)} action=login through the usual gateway ip={number(8)}" for _ in range(n)]
+    out += [near(rng, rng.choice(out), e) for e in (1, 2, 2, 3) for _ in range(n // 4)]
+    return sorted({x for x in out if len(x) >= MIN_CHARS})
+
+
+def test_template_lines_against_brute_force(spark, monkeypatch):
+    lines = template_lines(random.Random(21), 120)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h long, line string").withColumn("len", F.char_length("line"))
+    truth = {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2}
+    assert len(truth) > 100
+    for crowd in (100, 8, 2):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        assert {(r.a, r.b) for r in linked_lines(df).collect()} == truth
+
+
+def test_template_lines_do_not_meet_all_others(spark):
+    lines = [x for x in template_lines(random.Random(22), 1500) if x.startswith("2024")]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h long, line string").withColumn("len", F.char_length("line"))
+    rows = line_dedup.candidate_rows(df).groupBy("key").count()
+    assert rows.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 0.05 * len(lines) ** 2
+
+
+def test_long_and_odd_lines(spark):
+    long = "x" * 150_000
+    rows = [(1, long + "\n" + "y" * 30), (2, "a" + long), (3, " " * 100_000 + "\n" + "y" * 29 + "z"), (4, None), (None, "y" * 30)]
+    df = spark.createDataFrame([(i, t, 5, "x", 1) for i, t in rows], SCHEMA).repartition(2)
+    got = {r.doc_id: r.text for r in dedup_lines(df, short=True).collect()}
+    assert got == {1: long, 2: "", 3: " " * 100_000, 4: None, None: "y" * 30}
