@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def csv_codes(c: Column) -> Column:
@@ -88,3 +90,29 @@ def parent_name(path: Column) -> Column:
 def joined_lines(lines: Column) -> Column:
     """Lines joined, or null if there are none."""
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Rounding of the exact binary value, halves to even, as Python has it: 2.675 -> 2.67, 0.125 -> 0.12.
+
+    Spark's round works on the shortest decimal form. For presentation of small results; the engine keeps full precision.
+    """
+    return F.pandas_udf(lambda x: x.map(lambda v: round(v, digits) if pd.notna(v) else None).astype("float64"), DoubleType())(c.cast("double"))
+
+
+def run_name(prefix: str, at: Column) -> Column:
+    """prefix and a time as yyMMdd-HHmmss."""
+    return F.concat_ws("_", F.lit(prefix), F.date_format(at, "yyMMdd-HHmmss"))
+
+
+def is_published(model: Column, hubs: Sequence[str]) -> Column:
+    """Whether a model id names a published model, by the prefixes of its hubs, rather than a checkpoint's path."""
+    out = F.lit(False)
+    for hub in hubs:
+        out = out | model.startswith(hub)
+    return out
+
+
+def run_id(task: str, model: Column, hubs: Sequence[str]) -> Column:
+    """Id of an evaluation: the task, and a published model's whole id or the folder that holds a checkpoint."""
+    return F.concat(F.lit(f"eval_{task}_"), F.when(is_published(model, hubs), F.translate(model, "/", "_")).otherwise(parent_name(model)))

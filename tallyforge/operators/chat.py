@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +30,16 @@ def _message(role: str, *parts: Column) -> Column:
 
 
 def answer(task: str) -> Column:
-    """The written answer of a task's labels; a single label is its word alone."""
+    """The written answer of a task's labels, in the order of its fields; a single label is its word alone."""
     word = lambda k: F.when(F.col(f"label_{k}") == 1, ANSWERS[k][2]).otherwise(ANSWERS[k][1])
     labels = TASK_LABELS[task]
     if len(labels) == 1:
         return word(labels[0])
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{ANSWERS[k][0]}: "), word(k)) for k in labels])
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{ANSWERS[k][0]}: "), word(k)) for k in labels])
 
 
 def _opening(task: str) -> list[Column]:
+    """System and user message; a null text asks about an empty caption."""
     system, user = PROMPTS[task]
     prompt = fill_template(user, F.coalesce("text", F.lit("")))
     return [_message("system", _part("text", F.lit(system))), _message("user", _part("image", image=F.col("img")), _part("text", prompt))]
@@ -82,9 +86,40 @@ def last_reply(rows: DataFrame, role: str = "assistant") -> DataFrame:
 
 
 def fit_geometry(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """Size of an image (w, h) shrunk to fit, never enlarged, and its padding; odd pixels go right and below."""
-    scale = F.least(F.lit(1.0), F.lit(float(width)) / F.col("w"), F.lit(float(height)) / F.col("h"))
-    side = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * scale + F.lit(0.5)).cast("int"))
-    sized = rows.withColumn("new_w", side("w")).withColumn("new_h", side("h"))
+    """Size of an image (w, h) shrunk to fit, never enlarged, and its padding; odd pixels go right and below.
+
+    The side that does not fill its room is rounded down or up, whichever keeps the proportions better; down if equal.
+    """
+    w, h = F.col("w").cast("double"), F.col("h").cast("double")
+    proportion = w / h
+
+    def nearer(exact: Column, gap) -> Column:
+        low, high = F.floor(exact), F.ceil(exact)
+        return F.greatest(F.when((low == 0) | (gap(high) < gap(low)), high).otherwise(low), F.lit(1)).cast("int")
+
+    fits, tall = (w <= width) & (h <= height), F.lit(width / height) >= proportion
+    narrow = nearer(F.lit(float(height)) * proportion, lambda n: F.abs(proportion - n / F.lit(float(height))))
+    flat = nearer(F.lit(float(width)) / proportion, lambda n: F.abs(proportion - F.try_divide(F.lit(float(width)), n)))
+    sized = rows.withColumn("new_w", F.when(fits, F.col("w")).when(tall, narrow).otherwise(width).cast("int"))
+    sized = sized.withColumn("new_h", F.when(fits, F.col("h")).when(tall, F.lit(height)).otherwise(flat).cast("int"))
     left, top = F.expr(f"({width} - new_w) div 2").cast("int"), F.expr(f"({height} - new_h) div 2").cast("int")
     return sized.withColumn("pad_left", left).withColumn("pad_top", top).withColumn("pad_right", F.lit(width) - F.col("new_w") - left).withColumn("pad_bottom", F.lit(height) - F.col("new_h") - top)
+
+
+def fit_images(images: DataFrame, fit: Callable[[bytes, int, int], bytes], width: int, height: int, column: str = "content") -> DataFrame:
+    """images with their bytes decoded, shrunk, padded and encoded by `fit`; null where it cannot read them.
+
+    fit comes from whatever imaging library the workers have; the geometry it should follow is fit_geometry's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, out = batch.schema.get_field_index(column), []
+            for raw in batch.column(place).to_pylist():
+                try:
+                    out.append(None if raw is None else fit(raw, width, height))
+                except (ValueError, OSError):
+                    out.append(None)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+
+    return images.mapInArrow(run, images.schema)

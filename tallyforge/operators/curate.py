@@ -14,6 +14,49 @@ def seeded(key: str, seed: Column | int) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), seed if isinstance(seed, Column) else F.lit(str(seed))))
 
 
+#: Rows of a key table that may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Hex digits of the seeded order by which strata are cut into buckets; fewer where many seeds are tried at once.
+DIGITS, SEED_DIGITS = 3, 2
+
+
+def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast if it has at most `limit` rows; otherwise leave the join to shuffle."""
+    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+
+
+def _cells(counts: DataFrame, strata: Sequence[str], cuts: Sequence[str]) -> DataFrame:
+    """Buckets (strata, _b, _c: rows) with the ranks before them, and the classes of their first and last row.
+
+    cuts: SQL of ascending ranks by _n, the rows of a stratum. The class of a rank is the number of cuts below it.
+    """
+    own = Window.partitionBy(*strata)
+    cells = counts.withColumn("_before", F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_n", F.sum("_c").over(own))
+    of = lambda rank: sum(((rank > F.expr(c)).cast("int") for c in cuts), F.lit(0))
+    return cells.withColumn("_low", of(F.col("_before") + 1)).withColumn("_high", of(F.col("_before") + F.col("_c"))).withColumn("_cuts", F.array(*[F.expr(c).cast("double") for c in cuts]))
+
+
+def _classes(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int, cuts: Sequence[str]) -> DataFrame:
+    """rows with _class, by rank in seeded order within the stratum.
+
+    A histogram of each stratum's order tells the class of all but the buckets that a cut goes through; only the rows of
+    those are shuffled and ranked, so that a stratum of any size is not one task's.
+    """
+    marked = rows.withColumn("_m", seeded(key, seed)).withColumn("_b", F.substring("_m", 1, DIGITS))
+    counts = marked.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    cells = _cells(counts, strata, cuts)
+    cells = cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)], F.col("_b").alias("_b2"), "_before", "_low", "_high", "_cuts")
+    same = F.col("_b") == F.col("_b2")
+    for k, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+    met = marked.join(sized(cells), same)
+    calm = met.where("_low = _high").withColumn("_class", F.col("_low"))
+    order = Window.partitionBy(*strata, "_b").orderBy("_m", key)
+    rank = F.col("_before") + F.row_number().over(order)
+    edge = met.where("_low < _high").withColumn("_r", rank).withColumn("_class", F.size(F.filter("_cuts", lambda x: F.col("_r") > x))).drop("_r")
+    return calm.unionByName(edge).select(*rows.columns, "_class")
+
+
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key), key, "left_semi")
 
@@ -33,9 +76,7 @@ def sample_fraction(rows: DataFrame, strata: Sequence[str], key: str, share: flo
     """round(share * n) rows of each stratum, by seeded order. A share of 1 or more, or none, returns all rows."""
     if share is None or share >= 1:
         return rows
-    own = Window.partitionBy(*strata)
-    ranked = rows.withColumn("_r", F.row_number().over(own.orderBy(seeded(key, seed), key))).withColumn("_n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("_r") <= F.round(F.col("_n") * share)).drop("_r", "_n")
+    return _classes(rows, strata, key, seed, [f"round(_n * {share!r}D)"]).where("_class = 0").drop("_class")
 
 
 def sample_n(rows: DataFrame, strata: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
@@ -44,42 +85,83 @@ def sample_n(rows: DataFrame, strata: Sequence[str], key: str, n: int, seed: int
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def stratified_split(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int, by: Sequence[str] = ()) -> DataFrame:
+#: Ranks within a stratum of _n rows up to which a row is in the test part, and in the test or validation part.
+_TEST, _HELD = "(2 * ((3 * _n + 9) div 10) + 2) div 3", "(3 * _n + 9) div 10"
+
+
+def _part(number: Column) -> Column:
+    return F.when(number == 0, "test").when(number == 1, "validation").otherwise("train")
+
+
+def stratified_split(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int) -> DataFrame:
     """Column part: 70 % train, 10 % validation, 20 % test of each stratum.
 
     Of n rows, 3n/10 rounded up are held back, and two thirds of those, rounded up, are the test part.
     """
-    own = Window.partitionBy(*by, *strata)
-    ranked = rows.withColumn("_r", F.row_number().over(own.orderBy(seeded(key, seed), key))).withColumn("_n", F.count(F.lit(1)).over(own))
-    held = F.expr("(3 * _n + 9) div 10")
-    test = F.expr("(2 * ((3 * _n + 9) div 10) + 2) div 3")
-    part = F.when(F.col("_r") <= test, "test").when(F.col("_r") <= held, "validation").otherwise("train")
-    return ranked.withColumn("part", part).drop("_r", "_n")
+    return _classes(rows, strata, key, seed, [_TEST, _HELD]).withColumn("part", _part(F.col("_class"))).drop("_class")
 
 
-def label_balance(rows: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Share of 1 in each part and the drift (|val - train| + |test - train|) / 2 of each label. One aggregation."""
+def _drifts(wide: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """label, train, validation, test, drift from columns label__part: (|val - train| + |test - train|) / 2."""
     parts = ("train", "validation", "test")
-    rate = lambda c, p: F.avg(F.when(F.col("part") == p, F.col(c)))
-    wide = rows.groupBy(*by).agg(*[rate(c, p).alias(f"{c}__{p}") for c in labels for p in parts])
     rows_of = F.array(*[F.struct(F.lit(c).alias("label"), *[F.col(f"{c}__{p}").alias(p) for p in parts]) for c in labels])
     long = wide.select(*by, F.explode(rows_of).alias("x")).select(*by, "x.*")
     drift = (F.abs(F.col("validation") - F.col("train")) + F.abs(F.col("test") - F.col("train"))) / 2
     return long.withColumn("drift", drift)
 
 
-def best_seed(rows: DataFrame, strata: Sequence[str], key: str, labels: Sequence[str], seeds: int) -> DataFrame:
-    """The seed of 0 .. seeds - 1 with the least mean drift, the smallest of those tied: every seed in one job."""
-    tried = rows.select(key, *dict.fromkeys([*strata, *labels]), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    parts = stratified_split(tried, strata, key, F.col("seed").cast("string"), by=["seed"])
-    mean = label_balance(parts, labels, by=["seed"]).groupBy("seed").agg(F.round(F.avg("drift"), 9).alias("drift"))
-    return mean.agg(F.min(F.struct("drift", "seed")).alias("m")).select(F.col("m.seed").alias("seed"), F.col("m.drift").alias("drift"))
+def label_balance(rows: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Share of 1 in each part and the drift of each label. One aggregation."""
+    rate = lambda c, p: F.avg(F.when(F.col("part") == p, F.col(c)))
+    wide = rows.groupBy(*by).agg(*[rate(c, p).alias(f"{c}__{p}") for c in labels for p in ("train", "validation", "test")])
+    return _drifts(wide, labels, by)
+
 
+def best_seed(rows: DataFrame, strata: Sequence[str], key: str, labels: Sequence[str], seeds: int) -> DataFrame:
+    """The seed of 0 .. seeds - 1 with the least mean drift of the labels, the smallest of those tied.
 
-def batches(rows: DataFrame, order: str, size: int, by: Sequence[str] = ()) -> DataFrame:
-    """Batch number and place in it by order, within each of `by`."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return rows.withColumn("_n", n).withColumn("batch", F.floor(F.col("_n") / size).cast("long")).withColumn("place", F.pmod("_n", F.lit(size)).cast("int")).drop("_n")
+    Every seed in one job: rows are summed by (seed, stratum, bucket of the seed's order) before any shuffle. Only rows
+    in the two buckets of a stratum that its cuts go through are ranked one by one, 2 / 16**SEED_DIGITS of rows times seeds.
+    """
+    names = list(dict.fromkeys([*strata, *labels]))
+    tried = rows.select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("_seed"))
+    tried = tried.withColumn("_m", seeded(key, F.col("_seed").cast("string"))).withColumn("_b", F.substring("_m", 1, SEED_DIGITS))
+    sums = [f(c).alias(f"{c}__{k}") for c in labels for k, f in (("n", F.count), ("s", F.sum))]
+    own = ["_seed", *strata]
+    cells = _cells(tried.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_c"), *sums), own, [_TEST, _HELD])
+    calm = cells.where("_low = _high").select("_seed", F.col("_low").alias("_class"), *[f"{c}__{k}" for c in labels for k in "ns"])
+    cut = cells.where("_low < _high").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*own, "_b"])], "_before", "_cuts")
+    same = F.lit(True)
+    for i, c in enumerate([*own, "_b"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*own, "_b").orderBy("_m", key))
+    edge = tried.join(sized(cut), same).withColumn("_r", rank).withColumn("_class", F.size(F.filter("_cuts", lambda x: F.col("_r") > x)))
+    ones = [x for c in labels for x in (F.col(c).isNotNull().cast("long").alias(f"{c}__n"), F.col(c).cast("long").alias(f"{c}__s"))]
+    every = calm.unionByName(edge.select("_seed", "_class", *ones))
+    rate = lambda c, p: F.try_divide(F.sum(F.when(p, F.col(f"{c}__s"))), F.sum(F.when(p, F.col(f"{c}__n"))))
+    parts = [(p, _part(F.col("_class")) == p) for p in ("train", "validation", "test")]
+    wide = every.groupBy("_seed").agg(*[rate(c, p).alias(f"{c}__{name}") for c in labels for name, p in parts])
+    mean = _drifts(wide, labels, ["_seed"]).groupBy("_seed").agg(F.round(F.avg("drift"), 9).alias("drift"))
+    return mean.agg(F.min(F.struct("drift", "_seed")).alias("m")).select(F.col("m._seed").alias("seed"), F.col("m.drift").alias("drift"))
+
+
+def batches(rows: DataFrame, order: str, size: int, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Batch number and place in it by a numeric order, within each of `by`.
+
+    Rows are ranked within ranges of the order, whose sizes add up, so that a hot value of `by` is not one task's.
+    """
+    ends = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
+    range_of = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(ends))]), lambda x: x < F.col(order))) if ends else F.lit(0)
+    marked = rows.withColumn("_b", F.coalesce(F.when(F.col(order).isNull(), -1), range_of))
+    counts = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    cells = _cells(counts, by, [])
+    cells = cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_b").alias("_b2"), "_before")
+    same = F.col("_b") == F.col("_b2")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
+    ranked = marked.join(sized(cells), same).withColumn("_n", n)
+    return ranked.select(*rows.columns, F.floor(F.col("_n") / size).cast("long").alias("batch"), F.pmod("_n", F.lit(size)).cast("int").alias("place"))
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -95,7 +177,8 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def attach(rows: DataFrame, catalogue: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Left join with the first catalogue row of each key, so that no row is repeated."""
-    first = catalogue.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+    others = [c for c in catalogue.columns if c != key]
+    first = catalogue.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_x")).select(key, "_x.*")
     return rows.join(first, key, "left")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def prediction_pairs(columns: Sequence[str]) -> dict[str, tuple[str, str]]:
@@ -78,8 +79,8 @@ def macro_average(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def confusion_matrix(rows: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
     """Long form: y, p, n and the rate within y, for pairs that occur."""
     counts = rows.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("n"))
-    totals = rows.groupBy(*by, "y").agg(F.count(F.lit(1)).alias("_t"))
-    return counts.join(totals, [*by, "y"]).select(*by, "y", "p", "n", (F.col("n") / F.col("_t")).alias("rate"))
+    total = F.sum("n").over(Window.partitionBy(*by, "y"))
+    return counts.select(*by, "y", "p", "n", (F.col("n") / total).alias("rate"))
 
 
 def confusion_array(rows: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:

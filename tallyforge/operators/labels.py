@@ -26,15 +26,22 @@ def exclusivity_violations(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "label", "n_violations")
 
 
-def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by a total order. One shuffle; no row is arbitrary, as with dropDuplicates."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def _best(rows: DataFrame, keys: Sequence[str], order: Sequence[str], best, columns: Sequence[str] | None) -> DataFrame:
+    """One row of each key, reduced before the shuffle; texts among the keys are shuffled as 256-bit digests only."""
+    kept = list(rows.columns if columns is None else columns)
+    types = dict(rows.dtypes)
+    by = [(F.sha2(F.col(k).cast("binary"), 256) if types[k] == "string" else F.col(k)).alias(f"_key{n}") for n, k in enumerate(keys)]
+    found = rows.groupBy(*by).agg(best(F.struct(*kept), F.struct(*order)).alias("_row"))
+    return found.select("_row.*")
 
 
-def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The last row of each key by a total order (all columns, or some). No row is arbitrary, as with dropDuplicates."""
+    return _best(rows, keys, order, F.max_by, columns)
+
+
+def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    return _best(rows, keys, order, F.min_by, columns)
 
 
 def duplicate_count(rows: DataFrame, key: str) -> DataFrame:
@@ -66,6 +73,19 @@ def majority_multilabel(rows: DataFrame, key: str, codes: str, names: Mapping[in
     return flat.groupBy(key).agg(*[(F.count_if(F.col("code") == k) >= least).cast("int").alias(_column(prefix, n)) for k, n in names.items()])
 
 
+def votes(rows: DataFrame, key: str, binary: Mapping[str, str], dimensions: Mapping[str, Mapping[int, str]], least: int = 2) -> DataFrame:
+    """key, modal binary labels, and a 0/1 column for each category of each dimension (its codes in label_<name>).
+
+    One aggregation for all: codes are counted within rows, so that nothing is exploded or joined.
+    """
+    def count(name: str, code: int) -> Column:
+        return F.sum(F.size(F.filter(csv_codes(F.col(f"label_{name}")), lambda x: x == code)).cast("long"))
+
+    modes = [F.mode(c, True).alias(out) for c, out in binary.items()]
+    each = [F.coalesce(count(d, k) >= least, F.lit(False)).cast("int").alias(_column(d, n)) for d, names in dimensions.items() for k, n in names.items()]
+    return rows.groupBy(key).agg(*modes, *each)
+
+
 def soft_labels(rows: DataFrame, key: str, codes: str, names: Mapping[int, str], prefix: str) -> DataFrame:
     """Each annotator's weight 1 divided among its codes, summed and scaled to 1 in all; zeros if there is none."""
     listed = csv_codes(F.col(codes))
@@ -88,5 +108,19 @@ def label_frequency(rows: DataFrame, codes: str, book: DataFrame) -> DataFrame:
 
 def disagreement(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Keys whose annotators differ in any of the columns."""
-    counts = rows.groupBy(key).agg(*[F.countDistinct(c).alias(c) for c in columns])
-    return counts.where(" or ".join(f"{c} > 1" for c in columns)).select(key)
+    return with_disagreement(rows, key, columns).where("_disagree").select(key)
+
+
+def with_disagreement(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """key, _disagree: whether annotators differ in any of the columns."""
+    spans = rows.groupBy(key).agg(*[(F.min(c) < F.max(c)).alias(f"_{k}") for k, c in enumerate(columns)])
+    return spans.select(key, F.coalesce(F.greatest(*[F.coalesce(f"_{k}", F.lit(False)) for k in range(len(columns))], F.lit(False)), F.lit(False)).alias("_disagree"))
+
+
+def split_by_disagreement(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """rows with _disagree of their key: one shuffle by key, in place of a join of rows with themselves."""
+    own = Window.partitionBy(key)
+    differ = F.lit(False)
+    for c in columns:
+        differ = differ | F.coalesce(F.min(c).over(own) < F.max(c).over(own), F.lit(False))
+    return rows.withColumn("_disagree", differ)

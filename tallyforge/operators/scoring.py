@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def score(rows: DataFrame, scorer: Callable[[list[str]], list[str | None]], size: int = 32, prompt: str = "prompt") -> DataFrame:
+class TooManyFailures(RuntimeError):
+    """More of a task's rows failed than the caller allows."""
+
+
+def _check(failed: int, n: int, share: float, last: Exception | None) -> None:
+    if failed > share * n:
+        raise TooManyFailures(f"{failed} of {n} rows failed, last: {last!r}") from last
+
+
+def score(rows: DataFrame, scorer: Callable[[list[str]], list[str | None]], size: int = 32, prompt: str = "prompt", max_failed: float = 0.1) -> DataFrame:
     """rows with `output`. scorer takes a list of prompts and returns as many outputs, in order.
 
-    A batch that fails gives null outputs rather than failing the job; parsers read null as -1.
+    A batch that fails gives null outputs, which parsers read as -1; a task in which more than max_failed of the rows
+    failed is an error, so that a broken model is no finished run.
     """
     columns = rows.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed, n, last = 0, 0, None
         for frame in frames:
             outputs: list = []
+            n += len(frame)
             texts = frame[prompt].tolist()
             for s in range(0, len(texts), size):
                 part = texts[s : s + size]
@@ -26,10 +41,54 @@ def score(rows: DataFrame, scorer: Callable[[list[str]], list[str | None]], size
                     found = list(scorer(part))
                     if len(found) != len(part):
                         raise ValueError("scorer changed the number of rows")
-                except Exception:  # noqa: BLE001 - a model's failure is data here
-                    found = [None] * len(part)
+                except Exception as e:  # noqa: BLE001 - a model's failure is data here
+                    found, last = [None] * len(part), e
+                    failed += len(part)
                 outputs += found
             frame["output"] = pd.Series(outputs, index=frame.index, dtype="object")
             yield frame[[*columns, "output"]]
+        _check(failed, n, max_failed, last)
 
     return rows.mapInPandas(run, rows.select("*", F.lit(None).cast("string").alias("output")).schema)
+
+
+#: A reply of a remote model: its parts by type, with text or summaries.
+REPLY = "array<struct<type: string, text: string, summary: array<string>>>"
+
+
+def ask(rows: DataFrame, client: Callable[[], Callable[[str], list[dict]]], in_flight: int = 8, workers: int = 4, prompt: str = "prompt", max_failed: float = 0.1) -> DataFrame:
+    """rows with `reply` (REPLY) of a remote model, asked one prompt at a time.
+
+    client() is called once a task and gives the function that sends a prompt. At most `workers` tasks run, each with
+    in_flight // workers requests under way, so that no more than in_flight wait at once in the whole cluster. Replies
+    are handed on as rows; a request that fails has a null reply, and more than max_failed of a task's are an error.
+    """
+    lanes = max(1, in_flight // workers)
+    inner = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("summary", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send, failed, n, last = client(), 0, 0, None
+        with ThreadPoolExecutor(lanes) as pool:
+            for batch in batches:
+                waiting, replies = deque(), []
+
+                def take() -> None:
+                    nonlocal failed, last
+                    try:
+                        replies.append([{k: p.get(k) for k in ("type", "text", "summary")} for p in waiting.popleft().result()])
+                    except Exception as e:  # noqa: BLE001 - a failed request is data here
+                        replies.append(None)
+                        failed, last = failed + 1, e
+
+                for text in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
+                    if len(waiting) >= lanes:
+                        take()
+                    waiting.append(pool.submit(send, text))
+                while waiting:
+                    take()
+                n += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, inner)], names=[*batch.schema.names, "reply"])
+        _check(failed, n, max_failed, last)
+
+    schema = rows.select("*", F.lit(None).cast(REPLY).alias("reply")).schema
+    return rows.coalesce(workers).mapInArrow(run, schema)

@@ -35,6 +35,34 @@ def pairwise_agreement(rows: DataFrame, labels: Sequence[str], item: str = "id",
     return long.where("n > 0").select("label", "annotator_a", "annotator_b", "n", seen.alias("agreement"), kappa.alias("kappa"))
 
 
+def pairwise_kappa(rows: DataFrame, labels: Sequence[str], item: str = "id", annotator: str = "annotator") -> DataFrame:
+    """As pairwise_agreement for labels of any number of values: chance agreement sums over all of them."""
+    side = lambda s: rows.select(item, F.col(annotator).alias(f"annotator_{s}"), *[F.col(c).cast("string").alias(f"{c}_{s}") for c in labels])
+    met = side("a").join(side("b"), item).where("annotator_a < annotator_b")
+    each = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"{c}_a").alias("x"), F.col(f"{c}_b").alias("z")) for c in labels])
+    pair = ["label", "annotator_a", "annotator_b"]
+    counts = met.select("annotator_a", "annotator_b", F.inline(each)).where("x is not null and z is not null").groupBy(*pair, "x", "z").agg(F.count(F.lit(1)).alias("n"))
+    sides = counts.select(*pair, F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("n").alias("a"), F.lit(0).cast("long").alias("b")), F.struct(F.col("z").alias("v"), F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))).alias("s")).select(*pair, "s.*")
+    margins = sides.groupBy(*pair, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    chance = margins.groupBy(*pair).agg(F.sum("a").alias("n"), F.sum(F.col("a").cast("double") * F.col("b")).alias("_e"))
+    seen = counts.groupBy(*pair).agg(F.sum(F.when(F.col("x") == F.col("z"), F.col("n")).otherwise(0)).alias("_s"))
+    both = chance.join(seen, pair)
+    e, o = F.col("_e") / (F.col("n").cast("double") * F.col("n")), F.col("_s") / F.col("n")
+    return both.select(*pair, "n", o.alias("agreement"), F.when(e < 1, F.try_divide(o - e, 1 - e)).alias("kappa"))
+
+
+def overlap(rows: DataFrame, item: str = "id", annotator: str = "annotator") -> DataFrame:
+    """Common items of each pair of annotators with any, the items of each, and whether both have the same: agreement is of
+    common items only, so a partial overlap is worth a warning."""
+    own = rows.select(F.col(item).alias("_i"), F.col(annotator).alias("annotator")).where("_i is not null").distinct()
+    sizes = own.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
+    a, b = own.withColumnRenamed("annotator", "annotator_a"), own.withColumnRenamed("annotator", "annotator_b")
+    common = a.join(b, "_i").where("annotator_a < annotator_b").groupBy("annotator_a", "annotator_b").agg(F.count(F.lit(1)).alias("n_common"))
+    first, second = sizes.toDF("annotator_a", "n_a"), sizes.toDF("annotator_b", "n_b")
+    out = common.join(first, "annotator_a").join(second, "annotator_b")
+    return out.select("annotator_a", "annotator_b", "n_common", "n_a", "n_b", ((F.col("n_common") == F.col("n_a")) & (F.col("n_common") == F.col("n_b"))).alias("complete"))
+
+
 def agreement_summary(pairs: DataFrame) -> DataFrame:
     """Means and population deviations over pairs."""
     stats = [f(c).alias(f"{c}_{k}") for c in ("agreement", "kappa") for k, f in (("mean", F.avg), ("std", F.stddev_pop))]

@@ -1,24 +1,46 @@
-"""Category dimensions and prompts, in wording of our own."""
+"""Category dimensions, and prompts in wording of our own."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Category codes of the two dimensions; code 0 stands for none.
-INCIVILITY = {0: "None", 1: "Vulgar/Profane", 2: "Insult", 3: "Other Incivility"}
+# Names of the category codes in the annotation logs. Code 0 is the absence of the others.
+INCIVILITY = {
+    0: "Civil",
+    1: "Vulgar/Profane",
+    2: "Attacks",
+    3: "Aspersions",
+}
 INTOLERANCE = {
-    0: "None", 1: "Origin", 2: "Race", 3: "Gender", 4: "Orientation", 5: "Religion",
-    6: "Disability/Health", 7: "Violent Threat", 8: "Dehumanizing", 9: "Other Intolerance",
+    0: "Tolerant",
+    1: "Threats to Rights",
+    2: "Political Intolerance",
+    3: "Racism",
+    4: "Social Intolerance",
+    5: "Gender/Sexual Intolerance",
+    6: "Religious Intolerance",
+    7: "Offensive Stereotypes",
+    8: "Violent Threats",
+    9: "Ableism",
 }
 DIMENSIONS = {"incivility": INCIVILITY, "intolerance": INTOLERANCE}
-VERSION = 1
+VERSION = 2
 
-#: Task -> system and user prompt; {} takes the item's text.
+#: Task -> system and user prompt; {} takes the item's text. The form of the answer is what functions.parse reads.
 PROMPTS = {
-    "coarse": ("You review posts made of a picture and a caption.", "Say whether this post is hateful or neutral. Caption: {}"),
-    "fine": ("You review posts made of a picture and a caption.", "State incivility and intolerance of this post, one line each. Caption: {}"),
-    "joint": ("You review posts made of a picture and a caption.", "State incivility, intolerance and hatefulness of this post, one line each. Caption: {}"),
+    "coarse": (
+        "You review posts made of a picture and a caption.",
+        "Say whether this post is hateful or neutral. Caption: {}\nAnswer with one word: Hateful or Neutral.",
+    ),
+    "fine": (
+        "You review posts made of a picture and a caption.",
+        "State incivility and intolerance of this post. Caption: {}\nAnswer in this form: Incivility: Civil or Uncivil, Intolerance: Tolerant or Intolerant",
+    ),
+    "joint": (
+        "You review posts made of a picture and a caption.",
+        "State incivility, intolerance and hatefulness of this post. Caption: {}\nAnswer in this form: Incivility: Civil or Uncivil, Intolerance: Tolerant or Intolerant, Hatefulness: Neutral or Hateful",
+    ),
 }
 
 

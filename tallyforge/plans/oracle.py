@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from tallyforge.operators.chat import ANSWERS, TASK_LABELS
-from tallyforge.operators.stats import Z95
-from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, PROMPTS
+from tallyforge.plans.codebook import PROMPTS
+
+# Fixed values, stated apart from the engine's: a wrong constant there must not agree with itself here.
+Z95 = 1.959963984540054
+INCIVILITY = {0: "Civil", 1: "Vulgar/Profane", 2: "Attacks", 3: "Aspersions"}
+INTOLERANCE = {
+    0: "Tolerant", 1: "Threats to Rights", 2: "Political Intolerance", 3: "Racism", 4: "Social Intolerance", 5: "Gender/Sexual Intolerance",
+    6: "Religious Intolerance", 7: "Offensive Stereotypes", 8: "Violent Threats", 9: "Ableism",
+}
+DIMENSIONS = {"incivility": INCIVILITY, "intolerance": INTOLERANCE}
+ANSWERS = {"incivility": ("Incivility", "Civil", "Uncivil"), "intolerance": ("Intolerance", "Tolerant", "Intolerant"), "hateful": ("Hatefulness", "Neutral", "Hateful")}
+TASK_LABELS = {"coarse": ("hateful",), "fine": ("incivility", "intolerance"), "joint": ("incivility", "intolerance", "hateful")}
 
 ANN = """ann AS (SELECT event_id % 997 AS id, 'Annotator_' || (user_id % 3 + 1) AS annotator, event_id AS seq,
  'item ' || (event_id % 997) AS text, CASE WHEN event_type IN ('error','purchase') THEN 1 ELSE 0 END AS label_hateful,
@@ -107,7 +116,6 @@ def votes() -> str:
         f"SELECT i.id, '{column(d, n)}' AS category, CASE WHEN count(*) FILTER (list_contains(string_split(b.label_{d}, ','), '{k}')) >= 2 THEN 1 ELSE 0 END AS v FROM items i JOIN bin b ON i.id = b.id GROUP BY i.id"
         for d, names in DIMENSIONS.items()
         for k, n in names.items()
-        if k
     )
     return f"""WITH {ANN}, items AS (SELECT id, CASE WHEN count(*) FILTER (label_hateful = 1) > count(*) FILTER (label_hateful = 0) THEN 1 ELSE 0 END AS y FROM bin GROUP BY id),
  v AS ({part}), t AS (SELECT category, count(*) FILTER (v=1 AND y=1) AS n11, count(*) FILTER (v=1 AND y=0) AS n10, count(*) FILTER (v=0 AND y=1) AS n01,
@@ -121,8 +129,8 @@ def soft(name: str, names: dict[int, str]) -> str:
     return f"WITH {ANN}, {codes(name)}, w AS (SELECT id, {each}, {total} AS t FROM flat GROUP BY id) SELECT id, {out} FROM w"
 
 
-SPLIT = """SELECT *, row_number() OVER (PARTITION BY {by} label_hateful, label_incivility, label_intolerance ORDER BY md5(id || '-' || {seed}), id) AS r,
- count(*) OVER (PARTITION BY {by} label_hateful, label_incivility, label_intolerance) AS n FROM {source}"""
+SPLIT = """SELECT *, row_number() OVER (PARTITION BY {by} split ORDER BY md5(id || '-' || {seed}), id) AS r,
+ count(*) OVER (PARTITION BY {by} split) AS n FROM {source}"""
 PART = "CASE WHEN r <= (2 * ((3 * n + 9) // 10) + 2) // 3 THEN 'test' WHEN r <= (3 * n + 9) // 10 THEN 'validation' ELSE 'train' END AS part"
 
 
@@ -134,6 +142,29 @@ def balance(by: str) -> str:
     )
 
 
+def wilson(rounded: bool = True) -> str:
+    z2 = repr(Z95 * Z95)
+    middle = f"(rate + {z2} / (2 * n)) / (1 + {z2} / n)"
+    half = f"{Z95!r} * sqrt(rate * (1 - rate) / n + {z2} / (4 * n * n)) / (1 + {z2} / n)"
+    low, high = f"{middle} - {half}", f"{middle} + {half}"
+    return f"round({low}, 9) AS low, round({high}, 9) AS high" if rounded else f"{low} AS low, {high} AS high"
+
+
+def titled() -> str:
+    """A category's name as a title: every word's first letter upper case, the others lower case."""
+    bare = "replace(regexp_replace(category, '^(incivility|intolerance)_', ''), '_', ' ')"
+    return f"array_to_string(list_transform(string_split({bare}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+
+
+def built() -> str:
+    """Majority labels with the catalogue's image and split, and the seed of 20 with the least drift."""
+    tried = SPLIT.format(by="seed,", seed="seed", source="g")
+    return f"""WITH {ANN}, {GOLD}, v AS (SELECT id, text, CAST(avg(label_hateful) >= 0.5 AS INT) AS label_hateful, CAST(avg(label_incivility_bin) >= 0.5 AS INT) AS label_incivility,
+ CAST(avg(label_intolerance_bin) >= 0.5 AS INT) AS label_intolerance FROM bin GROUP BY id, text), known AS (SELECT v.*, gold.img, gold.split FROM v LEFT JOIN gold ON v.id = gold.id),
+ g AS (SELECT known.*, x.seed FROM known, (SELECT unnest(range(20))::INT AS seed) x), t AS ({tried}), tried AS (SELECT *, {PART} FROM t),
+ b AS ({balance('seed').replace('FROM parts', 'FROM tried')}), best AS (SELECT seed FROM (SELECT seed, round(avg((abs(validation - train) + abs(test - train)) / 2), 9) AS drift FROM b GROUP BY seed) ORDER BY drift, seed LIMIT 1)"""
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -150,7 +181,7 @@ def messages(task: str, kind: str) -> str:
     if kind == "train":
         word = lambda k: f"CASE WHEN label_{k} = 1 THEN '{ANSWERS[k][2]}' ELSE '{ANSWERS[k][1]}' END"
         labels = TASK_LABELS[task]
-        answer = word(labels[0]) if len(labels) == 1 else " || chr(10) || ".join(f"'{ANSWERS[k][0]}: ' || {word(k)}" for k in labels)
+        answer = word(labels[0]) if len(labels) == 1 else " || ', ' || ".join(f"'{ANSWERS[k][0]}: ' || {word(k)}" for k in labels)
         parts.append((2, "assistant", 0, "text", answer, "NULL"))
     rows = " UNION ALL ".join(f"SELECT id, {n} AS turn, '{r}' AS role, {k} AS part, '{t}' AS type, {x} AS text, {i}::VARCHAR AS image FROM gold" for n, r, k, t, x, i in parts)
     return f"WITH {GOLD} {rows}"
@@ -206,8 +237,8 @@ ORACLES: dict[str, str] = {
     "split_label_balance": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}), parts AS (SELECT *, {PART} FROM s), b AS ({balance('')}) SELECT label, train, validation, test, (abs(validation - train) + abs(test - train)) / 2 AS drift FROM b",
     "best_seed": f"WITH {GOLD}, g AS (SELECT gold.*, x.seed FROM gold, (SELECT unnest(range(50))::INT AS seed) x), s AS ({SPLIT.format(by='seed,', seed='seed', source='g')}), parts AS (SELECT *, {PART} FROM s), b AS ({balance('seed')}), m AS (SELECT seed, round(avg((abs(validation - train) + abs(test - train)) / 2), 9) AS drift FROM b GROUP BY seed) SELECT seed, drift FROM m ORDER BY drift, seed LIMIT 1",
     "batch_assignment": "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 32 AS batch, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 32 AS INT) AS place FROM documents",
-    "left_join_metadata": "SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 <> 0) d ON l.doc_id = d.doc_id",
-    "missing_metadata_count": "SELECT count(*) FILTER (d.lang IS NULL) AS missing_lang, count(*) FILTER (d.source IS NULL) AS missing_source FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 <> 0) d ON l.doc_id = d.doc_id",
+    "left_join_metadata": "SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
+    "missing_metadata_count": "SELECT count(*) FILTER (d.lang IS NULL) AS missing_lang, count(*) FILTER (d.source IS NULL) AS missing_source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
     "set_difference": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "set_intersection": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "set_equality": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) = 0 AND (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) = 0 AS same",
@@ -222,7 +253,7 @@ ORACLES: dict[str, str] = {
     "api_messages": messages("coarse", "api"),
     "assemble_conversations": "SELECT conv_id, count(*)::INT AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id",
     "last_assistant_reply": "SELECT c.conv_id, r.text AS reply FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, text FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1) r ON c.conv_id = r.conv_id",
-    "image_fit_geometry": "WITH i AS (SELECT p_partkey AS id, (1 + p_partkey * 37 % 3000)::INT AS w, (1 + p_partkey * 91 % 2000)::INT AS h FROM part), s AS (SELECT *, least(1.0::DOUBLE, 1024.0::DOUBLE / w, 768.0::DOUBLE / h) AS k FROM i), n AS (SELECT id, w, h, greatest(1, floor(w * k + 0.5)::INT) AS new_w, greatest(1, floor(h * k + 0.5)::INT) AS new_h FROM s) SELECT *, ((1024 - new_w) // 2)::INT AS pad_left, ((768 - new_h) // 2)::INT AS pad_top, (1024 - new_w - (1024 - new_w) // 2)::INT AS pad_right, (768 - new_h - (768 - new_h) // 2)::INT AS pad_bottom FROM n",
+    "image_fit_geometry": "WITH i AS (SELECT p_partkey AS id, (1 + p_partkey * 37 % 3000)::INT AS w, (1 + p_partkey * 91 % 2000)::INT AS h FROM part), a AS (SELECT *, w::DOUBLE / h AS q FROM i), e AS (SELECT *, 768 * q AS x, 1024 / q AS y FROM a), s AS (SELECT id, w, h, CASE WHEN w <= 1024 AND h <= 768 THEN w WHEN 1024::DOUBLE / 768 >= q THEN greatest(1, CASE WHEN abs(q - ceil(x) / 768) < abs(q - floor(x) / 768) THEN ceil(x) ELSE floor(x) END) ELSE 1024 END::INT AS new_w, CASE WHEN w <= 1024 AND h <= 768 THEN h WHEN 1024::DOUBLE / 768 >= q THEN 768 ELSE greatest(1, CASE WHEN floor(y) = 0 OR abs(q - 1024 / ceil(y)) < abs(q - 1024 / floor(y)) THEN ceil(y) ELSE floor(y) END) END::INT AS new_h FROM e) SELECT *, ((1024 - new_w) // 2)::INT AS pad_left, ((768 - new_h) // 2)::INT AS pad_top, (1024 - new_w - (1024 - new_w) // 2)::INT AS pad_right, (768 - new_h - (768 - new_h) // 2)::INT AS pad_bottom FROM s",
     "parsed_predictions": f"WITH {PRED} SELECT c.id, c.p AS coarse, i.p AS incivility, t.p AS intolerance, h.p AS hateful FROM coarse c JOIN joint_ i ON c.id = i.id AND i.category = 'incivility' JOIN joint_ t ON c.id = t.id AND t.category = 'intolerance' JOIN joint_ h ON c.id = h.id AND h.category = 'hateful'",
     "normalized_outputs": f"WITH {PRED} SELECT id, c AS output FROM low",
     "confusion_matrix_array": f"WITH {PRED}, k AS (SELECT category, x.i AS y, z.j AS p FROM (SELECT DISTINCT category FROM joint_) c, (SELECT unnest([-1, 0, 1]) AS i) x, (SELECT unnest([-1, 0, 1]) AS j) z), n AS (SELECT category, y, p, count(*) AS n FROM joint_ GROUP BY ALL), t AS (SELECT category, y, count(*) AS t FROM joint_ GROUP BY ALL) SELECT k.category, (k.y + 1)::INT AS i, (k.p + 1)::INT AS j, coalesce(n.n / t.t, 0.0) AS rate FROM k LEFT JOIN n ON k.category = n.category AND k.y = n.y AND k.p = n.p LEFT JOIN t ON k.category = t.category AND k.y = t.y",
@@ -231,4 +262,24 @@ ORACLES: dict[str, str] = {
     "calibration_review": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_hateful) > 1 OR count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT id, annotator, array_to_string(list_transform(string_split(label_incivility, ','), lambda x: {value_map(INCIVILITY)}[x::INT]), ', ') AS incivility, array_to_string(list_transform(string_split(label_intolerance, ','), lambda x: {value_map(INTOLERANCE)}[x::INT]), ', ') AS intolerance FROM bin WHERE id IN (SELECT id FROM d)",
     "training_part_messages": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}), p AS (SELECT *, {PART} FROM s), q AS (SELECT id, row_number() OVER (PARTITION BY label_hateful ORDER BY md5(id || '-3407'), id) AS r2, count(*) OVER (PARTITION BY label_hateful) AS n2 FROM p WHERE part = 'train') SELECT id, 3 AS n_turns FROM q WHERE r2 <= round(n2 * 0.5)",
     "run_grid_cross_join": "SELECT run, lora_r, learning_rate, split, n FROM (VALUES (0, 8, 0.0001::DOUBLE), (1, 16, 0.0001), (2, 8, 0.0002), (3, 16, 0.0002)) AS g(run, lora_r, learning_rate), (SELECT lang AS split, count(*) AS n FROM documents GROUP BY lang) d",
+    "pairwise_kappa_codes": f"WITH {ANN}, met AS (SELECT l.label, a.annotator AS annotator_a, b.annotator AS annotator_b, CASE l.label WHEN 'label_incivility' THEN a.label_incivility ELSE a.label_intolerance END AS x, CASE l.label WHEN 'label_incivility' THEN b.label_incivility ELSE b.label_intolerance END AS z FROM bin a JOIN bin b ON a.id = b.id AND a.annotator < b.annotator, (VALUES ('label_incivility'), ('label_intolerance')) AS l(label)), s AS (SELECT label, annotator_a, annotator_b, count(*) AS n, count(*) FILTER (x = z) / count(*) AS o FROM met GROUP BY ALL), xs AS (SELECT label, annotator_a, annotator_b, x AS v, count(*) AS c FROM met GROUP BY ALL), zs AS (SELECT label, annotator_a, annotator_b, z AS v, count(*) AS c FROM met GROUP BY ALL), e AS (SELECT label, annotator_a, annotator_b, sum(xs.c::DOUBLE * zs.c) AS e FROM xs JOIN zs USING (label, annotator_a, annotator_b, v) GROUP BY ALL) SELECT label, annotator_a, annotator_b, n, o AS agreement, round((o - e / (n::DOUBLE * n)) / (1 - e / (n::DOUBLE * n)), 9) AS kappa FROM s JOIN e USING (label, annotator_a, annotator_b)",
+    "annotator_overlap": f"WITH {ANN}, o AS (SELECT DISTINCT annotator, id FROM ann), n AS (SELECT annotator, count(*) AS n FROM o GROUP BY annotator), c AS (SELECT a.annotator AS annotator_a, b.annotator AS annotator_b, count(*) AS n_common FROM o a JOIN o b ON a.id = b.id AND a.annotator < b.annotator GROUP BY ALL) SELECT annotator_a, annotator_b, n_common, x.n AS n_a, y.n AS n_b, n_common = x.n AND n_common = y.n AS complete FROM c JOIN n x ON x.annotator = annotator_a JOIN n y ON y.annotator = annotator_b",
+    "run_ids": "WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'hub/' || replace(p_brand, '#', '-') ELSE 'runs/' || p_brand || '/last' END AS model, p_brand FROM part) SELECT id, model, id % 2 = 0 AS published, CASE WHEN id % 2 = 0 THEN 'eval_joint_' || replace(model, '/', '_') ELSE 'eval_joint_' || p_brand END AS run_id FROM m",
+    "workflow_validate": agreement() + " SELECT label, count(*) AS n_pairs, round(avg(agreement), 9) AS agreement_mean, round(stddev_pop(agreement), 9) AS agreement_std, round(avg(kappa), 9) AS kappa_mean, round(stddev_pop(kappa), 9) AS kappa_std FROM pairs GROUP BY label",
+    "workflow_coverage": f"WITH {ANN} SELECT annotator, count(DISTINCT id) AS n_items, count(DISTINCT id) = (SELECT count(DISTINCT id) FROM ann) AS complete FROM ann GROUP BY annotator",
+    "workflow_violations": f"WITH {ANN} SELECT 'label_incivility' AS label, count(*) FILTER (list_contains(string_split(label_incivility, ','), '0') AND contains(label_incivility, ',')) AS n_violations FROM ann UNION ALL SELECT 'label_intolerance', count(*) FILTER (list_contains(string_split(label_intolerance, ','), '0') AND contains(label_intolerance, ',')) FROM ann",
+    "workflow_gold": built() + f", s AS ({SPLIT.format(by='', seed='(SELECT seed FROM best)', source='known')}) SELECT id, text, img, split, label_hateful, label_incivility, label_intolerance, {PART} FROM s",
+    "workflow_gold_balance": built() + f", s2 AS ({SPLIT.format(by='', seed='(SELECT seed FROM best)', source='known')}), parts AS (SELECT *, {PART} FROM s2), b2 AS ({balance('')}) SELECT label, round(train, 9) AS train, round(validation, 9) AS validation, round(test, 9) AS test, round((abs(validation - train) + abs(test - train)) / 2, 9) AS drift FROM b2",
+    "workflow_fine_grained": votes() + f" SELECT split_part(category, '_', 1) AS dimension, category, n, k, rate, round(phi, 9) AS phi, {wilson()} FROM k",
+    "workflow_charts": votes() + f", w AS (SELECT *, {wilson(False)} FROM k) SELECT split_part(category, '_', 1) AS \"group\", {titled()} AS label, n, rate, round(rate - low, 9) AS below, round(high - rate, 9) AS above FROM w",
+    "workflow_relation": hypothesis("(n11 + n00) / n AS match_rate, round(coalesce(n::DOUBLE * power(greatest(abs(n11::DOUBLE * n00 - n10::DOUBLE * n01) - n / 2, 0), 2) / nullif((n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00), 0), 0.0), 6) AS chi2"),
+    "workflow_descriptive": f"WITH {GOLD} SELECT 'splits' AS part, split AS value, count(*) AS n FROM gold GROUP BY split UNION ALL SELECT 'labels', label_hateful::VARCHAR, count(*) FROM gold GROUP BY label_hateful UNION ALL SELECT 'label_incivility', label_incivility::VARCHAR, count(*) FROM gold GROUP BY label_incivility",
+    "workflow_evaluate_local": f"WITH {GOLD}, j AS (SELECT 'hateful' AS category, label_hateful AS y, 1 AS p FROM gold UNION ALL SELECT 'incivility', label_incivility, 0 FROM gold UNION ALL SELECT 'intolerance', label_intolerance, 0 FROM gold), {metrics('j', 'category')} SELECT category, {METRICS} FROM m",
+    "workflow_evaluate_api": f"WITH {GOLD}, j AS (SELECT 'hateful' AS category, label_hateful AS y, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS p FROM gold), {metrics('j', 'category')} SELECT category, {METRICS} FROM m",
+    "workflow_training_runs": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}), p AS (SELECT *, {PART} FROM s) SELECT run, lora_r, epochs, 0.0002::DOUBLE AS rate, (SELECT count(*) FROM p WHERE part = 'train') AS n_rows FROM (VALUES (0, 8, 3), (1, 16, 2)) AS g(run, lora_r, epochs)",
+    "json_lines_round_trip": f"WITH {ANN} SELECT id, annotator, label_incivility, label_intolerance, label_hateful, text, seq::VARCHAR AS time, NULL::VARCHAR AS img FROM ann",
+    "published_dataset": f"WITH {GOLD} SELECT id, split, label_hateful, label_incivility, label_intolerance FROM gold WHERE split = 'train'",
+    "split_items_keep_first": f"WITH {GOLD} SELECT id, CASE WHEN id % 3 > 0 THEN label_hateful ELSE 7 END AS label, CASE WHEN id % 3 > 0 THEN 'train' ELSE 'dev' END AS split FROM gold",
+    "id_list_round_trip": "SELECT doc_id AS id FROM labels WHERE doc_id IS NOT NULL",
+    "bias_of_runs": f"WITH {PRED}, j AS (SELECT 'one' AS run_id, * FROM joint_ UNION ALL SELECT 'two', * FROM joint_ WHERE id % 2 = 0), c AS (SELECT run_id, category, {CELLS} FROM j GROUP BY run_id, category) SELECT 'joint' AS task, run_id, category, n, tp, tn, fp, fn, {ratio('fp', '(fp + tn)')} AS fpr, {ratio('fn', '(fn + tp)')} AS fnr FROM c",
 }

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from logging import Logger
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge import logs
 from tallyforge.functions.parse import FIELDS, field_label, first_label
 from tallyforge.functions.text import codes_to_names, strip_charset
 from tallyforge.operators import chat, curate, evaluate, labels, scoring, stats
 from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
-from tallyforge.sources import readers
+from tallyforge.plans.config import merge, run_grid, select
+from tallyforge.sources import readers, sinks
 
 CODES = ["label_incivility", "label_intolerance"]
 BIN = {"label_hateful": "label_hateful", "label_incivility_bin": "label_incivility", "label_intolerance_bin": "label_intolerance"}
@@ -30,7 +33,7 @@ class Validated:
 
 def validate(log: DataFrame, ids: DataFrame | None = None, expected: int | None = None, order: Sequence[str] = ("time",)) -> Validated:
     """Coverage and exclusivity before repeats are removed, then the latest rows, binary labels and agreement."""
-    rows = log if ids is None else curate.semi(log, F.broadcast(ids), "id")
+    rows = log if ids is None else curate.semi(log, curate.sized(ids.select("id").distinct()), "id")
     if expected is None:
         expected = (ids if ids is not None else log).select("id").distinct().count()
     clean = labels.binarize(labels.keep_last(rows, ["annotator", "id"], list(order)), CODES)
@@ -45,13 +48,14 @@ class Gold:
     seed: int
 
 
-def build_gold(clean: DataFrame, catalogue: DataFrame, seeds: int = 1000) -> Gold:
-    """Majority labels with image and split, cut into parts by the seed of least drift."""
+def build_gold(clean: DataFrame, catalogue: DataFrame, seeds: int = 1000, strata: Sequence[str] = ("split",)) -> Gold:
+    """Majority labels with image and split, cut into parts within each split by the seed of least drift of the labels."""
+    strata = list(strata)
     votes = labels.majority_mean(clean, ["id", "text"], BIN)
     known = curate.attach(votes, catalogue.select("id", "img", "split", "priority", "seq"), "id", ["priority", "seq"]).drop("priority", "seq")
-    best = curate.best_seed(known, LABELS, "id", LABELS, seeds).first()
+    best = curate.best_seed(known, strata, "id", LABELS, seeds).first()
     seed = 0 if best is None or best.seed is None else int(best.seed)
-    parts = curate.stratified_split(known, LABELS, "id", seed)
+    parts = curate.stratified_split(known, strata, "id", seed)
     return Gold(parts, curate.label_balance(parts, LABELS), seed)
 
 
@@ -67,10 +71,9 @@ def fine_grained(clean: DataFrame) -> FineGrained:
     """Code frequencies, majority categories with rates, phi and Wilson bounds, and soft labels for a regression."""
     spark = clean.sparkSession
     frequency = {k: labels.label_frequency(clean, f"label_{k}", dimension(spark, k).select("code", "name")) for k in DIMENSIONS}
-    votes = labels.majority_mode(clean, ["id"], {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"})
+    votes = labels.votes(clean, "id", {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"}, DIMENSIONS)
     soft = labels.majority_mean(clean, ["id"], {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"})
     for name, book in DIMENSIONS.items():
-        votes = votes.join(labels.majority_multilabel(clean, "id", f"label_{name}", {k: v for k, v in book.items() if k}, name), "id")
         soft = soft.join(labels.soft_labels(clean, "id", f"label_{name}", book, name), "id")
     table = stats.category_table(votes, "hateful", votes.columns[4:])
     low, high = stats.wilson(F.col("k"), F.col("n"))
@@ -79,8 +82,9 @@ def fine_grained(clean: DataFrame) -> FineGrained:
 
 
 def odds_ratios(soft: DataFrame) -> DataFrame:
-    """Odds ratios of soft category weights for the hateful label, the `None` categories as baseline."""
-    columns = [c for c in soft.columns if c.startswith(("incivility_", "intolerance_")) and not c.endswith(("_bin", "_None"))]
+    """Odds ratios of soft category weights for the hateful label, the categories of code 0 as baseline."""
+    baseline = tuple(f"{d}_{book[0]}" for d, book in DIMENSIONS.items())
+    columns = [c for c in soft.columns if c.startswith(tuple(f"{d}_" for d in DIMENSIONS)) and not c.endswith("_bin") and c not in baseline]
     return stats.logit_odds_ratios(soft, "hateful", columns)
 
 
@@ -138,32 +142,105 @@ def work_queue(items: DataFrame, log: DataFrame, annotator: str, needed: Sequenc
 def reannotation(clean: DataFrame, calibrated: DataFrame | None = None, per_group: int = 3, seed: int = 42) -> dict[str, DataFrame]:
     """Items to annotate again, those that agree, and a calibration sample of pairs of fine labels."""
     columns = ["label_incivility_bin", "label_intolerance_bin"]
+    marked = labels.split_by_disagreement(clean, "id", columns)
     again = labels.disagreement(clean, "id", columns)
-    agreed = curate.anti(clean, again, "id")
-    pool = curate.semi(clean, again, "id")
+    agreed = marked.where("not _disagree").drop("_disagree")
+    pool = marked.where("_disagree").drop("_disagree")
     if calibrated is not None:
-        pool = curate.anti(pool, F.broadcast(calibrated), "id")
+        pool = curate.anti(pool, curate.sized(calibrated.select("id").distinct()), "id")
     return {"again": again, "agreed": agreed, "calibration": curate.sample_n(pool, columns, "id", per_group, seed).select("id").distinct()}
 
 
 def calibration_review(clean: DataFrame) -> DataFrame:
     """The annotations of items in dispute, with their categories by name."""
-    rows = curate.semi(clean, labels.disagreement(clean, "id", list(BIN)), "id")
+    rows = labels.split_by_disagreement(clean, "id", list(BIN)).where("_disagree").drop("_disagree")
     named = rows.withColumn("incivility", codes_to_names(F.col("label_incivility"), INCIVILITY))
     return named.withColumn("intolerance", codes_to_names(F.col("label_intolerance"), INTOLERANCE)).orderBy("id", "annotator")
 
 
-def evaluate_task(items: DataFrame, task: str, scorer: Callable[[list[str]], list[str | None]], invalid_policy: str = "count_as_error", size: int = 32) -> tuple[DataFrame, DataFrame]:
+def evaluate_task(items: DataFrame, task: str, scorer: Callable[[list[str]], list[str | None]], invalid_policy: str = "count_as_error", size: int = 32, max_failed: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Row-level predictions of a task by a scorer, and their metrics: messages, output, labels read back, scores."""
     asked = chat.inference_messages(items, task)
     prompt = F.to_json("messages")
-    scored = scoring.score(asked.select("id", prompt.alias("prompt"), *[c for c in asked.columns if c.startswith("label")]), scorer, size).drop("prompt")
-    fields = {"coarse": ["hateful"], "fine": ["incivility", "intolerance"], "joint": list(FIELDS)}[task]
-    read = {f"pred_{f}": first_label(F.col("output")) if task == "coarse" else field_label(F.col("output"), f) for f in fields}
-    rows = scored.withColumns(read)
+    scored = scoring.score(asked.select("id", prompt.alias("prompt"), *[c for c in asked.columns if c.startswith("label")]), scorer, size, max_failed=max_failed).drop("prompt")
+    rows = _read(scored, task)
     return rows, evaluate.binary_metrics(evaluate.long_predictions(rows), invalid_policy=invalid_policy)
 
 
+def _read(rows: DataFrame, task: str) -> DataFrame:
+    """rows with the labels of a task read out of `output`."""
+    fields = {"coarse": ["hateful"], "fine": ["incivility", "intolerance"], "joint": list(FIELDS)}[task]
+    return rows.withColumns({f"pred_{f}": first_label(F.col("output")) if task == "coarse" else field_label(F.col("output"), f) for f in fields})
+
+
+@dataclass
+class Evaluation:
+    run_id: str
+    rows: DataFrame
+    metrics: DataFrame
+    mean: DataFrame
+    matrices: DataFrame
+
+
+def _evaluation(run_id: str, rows: DataFrame, invalid_policy: str) -> Evaluation:
+    long = evaluate.long_predictions(rows)
+    metrics = evaluate.binary_metrics(long, invalid_policy=invalid_policy)
+    return Evaluation(run_id, rows, metrics, evaluate.macro_average(metrics), evaluate.confusion_array(long))
+
+
+def evaluate_models(items: DataFrame, tasks: Mapping[str, Mapping[str, Callable[[list[str]], list[str | None]]]], kind: str, hubs: Sequence[str] = (), invalid_policy: str = "count_as_error", log: Logger | None = None) -> list[Evaluation]:
+    """Every model of every evaluation task (name -> model id -> scorer) on the items, as one of the kinds of PROMPTS.
+
+    A task's model that fails is logged and left out; the others go on.
+    """
+    out = []
+    log = log or logs.get("tallyforge.evaluate")
+    for name, models in tasks.items():
+        for model, scorer in models.items():
+            published = any(model.startswith(h) for h in hubs)
+            run = f"eval_{name}_{model.replace('/', '_') if published else model.rstrip('/').split('/')[-2 if '/' in model else -1]}"
+            try:
+                rows, _ = evaluate_task(items, kind, scorer, invalid_policy)
+                out.append(_evaluation(run, rows.persist(), invalid_policy))
+                mean = out[-1].mean.first()
+                log.info("%s: accuracy %s, F1 %s, invalid %s", run, mean.accuracy, mean.f1, mean.invalid_rate)
+            except Exception as e:  # noqa: BLE001 - one model's failure does not stop the others
+                if out and out[-1].run_id == run:
+                    out.pop().rows.unpersist()
+                log.error("%s failed: %s", run, str(e).splitlines()[0] if str(e) else type(e).__name__)
+    return out
+
+
+def save_evaluation(done: Evaluation, folder: str, **tags: str) -> None:
+    """Rows as JSON lines, metrics with matrices as JSON documents, and the means appended to a table of all runs."""
+    sinks.json_lines(done.rows, f"{folder}/{done.run_id}_results")
+    sinks.json_document(done.metrics.join(done.matrices, "category"), f"{folder}/{done.run_id}_metrics")
+    sinks.append_metrics(done.mean, f"{folder}/runs", run_id=done.run_id, **tags)
+
+
+def evaluate_api(items: DataFrame, task: str, client: Callable[[], Callable[[str], list[dict]]], in_flight: int = 8, workers: int = 4, invalid_policy: str = "count_as_error", max_failed: float = 0.1) -> Evaluation:
+    """A remote model on the items (with `url`, the image): messages, replies with reasoning, labels read, scores."""
+    asked = chat.api_messages(items, task)
+    named = [c for c in asked.columns if c.startswith("label")]
+    prompts = asked.select("id", F.to_json("messages").alias("prompt"), *named)
+    replies = read_reply(scoring.ask(prompts, client, in_flight, workers, max_failed=max_failed)).drop("prompt", "reply")
+    return _evaluation(f"eval_{task}_api", _read(replies, task), invalid_policy)
+
+
+def chart_frames(found: FineGrained) -> dict[str, DataFrame]:
+    """What charts of the analysis draw: shares by category, and rates with the lengths of their error bars, in order."""
+    title = lambda c: F.initcap(F.translate(F.regexp_replace(c, "^(incivility|intolerance)_", ""), "_", " "))
+    shares = [rows.select(F.lit(k).alias("group"), "code", title(F.col("name")).alias("label"), "n", "share") for k, rows in found.frequency.items()]
+    bars = shares[0]
+    for one in shares[1:]:
+        bars = bars.union(one)
+    rates = found.categories.select(
+        F.col("dimension").alias("group"), title(F.col("category")).alias("label"), "n", "rate",
+        (F.col("rate") - F.col("low")).alias("below"), (F.col("high") - F.col("rate")).alias("above"),
+    )
+    return {"shares": bars.orderBy("group", "code"), "rates": rates.orderBy("group", F.desc("rate"), "label")}
+
+
 def read_reply(rows: DataFrame, column: str = "reply") -> DataFrame:
     """output and reasoning of an API reply: array of (type, text, summary); the last output text wins."""
     texts = F.filter(column, lambda m: m["type"] == "output_text")
@@ -176,3 +253,13 @@ def training_data(gold: DataFrame, task: str, share: float | None = None, seed:
     """Training conversations of the train part, or of a label-balanced share of it."""
     rows = gold.where("part = 'train'")
     return chat.training_messages(rows if share is None else curate.sample_fraction(rows, ["label_hateful"], "id", share, seed), task)
+
+
+def training_runs(gold: DataFrame, config: dict, task: str) -> tuple[DataFrame, list[dict], DataFrame]:
+    """What a task's training needs: its conversations, each run's whole settings, and the runs as a table.
+
+    config: training (settings of all runs, with an optional label-balanced share) and runs (what each changes).
+    """
+    common = select(config, "training", {})
+    settings = [merge(common, run) for run in select(config, "runs", [{}])]
+    return training_data(gold, task, share=common.get("share")), settings, run_grid(gold.sparkSession, settings)

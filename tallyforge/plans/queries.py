@@ -13,6 +13,7 @@ from tallyforge.plans import pipelines
 from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
 from tallyforge.plans.config import run_grid
 from tallyforge.plans.oracle import ORACLES
+from tallyforge.sources import readers, sinks
 from tallyforge.sources.adapters import annotations, gold, load, parsed, predictions
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -21,6 +22,7 @@ BIN = {"label_hateful": "hateful", "label_incivility_bin": "incivility", "label_
 LABELS = ["label_hateful", "label_incivility", "label_intolerance"]
 KEEP = ["id", "annotator", "seq", "text", *LABELS]
 CODES = ["label_incivility", "label_intolerance"]
+FINE = ["label_incivility_bin", "label_intolerance_bin"]
 QUERIES: dict = {}
 
 
@@ -90,12 +92,12 @@ def exclusivity_violations(spark, d):
 
 @query
 def dedupe_keep_last(spark, d):
-    return labels.keep_last(annotations(spark, d), ["annotator", "id"], ["seq"]).select(*KEEP)
+    return labels.keep_last(annotations(spark, d), ["annotator", "id"], ["seq"], KEEP)
 
 
 @query
 def dedupe_keep_first(spark, d):
-    return labels.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "source", "lang")
+    return labels.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"], ["doc_id", "source", "lang"])
 
 
 @query
@@ -150,7 +152,7 @@ def agreement_summary(spark, d):
 
 
 def _disagree(rows):
-    return labels.disagreement(rows, "id", ["label_incivility_bin", "label_intolerance_bin"])
+    return labels.disagreement(rows, "id", FINE)
 
 
 @query
@@ -161,20 +163,19 @@ def disagreement_items(spark, d):
 @query
 def reannotation_queue(spark, d):
     rows = deduped(spark, d)
-    return curate.semi(rows, _disagree(rows), "id").select(*KEEP)
+    return labels.split_by_disagreement(rows, "id", FINE).where("_disagree").select(*KEEP)
 
 
 @query
 def gold_without_disagreement(spark, d):
     rows = deduped(spark, d)
-    return curate.anti(rows, _disagree(rows), "id").select(*KEEP)
+    return labels.split_by_disagreement(rows, "id", FINE).where("not _disagree").select(*KEEP)
 
 
 @query
 def distinct_count_share(spark, d):
-    rows = deduped(spark, d)
-    total, part = rows.agg(F.countDistinct("id").alias("n_items")), _disagree(rows).agg(F.count(F.lit(1)).alias("n_disagree"))
-    return total.join(F.broadcast(part)).select("n_disagree", "n_items", F.try_divide("n_disagree", "n_items").alias("share"))
+    counts = labels.with_disagreement(deduped(spark, d), "id", FINE).agg(F.count_if("_disagree").alias("n_disagree"), F.count("id").alias("n_items"))
+    return counts.withColumn("share", F.try_divide("n_disagree", "n_items"))
 
 
 @query
@@ -219,11 +220,8 @@ def hypothesis_chi2(spark, d):
 
 
 def wide_votes(rows: DataFrame) -> DataFrame:
-    """id, hateful and one 0/1 column for each category but none, of deduplicated annotations."""
-    out = labels.majority_mode(rows, ["id"], {"label_hateful": "hateful"})
-    for name, names in DIMENSIONS.items():
-        out = out.join(labels.majority_multilabel(rows, "id", f"label_{name}", {k: v for k, v in names.items() if k}, name), "id")
-    return out
+    """id, hateful and one 0/1 column for each category, of deduplicated annotations."""
+    return labels.votes(rows, "id", {"label_hateful": "hateful"}, DIMENSIONS)
 
 
 def _categories(spark, d):
@@ -264,17 +262,17 @@ def sample_n_per_group(spark, d):
 
 @query
 def stratified_split(spark, d):
-    return curate.stratified_split(gold(spark, d), LABELS, "id", 42).select("id", "part")
+    return curate.stratified_split(gold(spark, d), ["split"], "id", 42).select("id", "part")
 
 
 @query
 def split_label_balance(spark, d):
-    return curate.label_balance(curate.stratified_split(gold(spark, d), LABELS, "id", 42), LABELS)
+    return curate.label_balance(curate.stratified_split(gold(spark, d), ["split"], "id", 42), LABELS)
 
 
 @query
 def best_seed(spark, d):
-    return curate.best_seed(gold(spark, d), LABELS, "id", LABELS, 50)
+    return curate.best_seed(gold(spark, d), ["split"], "id", LABELS, 50)
 
 
 @query
@@ -283,7 +281,7 @@ def batch_assignment(spark, d):
 
 
 def _metadata(spark, d):
-    catalogue = load(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", "lang", "source")
+    catalogue = load(spark, d, "documents").select("doc_id", "lang", "source")
     return curate.attach(load(spark, d, "labels").select("doc_id", "quality"), catalogue, "doc_id", ["lang", "source"])
 
 
@@ -405,7 +403,7 @@ def calibration_review(spark, d):
 
 @query
 def training_part_messages(spark, d):
-    parts = curate.stratified_split(gold(spark, d), LABELS, "id", 42)
+    parts = curate.stratified_split(gold(spark, d), ["split"], "id", 42)
     return pipelines.training_data(parts, "coarse", share=0.5).select("id", F.size("messages").alias("n_turns"))
 
 
@@ -428,3 +426,176 @@ def logit_odds_ratios(spark, d):
 def batch_scorer_stub(spark, d):
     rows = gold(spark, d).select("id", F.coalesce("text", F.lit("")).alias("prompt"), "label_hateful")
     return scoring.score(rows, lambda texts: ["Hateful" if len(t) % 2 else "Neutral" for t in texts]).drop("prompt")
+
+
+@query
+def pairwise_kappa_codes(spark, d):
+    """Agreement on the raw code texts, of which there are more than two."""
+    return stats.pairwise_kappa(deduped(spark, d), CODES).select("label", "annotator_a", "annotator_b", "n", "agreement", F.round("kappa", 9).alias("kappa"))
+
+
+@query
+def annotator_overlap(spark, d):
+    return stats.overlap(annotations(spark, d))
+
+
+@query
+def run_ids(spark, d):
+    """Model ids made of the parts table: published ones and paths of checkpoints."""
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("hub/"), F.translate("p_brand", "#", "-"))).otherwise(F.concat_ws("/", F.lit("runs"), F.col("p_brand"), F.lit("last"))).alias("model"))
+    return rows.select("id", "model", text.is_published(F.col("model"), ["hub/"]).alias("published"), text.run_id("joint", F.col("model"), ["hub/"]).alias("run_id"))
+
+
+def _validated(spark, d) -> pipelines.Validated:
+    return pipelines.validate(annotations(spark, d), order=("seq",))
+
+
+@query
+def workflow_validate(spark, d):
+    out = _validated(spark, d).summary
+    return out.select("label", "n_pairs", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
+
+
+@query
+def workflow_coverage(spark, d):
+    return _validated(spark, d).coverage
+
+
+@query
+def workflow_violations(spark, d):
+    return _validated(spark, d).violations
+
+
+def _catalogue(spark, d) -> DataFrame:
+    items = gold(spark, d).select("id", "img", "split")
+    return items.withColumn("priority", F.lit(0)).withColumn("seq", F.col("id"))
+
+
+def _gold(spark, d) -> pipelines.Gold:
+    return pipelines.build_gold(_validated(spark, d).rows, _catalogue(spark, d), seeds=20)
+
+
+@query
+def workflow_gold(spark, d):
+    return _gold(spark, d).rows.select("id", "text", "img", "split", *LABELS, "part")
+
+
+@query
+def workflow_gold_balance(spark, d):
+    out = _gold(spark, d).balance
+    return out.select("label", *[F.round(c, 9).alias(c) for c in ("train", "validation", "test", "drift")])
+
+
+@query
+def workflow_fine_grained(spark, d):
+    out = pipelines.fine_grained(_validated(spark, d).rows).categories
+    return out.select("dimension", "category", "n", "k", "rate", *[F.round(c, 9).alias(c) for c in ("phi", "low", "high")])
+
+
+@query
+def workflow_charts(spark, d):
+    rates = pipelines.chart_frames(pipelines.fine_grained(_validated(spark, d).rows))["rates"]
+    return rates.select("group", "label", "n", "rate", F.round("below", 9).alias("below"), F.round("above", 9).alias("above"))
+
+
+@query
+def workflow_relation(spark, d):
+    return pipelines.coarse_fine_relation(gold(spark, d)).select("hypothesis", "n", "match_rate", F.round("chi2", 6).alias("chi2"))
+
+
+@query
+def workflow_descriptive(spark, d):
+    items = gold(spark, d).withColumn("label", F.col("label_hateful")).withColumn("priority", F.lit(0)).withColumn("seq", F.col("id"))
+    found = pipelines.descriptive(items, None, items)
+    named = lambda k: found[k].select(F.lit(k).alias("part"), F.col(found[k].columns[0]).cast("string").alias("value"), "n")
+    return named("splits").union(named("labels")).union(named("label_incivility"))
+
+
+@query
+def workflow_evaluate_local(spark, d):
+    """The joint task answered by a stand-in for a model."""
+    return pipelines.evaluate_task(gold(spark, d), "joint", lambda prompts: ["Incivility: Civil, Intolerance: Tolerant, Hatefulness: Hateful"] * len(prompts))[1]
+
+
+@query
+def workflow_evaluate_api(spark, d):
+    """The coarse task answered by a stand-in for a remote model, which tells by the picture's number."""
+
+    def client():
+        import re
+
+        def send(prompt: str) -> list[dict]:
+            n = int(re.search(r"img/0*([0-9]+)\.png", prompt)[1])
+            return [{"type": "reasoning", "summary": ["by number"]}, {"type": "output_text", "text": ["Hateful", "Neutral.", "cannot say"][n % 3]}]
+
+        return send
+
+    items = gold(spark, d).withColumn("url", F.col("img"))
+    return pipelines.evaluate_api(items, "coarse", client).metrics
+
+
+@query
+def workflow_training_runs(spark, d):
+    """Conversations of the train part for every run of a grid: rows to train on, by run."""
+    parts = curate.stratified_split(gold(spark, d), ["split"], "id", 42)
+    config = {"training": {"epochs": 3, "rate": 0.0002}, "runs": [{"lora_r": 8}, {"lora_r": 16, "epochs": 2}]}
+    rows, _, runs = pipelines.training_runs(parts, config, "joint")
+    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+    return runs.crossJoin(F.broadcast(n)).select("run", F.col("lora_r").cast("int").alias("lora_r"), F.col("epochs").cast("int").alias("epochs"), "rate", "n_rows")
+
+
+def _folder(spark, name: str) -> str:
+    """A folder of its own that the driver and all workers share."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.gettempdir()}/tallyforge-{name}-{uuid.uuid4()}"
+
+
+@query
+def json_lines_round_trip(spark, d):
+    """The annotation log written as JSON lines and read by its schema."""
+    folder = _folder(spark, "log")
+    rows = annotations(spark, d).select("id", "annotator", *CODES, "label_hateful", "text", F.col("seq").cast("string").alias("time"), F.lit(None).cast("string").alias("img"))
+    sinks.json_lines(rows, folder)
+    return readers.json_lines(spark, folder, readers.ANNOTATION)
+
+
+@query
+def published_dataset(spark, d):
+    """The gold set published by split, and one split of it read."""
+    folder = _folder(spark, "gold")
+    sinks.publish(gold(spark, d).select("id", "split", *LABELS), folder)
+    return readers.dataset(spark, folder, "train").select("id", "split", *LABELS)
+
+
+@query
+def split_items_keep_first(spark, d):
+    """Items of several files, those of the first file kept where ids repeat, in order of the files' lines."""
+    paths = {k: _folder(spark, k) for k in ("train", "dev")}
+    items = gold(spark, d).select("id", "img", F.col("label_hateful").alias("label"), "text")
+    sinks.json_lines(items.where("id % 3 > 0"), paths["train"])
+    sinks.json_lines(items.withColumn("label", F.lit(7)), paths["dev"])
+    found = readers.split_items(spark, paths)
+    return labels.keep_first(found, ["img"], ["priority", "seq"], ["id", "label", "split"])
+
+
+@query
+def id_list_round_trip(spark, d):
+    folder = _folder(spark, "ids")
+    sinks.id_list(load(spark, d, "labels"), folder, "doc_id")
+    return readers.id_list(spark, folder)
+
+
+@query
+def bias_of_runs(spark, d):
+    """Row-level results of two runs written and read again; a third is not there."""
+    paths = {k: _folder(spark, k) for k in ("one", "two")}
+    for k, path in paths.items():
+        rows = parsed(predictions(spark, d), "joint").drop("o_orderpriority")
+        sinks.json_lines(rows.withColumn("output", F.lit(k)) if k == "one" else rows.where("id % 2 = 0").withColumn("output", F.lit(k)), path)
+    table, missing = pipelines.bias_analysis(spark, {"joint": {**paths, "three": _folder(spark, "three")}})
+    if len(missing) != 1:
+        raise ValueError(missing)
+    return table.select("task", "run_id", "category", "n", "tp", "tn", "fp", "fn", "fpr", "fnr")

@@ -25,10 +25,14 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str, tole
 
 
 def split_items(spark: SparkSession, paths: Mapping[str, str], schema: str = ITEM) -> DataFrame:
-    """Items of several split files with split and priority (0 first), which keep-first relies on."""
+    """Items of several split files with split and priority (0 first), which keep-first relies on.
+
+    seq is the place in the files: name, beginning of the block, and row in it, however files are dealt to tasks.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     out = None
     for k, (name, path) in enumerate(paths.items()):
-        one = json_lines(spark, path, schema).select("*", F.lit(name).alias("split"), F.lit(k).alias("priority"), F.monotonically_increasing_id().alias("seq"))
+        one = json_lines(spark, path, schema).select("*", F.lit(name).alias("split"), F.lit(k).alias("priority"), place.alias("seq"))
         out = one if out is None else out.union(one)
     return out
 

@@ -42,10 +42,13 @@ def latex_table(rows: DataFrame, columns: Sequence[str], digits: int = 2, limit:
 
 
 def text_report(sections: dict[str, DataFrame], limit: int = 200) -> str:
-    """Titled sections of small results, a row a line."""
+    """Titled sections of small results, a row a line; more than `limit` rows in one are an error."""
     out = []
     for title, rows in sections.items():
         out += [title, "=" * len(title)]
-        out += ["  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows.limit(limit).collect()]
+        found = rows.limit(limit + 1).collect()
+        if len(found) > limit:
+            raise ValueError(f"{title}: more than {limit} rows")
+        out += ["  ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in found]
         out.append("")
     return "\n".join(out)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators.labels import keep_last
@@ -16,23 +15,37 @@ def read_log(spark: SparkSession, folder: str, schema: str = ANNOTATION) -> Data
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
+def _versions(spark: SparkSession, target: str) -> dict[int, object]:
+    """Finished versions of the table and their folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return {}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("v=")]
+    return {int(p.getName()[2:]): p for p in found if system.exists(path(p, "_SUCCESS"))}
+
+
 def keep_latest(log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] = ("time",)) -> StreamingQuery:
     """Each batch becomes the next version of the table: target/v=N holds the latest row of each key so far.
 
-    A batch that is run again writes the same version from the same predecessor, so a restart changes nothing.
+    A batch that is run again writes the same version from the same predecessor, the newest one before it, so a restart
+    changes nothing. Two versions are kept; older ones go.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if n > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{target}/v={n - 1}").unionByName(batch)
+        known = _versions(spark, target)
+        before = max((v for v in known if v < n), default=None)
+        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{target}/v={before}").unionByName(batch)
         keep_last(rows, list(keys), list(order)).write.mode("overwrite").parquet(f"{target}/v={n}")
+        for v, path in known.items():
+            if before is not None and v < before:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The newest version."""
-    newest = spark.read.parquet(target)
-    return newest.where(F.col("v") == newest.agg(F.max("v")).first()[0]).drop("v")
+    return spark.read.parquet(f"{target}/v={max(_versions(spark, target))}")

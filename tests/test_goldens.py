@@ -100,9 +100,9 @@ def test_label_edges(spark):
     assert last.count() == 3 and last.where("annotator = 'b'").first().label_incivility == "0,2"
     assert {r.label: r.n_violations for r in labels.exclusivity_violations(rows, pipelines.CODES).collect()} == {"label_incivility": 1, "label_intolerance": 0}
     multi = {r.id: r for r in labels.majority_multilabel(rows, "id", "label_incivility", INCIVILITY, "i").collect()}
-    assert (multi[1]["i_Vulgar_Profane"], multi[1]["i_Insult"], multi[2]["i_Insult"]) == (1, 0, 0)
+    assert (multi[1]["i_Vulgar_Profane"], multi[1]["i_Attacks"], multi[2]["i_Attacks"]) == (1, 0, 0)
     soft = {r.id: r for r in labels.soft_labels(rows.where("time < '4'"), "id", "label_intolerance", INTOLERANCE, "s").collect()}
-    assert (soft[1]["s_Race"], soft[1]["s_Gender"]) == (0.25, 0.75) and sum(soft[2][c] for c in soft[2].asDict() if c != "id") == 0
+    assert (soft[1]["s_Political_Intolerance"], soft[1]["s_Racism"]) == (0.25, 0.75) and sum(soft[2][c] for c in soft[2].asDict() if c != "id") == 0
     binary = rows.select("id", F.col("label_hateful").alias("h"))
     assert labels.majority_mean(binary.where("id = 1").limit(2), ["id"], {"h": "h"}).first().h == 1
     assert labels.majority_mode(binary.where("id = 1").limit(2), ["id"], {"h": "h"}).first().h == 0
@@ -148,7 +148,7 @@ def test_chat(spark):
     items = spark.createDataFrame([(1, "a {} b", "img/1.png", 1, 0, 1), (2, None, None, 0, 1, 0)], "id long, text string, img string, label_hateful int, label_incivility int, label_intolerance int")
     flat = chat.flat_messages(chat.training_messages(items, "joint")).where("id = 1").orderBy("turn", "part").collect()
     assert [(r.role, r.type) for r in flat] == [("system", "text"), ("user", "image"), ("user", "text"), ("assistant", "text")]
-    assert flat[2].text.endswith("a {} b") and flat[3].text == "Incivility: Civil\nIntolerance: Intolerant\nHatefulness: Hateful"
+    assert "Caption: a {} b\n" in flat[2].text and flat[3].text == "Incivility: Civil, Intolerance: Intolerant, Hatefulness: Hateful"
     api = chat.flat_messages(chat.api_messages(items.withColumn("url", F.lit("data:x")), "coarse")).where("id = 2").orderBy("turn", "part").collect()
     assert [r.type for r in api] == ["input_text", "input_text", "input_image"]
     reply = "array<struct<type: string, text: string, summary: array<string>>>"
@@ -165,3 +165,101 @@ def test_config(spark):
     with pytest.raises(ValueError):
         config.resolve({"a": "${b}", "b": "${a}"})
     assert config.run_grid(spark, [{"r": 8, "m": "x"}, {"r": 16, "q": 0.5}]).count() == 2
+
+
+def test_category_names():
+    """Names that published tables of such logs give to the codes, in order of code."""
+    assert list(INCIVILITY.values()) == ["Civil", "Vulgar/Profane", "Attacks", "Aspersions"]
+    assert [INTOLERANCE[k] for k in (0, 1, 2, 3)] == ["Tolerant", "Threats to Rights", "Political Intolerance", "Racism"]
+    assert [INTOLERANCE[k] for k in (4, 5, 6)] == ["Social Intolerance", "Gender/Sexual Intolerance", "Religious Intolerance"]
+    assert [INTOLERANCE[k] for k in (7, 8, 9)] == ["Offensive Stereotypes", "Violent Threats", "Ableism"]
+
+
+def test_category_rates_by_name(spark):
+    """Rates and phi by category, those of code 0 among them."""
+    rows = []
+    for k in range(200):
+        inc, tol, hate = ("2", "3", 1) if k < 60 else ("0", "0", int(k % 10 == 0))
+        rows += [(k, who, inc, tol, hate, "t", who) for who in "abc"]
+    found = {r.category: r for r in pipelines.fine_grained(labels.binarize(log(spark, rows), pipelines.CODES)).categories.collect()}
+    assert set(found) == {"incivility_Attacks", "incivility_Civil", "intolerance_Racism", "intolerance_Tolerant"}
+    assert (found["intolerance_Racism"].n, found["intolerance_Racism"].rate, found["incivility_Civil"].n, found["incivility_Civil"].rate) == (60, 1.0, 140, 0.1)
+    assert found["incivility_Civil"].phi == pytest.approx(-found["incivility_Attacks"].phi)
+
+
+def naive_drift(rows, seed):
+    import hashlib
+
+    parts = {"train": [], "validation": [], "test": []}
+    for split in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == split), key=lambda r: (hashlib.md5(f"{r[0]}-{seed}".encode()).hexdigest(), r[0]))
+        held = -(-3 * len(own) // 10)
+        test = -(-2 * held // 3)
+        parts["test"] += own[:test]
+        parts["validation"] += own[test:held]
+        parts["train"] += own[held:]
+    mean = lambda p, c: sum(r[c] for r in parts[p]) / len(parts[p])
+    drift = [(abs(mean("validation", c) - mean("train", c)) + abs(mean("test", c) - mean("train", c))) / 2 for c in (2, 3)]
+    return round(sum(drift) / 2, 9)
+
+
+def test_best_seed_tells_seeds_apart(spark, monkeypatch):
+    rows = [(k, "ab"[k % 2] if k % 7 else None, int(k % 3 == 0), int(k % 5 == 0)) for k in range(150)]
+    drifts = [naive_drift(rows, s) for s in range(12)]
+    assert len(set(drifts)) > 6
+    df = spark.createDataFrame(rows, "id long, split string, a int, b int").repartition(3)
+    for digits in (2, 1):
+        monkeypatch.setattr(curate, "SEED_DIGITS", digits)
+        best = curate.best_seed(df, ["split"], "id", ["a", "b"], 12).first()
+        assert (best.drift, best.seed) == min((d, s) for s, d in enumerate(drifts))
+
+
+def test_ranks_do_not_depend_on_buckets(spark, monkeypatch):
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, "x").alias("s"))
+    found = []
+    for digits in (1, 2, 3):
+        monkeypatch.setattr(curate, "DIGITS", digits)
+        parts = {(r.id, r.part) for r in curate.stratified_split(df, ["s"], "id", 7).collect()}
+        taken = {r.id for r in curate.sample_fraction(df, ["s"], "id", 0.25, 7).collect()}
+        found.append((parts, taken))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 125
+    batch = curate.batches(df, "id", 16, ["s"]).orderBy("s", "id").collect()
+    place = {}
+    for r in batch:
+        n = place.get(r.s, 0)
+        assert (r.batch, r.place) == (n // 16, n % 16)
+        place[r.s] = n + 1
+    assert curate.batches(df.limit(0), "id", 16, ["s"]).count() == 0
+
+
+def test_kappa_of_many_values_and_overlap(spark):
+    rows = [(k, a, v) for k, (x, z) in enumerate([("0", "0"), ("1", "1"), ("2", "1"), ("1,2", "1,2"), ("0", "2"), ("2", "2")]) for a, v in (("x", x), ("y", z))] + [(9, "x", "0")]
+    df = spark.createDataFrame(rows, "id long, annotator string, c string")
+    r = stats.pairwise_kappa(df, ["c"]).first()
+    chance = (2 * 1 + 1 * 2 + 2 * 2 + 1 * 1) / 36
+    assert (r.n, r.agreement) == (6, pytest.approx(4 / 6)) and r.kappa == pytest.approx((4 / 6 - chance) / (1 - chance))
+    o = stats.overlap(df).first()
+    assert (o.n_common, o.n_a, o.n_b, o.complete) == (6, 7, 6, False)
+
+
+def test_presentation(spark):
+    df = spark.createDataFrame([(2.675,), (0.125,), (-1.5,), (None,)], "x double")
+    got = [r.y for r in df.select(text.rounded(F.col("x"), 2).alias("y")).collect()]
+    assert got[:3] == [2.67, 0.12, -1.5] and (got[3] is None or math.isnan(got[3]))
+    ids = spark.createDataFrame([("hub/some/model",), ("runs/joint/26-1/checkpoint-9",)], "m string").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    rows = ids.select(text.run_id("joint", F.col("m"), ["hub/"]).alias("id"), text.run_name("eval", F.col("at")).alias("n")).collect()
+    assert [r.id for r in rows] == ["eval_joint_hub_some_model", "eval_joint_26-1"] and rows[0].n == "eval_700101-000000"
+
+
+def test_images(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad")), (3, None)], "id int, content binary")
+
+    def fit(raw, w, h):
+        if raw == b"bad":
+            raise ValueError("no image")
+        return raw + bytes([w, h])
+
+    got = {r.id: r.content for r in chat.fit_images(df, fit, 4, 5).collect()}
+    assert got == {1: bytearray(b"ok\x04\x05"), 2: None, 3: None}
+    g = chat.fit_geometry(spark.createDataFrame([(3000, 1), (1, 3000), (1025, 768), (1024, 768)], "w int, h int"), 1024, 768).collect()
+    assert [(r.new_w, r.new_h) for r in g] == [(1024, 1), (1, 768), (1024, 767), (1024, 768)]

@@ -1,5 +1,9 @@
 import json
+import logging
+import threading
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.plans import pipelines
@@ -37,9 +41,9 @@ def test_labels_to_gold(spark, tmp_path):
     assert gold.rows.count() == 40 and gold.rows.where("split = 'train'").count() == 40 and 0 <= gold.seed < 10
     again = pipelines.reannotation(done.rows)
     assert again["again"].count() == 8 and again["agreed"].select("id").distinct().count() == 32
-    assert pipelines.calibration_review(done.rows).where("incivility like '%Insult%'").count() > 0
+    assert pipelines.calibration_review(done.rows).where("incivility like '%Attacks%'").count() > 0
     fine = pipelines.fine_grained(done.rows)
-    assert fine.frequency["incivility"].count() == 4 and fine.categories.count() == 3
+    assert fine.frequency["incivility"].count() == 4 and fine.categories.count() == 5
     assert pipelines.coarse_fine_relation(gold.rows).where("p_value between 0 and 1").count() == 4
     report = pipelines.descriptive(catalogue, None, gold.rows)
     assert report["rows"].first().n == 40 and report["duplicates"].first().n_duplicates == 5
@@ -65,7 +69,7 @@ def test_evaluation(spark, tmp_path):
     items = spark.range(50).select("id", F.lit("x").alias("text"), F.lit("i").alias("img"), *[(F.col("id") % k == 0).cast("int").alias(c) for k, c in ((2, "label_hateful"), (3, "label_incivility"), (5, "label_intolerance"))])
 
     def scorer(prompts):
-        return ["Incivility: Civil\nIntolerance: Tolerant\nHatefulness: Hateful" for _ in prompts]
+        return ["Incivility: Civil, Intolerance: Tolerant, Hatefulness: Hateful" for _ in prompts]
 
     rows, metrics = pipelines.evaluate_task(items, "joint", scorer)
     assert {r.category: r.accuracy for r in metrics.collect()}["hateful"] == 0.5
@@ -73,7 +77,9 @@ def test_evaluation(spark, tmp_path):
     def broken(prompts):
         raise RuntimeError("no model")
 
-    assert pipelines.evaluate_task(items, "coarse", broken)[1].first().invalid_rate == 1
+    assert pipelines.evaluate_task(items, "coarse", broken, max_failed=1.0)[1].first().invalid_rate == 1
+    with pytest.raises(Exception, match="rows failed"):
+        pipelines.evaluate_task(items, "coarse", broken)[1].collect()
     sinks.json_lines(rows, str(tmp_path / "run"))
     table, warnings = pipelines.bias_analysis(spark, {"joint": {"one": str(tmp_path / "run"), "two": str(tmp_path / "none")}})
     assert table.count() == 3 and len(warnings) == 1
@@ -100,3 +106,79 @@ def test_sinks(spark, tmp_path):
     sinks.append_metrics(df, str(tmp_path / "m"), run="r2")
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
     assert readers.files(spark, str(tmp_path / "doc"), "*.txt").count() >= 1
+
+
+def test_report_is_never_cut(spark):
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        sinks.text_report({"many": spark.range(6)}, limit=5)
+
+
+def test_stream_keeps_two_versions_and_skips_gaps(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    target, checkpoint = tmp_path / "out", str(tmp_path / "cp")
+    for k in range(4):
+        write(source / f"{k}.json", [annotation(1, "A", str(k), "0", 0, str(k))])
+        stream.keep_latest(stream.read_log(spark, str(source)), str(target), checkpoint).awaitTermination()
+    assert sorted(p.name for p in target.iterdir() if p.name.startswith("v=")) == ["v=2", "v=3"]
+    assert stream.latest(spark, str(target)).first().label_incivility == "3"
+
+
+def test_remote_model(spark):
+    items = spark.range(60).select("id", F.lit("x").alias("text"), F.lit("i").alias("img"), F.concat(F.lit("img/"), F.col("id")).alias("url"), *[(F.col("id") % 2).cast("int").alias(c) for c in ("label_hateful", "label_incivility", "label_intolerance")])
+
+    def client():
+        lock, state = threading.Lock(), {"now": 0, "most": 0}
+
+        def send(prompt):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+            time.sleep(0.002)
+            with lock:
+                state["now"] -= 1
+            n = int(prompt.split("img/")[1].split('"')[0])
+            if n == 7:
+                raise TimeoutError("no answer")
+            return [{"type": "reasoning", "summary": [f"at most {state['most']}"]}, {"type": "output_text", "text": "Hateful" if n % 2 else "Neutral"}]
+
+        return send
+
+    done = pipelines.evaluate_api(items.repartition(3), "coarse", client, in_flight=6, workers=2)
+    rows = done.rows.collect()
+    assert len(rows) == 60 and {r.id: r.output for r in rows}[4] == "Neutral" and {r.id: r.pred_hateful for r in rows}[7] == -1
+    assert all(int(r.reasoning.split()[-1]) <= 3 for r in rows if r.reasoning)
+    m = done.metrics.first()
+    assert m.accuracy == pytest.approx(59 / 60) and m.valid_samples == 59
+    with pytest.raises(Exception, match="rows failed"):
+        pipelines.evaluate_api(items, "coarse", client, max_failed=0.001).rows.collect()
+
+
+def test_models_and_runs(spark, tmp_path, caplog):
+    items = spark.range(40).select("id", F.lit("x").alias("text"), F.lit("i").alias("img"), F.lit("train").alias("part"), *[(F.col("id") % 2).cast("int").alias(c) for c in ("label_hateful", "label_incivility", "label_intolerance")])
+
+    def broken(prompts):
+        raise RuntimeError("no model")
+
+    tasks = {"zero-shot": {"hub/a": lambda p: ["Incivility: Civil, Intolerance: Tolerant, Hatefulness: Neutral"] * len(p), "hub/b": broken}, "base": {"runs/joint/26-1/last": lambda p: ["?"] * len(p)}}
+    logger = logging.getLogger("test-models")
+    with caplog.at_level(logging.INFO, logger="test-models"):
+        done = pipelines.evaluate_models(items, tasks, "joint", hubs=["hub/"], log=logger)
+    assert [e.run_id for e in done] == ["eval_zero-shot_hub_a", "eval_base_26-1"] and "eval_zero-shot_hub_b failed" in caplog.text
+    assert done[0].mean.first().accuracy == 0.5 and done[1].mean.first().invalid_rate == 1
+    for e in done:
+        pipelines.save_evaluation(e, str(tmp_path), task="joint")
+    assert {r.run_id for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {"eval_zero-shot_hub_a", "eval_base_26-1"}
+    assert "confusion_matrix" in spark.read.text(str(tmp_path / "eval_zero-shot_hub_a_metrics")).first().value
+    rows, settings, runs = pipelines.training_runs(items, {"training": {"rate": 0.1, "share": 0.5}, "runs": [{"r": 8}, {"rate": 0.2}]}, "fine")
+    assert rows.count() == 20 and settings == [{"rate": 0.1, "share": 0.5, "r": 8}, {"rate": 0.2, "share": 0.5}] and runs.count() == 2
+
+
+def test_logs(tmp_path):
+    from tallyforge import logs
+
+    log = logs.get("tallyforge.some.job", str(tmp_path))
+    assert logs.get("tallyforge.some.job", str(tmp_path)) is log and len(log.handlers) == 2
+    log.info("done")
+    files = list(tmp_path.iterdir())
+    assert len(files) == 1 and files[0].name.startswith("job_") and "INFO tallyforge.some.job: done" in files[0].read_text()
