@@ -1,12 +1,18 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions trained in numpy.
 
-The tagger learns begin/inside/outside tags of four kinds from labelled spans in short windows. In a text it reads the
-regions around characters without which no span of these kinds exists (a digit or an @), cut into overlapping windows;
-each window is decoded by Viterbi, and every character takes its tag from the window in which it lies deepest. Spans
-that pass their kind's exact check and touch no pattern span are added to those; pattern spans always stay.
+Patterns find e-mails, IP addresses, cards and phone numbers in their strict forms; their spans always stay. The tagger
+learns begin/inside/outside tags from labelled spans in short windows, of the same four kinds in whatever form people
+write them (national and spaced numbers, (at) and [dot], odd separators) and of secrets, which have no pattern. Every text
+is laid out in overlapping windows from its first character to its last; each window is decoded by Viterbi, and every
+character takes its tag from the window in which it lies deepest. Spans that can be of their kind (as many digits as a
+phone number has, a card's check digit) and touch no pattern span are added.
+
+Such a span has a digit, an @ or the word dot and at most LONGEST characters. Windows farther than that from all of them
+cannot touch a span that would be added, so they need not be decoded: the result is that of decoding all.
 
 Defined results: null or empty text has no spans; repeated rows are read one by one; an empty table gives an empty
-result; only the id and text columns are read, and redact passes the others through whatever their names.
+result; a null id stays null; only the id and text columns are read, and redact passes the others through whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds of the patterns, in order; the tagger knows one more.
 KINDS = ("email", "ip", "card", "phone")
-#: Window length and stride, context around a trigger, distance over which triggers share a region.
-WINDOW, STRIDE, CONTEXT, JOIN = 96, 48, 32, 32
+TAGGED = (*KINDS, "secret")
+#: Window length and stride, and the longest span that the tagger may add.
+WINDOW, STRIDE, LONGEST = 96, 48, 80
 #: Labelled windows that the tagger is trained on, and their seed: the documented bound of its sample.
-TRAINING_WINDOWS, SEED = 2400, 11
+TRAINING_WINDOWS, SEED = 6000, 11
 
 # --- patterns -----------------------------------------------------------------------------------------------------
 
@@ -66,6 +74,29 @@ def valid(kind: str, s: str) -> bool:
     return 9 <= len(n) <= 15 and bool(_PHONE.fullmatch(s))
 
 
+_WORD = re.compile(r"[a-z]+", re.I)
+_TOUCH = re.compile(r"[0-9@]|dot", re.I)
+
+
+def plausible(kind: str, s: str) -> bool:
+    """Whether a span that the tagger proposes can be of its kind, in whatever form it is written."""
+    if not 6 <= len(s) <= LONGEST or not _TOUCH.search(s):
+        return False
+    n, words = _digits(s), {w.lower() for w in _WORD.findall(s)}
+    if kind == "email":
+        return ("@" in s or "at" in words) and ("." in s or "dot" in words) and len(words - {"at", "dot"}) > 1
+    if kind == "secret":
+        return len(s) >= 16 and bool(n) and bool(words) and not any(c.isspace() for c in s)
+    if words:
+        return False
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and all(map(_small, parts))
+    if kind == "card":
+        return 12 <= len(n) <= 19 and luhn(n)
+    return 7 <= len(n) <= 15
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -92,7 +123,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- tagger -------------------------------------------------------------------------------------------------------
 
-TAGS = 1 + 2 * len(KINDS)
+TAGS = 1 + 2 * len(TAGGED)
 _CLASSES = 48
 _CODES = np.full(256, 1, np.int64)
 for _k in range(10):
@@ -131,10 +162,10 @@ class Tagger:
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         # An inside tag follows only its own begin or inside tag.
         self.forbid = np.zeros((TAGS, TAGS), np.float32)
-        for k in range(len(KINDS)):
+        for k in range(len(TAGGED)):
             self.forbid[:, 2 + 2 * k] = -1e4
             self.forbid[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = 0
-        self.forbid_first = np.array([0] + [0, -1e4] * len(KINDS), np.float32)
+        self.forbid_first = np.array([0] + [0, -1e4] * len(TAGGED), np.float32)
 
     def _lstm(self, x: np.ndarray, d: str, keep: bool):
         """x: time, batch, size. Hidden states, and what the backward pass needs."""
@@ -249,53 +280,77 @@ class Tagger:
 
 
 def labelled_windows(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Windows of text with the spans in them: personal data of the four kinds, alone or side by side, and lookalikes."""
+    """Windows of text with the spans in them: personal data and secrets in many forms, and lookalikes."""
     rng = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgkéèüñß"
-    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 10)))
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randrange(2, 9)))
+    pick, chance = rng.choice, rng.random
+    word = lambda: "".join(pick(letters) for _ in range(rng.randrange(1, 10)))
+    number = lambda n: "".join(pick("0123456789") for _ in range(n))
+    name = lambda: "".join(pick("abcdefghijklmnoprstuw") for _ in range(rng.randrange(2, 9)))
+    code = lambda n, of="0123456789abcdef": "".join(pick(of) for _ in range(n))
+
+    def email():
+        user = f"{name()}{pick(['.', '_', '-', '', '+'])}{pick([name(), number(2), ''])}x"
+        domain = [f"{name()}{pick(['', number(1)])}", *pick([["example", "com"], ["org"], ["net"], [name(), "com"], ["co", "uk"]])]
+        if chance() < 0.65:
+            return f"{user}@{'.'.join(domain)}"
+        at, dot = pick([(" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" @ ", " . "), (" AT ", " DOT "), ("(at)", ".")])
+        return user + at + dot.join(domain)
+
+    def ip():
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        return pick([".", ".", ".", " . ", "[.]", ". "]).join(parts)
 
     def card():
-        n = number(rng.choice([13, 14, 15, 15, 16, 16, 16, 16, 19]) - 1)
+        n = number(pick([13, 14, 15, 15, 16, 16, 16, 16, 19]) - 1)
         full = next(n + str(d) for d in range(10) if luhn(n + str(d)))
-        if len(full) == 16 and rng.random() < 0.4:
-            full = rng.choice(" -").join(full[k : k + 4] for k in range(0, 16, 4))
+        if len(full) == 16 and chance() < 0.6:
+            full = pick(" -./_").join(full[k : k + 4] for k in range(0, 16, 4))
         return full
 
     def phone():
-        return "+" + rng.choice(
-            [f"{number(1)} ({number(3)}) {number(3)}-{number(4)}", f"{number(2)} {number(3)} {number(7)}", f"{number(11)}", f"{number(2)}-{number(3)}-{number(3)}-{number(3)}", f"{number(1)}.{number(3)}.{number(3)}.{number(4)}"]
-        )
-
-    makers = (
-        lambda: f"{name()}{rng.choice(['.', '_', '-', '', '+'])}{rng.choice([name(), number(2), ''])}x@{name()}{rng.choice(['', number(1)])}.{rng.choice(['example.com', 'org', 'net', name() + '.com'])}",
-        lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
-        card,
-        phone,
-    )
+        forms = ["+1 (333) 333-4444", "+22 333 7777777", "+55555555555", "+22-333-333-333", "+1.333.333.4444"]
+        forms += ["(333) 333-4444", "333-333-4444", "333.333.4444", "0333 7777777", "0333/7777777", "0049 33 7777777", "(0333) 666666", "333 333 4444"]
+        return re.sub(r"([1-9])\1*", lambda m: number(len(m[0])), pick(forms))
+
+    def secret():
+        key = pick(["token", "api_key", "apikey", "secret", "password", "access_token", "auth_token", "client_secret", "key"])
+        value = pick([code(40), code(32), code(40), code(24, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), code(20, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")])
+        before = key + pick([" = ", " = ", "=", ": ", ":"]) + pick(['"', '"', "'", ""])
+        if chance() < 0.15:
+            before, value = before.upper(), value.upper()
+        return before, value
+
     others = (
         lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: number(rng.randrange(1, 9)), lambda: f"{number(2)}.{number(2)}", lambda: f"v{number(1)}.{number(1)}.{number(1)}",
-        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(8, 40))), lambda: f"{number(1)},{number(3)},{number(3)}", lambda: f"@{name()}", lambda: f"AK{number(3)}{name().upper()}{number(2)}",
+        lambda: f"{pick(['commit', 'sha256', 'md5', 'hash', 'id', ''])} {code(pick([8, 12, 32, 40]))}", lambda: f"{number(1)},{number(3)},{number(3)}", lambda: f"@{name()}",
+        lambda: f"{number(2)}:{number(2)}:{number(2)}", lambda: f"{number(4)}-{number(4)}", lambda: f"{pick(['ORD', 'No', 'ref'])}-{number(6)}", lambda: f"ISBN 978-{number(1)}-{number(2)}-{number(6)}-{number(1)}",
+        lambda: f"{number(16)}", lambda: f"at {name()} dot {name()}", lambda: f"{number(2)}/{number(2)}/{number(4)}", lambda: f"{number(4)}-{number(2)}-{number(2)} {number(2)}:{number(2)}", lambda: "dot " + name(),
+        lambda: f"{number(3)} {number(3)}", lambda: f"{number(2)} x {number(2)} = {number(4)}", lambda: f"token {name()}", lambda: code(rng.randrange(12, 90), pick(["x", "a", "=", "-", "abcdefghij", "_."])), lambda: f"{number(1)}.{number(1)}.", lambda: f"{number(3)}, {number(3)}, {number(4)}",
     )
     out = []
     for _ in range(count):
         text, spans = "", []
         while len(text) < WINDOW:
-            x = rng.random()
-            if x < 0.22:
-                for k in range(rng.choice([1, 1, 1, 2, 2, 3])):
-                    kind = rng.randrange(4)
+            x = chance()
+            if x < 0.24:
+                for k in range(pick([1, 1, 1, 2, 2, 3])):
+                    kind = rng.randrange(len(TAGGED))
                     if k:
-                        text += rng.choice([" ", " ", ", ", "; "])
-                    s = makers[kind]()
+                        text += pick([" ", " ", ", ", "; "])
+                    if kind == 4:
+                        before, s = secret()
+                        after = before[-1] if before[-1] in "'\"" else ""
+                    else:
+                        before, s, after = "", (email, ip, card, phone)[kind](), ""
+                    text += before
                     spans.append((len(text), kind, len(text) + len(s)))
-                    text += s
-            elif x < 0.34:
-                text += rng.choice(others)()
+                    text += s + after
+            elif x < 0.4:
+                text += pick(others)()
             else:
-                text += word().upper() if rng.random() < 0.05 else word().capitalize() if rng.random() < 0.15 else word()
-            text += rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", ": ", " | "])
+                text += word().upper() if chance() < 0.08 else word().capitalize() if chance() < 0.15 else word()
+            text += pick([" ", " ", " ", " ", ", ", ". ", "\n", ": ", " | ", "!! ", "### "])
         cut = rng.randrange(0, max(1, len(text) - WINDOW + 1))
         inside = [(max(0, s - cut), k, min(WINDOW, e - cut)) for s, k, e in spans if s < cut + WINDOW and e > cut]
         out.append((text[cut : cut + WINDOW], inside))
@@ -319,27 +374,26 @@ def train(windows: list | None = None) -> Tagger:
     return tagger
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, with context on both sides, in order and apart."""
-    at = np.flatnonzero(np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), [64, *range(48, 58)]))
-    if not len(at):
-        return
-    breaks = np.flatnonzero(np.diff(at) > JOIN + 2 * CONTEXT)
-    for s, e in zip(at[np.concatenate(([0], breaks + 1))], at[np.concatenate((breaks, [len(at) - 1]))], strict=True):
-        yield max(0, int(s) - CONTEXT), min(len(text), int(e) + 1 + CONTEXT)
+def window_starts(text: str, every: bool = False) -> np.ndarray:
+    """Starts of the windows of a text that are decoded; every: of all."""
+    starts = np.arange(0, max(1, len(text) - WINDOW + STRIDE), STRIDE) if text else np.zeros(0, np.int64)
+    if every or not len(starts):
+        return starts
+    at = np.array([m.start() for m in _TOUCH.finditer(text)], np.int64)
+    # A window is needed if any such place is nearer than a span may reach, beginnings of the word dot included.
+    low, high = np.searchsorted(at, starts - LONGEST - 4), np.searchsorted(at, starts + WINDOW + LONGEST + 4)
+    return starts[high > low]
 
 
-def tag_texts(tagger: Tagger, texts: list[str], windows_at_once: int = 1024) -> list[list[tuple[int, int, int]]]:
+def tag_texts(tagger: Tagger, texts: list[str], windows_at_once: int = 1024, every: bool = False) -> list[list[tuple[int, int, int]]]:
     """Decoded spans (start, kind, end) of texts: overlapping windows, reconciled by depth."""
     where: list[tuple[int, int, int]] = []
-    rows, codes = [], {}
+    codes = {}
     for k, text in enumerate(texts):
-        found = list(regions(text))
-        if found:
+        starts = window_starts(text, every).tolist()
+        if starts:
             codes[k] = encode_chars(text)
-        for s, e in found:
-            for a in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE):
-                where.append((k, a, min(e, a + WINDOW)))
+        where += [(k, a, min(len(text), a + WINDOW)) for a in starts]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     tags, depth = {k: np.zeros(len(c), np.int8) for k, c in codes.items()}, {k: np.zeros(len(c), np.int16) for k, c in codes.items()}
     for first in range(0, len(where), windows_at_once):
@@ -366,21 +420,23 @@ def tag_texts(tagger: Tagger, texts: list[str], windows_at_once: int = 1024) ->
     return out
 
 
-def all_spans(tagger: Tagger, texts: list[str]) -> tuple[list, list]:
-    """Pattern spans, and those with the tagger's added, of each text."""
+def all_spans(tagger: Tagger, texts: list[str], every: bool = False) -> tuple[list, list]:
+    """Pattern spans, and those with the tagger's added, of each text. every: decode windows that cannot matter, too."""
     base = [base_spans(t) for t in texts]
     whole = []
-    for text, own, found in zip(texts, base, tag_texts(tagger, texts), strict=True):
+    for text, own, found in zip(texts, base, tag_texts(tagger, texts, every=every), strict=True):
         taken = np.zeros(len(text), bool) if found else None
         for s, _, e in own if found else ():
             taken[s:e] = True
         added = []
         for s, kind, e in found:
+            if e - s > LONGEST:
+                continue
             while s < e and text[s].isspace():
                 s += 1
             while s < e and (text[e - 1].isspace() or text[e - 1] in ",;:"):
                 e -= 1
-            if s < e and valid(KINDS[kind], text[s:e]) and not taken[s:e].any():
+            if s < e and plausible(TAGGED[kind], text[s:e]) and not taken[s:e].any():
                 taken[s:e] = True
                 added.append((s, kind, e))
         whole.append(sorted(own + added))
@@ -396,7 +452,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     model = tagger or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        show = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
+        show = lambda spans: [{"kind": TAGGED[k], "start": s, "end": e} for s, k, e in spans]
         for batch in batches:
             base, whole = all_spans(model, [t.as_py() or "" for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays(
@@ -420,7 +476,7 @@ def redact(docs: DataFrame, text_col: str = "text", tagger: Tagger | None = None
                 parts, at = [], 0
                 for s, kind, e in spans:
                     if s >= at:
-                        parts.append(texts[k][at:s] + f"[{KINDS[kind].upper()}]")
+                        parts.append(texts[k][at:s] + f"[{TAGGED[kind].upper()}]")
                     at = max(at, e)
                 if spans:
                     texts[k] = "".join(parts) + texts[k][at:]

@@ -53,6 +53,67 @@ def test_held_out_accuracy(tagger):
     assert (gold & mine).sum() / mine.sum() > 0.95 and (gold & mine).sum() / gold.sum() > 0.95
 
 
+def test_held_out_spans(tagger):
+    """Whole spans of unseen windows that lie within them: found, and rightly so."""
+    inner = lambda spans: {x for x in spans if 0 < x[0] and x[2] < pii_crf.WINDOW}
+    windows = labelled_windows(400, 98)
+    found = tag_texts(tagger, [w for w, _ in windows], every=True)
+    gold, mine = [inner(g) for _, g in windows], [inner(m) for m in found]
+    both = sum(len(g & m) for g, m in zip(gold, mine, strict=True))
+    assert both / sum(map(len, mine)) > 0.88 and both / sum(map(len, gold)) > 0.88
+
+
+#: Written by hand, not by the module's generator: text, and what is personal or secret in it.
+BY_HAND = [
+    ("Please call our office on (459) 555-9246 before Friday and ask for Maria.", ["(459) 555-9246"]),
+    ("you can reach her at 459-555-9246 in the evening", ["459-555-9246"]),
+    ("Write to john.doe (at) widgets (dot) com for the slides.", ["john.doe (at) widgets (dot) com"]),
+    ("contact: peter_m [at] uni-example [dot] org, thank you", ["peter_m [at] uni-example [dot] org"]),
+    ("the config had api_key = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" in plain text", ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]),
+    ("token: 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e was pushed by mistake", ["4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"]),
+    ("paid with card 4111.1111.1111.1111 at the desk", ["4111.1111.1111.1111"]),
+    ("card number 4111/1111/1111/1111, valid until next year", ["4111/1111/1111/1111"]),
+    ("the server 10 . 20 . 30 . 40 did not answer", ["10 . 20 . 30 . 40"]),
+    ("blocked 203[.]0[.]113[.]77 at the firewall", ["203[.]0[.]113[.]77"]),
+]
+#: Nothing of either kind.
+BY_HAND_CLEAN = [
+    "The meeting of 2024-05-01 at 12:30 lasted 90 minutes.",
+    "Version 3.11.4 came out in 2023, 1,234,567 downloads later.",
+    "See section 4.1.2 and pages 100-120 of the report.",
+    "They met at noon and sat at the dot on the map.",
+    "Order 4711 was shipped in 3 parcels of 12 kg each.",
+    "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b fixes the build",
+]
+
+
+def test_forms_that_no_pattern_has(tagger):
+    texts = [t for t, _ in BY_HAND]
+    base, whole = all_spans(tagger, texts)
+    assert base == [[] for _ in texts]
+    right = sum({t[s:e] for s, _, e in w} == set(x) for (t, x), w in zip(BY_HAND, whole, strict=True))
+    assert right >= 7, [({t[s:e] for s, _, e in w}, x) for (t, x), w in zip(BY_HAND, whole, strict=True)]
+    wrong = [(t, w) for t, w in zip(BY_HAND_CLEAN, all_spans(tagger, BY_HAND_CLEAN)[1], strict=True) if w]
+    assert len(wrong) <= 1, wrong
+
+
+def test_windows_left_out_change_nothing(tagger):
+    """Decoding every window of whole texts gives the same spans as decoding those that a span can touch."""
+    rng = random.Random(12)
+    parts = [w for w, _ in labelled_windows(60, 5)] + ["plain words without any of it, " * k for k in (1, 5, 12, 30)] * 12
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts += [t for t, _ in BY_HAND] + ["", "x", "y" * 5000, "9" * 700, ("z" * 300 + "7") * 9]
+    assert all_spans(tagger, texts) == all_spans(tagger, texts, every=True)
+    few, every = (sum(len(pii_crf.window_starts(t, e)) for t in texts) for e in (False, True))
+    assert few < 0.8 * every
+
+
+def test_very_long_text(tagger):
+    text = "some words " * 50_000 + "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" and a.b@example.org " + " " * 200_000
+    _, whole = all_spans(tagger, [text])
+    assert [text[s:e] for s, _, e in whole[0]] == ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "a.b@example.org"]
+
+
 def test_gradient():
     small = pii_crf.Tagger(hidden=3, size=4)
     small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
