@@ -1,13 +1,17 @@
 """HTML extraction with a site style tree.
 
 The pages of a host are merged into one tree. An element node is a path of tags, classes and places; under it every
-sequence of child tags that pages have is a style. A node's importance is the entropy of its styles over its pages
-(base: their number), a leaf's that of its contents; a node found in one page only is wholly important. In a page the
-composite importance of a branch mixes its own with that of its children, weighed by GAMMA per style. A branch below
-THRESHOLD throughout is noise: menus, headers or notices that a site repeats, inside articles as outside them. What
-markup says outright stands as the tree's prior: scripts, forms, navigation and the like are never content. Of an
-article, blocks that the site repeats go unless they hold most of its text: then the story was published more than once
-and stays whole. Inside articles equal neighbours count as one in styles, so articles of any length share their nodes.
+sequence of child tags that pages have is a style. A node's importance is the entropy of its styles over its pages, a
+leaf's that of its contents, relative to the entropy of pages that all differ. Every node is counted with one page more,
+of a style of its own, so that few pages say little. In a page the composite importance of a branch mixes its own with
+that of its children, weighed by GAMMA per style. A branch below the threshold throughout is noise: menus, headers,
+footers or notices that a site repeats, inside articles as outside them, whatever they are called. The threshold is
+THRESHOLD; beside an article, where text is rarely wanted, it is BESIDE: what is not almost always new goes.
+
+Entropy cannot tell noise that differs on every page: comments, related links, adverts, or the menu of a site with one
+page. There names decide, of elements, classes and roles; scripts, forms and the like are never content. Of an article,
+blocks that the site repeats go unless they hold most of its text: then the story was published more than once and stays
+whole. Inside articles equal neighbours count as one in styles, so articles of any length share their nodes.
 
 The tree is only counts: each task counts nodes and styles of its pages, and sums per node go through one shuffle, so
 a host of any size is fine. Only nodes of low importance are told to the extracting tasks; beyond TOLD of them each page
@@ -31,15 +35,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import checkpointed
 
-GAMMA, THRESHOLD = 0.9, 0.35
-#: Pages of a host below which repetition says nothing.
-LEAST_PAGES = 4
+GAMMA, THRESHOLD, BESIDE = 0.9, 0.35, 0.95
 #: Nodes of low importance that are told to all tasks.
 TOLD = 200_000
 
 # Kinds of HTML elements and the words by which sites name their parts.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-HIDDEN = RAW | frozenset("head nav footer aside form button select option input label menu dialog svg canvas object embed audio video map".split())
+HIDDEN = RAW | frozenset("head form button select option input label svg canvas object embed audio video map".split())
+NOISE = frozenset("nav footer aside menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html dd dt li tbody td tfoot th thead tr summary figcaption".split())
@@ -61,26 +64,29 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "noise", "content")
+    """An element. noise: no part of the text; named: its name speaks against it."""
 
-    def __init__(self, tag: str, names: str = "", noise: bool = False, content: bool = False):
-        self.tag, self.names, self.noise, self.content = tag, names, noise, content
+    __slots__ = ("tag", "names", "children", "noise", "named", "content")
+
+    def __init__(self, tag: str, names: str = "", noise: bool = False, named: bool = False, content: bool = False):
+        self.tag, self.names, self.noise, self.named, self.content = tag, names, noise, named, content
         self.children: list = []
 
 
 def _element(tag: str, rest: str) -> Node:
-    noise, content, names = tag in HIDDEN, tag in CONTENT, ""
+    noise, named, content, names = tag in HIDDEN, tag in NOISE, tag in CONTENT, ""
     if rest.strip(" /"):
         found = {m[0].lower(): entities.unescape(m[1] or m[2] or m[3] or "").lower() for m in _ATTRIBUTE.findall(rest)}
         names = f"{found.get('id', '')} {found.get('class', '')}".strip()
         tokens = [t for n in names.split() for t in ([n] if n.isalpha() else [n, *_NAME.findall(n)])]
         role = found.get("role", "")
         content |= role in ("main", "article") or found.get("itemprop") == "articlebody" or any(t in CONTENT_NAMES for t in tokens)
-        noise |= role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        noise |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        named |= role in NOISE_ROLES
         # The page's outermost elements are named for layouts; a named part of an article is still a part.
         if tag not in ("html", "body", "article", "main", "p", "h1") and any(t in NOISE_NAMES for t in tokens):
-            noise = True
-    return Node(tag, names, noise, content)
+            named = True
+    return Node(tag, names, noise, named, content)
 
 
 def parse(page: str) -> Node:
@@ -187,12 +193,12 @@ def style_rows(root: Node, host: str) -> Iterator[tuple[int, int]]:
             yield key, _hash("text", *words)
 
 
-def mark_noise(root: Node, key: int, low) -> None:
-    """Mark branches whose composite importance is below THRESHOLD as noise.
+def mark_noise(root: Node, key: int, low, names: bool = True) -> None:
+    """Mark branches whose composite importance is below THRESHOLD as noise, and those whose names say so.
 
     low(key) gives a node's importance and number of styles, or None if it is high. A branch with an important part
     stays; otherwise its importance mixes its own with the mean of its children's. Works from the leaves up. An article
-    is never noise itself, and its blocks are only if most of its text remains.
+    is never noise itself, and its blocks are only if most of its text remains. names: False leaves it to the tree.
     """
     order: list[tuple[Node, int, int, int]] = [(root, key, -1, -1)]
     at = 0
@@ -200,18 +206,20 @@ def mark_noise(root: Node, key: int, low) -> None:
         node, own_key, _, article = order[at]
         # A header met outside articles is the page's, while one inside holds the headline.
         if article in (-1, at):
-            node.noise = node.noise or node.tag == "header" or "header" in node.names.replace("-", " ").replace("_", " ").split()
+            node.named = node.named or node.tag == "header" or "header" in node.names.replace("-", " ").replace("_", " ").split()
         inner = _inner(node)
         if inner and not (at and node.noise):
             shape, places = _style(inner, article >= 0)
             for c, k in zip(inner, places, strict=True):
                 order.append((c, _hash(own_key, shape, k, c.tag, c.names), at, len(order) if article < 0 and _is_article(c) else article))
         at += 1
+    beside = BESIDE if any(article >= 0 for _, _, _, article in order) else THRESHOLD
     parts: list[list[float]] = [[] for _ in order]
     repeated: dict[int, list[Node]] = {}
     for at in range(len(order) - 1, -1, -1):
         node, own_key, parent, article = order[at]
         own, styles = low(own_key) or (1.0, 1)
+        limit = beside if article < 0 else THRESHOLD
         if at and node.noise:
             own = 0.0
         elif article == at:
@@ -219,14 +227,16 @@ def mark_noise(root: Node, key: int, low) -> None:
         elif parts[at]:
             weight = GAMMA ** max(1, styles)
             top = max(parts[at] + [own] * bool(_own_words(node)))
-            own = top if top >= THRESHOLD else (1 - weight) * own + weight * sum(parts[at]) / len(parts[at])
+            own = top if top >= limit else (1 - weight) * own + weight * sum(parts[at]) / len(parts[at])
         if parent >= 0:
-            parts[parent].append(own)
-            if own < THRESHOLD and article < 0:
+            # What its name speaks against is no reason to keep the branch it is in.
+            parts[parent].append(0.0 if names and node.named else own)
+            if own < limit and article < 0:
                 # Part of a sentence goes only with it.
                 node.noise = node.noise or node.tag in BLOCKS or not _own_words(order[parent][0])
-            elif own < THRESHOLD and not node.noise and node.tag in BLOCKS:
+            elif own < limit and article >= 0 and not node.noise and not (names and node.named) and node.tag in BLOCKS:
                 repeated.setdefault(article, []).append(node)
+            node.noise = node.noise or (names and node.named)
     for article, nodes in repeated.items():
         whole = sum(map(len, blocks(order[article][0])))
         for node in nodes:
@@ -268,10 +278,10 @@ def blocks(root: Node, bare: frozenset[int] | set[int] = frozenset()) -> list[st
     return out
 
 
-def extract_page(page: str | None, url: str | None, low) -> str:
+def extract_page(page: str | None, url: str | None, low, names: bool = True) -> str:
     """The main text of a page: what is no noise. Loose text beside an article has no element and is left out."""
     root = parse(page or "")
-    mark_noise(root, _hash("host", host_of(url)), low)
+    mark_noise(root, _hash("host", host_of(url)), low, names)
     beside: set[int] = set()
     above: dict[int, Node] = {}
     todo = [root]
@@ -290,7 +300,7 @@ def extract_page(page: str | None, url: str | None, low) -> str:
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """(node, m, styles, imp) of nodes of at least LEAST_PAGES pages whose own importance is below THRESHOLD."""
+    """(node, styles, imp) of nodes whose own importance is below BESIDE, the higher threshold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +310,9 @@ def importances(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("url", "html").mapInArrow(count, "node long, style long, n long").groupBy("node", "style").agg(F.sum("n").alias("n"))
     nodes = rows.groupBy("node").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    nodes = nodes.where(F.col("m") >= LEAST_PAGES).select("node", "styles", (1 - F.col("s") / (F.col("m") * F.log("m"))).alias("imp"))
-    return checkpointed(nodes.where(F.col("imp") < THRESHOLD))
+    total = F.col("m") + 1
+    nodes = nodes.select("node", "styles", (1 - F.col("s") / (total * F.log(total))).alias("imp"))
+    return checkpointed(nodes.where(F.col("imp") < BESIDE))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", told: int = TOLD) -> DataFrame:

@@ -90,3 +90,62 @@ def test_repeated_inline_parts_stay_in_their_paragraph(spark):
     data = [(k, "http://a.b/", f"<article><p><b>Note</b> of {k} things</p></article><div><i>Also</i> number {k}</div>", "", 1, 1) for k in range(9)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(data, SCHEMA)).collect()}
     assert got == {k: f"Note of {k} things\nAlso number {k}" for k in range(9)}
+
+
+def brute_importances(pages):
+    """The tree as nested dictionaries: how often each node has each style or content, and the entropy of that."""
+    import math
+    from collections import Counter, defaultdict
+
+    from tallyforge.llm.style_tree import parse, style_rows
+
+    counts = defaultdict(Counter)
+    for url, html in pages:
+        for node, style in style_rows(parse(html or ""), host_of(url)):
+            counts[node][style] += 1
+    out = {}
+    for node, c in counts.items():
+        m = sum(c.values()) + 1
+        shares = [n / m for n in c.values()] + [1 / m]
+        out[node] = (-sum(p * math.log(p) for p in shares) / math.log(m), len(c))
+    return out
+
+
+def test_importances_against_brute_force(spark):
+    from tallyforge.llm.style_tree import BESIDE, importances
+
+    data, _ = rows()
+    truth = {k: v for k, v in brute_importances([(r[1], r[2]) for r in data]).items() if v[0] < BESIDE - 1e-9}
+    got = {r.node: (r.imp, r.styles) for r in importances(spark.createDataFrame(data, SCHEMA).repartition(4)).collect() if r.imp < BESIDE - 1e-9}
+    assert set(got) == set(truth) and len(got) > 10
+    assert all(abs(got[k][0] - truth[k][0]) < 1e-9 and got[k][1] == truth[k][1] for k in got)
+
+
+def test_ablation_tree_and_names():
+    """Marked pages whose noise comes in a few variants: the tree alone removes it without the names, which leave none."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    variants = [(" ".join(f"<a>{word()}</a>" for _ in range(5)), " ".join(word() for _ in range(6))) for _ in range(6)]
+    pages, truth = [], []
+    for _ in range(60):
+        menu, ad = rng.choice(variants)
+        body = [" ".join(word() for _ in range(25)) for _ in range(3)]
+        pages.append(("http://a.b/", f"<body><nav>{menu}</nav><div class=ad>{ad}</div><article>{''.join(f'<p>{x}</p>' for x in body)}</article><footer>{ad} us</footer></body>"))
+        truth.append("\n".join(body))
+    low = {k: v for k, v in brute_importances(pages).items() if v[0] < 0.95}
+    run = lambda low, names: [extract_page(h, u, low.get, names) for u, h in pages]
+    assert run(low, True) == run({}, True) == run(low, False) == truth
+    assert all(a != b for a, b in zip(run({}, False), truth, strict=True))
+
+
+def test_few_pages_say_little(spark):
+    page = "<body><div class=q>Home News</div><div class=w><p>{}</p></div></body>"
+    for n, menu in ((2, True), (3, True), (4, False), (9, False)):
+        data = [(k, "http://a.b/", page.format(f"Text number {k}"), "", 1, 1) for k in range(n)]
+        got = {r.text for r in extract(spark.createDataFrame(data, SCHEMA)).collect()}
+        assert got == {("Home News\n" if menu else "") + f"Text number {k}" for k in range(n)}
+
+
+def test_very_long_page():
+    page = "<article>" + "<p>some words here</p>" * 40_000 + "</article>" + " " * 300_000
+    assert extract_page(page, "http://a/", high).count("\n") == 39_999
