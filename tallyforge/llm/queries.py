@@ -98,6 +98,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def lm_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_lm_score says besides the model's score, which SQL can restate."""
+    out = op1_lm_score(spark, sf_dir).drop("score")
+    return out.withColumn("base_score", F.round("base_score", 4))
+
+
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_quality_rules says besides the likelihood ratio and its verdict."""
+    return op9_quality_rules(spark, sf_dir).drop("kept", "llr")
+
+
+def pii_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_pii says besides the tagger's spans."""
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_style_tree": op2_style_tree,
@@ -110,9 +126,21 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
     "pipeline": pipeline,
+    "lm_base_figures": lm_base_figures,
+    "quality_base_figures": quality_base_figures,
+    "pii_base_figures": pii_base_figures,
 }
-#: Only the Jaccard join can be said in SQL over whole tables; the other operators are held against brute-force versions
-#: in tests (hashes, models and tokenizers have no SQL form).
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: CRC-32 of an id's text, bit by bit: a list element is a byte to be added, or -1 for a shift.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT)"""
+#: Kinds of personal data in order, with their patterns.
+_KINDS = r"""(VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'))"""
+
+#: The Jaccard join and what three operators say besides their models can be said in SQL over whole tables; the rest is
+#: held against brute-force versions in tests (hashes, models, approximate search and tokenizers have no SQL form).
 ORACLES: dict[str, str] = {
     "op7_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -122,4 +150,26 @@ ORACLES: dict[str, str] = {
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
+    "lm_base_figures": f"""WITH d AS (SELECT doc_id, {_FOLDED} AS w, {_CRC} % 10 <> 0 AS training FROM documents),
+ c AS (SELECT k, count(*) AS c FROM (SELECT unnest(w) AS k FROM d WHERE training) GROUP BY k UNION ALL SELECT NULL, count(*) FROM d WHERE training HAVING count(*) > 0),
+ a AS (SELECT sum(c) AS n, count(*) AS v FROM c),
+ t AS (SELECT doc_id, unnest(w) AS k, false AS is_end FROM d UNION ALL SELECT doc_id, NULL, true FROM d),
+ s AS (SELECT t.doc_id, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (a.n + 0.1::DOUBLE * (a.v + 1)))) AS b FROM t JOIN a ON true LEFT JOIN c ON c.k IS NOT DISTINCT FROM t.k GROUP BY t.doc_id)
+ SELECT d.doc_id, NOT d.training AS held_out, n_tokens, n_known, a.n::BIGINT AS train_tokens, round(b, 4) AS base_score FROM d JOIN s ON s.doc_id = d.doc_id, a""",
+    "quality_base_figures": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+ g AS (SELECT doc_id, unnest(range(len(w) - 4)) AS i, w FROM d WHERE len(w) >= 5), h AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM g),
+ r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM h), p AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id)
+ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b""",
+    "pii_base_figures": rf"""WITH f AS (SELECT doc_id, k, kind, regexp_extract_all(coalesce(text, ''), p) AS ms, regexp_split_to_array(coalesce(text, ''), p) AS ps FROM documents, {_KINDS} AS kinds(k, kind, p)),
+ u AS (SELECT doc_id, k, kind, unnest(range(len(ms))) AS i, ms, ps FROM f),
+ m AS (SELECT doc_id, k, kind, ms[i + 1] AS m, (list_sum(list_transform(ps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0))::BIGINT AS s FROM u),
+ n AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n, reverse(regexp_replace(m, '[^0-9]', '', 'g')) AS r FROM m),
+ g AS (SELECT * FROM n WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(nullif(right(ltrim(x, '0'), 3), '') AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(r)), lambda i: CASE WHEN i % 2 = 0 THEN r[i + 1]::INT ELSE 2 * r[i + 1]::INT - 9 * (r[i + 1]::INT > 4)::INT END)) % 10 = 0
+  ELSE length(n) BETWEEN 9 AND 15 END)
+ SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, k) FILTER (kind IS NOT NULL), '')) AS base_sha256 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id""",
 }

@@ -53,3 +53,14 @@ def test_documents(spark, reference):
     for r in got:
         assert r.ids == reference.encode_ordinary(text[r.doc_id]) and bytes(r.decoded) == text[r.doc_id].encode()
     assert bpe_matrix.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_pieces_at_the_widest_matrix(reference):
+    """Pieces of up to WIDEST bytes are merged in matrices, longer ones by a heap: the same ids on both sides of it."""
+    model, pieces = bpe_matrix.load(PATH)
+    rng = random.Random(9)
+    for n in range(bpe_matrix.WIDEST - 2, bpe_matrix.WIDEST + 4):
+        for text in ("a" * n, "".join(rng.choice("etaoin") for _ in range(n)), "é" * (n // 2) + "x" * (n % 2)):
+            assert len(text.encode()) == n
+            ids = pieces.ids(text)
+            assert ids.tolist() == reference.encode_ordinary(text) and model.decode(ids.astype(np.int64)) == text.encode()

@@ -197,3 +197,11 @@ def test_training_carries_the_state_through_a_long_document():
     assert len(seen) > 4
     for t, h in seen[1:]:
         assert np.allclose(h, whole[t - 1], atol=1e-5)
+
+
+def test_very_long_text_and_missing_id(spark):
+    long = " ".join(f"w{k % 700}" for k in range(60_000))
+    rows = [(None, "no id here"), (1, long), (2, long + " end"), (3, "w1 " * 10), (4, "\n" * 100_000)]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {None: 4, 1: 60_001, 2: 60_002, 3: 11, 4: 1}
+    assert not got[None].held_out and all(math.isfinite(r.score) and r.score < 0 for r in got.values())

@@ -103,3 +103,30 @@ def test_threshold_follows_trusted_scores(spark, monkeypatch):
     for r in score_quality(docs, trusted, threshold=None).where("doc_id is not null").collect():
         assert r.kept == (not r.base_failed and r.llr >= least - 1e-9)
     assert score_quality(docs, trusted_ids(labels.limit(0)), threshold=None).where("kept = base_failed").count() == 0
+
+
+def test_ties_stay_and_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(k, f"a{k} b c d e f g h i j k l") for k in range(20)] + [(50, long), (51, "x" * 500_000), (None, long), (52, ("word" + " " * 50_000) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    everything = docs.select("doc_id")
+    got = {r.doc_id: r for r in score_quality(docs.where("doc_id is not null"), everything, threshold=0.0).collect()}
+    # All documents are trusted: every ratio is 0, which is the threshold itself.
+    assert all(got[k].llr == 0 and got[k].kept for k in [*range(20), 50]) and got[50].n_words == 120_000
+    assert (got[51].n_words, got[51].kept, got[52].n_words, got[52].word_chars) == (1, False, 12, 48)
+    assert score_quality(docs, everything).where("doc_id is null").first().n_words == 120_000
+
+
+def test_base_figures_by_sql(spark, tmp_path):
+    """The DuckDB form of the base figures, on rows of this test."""
+    import duckdb
+
+    from tallyforge.llm.queries import ORACLES
+
+    rows = [(i, t) for i, t in corpus() if i is not None][:-1]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    table = con.sql(ORACLES["quality_base_figures"])
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert sorted(table.select(*names).fetchall()) == sorted((i, *base(t)) for i, t in rows)
