@@ -7,7 +7,8 @@ large, has a proper distribution: P(class | state), then P(word | class, state)
 
 Counts cover all training documents, and the network reads each of them once: a hash of the id deals them to ROUNDS
 rounds, and in a round every task runs truncated backpropagation over its partition's documents from the weights so
-far, and the results are averaged by tokens.
+far, and the results are averaged by tokens. So the score, unlike the base figures, varies with how rows lie in
+partitions, within the noise of training; a lost executor's tasks give the same weights again.
 Scoring runs documents in lanes, with the state carried from window to window to a document's end.
 
 Defined results: null or empty text is one end token; a null id belongs to no fold and is read as training; rows that
