@@ -13,6 +13,7 @@ from tallyforge.plans import pipelines
 from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
 from tallyforge.plans.config import run_grid
 from tallyforge.plans.oracle import ORACLES
+from tallyforge.session import shared_folder
 from tallyforge.sources import readers, sinks
 from tallyforge.sources.adapters import annotations, gold, load, parsed, predictions
 
@@ -544,19 +545,10 @@ def workflow_training_runs(spark, d):
     return runs.crossJoin(F.broadcast(n)).select("run", F.col("lora_r").cast("int").alias("lora_r"), F.col("epochs").cast("int").alias("epochs"), "rate", "n_rows")
 
 
-def _folder(spark, name: str) -> str:
-    """A folder of its own that the driver and all workers share."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/tallyforge-{name}-{uuid.uuid4()}"
-
-
 @query
 def json_lines_round_trip(spark, d):
     """The annotation log written as JSON lines and read by its schema."""
-    folder = _folder(spark, "log")
+    folder = shared_folder(spark, "log")
     rows = annotations(spark, d).select("id", "annotator", *CODES, "label_hateful", "text", F.col("seq").cast("string").alias("time"), F.lit(None).cast("string").alias("img"))
     sinks.json_lines(rows, folder)
     return readers.json_lines(spark, folder, readers.ANNOTATION)
@@ -565,7 +557,7 @@ def json_lines_round_trip(spark, d):
 @query
 def published_dataset(spark, d):
     """The gold set published by split, and one split of it read."""
-    folder = _folder(spark, "gold")
+    folder = shared_folder(spark, "gold")
     sinks.publish(gold(spark, d).select("id", "split", *LABELS), folder)
     return readers.dataset(spark, folder, "train").select("id", "split", *LABELS)
 
@@ -573,7 +565,7 @@ def published_dataset(spark, d):
 @query
 def split_items_keep_first(spark, d):
     """Items of several files, those of the first file kept where ids repeat, in order of the files' lines."""
-    paths = {k: _folder(spark, k) for k in ("train", "dev")}
+    paths = {k: shared_folder(spark, k) for k in ("train", "dev")}
     items = gold(spark, d).select("id", "img", F.col("label_hateful").alias("label"), "text")
     sinks.json_lines(items.where("id % 3 > 0"), paths["train"])
     sinks.json_lines(items.withColumn("label", F.lit(7)), paths["dev"])
@@ -583,7 +575,7 @@ def split_items_keep_first(spark, d):
 
 @query
 def id_list_round_trip(spark, d):
-    folder = _folder(spark, "ids")
+    folder = shared_folder(spark, "ids")
     sinks.id_list(load(spark, d, "labels"), folder, "doc_id")
     return readers.id_list(spark, folder)
 
@@ -591,11 +583,11 @@ def id_list_round_trip(spark, d):
 @query
 def bias_of_runs(spark, d):
     """Row-level results of two runs written and read again; a third is not there."""
-    paths = {k: _folder(spark, k) for k in ("one", "two")}
+    paths = {k: shared_folder(spark, k) for k in ("one", "two")}
     for k, path in paths.items():
         rows = parsed(predictions(spark, d), "joint").drop("o_orderpriority")
         sinks.json_lines(rows.withColumn("output", F.lit(k)) if k == "one" else rows.where("id % 2 = 0").withColumn("output", F.lit(k)), path)
-    table, missing = pipelines.bias_analysis(spark, {"joint": {**paths, "three": _folder(spark, "three")}})
+    table, missing = pipelines.bias_analysis(spark, {"joint": {**paths, "three": shared_folder(spark, "three")}})
     if len(missing) != 1:
         raise ValueError(missing)
     return table.select("task", "run_id", "category", "n", "tp", "tn", "fp", "fn", "fpr", "fnr")

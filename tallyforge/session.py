@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -40,3 +43,16 @@ def ship_package(spark: SparkSession) -> None:
     paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         own["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables under the one that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary one will do in local mode; on a cluster, whose machines share none, it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared}/tallyforge-{name}-{uuid.uuid4()}"
