@@ -282,4 +282,11 @@ ORACLES: dict[str, str] = {
     "split_items_keep_first": f"WITH {GOLD} SELECT id, CASE WHEN id % 3 > 0 THEN label_hateful ELSE 7 END AS label, CASE WHEN id % 3 > 0 THEN 'train' ELSE 'dev' END AS split FROM gold",
     "id_list_round_trip": "SELECT doc_id AS id FROM labels WHERE doc_id IS NOT NULL",
     "bias_of_runs": f"WITH {PRED}, j AS (SELECT 'one' AS run_id, * FROM joint_ UNION ALL SELECT 'two', * FROM joint_ WHERE id % 2 = 0), c AS (SELECT run_id, category, {CELLS} FROM j GROUP BY run_id, category) SELECT 'joint' AS task, run_id, category, n, tp, tn, fp, fn, {ratio('fp', '(fp + tn)')} AS fpr, {ratio('fn', '(fn + tp)')} AS fnr FROM c",
+    "stream_latest": f"WITH {ANN} SELECT id, annotator, label_incivility, label_intolerance, label_hateful, seq FROM ded",
+    "scalar_texts": "SELECT p_partkey AS id, array_to_string(list_transform(string_split(replace(p_type, '/', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, p_name AS trimmed, (p_partkey % 10 + p_size % 10)::INT AS sum_of_codes, CASE WHEN p_partkey % 10 = 0 OR p_size % 10 = 0 THEN 0 ELSE 1 END AS no_zero, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)) > 0 THEN array_to_string(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4), chr(10)) END AS lines FROM part",
+    "work_queue_of_annotator": f"WITH {ANN} SELECT r.id FROM (SELECT unnest(range(1100)) AS id) r WHERE r.id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2')",
+    "annotation_sample": f"WITH {GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(id || '-42'), id) AS r, count(*) OVER (PARTITION BY split) AS n FROM gold) SELECT id, split FROM r WHERE r <= round(n * 0.21)",
+    "reannotation_plan": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT id, 'again' AS part FROM d UNION ALL SELECT DISTINCT id, 'agreed' FROM bin WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT 0, 'calibrated elsewhere'",
+    "metrics_of_runs": f"WITH {PRED}, {metrics('joint_', 'category')} SELECT run_id, category, n, accuracy, f1, f1 AS f1_read FROM m, (VALUES ('a'), ('b')) AS r(run_id)",
+    "api_replies": f"WITH {GOLD} SELECT id, CASE WHEN id % 5 > 0 THEN split END AS output, CASE WHEN id % 2 = 0 THEN 'first' || chr(10) || split END AS reasoning FROM gold",
 }

@@ -16,6 +16,7 @@ from tallyforge.plans.oracle import ORACLES
 from tallyforge.session import shared_folder
 from tallyforge.sources import readers, sinks
 from tallyforge.sources.adapters import annotations, gold, load, parsed, predictions
+from tallyforge.streaming import log
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -591,3 +592,71 @@ def bias_of_runs(spark, d):
     if len(missing) != 1:
         raise ValueError(missing)
     return table.select("task", "run_id", "category", "n", "tp", "tn", "fp", "fn", "fpr", "fnr")
+
+
+@query
+def stream_latest(spark, d):
+    """The annotation log read as a stream of files, the latest row of each annotator and item kept."""
+    source, target, state = (shared_folder(spark, k) for k in ("stream-in", "stream-out", "stream-state"))
+    rows = annotations(spark, d).select("id", "annotator", *CODES, "label_hateful", "text", F.lpad(F.col("seq").cast("string"), 12, "0").alias("time"), F.lit(None).cast("string").alias("img"))
+    for part in (0, 1):
+        sinks.json_lines(rows.where(F.col("id") % 2 == part), source, append=True)
+        log.keep_latest(log.read_log(spark, source), target, state).awaitTermination()
+    return log.latest(spark, target).select("id", "annotator", *CODES, "label_hateful", F.col("time").cast("long").alias("seq"))
+
+
+@query
+def scalar_texts(spark, d):
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", F.concat_ws(",", (F.col("p_partkey") % 10).cast("string"), (F.col("p_size") % 10).cast("string")).alias("codes"))
+    return rows.select(
+        "id",
+        text.display_name(sanitize(F.concat(F.lit("kind_"), "p_type")), "kind_").alias("title"),
+        text.trim_all(F.concat(F.lit(" \t"), "p_name", F.lit("\n "))).alias("trimmed"),
+        F.aggregate(text.csv_codes_strict(F.col("codes")), F.lit(0), lambda a, x: a + x).alias("sum_of_codes"),
+        text.has_label(F.col("codes"), True).alias("no_zero"),
+        text.joined_lines(F.filter(F.split("p_name", " "), lambda w: F.length(w) > 4)).alias("lines"),
+    )
+
+
+@query
+def work_queue_of_annotator(spark, d):
+    items = spark.range(1100).select("id")
+    return pipelines.work_queue(items, annotations(spark, d), "Annotator_2")
+
+
+@query
+def annotation_sample(spark, d):
+    return pipelines.annotation_sample(_catalogue(spark, d)).select("id", "split")
+
+
+@query
+def reannotation_plan(spark, d):
+    plan = pipelines.reannotation(_validated(spark, d).rows)
+    again, agreed, sample = plan["again"], plan["agreed"].select("id").distinct(), plan["calibration"]
+    parts = [rows.select("id", F.lit(k).alias("part")) for k, rows in (("again", again), ("agreed", agreed))]
+    inside = sample.join(again, "id", "left_anti").agg(F.count(F.lit(1)).alias("id"), F.lit("calibrated elsewhere").alias("part"))
+    return parts[0].union(parts[1]).union(inside)
+
+
+@query
+def metrics_of_runs(spark, d):
+    """Metrics of two runs appended to one table, and their documents."""
+    folder, documents = shared_folder(spark, "metrics"), shared_folder(spark, "documents")
+    metrics = evaluate.binary_metrics(long(spark, d, "joint"))
+    for run in ("a", "b"):
+        sinks.append_metrics(metrics, folder, run_id=run)
+    sinks.json_document(metrics, documents)
+    written = spark.read.schema(metrics.schema).json(documents).select("category", F.col("f1").alias("f1_read"))
+    return spark.read.parquet(folder).join(written, "category").select("run_id", "category", "n", "accuracy", "f1", "f1_read")
+
+
+@query
+def api_replies(spark, d):
+    """Replies of a remote model read: the last output text, and the summaries of its reasoning."""
+    part = lambda kind, said, sums: F.struct(F.lit(kind).alias("type"), said.cast("string").alias("text"), sums.cast("array<string>").alias("summary"))
+    none = F.lit(None)
+    replies = F.array(
+        part("reasoning", none, F.when(F.col("id") % 2 == 0, F.array(F.lit("first"), F.col("split")))), part("output_text", F.lit("draft"), none), part("output_text", F.col("split"), none)
+    )
+    rows = gold(spark, d).select("id", F.when(F.col("id") % 5 > 0, replies).otherwise(F.slice(replies, 1, 1)).alias("reply"))
+    return pipelines.read_reply(rows).select("id", "output", "reasoning")
