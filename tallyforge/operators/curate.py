@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.session import checkpointed
+
 
 def seeded(key: str, seed: Column | int) -> Column:
     """An order by key and seed that does not depend on partitioning."""
@@ -40,12 +42,13 @@ def _classes(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | in
     """rows with _class, by rank in seeded order within the stratum.
 
     A histogram of each stratum's order tells the class of all but the buckets that a cut goes through; only the rows of
-    those are shuffled and ranked, so that a stratum of any size is not one task's.
+    those are shuffled and ranked, so that a stratum of any size is not one task's. The histogram is kept (checkpoint), as
+    its size is looked at before it is joined.
     """
     marked = rows.withColumn("_m", seeded(key, seed)).withColumn("_b", F.substring("_m", 1, DIGITS))
     counts = marked.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     cells = _cells(counts, strata, cuts)
-    cells = cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)], F.col("_b").alias("_b2"), "_before", "_low", "_high", "_cuts")
+    cells = checkpointed(cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)], F.col("_b").alias("_b2"), "_before", "_low", "_high", "_cuts"))
     same = F.col("_b") == F.col("_b2")
     for k, c in enumerate(strata):
         same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
@@ -124,11 +127,11 @@ def best_seed(rows: DataFrame, strata: Sequence[str], key: str, labels: Sequence
     in the two buckets of a stratum that its cuts go through are ranked one by one, 2 / 16**SEED_DIGITS of rows times seeds.
     """
     names = list(dict.fromkeys([*strata, *labels]))
-    tried = rows.select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("_seed"))
+    tried = checkpointed(rows.select(key, *names)).select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("_seed"))
     tried = tried.withColumn("_m", seeded(key, F.col("_seed").cast("string"))).withColumn("_b", F.substring("_m", 1, SEED_DIGITS))
     sums = [f(c).alias(f"{c}__{k}") for c in labels for k, f in (("n", F.count), ("s", F.sum))]
     own = ["_seed", *strata]
-    cells = _cells(tried.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_c"), *sums), own, [_TEST, _HELD])
+    cells = checkpointed(_cells(tried.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_c"), *sums), own, [_TEST, _HELD]))
     calm = cells.where("_low = _high").select("_seed", F.col("_low").alias("_class"), *[f"{c}__{k}" for c in labels for k in "ns"])
     cut = cells.where("_low < _high").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*own, "_b"])], "_before", "_cuts")
     same = F.lit(True)
@@ -155,7 +158,7 @@ def batches(rows: DataFrame, order: str, size: int, by: Sequence[str] = (), buck
     marked = rows.withColumn("_b", F.coalesce(F.when(F.col(order).isNull(), -1), range_of))
     counts = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     cells = _cells(counts, by, [])
-    cells = cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_b").alias("_b2"), "_before")
+    cells = checkpointed(cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_b").alias("_b2"), "_before"))
     same = F.col("_b") == F.col("_b2")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))

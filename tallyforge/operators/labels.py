@@ -78,12 +78,14 @@ def votes(rows: DataFrame, key: str, binary: Mapping[str, str], dimensions: Mapp
 
     One aggregation for all: codes are counted within rows, so that nothing is exploded or joined.
     """
+    listed = rows.select(key, *binary, *[csv_codes(F.col(f"label_{d}")).alias(f"_{d}") for d in dimensions])
+
     def count(name: str, code: int) -> Column:
-        return F.sum(F.size(F.filter(csv_codes(F.col(f"label_{name}")), lambda x: x == code)).cast("long"))
+        return F.sum(F.size(F.filter(f"_{name}", lambda x: x == code)).cast("long"))
 
     modes = [F.mode(c, True).alias(out) for c, out in binary.items()]
     each = [F.coalesce(count(d, k) >= least, F.lit(False)).cast("int").alias(_column(d, n)) for d, names in dimensions.items() for k, n in names.items()]
-    return rows.groupBy(key).agg(*modes, *each)
+    return listed.groupBy(key).agg(*modes, *each)
 
 
 def soft_labels(rows: DataFrame, key: str, codes: str, names: Mapping[int, str], prefix: str) -> DataFrame:

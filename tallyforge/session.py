@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "tallyforge", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,8 +45,8 @@ def ship_package(spark: SparkSession) -> None:
         own["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables under the one that the cluster names in spark.checkpoint.dir.
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
     Where that is unset, a temporary one will do in local mode; on a cluster, whose machines share none, it is an error.
     """
@@ -55,4 +55,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.gettempdir()
-    return f"{shared}/tallyforge-{name}-{uuid.uuid4()}"
+    return shared
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, shared by all machines."""
+    return f"{_shared(spark)}/tallyforge-{name}-{uuid.uuid4()}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoint"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
