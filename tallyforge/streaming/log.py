@@ -1,51 +1,76 @@
-"""The append-only annotation log as a stream: the latest row of each key, kept as Parquet."""
+"""The append-only annotation log as a stream: the latest row of each key, kept as Parquet in buckets of keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators.labels import keep_last
-from tallyforge.sources.readers import ANNOTATION
+from tallyforge.sources.readers import ANNOTATION, exists
 
 
 def read_log(spark: SparkSession, folder: str, schema: str = ANNOTATION) -> DataFrame:
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
 
 
-def _versions(spark: SparkSession, target: str) -> dict[int, object]:
-    """Finished versions of the table and their folders."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return {}
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    found = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("v=")]
-    return {int(p.getName()[2:]): p for p in found if system.exists(path(p, "_SUCCESS"))}
+def _folders(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
+    """Numbered folders prefix=N in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+    return {int(n[len(prefix) + 1 :]): f"{folder}/{n}" for n in names if n.startswith(f"{prefix}=")}
 
 
-def keep_latest(log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] = ("time",)) -> StreamingQuery:
-    """Each batch becomes the next version of the table: target/v=N holds the latest row of each key so far.
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    A batch that is run again writes the same version from the same predecessor, the newest one before it, so a restart
-    changes nothing. Two versions are kept; older ones go.
+
+def _buckets(spark: SparkSession, target: str) -> dict[int, dict[int, str]]:
+    """For each bucket its finished versions and their folders."""
+    out: dict[int, dict[int, str]] = {}
+    for v, folder in _folders(spark, target, "v").items():
+        if exists(spark, f"{folder}/_SUCCESS"):
+            for b, path in _folders(spark, folder, "_bucket").items():
+                out.setdefault(b, {})[v] = path
+    return out
+
+
+def keep_latest(
+    log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] = ("time",), buckets: int = 32
+) -> StreamingQuery:
+    """The latest row of each key so far, in buckets by a hash of the key: target/v=N/_bucket=K is K as batch N left it.
+
+    A batch reads and writes only the buckets that it has keys of; choose their number once for a table, so that one
+    bucket fits a task. A batch that is run again writes the same version from the same predecessors, the newest before
+    it, so a restart changes nothing. Two versions of a bucket are kept; older ones go.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        known = _versions(spark, target)
-        before = max((v for v in known if v < n), default=None)
-        rows = batch if before is None else spark.read.schema(batch.schema).parquet(f"{target}/v={before}").unionByName(batch)
-        keep_last(rows, list(keys), list(order)).write.mode("overwrite").parquet(f"{target}/v={n}")
-        for v, path in known.items():
-            if before is not None and v < before:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        touched = [r._bucket for r in batch.select(bucket.alias("_bucket")).distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        known = _buckets(spark, target)
+        before = {b: max((v for v in known.get(b, ()) if v < n), default=None) for b in touched}
+        old = [known[b][v] for b, v in before.items() if v is not None]
+        rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
+        last = keep_last(rows, list(keys), list(order)).withColumn("_bucket", bucket)
+        last.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v={n}")
+        for b, v in before.items():
+            for gone in [x for x in known.get(b, ()) if v is not None and x < v]:
+                _delete(spark, known[b][gone])
+        for v, folder in _folders(spark, target, "v").items():
+            if v < n and not _folders(spark, folder, "_bucket"):
+                _delete(spark, folder)
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version."""
-    return spark.read.parquet(f"{target}/v={max(_versions(spark, target))}")
+    """The newest version of every bucket."""
+    return spark.read.parquet(*[versions[max(versions)] for versions in _buckets(spark, target).values()])

@@ -124,6 +124,18 @@ def test_stream_keeps_two_versions_and_skips_gaps(spark, tmp_path):
     assert stream.latest(spark, str(target)).first().label_incivility == "3"
 
 
+def test_stream_writes_only_touched_buckets(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for k, ids in enumerate((range(200), [7], [7])):
+        write(source / f"{k}.json", [annotation(i, "A", str(k), "0", 0, str(k)) for i in ids])
+        stream.keep_latest(stream.read_log(spark, str(source)), str(target), str(tmp_path / "cp"), buckets=8).awaitTermination()
+    written = {v: len(list((target / f"v={v}").glob("_bucket=*"))) for v in range(3)}
+    assert written == {0: 7, 1: 1, 2: 1}
+    got = {r.id: r.label_incivility for r in stream.latest(spark, str(target)).collect()}
+    assert got == {i: "2" if i == 7 else "0" for i in range(200)}
+
+
 def test_remote_model(spark):
     items = spark.range(60).select("id", F.lit("x").alias("text"), F.lit("i").alias("img"), F.concat(F.lit("img/"), F.col("id")).alias("url"), *[(F.col("id") % 2).cast("int").alias(c) for c in ("label_hateful", "label_incivility", "label_intolerance")])
 
