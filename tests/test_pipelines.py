@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import session
 from tallyforge.plans import pipelines
 from tallyforge.sources import readers, sinks
 from tallyforge.streaming import log as stream
@@ -108,6 +109,17 @@ def test_sinks(spark, tmp_path):
     assert readers.files(spark, str(tmp_path / "doc"), "*.txt").count() >= 1
 
 
+def test_intermediate_tables_need_a_shared_folder():
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.conf = type("Context", (), {"master": master}), {"spark.checkpoint.dir": folder}
+
+    assert session.shared_folder(Session("yarn", "/shared"), "x").startswith("/shared/")
+    assert session.shared_folder(Session("local[4]"), "x")
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(Session("yarn"), "x")
+
+
 def test_report_is_never_cut(spark):
     with pytest.raises(ValueError, match="more than 5 rows"):
         sinks.text_report({"many": spark.range(6)}, limit=5)
