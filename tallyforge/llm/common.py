@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.session import ship_package
+from tallyforge.session import checkpointed, ensure_checkpoint_dir, ship_package
+
+__all__ = ["batch_runs", "batch_word_hashes", "checkpointed", "ensure_checkpoint_dir", "sized", "small_batches", "table", "words_column"]
 
 #: Rows of a key table that may be broadcast (16 bytes each at most); beyond it joins shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -25,32 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, a temporary folder will do in local mode; on a cluster, whose machines do not share one, it is
-    an error.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-        folder = tempfile.mkdtemp(prefix="tallyforge-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow key table for broadcast if it has at most `limit` rows; otherwise leave the join to shuffle."""
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
