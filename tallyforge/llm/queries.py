@@ -92,6 +92,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +139,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_decontaminate": op11_decontaminate,
     "pipeline": pipeline,
     "lm_base_figures": lm_base_figures,
     "quality_base_figures": quality_base_figures,
@@ -133,6 +148,7 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: CRC-32 of an id's text, bit by bit: a list element is a byte to be added, or -1 for a shift.
 _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT)"""
@@ -150,6 +166,16 @@ ORACLES: dict[str, str] = {
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op11_decontaminate": rf"""WITH b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE len({_ALNUM}) > 0),
+ c AS (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(len(w) - least(10, len(w)) + 1)) AS k FROM b),
+ i AS (SELECT DISTINCT item_id, l, array_to_string(w[k + 1:k + l], ' ') AS t FROM c), s AS (SELECT DISTINCT l FROM i),
+ d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+ q AS (SELECT r, l, list_transform(range(len(w) - l + 1), lambda k: array_to_string(w[k + 1:k + l], ' ')) AS ts FROM d, s WHERE len(w) >= l),
+ p AS (SELECT r, l, unnest(ts) AS t, unnest(range(len(ts))) AS k FROM q), h AS (SELECT r, item_id, p.l, k FROM p JOIN i ON i.t = p.t AND i.l = p.l),
+ n AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(k, k + l)) AS x FROM h) GROUP BY r),
+ a AS (SELECT r, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(a.n, 0) AS n_items, sha256(coalesce(a.ids, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN a ON a.r = d.r""",
     "lm_base_figures": f"""WITH d AS (SELECT doc_id, {_FOLDED} AS w, {_CRC} % 10 <> 0 AS training FROM documents),
  c AS (SELECT k, count(*) AS c FROM (SELECT unnest(w) AS k FROM d WHERE training) GROUP BY k UNION ALL SELECT NULL, count(*) FROM d WHERE training HAVING count(*) > 0),
  a AS (SELECT sum(c) AS n, count(*) AS v FROM c),
