@@ -48,15 +48,10 @@ def _hashes(some: Column) -> Column:
     return F.transform(some, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _shingles(hashes: str, size: int) -> Column:
-    """Hashes of all runs of `size` words, from a column of word hashes."""
+def _shingle(size: int, hashes: str, at: Column) -> Column:
+    """Hash of the `size` word hashes from a place on; null beyond the end."""
     h = F.col(hashes)
-    last = F.slice(h, size, F.greatest(F.size(h) - (size - 1), F.lit(0)))
-    return F.transform(last, lambda x, i: F.xxhash64(F.lit(size), *[h[i + k] for k in range(size - 1)], x))
-
-
-def _count(size: int, n: Column) -> Column:
-    return F.greatest(n - (size - 1), F.lit(0))
+    return F.when(at + size <= F.size(h), F.xxhash64(F.lit(size), *[F.get(h, at + k) for k in range(size)]))
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -70,63 +65,67 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
 class Decontamination:
     def __init__(self, docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, told: int):
         self.told = told
-        text = F.col(text_col)
-        # Rows of one id and text have one result: a digest of the text tells the others apart.
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("_key"), words(text).alias("_w"))
-        self.rows = rows.select("doc_id", "_key", "_w", F.size("_w").alias("_n"), _hashes(F.col("_w")).alias("_h"))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        # Rows of one id and text have one result: a digest of the text tells the others apart. A text that begins or ends
+        # between words has an empty one there, which costs less to allow for than to remove.
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("_key"), F.split(text, BETWEEN).alias("_w"))
+        lead = (F.get("_w", F.lit(0)) == "").cast("int")
+        n = F.size("_w") - lead - ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
+        # The null stands for the document itself.
+        self.rows = rows.select("doc_id", "_key", "_w", lead.alias("_lead"), n.alias("_n"), F.concat(F.array(F.lit(None).cast("long")), _hashes(F.col("_w"))).alias("_h"))
         owned = windows(items, item_col, item_text_col)
         # Kept, so that a window's number is settled.
         self.windows = checkpointed(owned.select("text").distinct().withColumn("window", F.monotonically_increasing_id()))
         self.owners = owned.where("item_id is not null").join(self.windows, "text").select("window", "item_id")
 
-    def _tokens(self, sizes: list[int]) -> Column:
-        """A document's shingles of all sizes, after one null that stands for the document itself."""
-        return F.concat(F.array(F.lit(None).cast("long")), *[_shingles("_h", s) for s in sizes])
+    def _tokens(self, sizes: list[int]) -> DataFrame:
+        """Rows with the shingles `_g` of each place `_i` (from 1) and size; those of _i = 0 have none, and one is _own.
+
+        The arrays are made into rows first, and hashed then, which is compiled as a lambda is not; an outer explode, as
+        Spark puts a filter that makes the arrays once more before others.
+        """
+        rows = self.rows.select("*", F.posexplode_outer("_h").alias("_i", "_x"))
+        each = [F.when(F.col("_i") > 0, _shingle(s, "_h", F.col("_i"))) for s in sizes]
+        if len(each) < 2:
+            return rows.withColumn("_g", each[0] if each else F.lit(None).cast("long")).withColumn("_own", F.col("_i") == 0)
+        return rows.select("*", F.posexplode_outer(F.array(*each)).alias("_j", "_g")).withColumn("_own", (F.col("_i") == 0) & (F.col("_j") == 0))
 
     def prefixes(self) -> tuple[DataFrame, list[int]]:
-        """(g, window, text, size, place, short) for windows that may occur: the rarest shingle and where in the window it is;
-        and the sizes of shingles there are, at most SHINGLE of them."""
+        """(g, window, text, size, place) for windows that may occur: the rarest shingle and where in the window it is; and
+        the sizes of shingles there are, at most SHINGLE of them."""
         rows = self.windows.select("window", "text", F.split("text", " ").alias("_w"))
         rows = rows.select("window", "text", F.size("_w").alias("size"), _hashes(F.col("_w")).alias("_h"))
-        rows = rows.withColumn("short", F.least("size", F.lit(SHINGLE)))
-        sizes = sorted(r.short for r in rows.select("short").distinct().collect())
-        if not sizes:
-            return rows.select(F.lit(0).cast("long").alias("g"), "window", "text", "size", F.lit(0).alias("place"), "short"), sizes
-        shingles = F.coalesce(*[F.when(F.col("short") == s, _shingles("_h", s)) for s in sizes])
-        own = checkpointed(rows.select("window", F.posexplode(shingles).alias("place", "g")))
+        sizes = sorted(r.s for r in rows.select(F.least("size", F.lit(SHINGLE)).alias("s")).distinct().collect())
+        own = rows.select("window", "size", "_h", F.posexplode("_h").alias("place", "_x"))
+        shingle = F.coalesce(F.lit(None).cast("long"), *[F.when(F.least("size", F.lit(SHINGLE)) == s, _shingle(s, "_h", F.col("place"))) for s in sizes])
+        own = checkpointed(own.select("window", "place", shingle.alias("g")).where("g is not null"))
         known = sized(own.select("g").distinct(), self.told)
-        seen = self.rows.select(F.explode(self._tokens(sizes)).alias("g")).join(known, "g").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+        seen = self._tokens(sizes).select(F.col("_g").alias("g")).join(known, "g").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
         rarest = own.join(sized(checkpointed(seen), self.told), "g", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "place", "g")).alias("p"))
         rarest = rarest.where("p.c > 0").select("window", "p.place", "p.g")
-        return checkpointed(rarest.join(rows.drop("_h"), "window").select("g", "window", "text", "size", "place", "short")), sizes
-
-    def _fits(self) -> Column:
-        return (F.col("_start") >= 0) & (F.col("_start") + F.col("size") <= F.col("_n"))
+        return checkpointed(rarest.join(rows.drop("_h"), "window").select("g", "window", "text", "size", "place")), sizes
 
     def hits(self) -> DataFrame:
-        """(doc_id, _key, _n, _own, hit): a row with _own for each document, and rows for windows that occur, as (start,
-        end, window)."""
+        """(doc_id, _key, _lead, _n, _own, hit): a row with _own for each document, and rows for windows that occur, as
+        (start, end, window)."""
         prefixes, sizes = self.prefixes()
-        base = F.lit(1)
-        before = F.lit(0)
-        for s in sizes:  # tokens of the smaller sizes come first
-            before = F.when(F.col("short") == s, base).otherwise(before)
-            base = base + _count(s, F.col("_n"))
-        start = (F.col("_i") - before - F.col("place")).alias("_start")
-        tokens = self.rows.select("doc_id", "_key", "_n", "_w", F.posexplode(self._tokens(sizes)).alias("_i", "_g"))
-        same = F.col("_g") == F.col("g")
+        tokens, same = self._tokens(sizes), F.col("_g") == F.col("g")
+        start = (F.col("_i") - 1 - F.col("place")).alias("_start")
+        # The place and the length of a window rule out what would begin before a document or end behind it.
+        fits = (F.col("_start") >= 0) & (F.col("_start") + F.col("size") <= F.col("_lead") + F.col("_n"))
         if prefixes.limit(self.told + 1).count() <= self.told:
-            met = tokens.join(F.broadcast(prefixes), same, "left").where("_i = 0 or window is not null")
-            met = met.select("doc_id", "_key", "_n", "_w", "text", "size", "window", (F.col("_i") == 0).alias("_own"), start)
+            met = tokens.join(F.broadcast(prefixes), same, "left").where("_own or window is not null")
+            met = met.select("doc_id", "_key", "_lead", "_n", "_w", "text", "size", "window", "_own", start)
         else:
-            lean = tokens.drop("_w").where("_i > 0").join(prefixes, same).select("doc_id", "_key", "_n", "window", "text", "size", start).where(self._fits())
+            lean = tokens.join(prefixes, same).select("doc_id", "_key", "_lead", "_n", "window", "text", "size", start).where(fits)
             found = lean.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.collect_set(F.struct("window", "text", "size", "_start")).alias("_met"))
             both = self.rows.drop("_h").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-            nothing = F.array(F.lit(None).cast(MET))
-            met = both.select("doc_id", "_key", "_n", "_w", F.posexplode(F.concat(nothing, F.coalesce("_met", F.array().cast(f"array<{MET}>")))).alias("_i", "_m"))
-            met = met.select("doc_id", "_key", "_n", "_w", "_m.*", (F.col("_i") == 0).alias("_own"))
-        there = F.when(self._fits(), folded(F.slice("_w", F.greatest("_start", F.lit(0)) + 1, F.col("size"))) == F.col("text"))
-        hit = F.when(there, F.struct(F.col("_start").alias("start"), (F.col("_start") + F.col("size")).alias("end"), "window"))
+            every = F.concat(F.array(F.lit(None).cast(MET)), F.coalesce("_met", F.array().cast(f"array<{MET}>")))
+            met = both.select("doc_id", "_key", "_lead", "_n", "_w", F.posexplode(every).alias("_i", "_m"))
+            met = met.select("doc_id", "_key", "_lead", "_n", "_w", "_m.*", (F.col("_i") == 0).alias("_own"))
+        there = F.when(fits, folded(F.slice("_w", F.greatest("_start", F.lit(0)) + 1, F.col("size"))) == F.col("text"))
+        first = F.col("_start") - F.col("_lead")
+        hit = F.when(there, F.struct(first.alias("start"), (first + F.col("size")).alias("end"), "window"))
         return met.select("doc_id", "_key", "_n", "_own", hit.alias("hit")).where("_own or hit is not null")
 
     def run(self) -> DataFrame:
