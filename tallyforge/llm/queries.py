@@ -106,6 +106,19 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.repair import damage, plan, repaired_digest
+
+    rows = damage(table(spark, sf_dir, "conversations"))
+    return repaired_digest(rows, plan(rows))
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.treap_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,6 +153,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
     "op11_decontaminate": op11_decontaminate,
+    "op12_repair": op12_repair,
+    "op13_treap_search": op13_treap_search,
     "pipeline": pipeline,
     "lm_base_figures": lm_base_figures,
     "quality_base_figures": quality_base_figures,
@@ -149,9 +164,49 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-#: CRC-32 of an id's text, bit by bit: a list element is a byte to be added, or -1 for a shift.
-_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text, bit by bit: a list element is a byte to be added, or -1 for a shift."""
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({text}, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT)"""
+
+
+_CRC = _crc("doc_id::VARCHAR")
+
+
+def _repair_sql() -> str:
+    """The edits in SQL, from the first turn on: for each state the least (cost, letters), with the turns written so far."""
+    best = lambda *some: f"list_sort(list_filter([{', '.join(some)}], lambda x: x IS NOT NULL))[1]"
+
+    def then(state: str, cost: str, letter: str, turn: str = "", only: str = "true") -> str:
+        written = f"list_append({state}.x, {turn})" if turn else f"{state}.x"
+        return f"CASE WHEN {state} IS NOT NULL AND {only} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'x': {written}}} END"
+
+    put = lambda state, role: then(state, "5", "I", f"'{role}:'")
+    cut, free = "(CASE WHEN fault = 't' THEN 5 ELSE 0 END)", "fault NOT IN ('b', 'd')"
+    keep = lambda state, i: then(state, cut, "K", "role || ':' || text", f"{free} AND i = '{i}'")
+    give = lambda state, role: then(state, f"1 + {cut}", "R", f"'{role}:' || text", free)
+    two = [f(s, x) for s in ("s0", "s1", "e3") for f, x in ((keep, "u"), (give, "user"))]
+    return rf"""WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+ h AS (SELECT *, {_crc("key")} % 20 AS h FROM z),
+ d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE h WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k, left(role, 1) AS i FROM d),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM k),
+ f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd' WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+ g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ r AS (SELECT conv_id, 0::BIGINT AS k, {{'c': 0, 'a': '', 'x': []::VARCHAR[]}} AS s0, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR[]) AS s1, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR[]) AS s2, NULL::STRUCT(c INT, a VARCHAR, x VARCHAR[]) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+  SELECT conv_id, k, {then("s0", "2", "D")}, {best(then("s1", "2", "D"), keep("s0", "s"))}, {best(then("e2", "2", "D"), *two)}, {best(then("e3", "2", "D"), keep("e2", "a"), give("e2", "assistant"))}
+  FROM (SELECT *, {best("p2", put("s3", "user"))} AS e2, {best("s3", put("p2", "assistant"))} AS e3 FROM (
+   SELECT r.conv_id, f.k, s0, s1, s3, {best("s2", put("s0", "user"), put("s1", "user"))} AS p2, f.role, f.text, f.i, f.fault FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1))),
+ w AS (SELECT r.conv_id, coalesce(g.gaps, 0) AS gaps, coalesce(g.blank, 0) AS blank, coalesce(g.duplicate, 0) AS duplicate, coalesce(g.truncated, 0) AS truncated, coalesce(g.illegal, 0) AS illegal,
+  s0, s3, {best("s2", put("s0", "user"), put("s1", "user"))} AS p2 FROM r LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id WHERE r.k = coalesce(g.n, 0)),
+ v AS (SELECT *, {best("s0", "s3", put("p2", "assistant"))} AS b FROM w)
+ SELECT conv_id, gaps, blank, duplicate, truncated, illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.x, chr(10))) AS repaired_sha256 FROM v"""
+
+
 #: Kinds of personal data in order, with their patterns.
 _KINDS = r"""(VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'))"""
 
@@ -176,6 +231,13 @@ ORACLES: dict[str, str] = {
  a AS (SELECT r, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(a.n, 0) AS n_items, sha256(coalesce(a.ids, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
  FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN a ON a.r = d.r""",
+    "op12_repair": _repair_sql(),
+    "op13_treap_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({_ALNUM})) AS t FROM benchmark),
+ s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0), f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY r, doc_id, n, t),
+ w AS (SELECT t, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), s),
+ i AS (SELECT r, doc_id, f.t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * f.n * s.n) // s.l))) AS x FROM f JOIN w ON w.t = f.t, s),
+ g AS (SELECT q, item_id, r, doc_id, sum(x)::BIGINT AS score FROM b JOIN i ON i.t = b.t GROUP BY q, item_id, r, doc_id HAVING sum(x) > 0)
+ SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM g QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= 50""",
     "lm_base_figures": f"""WITH d AS (SELECT doc_id, {_FOLDED} AS w, {_CRC} % 10 <> 0 AS training FROM documents),
  c AS (SELECT k, count(*) AS c FROM (SELECT unnest(w) AS k FROM d WHERE training) GROUP BY k UNION ALL SELECT NULL, count(*) FROM d WHERE training HAVING count(*) > 0),
  a AS (SELECT sum(c) AS n, count(*) AS v FROM c),
