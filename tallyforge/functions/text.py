@@ -92,12 +92,31 @@ def joined_lines(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
+def _low_part(a: Column, b: float, product: Column) -> Column:
+    """What is missing in the rounded product of two doubles, exactly, by splitting both in halves of their digits."""
+    half = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    high, b_high = half(a), b * 134217729.0 - (b * 134217729.0 - b)
+    low, b_low = a - high, b - b_high
+    return ((high * b_high - product) + high * b_low + low * b_high) + low * b_low
+
+
 def rounded(c: Column, digits: int) -> Column:
     """Rounding of the exact binary value, halves to even, as Python has it: 2.675 -> 2.67, 0.125 -> 0.12.
 
-    Spark's round works on the shortest decimal form. For presentation of small results; the engine keeps full precision.
+    Spark's round works on the shortest decimal form. Here the scaled value is kept as a rounded product and its exact
+    remainder, which tell on which side of a half it is. digits: 0 to 15.
     """
-    return F.pandas_udf(lambda x: x.map(lambda v: round(v, digits) if pd.notna(v) else None).astype("float64"), DoubleType())(c.cast("double"))
+    value = c.cast("double")
+    size, scale = F.abs(value), float(10**digits)
+    product = size * scale
+    rest = _low_part(size, scale, product)
+    whole = F.floor(product).cast("double")
+    whole = F.when((whole == product) & (rest < 0), whole - 1).otherwise(whole)
+    beyond = (product - whole - 0.5) + rest
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
+    near = F.when(up, whole + 1).otherwise(whole) / scale
+    # Beyond 2^52 there is nothing left to round.
+    return F.when(value.isNull() | F.isnan(value) | (product >= 2.0**52), value).when(F.signum(value) < 0, -near).otherwise(near)
 
 
 def run_name(prefix: str, at: Column) -> Column:

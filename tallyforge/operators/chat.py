@@ -85,8 +85,48 @@ def last_reply(rows: DataFrame, role: str = "assistant") -> DataFrame:
     return rows.withColumn("reply", F.try_element_at(own, F.lit(-1))["text"])
 
 
+def _number(content: Column, at: Column | int, size: int, little: bool = False) -> Column:
+    """An unsigned number in binary content, from a place counted from 0; null beyond the end."""
+    digits = F.hex(F.substring(content, F.lit(at) + 1 if isinstance(at, int) else at + 1, F.lit(size)))
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+    return F.when(F.length(digits) == 2 * size, F.conv(digits, 16, 10).cast("int"))
+
+
+def image_size(content: Column, segments: int = 256) -> Column:
+    """Width and height (w, h) that the header of a PNG, GIF, BMP or JPEG says; null for anything else.
+
+    In expressions, so that bytes stay where they are read. A JPEG's segments are passed over, at most `segments` of them,
+    up to the frame that holds its size.
+    """
+    sized = lambda w, h: F.struct(w.alias("w"), h.alias("h"))
+    start = F.hex(F.substring(content, 1, 8))
+    empty = F.lit(None).cast("int")
+
+    def pass_over(a: Column, _: Column) -> Column:
+        at = a["at"]
+        mark = _number(content, at + 1, 1)
+        frame = (mark >= 0xC0) & (mark <= 0xCF) & ~mark.isin(0xC4, 0xC8, 0xCC)
+        ended = a["w"].isNotNull() | (at < 0) | mark.isNull() | (_number(content, at, 1) != 0xFF) | mark.isin(0xD9, 0xDA)
+        bare = mark.between(0xD0, 0xD7) | mark.isin(0x01, 0xFF)
+        onward = at + F.when(mark == 0xFF, 1).when(bare, 2).otherwise(2 + _number(content, at + 2, 2))
+        found = ~ended & frame
+        return F.struct(
+            F.when(ended, at).otherwise(F.coalesce(onward, F.lit(-1))).cast("int").alias("at"),
+            F.when(found, _number(content, at + 7, 2)).otherwise(a["w"]).alias("w"), F.when(found, _number(content, at + 5, 2)).otherwise(a["h"]).alias("h"),
+        )
+
+    zero = F.struct(F.lit(2).alias("at"), empty.alias("w"), empty.alias("h"))
+    jpeg = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), zero, pass_over, lambda a: F.when(a["w"].isNotNull() & a["h"].isNotNull(), sized(a["w"], a["h"])))
+    png = sized(_number(content, 16, 4), _number(content, 20, 4))
+    gif = sized(_number(content, 6, 2, True), _number(content, 8, 2, True))
+    bmp = sized(_number(content, 18, 4, True), F.abs(_number(content, 22, 4, True)))
+    found = F.when(start == "89504E470D0A1A0A", png).when(start.startswith("47494638"), gif).when(start.startswith("424D"), bmp).when(start.startswith("FFD8"), jpeg)
+    return F.when(found["w"].isNotNull() & found["h"].isNotNull(), found)
+
+
 def fit_geometry(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """Size of an image (w, h) shrunk to fit, never enlarged, and its padding; odd pixels go right and below.
+    """Size of an image (w, h) shrunk to fit, never enlarged, and its padding; odd pixels go right and below. Null if unknown.
 
     The side that does not fill its room is rounded down or up, whichever keeps the proportions better; down if equal.
     """
@@ -100,8 +140,9 @@ def fit_geometry(rows: DataFrame, width: int, height: int) -> DataFrame:
     fits, tall = (w <= width) & (h <= height), F.lit(width / height) >= proportion
     narrow = nearer(F.lit(float(height)) * proportion, lambda n: F.abs(proportion - n / F.lit(float(height))))
     flat = nearer(F.lit(float(width)) / proportion, lambda n: F.abs(proportion - F.try_divide(F.lit(float(width)), n)))
-    sized = rows.withColumn("new_w", F.when(fits, F.col("w")).when(tall, narrow).otherwise(width).cast("int"))
-    sized = sized.withColumn("new_h", F.when(fits, F.col("h")).when(tall, F.lit(height)).otherwise(flat).cast("int"))
+    known = w.isNotNull() & h.isNotNull()
+    sized = rows.withColumn("new_w", F.when(known, F.when(fits, F.col("w")).when(tall, narrow).otherwise(width)).cast("int"))
+    sized = sized.withColumn("new_h", F.when(known, F.when(fits, F.col("h")).when(tall, F.lit(height)).otherwise(flat)).cast("int"))
     left, top = F.expr(f"({width} - new_w) div 2").cast("int"), F.expr(f"({height} - new_h) div 2").cast("int")
     return sized.withColumn("pad_left", left).withColumn("pad_top", top).withColumn("pad_right", F.lit(width) - F.col("new_w") - left).withColumn("pad_bottom", F.lit(height) - F.col("new_h") - top)
 

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.session import checkpointed
+from tallyforge.session import ship_package
+
+#: Buckets of a seeded order; the order of seeds permutes them.
+BUCKETS = 4096
+#: Cells into which values between two powers of two are dealt when they are ranked.
+CELLS = 512
+#: Modulus and factors by which seeds mix buckets.
+PRIME, SEED_STEP, SEED_START, SPREAD = 2**31 - 1, 1_000_003, 40_503, 48_271
 
 
 def seeded(key: str, seed: Column | int) -> Column:
@@ -16,48 +23,49 @@ def seeded(key: str, seed: Column | int) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), seed if isinstance(seed, Column) else F.lit(str(seed))))
 
 
-#: Rows of a key table that may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Hex digits of the seeded order by which strata are cut into buckets; fewer where many seeds are tried at once.
-DIGITS, SEED_DIGITS = 3, 2
+def digest(key: str) -> Column:
+    """The one digest of a row that the splits of all seeds share."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
-def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if it has at most `limit` rows; otherwise leave the join to shuffle."""
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+def bucket(of: Column) -> Column:
+    return F.conv(F.substring(of, 1, 3), 16, 10).cast("long")
 
 
-def _cells(counts: DataFrame, strata: Sequence[str], cuts: Sequence[str]) -> DataFrame:
-    """Buckets (strata, _b, _c: rows) with the ranks before them, and the classes of their first and last row.
+def mixed(number: Column, seed: Column) -> Column:
+    """Where a seed puts a bucket: buckets are in order of this, then of their number."""
+    v = ((number + 1) * ((seed * SEED_STEP + SEED_START) % PRIME)) % PRIME
+    return ((v * v) % PRIME * SPREAD + number) % PRIME
 
-    cuts: SQL of ascending ranks by _n, the rows of a stratum. The class of a rank is the number of cuts below it.
-    """
-    own = Window.partitionBy(*strata)
-    cells = counts.withColumn("_before", F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_n", F.sum("_c").over(own))
-    of = lambda rank: sum(((rank > F.expr(c)).cast("int") for c in cuts), F.lit(0))
-    return cells.withColumn("_low", of(F.col("_before") + 1)).withColumn("_high", of(F.col("_before") + F.col("_c"))).withColumn("_cuts", F.array(*[F.expr(c).cast("double") for c in cuts]))
+
+def _stratum(strata: Sequence[str]) -> Column:
+    """The values of a row's stratum as one text, nulls told apart; joins and windows deal rows by it alike."""
+    return F.to_json(F.struct(*strata), {"ignoreNullFields": "false"}) if strata else F.lit("")
 
 
-def _classes(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int, cuts: Sequence[str]) -> DataFrame:
-    """rows with _class, by rank in seeded order within the stratum.
+def _ranked(rows: DataFrame, strata: Sequence[str], cell: Column, order: Sequence[str | Column], turn=lambda c: [c]) -> DataFrame:
+    """rows with _rank, from 1, in their stratum, and _n, its rows. Nothing runs before an action.
 
-    A histogram of each stratum's order tells the class of all but the buckets that a cut goes through; only the rows of
-    those are shuffled and ranked, so that a stratum of any size is not one task's. The histogram is kept (checkpoint), as
-    its size is looked at before it is joined.
+    cell: a number or text of each row that cuts the order into pieces: rows are in order of turn(cell), then of `order`.
+    Rows are shuffled by stratum and cell, so a stratum of any size is spread over tasks, and ranked within their cell; the
+    counts of cells, one small aggregation, say how many rows come before. The join with them needs no other shuffle of
+    rows, and adaptive execution broadcasts them where they are few.
     """
-    marked = rows.withColumn("_m", seeded(key, seed)).withColumn("_b", F.substring("_m", 1, DIGITS))
-    counts = marked.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    cells = _cells(counts, strata, cuts)
-    cells = checkpointed(cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)], F.col("_b").alias("_b2"), "_before", "_low", "_high", "_cuts"))
-    same = F.col("_b") == F.col("_b2")
-    for k, c in enumerate(strata):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
-    met = marked.join(sized(cells), same)
-    calm = met.where("_low = _high").withColumn("_class", F.col("_low"))
-    order = Window.partitionBy(*strata, "_b").orderBy("_m", key)
-    rank = F.col("_before") + F.row_number().over(order)
-    edge = met.where("_low < _high").withColumn("_r", rank).withColumn("_class", F.size(F.filter("_cuts", lambda x: F.col("_r") > x))).drop("_r")
-    return calm.unionByName(edge).select(*rows.columns, "_class")
+    marked = rows.withColumn("_s", _stratum(strata)).withColumn("_b", cell)
+    counts = marked.groupBy(F.col("_s").alias("_s2"), F.col("_b").alias("_b2")).agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy("_s2")
+    upto = own.orderBy(*turn(F.col("_b2")), "_b2").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.select("_s2", "_b2", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(own).alias("_n"))
+    inside = marked.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_b").orderBy(*order)))
+    met = inside.join(cells, (F.col("_s") == F.col("_s2")) & (F.col("_b") == F.col("_b2")))
+    return met.select(*rows.columns, (F.col("_before") + F.col("_k")).alias("_rank"), "_n")
+
+
+def _by_seed(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int) -> DataFrame:
+    """Ranks in the order of a split's seed: of the bucket as mixed by the seed, the digest and the key."""
+    number = seed if isinstance(seed, Column) else F.lit(seed).cast("long")
+    ranked = _ranked(rows.withColumn("_m", digest(key)), strata, bucket(F.col("_m")), ["_m", key], lambda b: [mixed(b, number)])
+    return ranked.drop("_m")
 
 
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -79,7 +87,8 @@ def sample_fraction(rows: DataFrame, strata: Sequence[str], key: str, share: flo
     """round(share * n) rows of each stratum, by seeded order. A share of 1 or more, or none, returns all rows."""
     if share is None or share >= 1:
         return rows
-    return _classes(rows, strata, key, seed, [f"round(_n * {share!r}D)"]).where("_class = 0").drop("_class")
+    ranked = _ranked(rows.withColumn("_m", seeded(key, seed)), strata, F.substring("_m", 1, 3), ["_m", key])
+    return ranked.where(F.col("_rank") <= F.expr(f"round(_n * {share!r}D)")).select(*rows.columns)
 
 
 def sample_n(rows: DataFrame, strata: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
@@ -88,20 +97,20 @@ def sample_n(rows: DataFrame, strata: Sequence[str], key: str, n: int, seed: int
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-#: Ranks within a stratum of _n rows up to which a row is in the test part, and in the test or validation part.
-_TEST, _HELD = "(2 * ((3 * _n + 9) div 10) + 2) div 3", "(3 * _n + 9) div 10"
-
-
-def _part(number: Column) -> Column:
-    return F.when(number == 0, "test").when(number == 1, "validation").otherwise("train")
+def cuts(n: Column) -> tuple[Column, Column]:
+    """Ranks within a stratum of n rows up to which a row is in the test part, and in the test or validation part: 3n/10
+    rounded up are held back, and two thirds of those, rounded up, are the test part."""
+    whole = lambda x, k: F.floor(x / k)
+    held = whole(3 * n + 9, 10)
+    return whole(2 * held + 2, 3), held
 
 
 def stratified_split(rows: DataFrame, strata: Sequence[str], key: str, seed: Column | int) -> DataFrame:
-    """Column part: 70 % train, 10 % validation, 20 % test of each stratum.
-
-    Of n rows, 3n/10 rounded up are held back, and two thirds of those, rounded up, are the test part.
-    """
-    return _classes(rows, strata, key, seed, [_TEST, _HELD]).withColumn("part", _part(F.col("_class"))).drop("_class")
+    """Column part: 70 % train, 10 % validation, 20 % test of each stratum, see cuts."""
+    test, held = cuts(F.col("_n"))
+    ranked = _by_seed(rows, strata, key, seed)
+    part = F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= held, "validation").otherwise("train")
+    return ranked.select(*rows.columns, part.alias("part"))
 
 
 def _drifts(wide: DataFrame, labels: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -121,50 +130,65 @@ def label_balance(rows: DataFrame, labels: Sequence[str], by: Sequence[str] = ()
 
 
 def best_seed(rows: DataFrame, strata: Sequence[str], key: str, labels: Sequence[str], seeds: int) -> DataFrame:
-    """The seed of 0 .. seeds - 1 with the least mean drift of the labels, the smallest of those tied.
+    """The seed of 0 .. seeds - 1 whose stratified_split has the least mean drift of the labels, the smallest of those tied.
 
-    Every seed in one job: rows are summed by (seed, stratum, bucket of the seed's order) before any shuffle. Only rows
-    in the two buckets of a stratum that its cuts go through are ranked one by one, 2 / 16**SEED_DIGITS of rows times seeds.
+    All seeds share one digest of a row: rows are summed by stratum and bucket once, and each seed only puts the at most
+    BUCKETS sums of a stratum in another order. Whole buckets before a cut are summed; a cut that goes through a bucket
+    adds the bucket's first rows, which are running sums in an order that all seeds share. So rows are read twice however
+    many seeds there are, and what is made for each seed does not grow with them.
     """
-    names = list(dict.fromkeys([*strata, *labels]))
-    tried = checkpointed(rows.select(key, *names)).select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("_seed"))
-    tried = tried.withColumn("_m", seeded(key, F.col("_seed").cast("string"))).withColumn("_b", F.substring("_m", 1, SEED_DIGITS))
-    sums = [f(c).alias(f"{c}__{k}") for c in labels for k, f in (("n", F.count), ("s", F.sum))]
-    own = ["_seed", *strata]
-    cells = checkpointed(_cells(tried.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_c"), *sums), own, [_TEST, _HELD]))
-    calm = cells.where("_low = _high").select("_seed", F.col("_low").alias("_class"), *[f"{c}__{k}" for c in labels for k in "ns"])
-    cut = cells.where("_low < _high").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*own, "_b"])], "_before", "_cuts")
-    same = F.lit(True)
-    for i, c in enumerate([*own, "_b"]):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*own, "_b").orderBy("_m", key))
-    edge = tried.join(sized(cut), same).withColumn("_r", rank).withColumn("_class", F.size(F.filter("_cuts", lambda x: F.col("_r") > x)))
-    ones = [x for c in labels for x in (F.col(c).isNotNull().cast("long").alias(f"{c}__n"), F.col(c).cast("long").alias(f"{c}__s"))]
-    every = calm.unionByName(edge.select("_seed", "_class", *ones))
-    rate = lambda c, p: F.try_divide(F.sum(F.when(p, F.col(f"{c}__s"))), F.sum(F.when(p, F.col(f"{c}__n"))))
-    parts = [(p, _part(F.col("_class")) == p) for p in ("train", "validation", "test")]
-    wide = every.groupBy("_seed").agg(*[rate(c, p).alias(f"{c}__{name}") for c in labels for name, p in parts])
-    mean = _drifts(wide, labels, ["_seed"]).groupBy("_seed").agg(F.round(F.avg("drift"), 9).alias("drift"))
-    return mean.agg(F.min(F.struct("drift", "_seed")).alias("m")).select(F.col("m._seed").alias("seed"), F.col("m.drift").alias("drift"))
-
-
-def batches(rows: DataFrame, order: str, size: int, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    names = range(len(labels))
+    sums = [f"_{x}{k}" for k in names for x in "nv"]
+    flags = [F.expr(e) for k, c in enumerate(labels) for e in (f"cast(`{c}` is not null as long) as _n{k}", f"coalesce(cast(`{c}` as long), 0) as _v{k}")]
+    marked = rows.select(_stratum(strata).alias("_s"), digest(key).alias("_m"), F.col(key).alias("_key"), *flags).withColumn("_b", bucket(F.col("_m")))
+    cells = marked.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(c) for c in sums])
+
+    tried = cells.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)).cast("array<long>")))
+    own = Window.partitionBy("_s", "seed")
+    upto = own.orderBy(mixed(F.col("_b"), F.col("seed")), "_b").rowsBetween(Window.unboundedPreceding, 0)
+    tried = tried.withColumn("_after", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(own))
+    test, held = cuts(F.col("_all"))
+    tried = tried.withColumn("_cut0", test).withColumn("_cut1", held)
+    whole = [F.expr(f"array({', '.join(f'sum(if(_after <= _cut{k}, {c}, 0))' for c in sums)})").alias(f"_whole{k}") for k in (0, 1)]
+    # At most two a stratum.
+    edges = [F.expr(f"collect_list(if(_after - _c < _cut{k} and _cut{k} < _after, struct({k} as cut, _s, _b, cast(_cut{k} - _after + _c as long) as _r), null))").alias(f"_edge{k}") for k in (0, 1)]
+    of_seed = tried.groupBy("seed").agg(*whole, *edges)
+    none = "cast(null as string) as _s, cast(null as long) as _b, cast(null as long) as _r"
+    parts = F.expr(
+        f"concat(array(struct(0 as cut, {none}, _whole0 as sums), struct(1 as cut, {none}, _whole1 as sums)), "
+        "transform(concat(_edge0, _edge1), e -> struct(e.cut as cut, e._s as _s, e._b as _b, e._r as _r, cast(null as array<long>) as sums)))"
+    )
+    first = Window.partitionBy("_s", "_b").orderBy("_m", "_key")
+    running = F.array(*[F.sum(c).over(first.rowsBetween(Window.unboundedPreceding, 0)) for c in sums])
+    inside = marked.select("_s", "_b", F.row_number().over(first).cast("long").alias("_r"), running.alias("_in"))
+    at = of_seed.select("seed", F.inline(parts)).join(inside, ["_s", "_b", "_r"], "left").withColumn("sums", F.coalesce("sums", "_in"))
+    until = at.groupBy("seed").agg(*[F.expr(f"sum(if(cut = {k}, sums[{i}], 0)) as {c}_{k}") for k in (0, 1) for i, c in enumerate(sums)])
+    total = cells.agg(*[F.sum(c).alias(f"{c}_2") for c in sums])
+    part = {"test": "{0}_0", "validation": "{0}_1 - {0}_0", "train": "{0}_2 - {0}_1"}
+    rates = [F.expr(f"try_divide({e.format(f'_v{k}')}, {e.format(f'_n{k}')})").alias(f"{c}__{name}") for k, c in enumerate(labels) for name, e in part.items()]
+    drifts = _drifts(until.join(F.broadcast(total)).select("seed", *rates), labels, ["seed"])  # the total is one row
+    mean = drifts.groupBy("seed").agg(F.round(F.avg("drift"), 9).alias("drift"))
+    return mean.agg(F.min(F.struct("drift", "seed")).alias("m")).select(F.col("m.seed").cast("int").alias("seed"), F.col("m.drift").alias("drift"))
+
+
+def _magnitude(value: Column) -> Column:
+    """A number that ascends with a value: CELLS of them between two powers of two, so that values of any spread are dealt
+    to many; null below all."""
+    size = F.abs(value.cast("double"))
+    power = F.floor(F.log2(size))
+    cell = (power + 1100) * CELLS + F.floor((size / F.pow(F.lit(2.0), power) - 1) * CELLS)
+    return F.when(value.isNull(), F.lit(-(2**40))).when(size == 0, F.lit(0)).when(value < 0, -cell).otherwise(cell).cast("long")
+
+
+def batches(rows: DataFrame, order: str, size: int, by: Sequence[str] = ()) -> DataFrame:
     """Batch number and place in it by a numeric order, within each of `by`.
 
-    Rows are ranked within ranges of the order, whose sizes add up, so that a hot value of `by` is not one task's.
+    Rows are ranked within cells of the order's magnitude, whose sizes add up, so that a hot value of `by` is not one
+    task's.
     """
-    ends = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
-    range_of = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(ends))]), lambda x: x < F.col(order))) if ends else F.lit(0)
-    marked = rows.withColumn("_b", F.coalesce(F.when(F.col(order).isNull(), -1), range_of))
-    counts = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    cells = _cells(counts, by, [])
-    cells = checkpointed(cells.select(*[F.col(c).alias(f"_s{k}") for k, c in enumerate(by)], F.col("_b").alias("_b2"), "_before"))
-    same = F.col("_b") == F.col("_b2")
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
-    n = F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1
-    ranked = marked.join(sized(cells), same).withColumn("_n", n)
-    return ranked.select(*rows.columns, F.floor(F.col("_n") / size).cast("long").alias("batch"), F.pmod("_n", F.lit(size)).cast("int").alias("place"))
+    n = F.col("_rank") - 1
+    ranked = _ranked(rows, by, _magnitude(F.col(order)), [order])
+    return ranked.select(*rows.columns, F.floor(n / size).cast("long").alias("batch"), F.pmod(n, F.lit(size)).cast("int").alias("place"))
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

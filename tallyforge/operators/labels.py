@@ -26,22 +26,24 @@ def exclusivity_violations(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(columns), "label", "n_violations")
 
 
-def _best(rows: DataFrame, keys: Sequence[str], order: Sequence[str], best, columns: Sequence[str] | None) -> DataFrame:
-    """One row of each key, reduced before the shuffle; texts among the keys are shuffled as 256-bit digests only."""
+def _best(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str] | None) -> DataFrame:
+    """The first row of each key in an order. Each task ranks its rows before the shuffle and hands on one of a key.
+
+    Columns that nothing reads later are not read at all. Texts that are only keys are dealt by 256-bit digests.
+    """
     kept = list(rows.columns if columns is None else columns)
     types = dict(rows.dtypes)
-    by = [(F.sha2(F.col(k).cast("binary"), 256) if types[k] == "string" else F.col(k)).alias(f"_key{n}") for n, k in enumerate(keys)]
-    found = rows.groupBy(*by).agg(best(F.struct(*kept), F.struct(*order)).alias("_row"))
-    return found.select("_row.*")
+    by = [F.unhex(F.sha2(F.col(k), 256)) if types[k] == "string" and k not in kept else F.col(k) for k in keys]
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").select(*kept)
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The last row of each key by a total order (all columns, or some). No row is arbitrary, as with dropDuplicates."""
-    return _best(rows, keys, order, F.max_by, columns)
+    return _best(rows, keys, [F.desc(c) for c in order], columns)
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    return _best(rows, keys, order, F.min_by, columns)
+    return _best(rows, keys, [F.asc(c) for c in order], columns)
 
 
 def duplicate_count(rows: DataFrame, key: str) -> DataFrame:
@@ -80,11 +82,10 @@ def votes(rows: DataFrame, key: str, binary: Mapping[str, str], dimensions: Mapp
     """
     listed = rows.select(key, *binary, *[csv_codes(F.col(f"label_{d}")).alias(f"_{d}") for d in dimensions])
 
-    def count(name: str, code: int) -> Column:
-        return F.sum(F.size(F.filter(f"_{name}", lambda x: x == code)).cast("long"))
-
+    # As SQL: an expression of many lambdas is dear to put together piece by piece.
+    count = lambda d, k: F.expr(f"coalesce(sum(cast(size(filter(`_{d}`, x -> x = {k})) as long)) >= {least}, false)")
     modes = [F.mode(c, True).alias(out) for c, out in binary.items()]
-    each = [F.coalesce(count(d, k) >= least, F.lit(False)).cast("int").alias(_column(d, n)) for d, names in dimensions.items() for k, n in names.items()]
+    each = [count(d, k).cast("int").alias(_column(d, n)) for d, names in dimensions.items() for k, n in names.items()]
     return listed.groupBy(key).agg(*modes, *each)
 
 
@@ -99,6 +100,29 @@ def soft_labels(rows: DataFrame, key: str, codes: str, names: Mapping[int, str],
     return wide.select(key, *[F.coalesce(F.try_divide(f"_{k}", "_all"), F.lit(0.0)).alias(_column(prefix, n)) for k, n in names.items()])
 
 
+def soft_table(rows: DataFrame, key: str, binary: Mapping[str, str], dimensions: Mapping[str, Mapping[int, str]]) -> DataFrame:
+    """key, binary labels by mean (a tie is 1), and the soft labels of every dimension (codes in label_<name>).
+
+    One aggregation for all: a code's share of its annotator's weight is summed within rows, so nothing is exploded or
+    joined. Rows without a key are left out.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    listed = known.select(key, *binary, *[csv_codes(F.col(f"label_{d}")).alias(f"_{d}") for d in dimensions])
+
+    def weight(d: str, wanted: Sequence[int]) -> Column:
+        return F.expr(f"sum(coalesce(try_divide(cast(size(filter(`_{d}`, x -> x in ({', '.join(map(str, wanted))}))) as double), cast(size(`_{d}`) as double)), 0D))")
+
+    sums, out = [], []
+    for d, names in dimensions.items():
+        whole = f"_{d}_all"
+        sums.append(weight(d, list(names)).alias(whole))
+        for k, n in names.items():
+            sums.append(weight(d, [k]).alias(f"_{d}_{k}"))
+            out.append(F.coalesce(F.try_divide(f"_{d}_{k}", whole), F.lit(0.0)).alias(_column(d, n)))
+    modes = [(F.avg(c) >= 0.5).cast("int").alias(o) for c, o in binary.items()]
+    return listed.groupBy(key).agg(*modes, *sums).select(key, *binary.values(), *out)
+
+
 def label_frequency(rows: DataFrame, codes: str, book: DataFrame) -> DataFrame:
     """Count and share of every category of book (code, name), also those never given."""
     flat = rows.select(F.explode(csv_codes(F.col(codes))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

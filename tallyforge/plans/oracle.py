@@ -129,8 +129,11 @@ def soft(name: str, names: dict[int, str]) -> str:
     return f"WITH {ANN}, {codes(name)}, w AS (SELECT id, {each}, {total} AS t FROM flat GROUP BY id) SELECT id, {out} FROM w"
 
 
-SPLIT = """SELECT *, row_number() OVER (PARTITION BY {by} split ORDER BY md5(id || '-' || {seed}), id) AS r,
- count(*) OVER (PARTITION BY {by} split) AS n FROM {source}"""
+# The order of a split's seed: of the bucket (three hexadecimal digits of the id's digest) as mixed by the seed, the digest and the id.
+BUCKET = "(('0x' || left(md5(id::VARCHAR), 3))::BIGINT)"
+MIXED = f"((({BUCKET} + 1) * ((({{seed}})::BIGINT * 1000003 + 40503) % 2147483647)) % 2147483647)"
+SPLIT = f"""SELECT *, row_number() OVER (PARTITION BY {{by}} split ORDER BY (({MIXED} * {MIXED}) % 2147483647 * 48271 + {BUCKET}) % 2147483647, {BUCKET}, md5(id::VARCHAR), id) AS r,
+ count(*) OVER (PARTITION BY {{by}} split) AS n FROM {{source}}"""
 PART = "CASE WHEN r <= (2 * ((3 * n + 9) // 10) + 2) // 3 THEN 'test' WHEN r <= (3 * n + 9) // 10 THEN 'validation' ELSE 'train' END AS part"
 
 
@@ -165,6 +168,60 @@ def built() -> str:
  b AS ({balance('seed').replace('FROM parts', 'FROM tried')}), best AS (SELECT seed FROM (SELECT seed, round(avg((abs(validation - train) + abs(test - train)) / 2), 9) AS drift FROM b GROUP BY seed) ORDER BY drift, seed LIMIT 1)"""
 
 
+def newton(pattern: str, names: list[str], rounds: int = 12) -> str:
+    """CTEs of a logistic regression over `pattern` (y, w, x: values and a 1): b, the coefficients, inv, the inverse of X'WX,
+    and fit, the log likelihood. Every step sums X'WX and the gradient and eliminates."""
+    q = len(names) + 1
+    rows = f"range(1, {q + 1})"
+    parts = [pattern, f"b0 AS MATERIALIZED (SELECT list_transform({rows}, lambda i: 0.0::DOUBLE) AS b)"]
+    for t in range(1, rounds + 2):
+        last = t > rounds
+        right = f"SELECT i, {q} + j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM ij" if last else f"SELECT i, {q + 1}, sum(w * (y - p) * x[i]) FROM e{t}, (SELECT unnest({rows}) AS i) GROUP BY i"
+        parts.append(f"e{t} AS MATERIALIZED (SELECT y, w, x, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM pattern, b{t - 1})")
+        parts.append(f"h{t} AS MATERIALIZED (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(w * p * (1 - p) * x[i] * x[j]) AS s FROM e{t}, ij GROUP BY i, j UNION ALL {right}) GROUP BY i)")
+        parts.append(f"m{t}_0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM h{t})")
+        for k in range(1, q + 1):
+            parts.append(f"m{t}_{k} AS MATERIALIZED (SELECT list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / m[{k}][{k}]) ELSE list_transform(r, lambda v, j: v - r[{k}] / m[{k}][{k}] * m[{k}][j]) END) AS m FROM m{t}_{k - 1})")
+        if not last:
+            parts.append(f"b{t} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v + m[i][{q + 1}]) AS b FROM b{t - 1}, m{t}_{q})")
+    parts.insert(1, f"ij AS MATERIALIZED (SELECT i, j FROM (SELECT unnest({rows}) AS i), (SELECT unnest({rows}) AS j))")
+    terms = ", ".join(quoted(n) for n in [*names, "intercept"])
+    parts.append(f"wald AS (SELECT unnest([{terms}]) AS term, unnest(b) AS b, unnest(list_transform({rows}, lambda i: sqrt(m[i][{q} + i]))) AS se FROM b{rounds}, m{rounds + 1}_{q})")
+    parts.append(f"fit AS (SELECT sum(w) AS n, sum(w * (y * ln(p) + (1 - y) * ln(1 - p))) AS l, sum(w * y) / sum(w) AS s FROM e{rounds + 1})")
+    return ", ".join(parts)
+
+
+def soft_all() -> str:
+    """Soft labels of both dimensions with the majority label of each item."""
+    both, columns = [], []
+    for name in DIMENSIONS:
+        names = DIMENSIONS[name]
+        cells = ", ".join(f"coalesce(sum(1.0 / n) FILTER (code = {k}), 0) AS s{k}" for k in names)
+        whole = f"coalesce(sum(1.0 / n) FILTER (code IN ({', '.join(map(str, names))})), 0)"
+        both.append(f"{name}_ AS (SELECT id, {cells}, {whole} AS t FROM (SELECT id, len(c) AS n, unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS code FROM (SELECT id, list_transform(list_filter(string_split(coalesce(label_{name}, ''), ','), lambda x: x <> ''), lambda x: x::INT) AS c FROM ded)) GROUP BY id)")
+        columns += [f"coalesce({name}_.s{k} / nullif({name}_.t, 0), 0) AS {column(name, n)}" for k, n in names.items()]
+    return f"{', '.join(both)}, h AS (SELECT id, CAST(avg(label_hateful) >= 0.5 AS INT) AS hateful FROM ded GROUP BY id), soft AS (SELECT h.id, h.hateful, {', '.join(columns)} FROM h {' '.join(f'JOIN {d}_ ON {d}_.id = h.id' for d in DIMENSIONS)})"
+
+
+def shares() -> str:
+    """Counts and shares of every code, also those never given, in order of dimension and code."""
+    parts = []
+    for d, names in DIMENSIONS.items():
+        book = ", ".join(f"({k})" for k in names)
+        counts = f"(SELECT unnest(string_split(label_{d}, ','))::INT AS code, 1 AS one FROM ded WHERE label_{d} <> '')"
+        parts.append(f"SELECT '{d}' AS \"group\", b.code, count(c.one) AS n FROM (VALUES {book}) AS b(code) LEFT JOIN {counts} c ON c.code = b.code GROUP BY b.code")
+    return f"WITH {ANN}, s AS ({' UNION ALL '.join(parts)}) SELECT (row_number() OVER (ORDER BY \"group\", code))::INT AS place, \"group\", code, n, n / sum(n) OVER (PARTITION BY \"group\")::DOUBLE AS share FROM s"
+
+
+def regression(names: list[str]) -> str:
+    return f"WITH {ANN}, {soft_all()}, " + newton(f"pattern AS MATERIALIZED (SELECT hateful::DOUBLE AS y, count(*) AS w, [{', '.join(names)}, 1.0] AS x FROM soft GROUP BY y, x)", names)
+
+
+SOFT = [column(d, n) for d, names in DIMENSIONS.items() for k, n in names.items()]
+TERMS = [column(d, n) for d, names in DIMENSIONS.items() for k, n in names.items() if k]
+WALD = f"SELECT term, round(b, 6) AS coefficient, round(se, 6) AS se, round(b / se, 6) AS z, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z95!r} * se), 6) AS low, round(exp(b + {Z95!r} * se), 6) AS high FROM wald"
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -236,6 +293,26 @@ ORACLES: dict[str, str] = {
     "stratified_split": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}) SELECT id, {PART} FROM s",
     "split_label_balance": f"WITH {GOLD}, s AS ({SPLIT.format(by='', seed=42, source='gold')}), parts AS (SELECT *, {PART} FROM s), b AS ({balance('')}) SELECT label, train, validation, test, (abs(validation - train) + abs(test - train)) / 2 AS drift FROM b",
     "best_seed": f"WITH {GOLD}, g AS (SELECT gold.*, x.seed FROM gold, (SELECT unnest(range(50))::INT AS seed) x), s AS ({SPLIT.format(by='seed,', seed='seed', source='g')}), parts AS (SELECT *, {PART} FROM s), b AS ({balance('seed')}), m AS (SELECT seed, round(avg((abs(validation - train) + abs(test - train)) / 2), 9) AS drift FROM b GROUP BY seed) SELECT seed, drift FROM m ORDER BY drift, seed LIMIT 1",
+    "logit_odds_ratios": regression([t for t in TERMS if t.startswith("incivility")]) + " " + WALD,
+    "workflow_regression": regression(TERMS) + " " + WALD,
+    "regression_fit": regression(TERMS) + f""" SELECT n::BIGINT AS n, true AS converged, false AS separated, false AS singular, round(l, 6) AS log_likelihood, round(n * (s * ln(s) + (1 - s) * ln(1 - s)), 6) AS null_log_likelihood,
+ round(1 - l / (n * (s * ln(s) + (1 - s) * ln(1 - s))), 6) AS pseudo_r2, round({2 * (len(TERMS) + 1)} - 2 * l, 6) AS aic FROM fit""",
+    "soft_label_table": f"WITH {ANN}, {soft_all()} SELECT id, hateful, {', '.join(f'round({c}, 9) AS {c}' for c in SOFT)} FROM soft",
+    "workflow_evaluate_api_fine": f"WITH {GOLD}, j AS (SELECT 'incivility' AS category, label_incivility AS y, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS p FROM gold UNION ALL SELECT 'intolerance', label_intolerance, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END FROM gold), {metrics('j', 'category')} SELECT category, {METRICS} FROM m",
+    "saved_evaluation": f"""WITH {PRED}, {metrics('joint_', 'category')}, k AS (SELECT category, count(*) FILTER (y = 0 AND p = 0) AS n00, count(*) FILTER (y = 0 AND p = 1) AS n01, count(*) FILTER (y = 1 AND p = 0) AS n10, count(*) FILTER (y = 1 AND p = 1) AS n11, count(*) FILTER (y = 0) AS s0, count(*) FILTER (y = 1) AS s1 FROM joint_ GROUP BY category)
+ SELECT m.category, n, round(f1, 9) AS f1, round({ratio('n00', 's0')}, 9) AS c00, round({ratio('n01', 's0')}, 9) AS c01, round({ratio('n10', 's1')}, 9) AS c10, round({ratio('n11', 's1')}, 9) AS c11,
+ 'one' AS run_id, (SELECT round(avg(accuracy), 9) FROM m) AS mean_accuracy, (SELECT round(avg(f1), 9) FROM m) AS mean_f1, (SELECT count(*) FROM raw) AS n_rows FROM m JOIN k ON k.category = m.category""",
+    "resumed_scoring": f"WITH {GOLD} SELECT id, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 'Hateful' ELSE 'Neutral' END AS output, NULL::VARCHAR AS error FROM gold",
+    "tolerant_log": f"WITH {ANN} SELECT annotator, count(*) AS n, sum(label_hateful)::BIGINT AS n_hateful FROM ann WHERE seq % 50 > 2 GROUP BY annotator UNION ALL SELECT 'lines that cannot be read', count(*), NULL FROM ann WHERE seq % 50 < 2",
+    "stream_state": f"WITH {ANN} SELECT id, annotator, label_incivility, label_intolerance, label_hateful, seq FROM ded",
+    "appended_batches": "SELECT n_nationkey, n_name, n_regionkey, 'region-' || n_regionkey AS batch FROM nation WHERE n_regionkey < 2",
+    "ordered_rates": votes() + f", w AS (SELECT split_part(category, '_', 1) AS \"group\", {titled()} AS label, n, rate FROM k) SELECT (row_number() OVER (ORDER BY \"group\", rate DESC, label))::INT AS place, * FROM w",
+    "ordered_categories": votes() + " SELECT (row_number() OVER (ORDER BY split_part(category, '_', 1), rate DESC, category))::INT AS place, split_part(category, '_', 1) AS dimension, category, rate FROM k",
+    "ordered_shares": shares(),
+    "ordered_work_queue": f"WITH {ANN}, {GOLD} SELECT id, (row_number() OVER (ORDER BY id))::INT AS place FROM gold WHERE id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2')",
+    "ordered_review": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_hateful) > 1 OR count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT (row_number() OVER (ORDER BY id, annotator))::INT AS place, id, annotator FROM bin WHERE id IN (SELECT id FROM d)",
+    "rounded_prices": "SELECT l_returnflag, l_linestatus, sum(format('{:.2f}', l_extendedprice / l_quantity)::DECIMAL(18, 2))::DOUBLE AS unit_prices, count(*) FILTER (format('{:.2f}', l_discount / 2)::DOUBLE = 0) AS no_discount FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "batch_scorer_stub": f"WITH {GOLD} SELECT id, label_hateful, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 'Hateful' ELSE 'Neutral' END AS output FROM gold",
     "batch_assignment": "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 32 AS batch, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 32 AS INT) AS place FROM documents",
     "left_join_metadata": "SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
     "missing_metadata_count": "SELECT count(*) FILTER (d.lang IS NULL) AS missing_lang, count(*) FILTER (d.source IS NULL) AS missing_source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
@@ -244,7 +321,7 @@ ORACLES: dict[str, str] = {
     "set_equality": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS only_right, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) = 0 AND (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) = 0 AS same",
     "union_tagged": "SELECT doc_id, lang, NULL::INT AS quality, 'documents' AS split, 0 AS priority FROM documents UNION ALL SELECT doc_id, NULL, quality, 'labels', 1 FROM labels",
     "codes_to_names": f"WITH {ANN} SELECT id, annotator, array_to_string(list_transform(string_split(label_intolerance, ','), lambda x: {value_map(INTOLERANCE)}[x::INT]), ', ') AS names FROM bin",
-    "sanitize_names": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {k}, {quoted(n.replace(' ', '_').replace('/', '_'))})" for d, names in DIMENSIONS.items() for k, n in names.items()) + ") AS x(dimension, code, name)",
+    "sanitize_names": "SELECT p_partkey, replace(replace(p_brand || '/' || p_type, ' ', '_'), '/', '_') AS name FROM part",
     "path_charset_strip": f"WITH {GOLD} SELECT id, ltrim(img, 'img/') AS stripped, regexp_replace(img, '^img/', '') AS without_prefix FROM gold",
     "train_messages_coarse": messages("coarse", "train"),
     "train_messages_fine": messages("fine", "train"),
@@ -281,12 +358,16 @@ ORACLES: dict[str, str] = {
     "published_dataset": f"WITH {GOLD} SELECT id, split, label_hateful, label_incivility, label_intolerance FROM gold WHERE split = 'train'",
     "split_items_keep_first": f"WITH {GOLD} SELECT id, CASE WHEN id % 3 > 0 THEN label_hateful ELSE 7 END AS label, CASE WHEN id % 3 > 0 THEN 'train' ELSE 'dev' END AS split FROM gold",
     "id_list_round_trip": "SELECT doc_id AS id FROM labels WHERE doc_id IS NOT NULL",
-    "bias_of_runs": f"WITH {PRED}, j AS (SELECT 'one' AS run_id, * FROM joint_ UNION ALL SELECT 'two', * FROM joint_ WHERE id % 2 = 0), c AS (SELECT run_id, category, {CELLS} FROM j GROUP BY run_id, category) SELECT 'joint' AS task, run_id, category, n, tp, tn, fp, fn, {ratio('fp', '(fp + tn)')} AS fpr, {ratio('fn', '(fn + tp)')} AS fnr FROM c",
+    "bias_of_runs": f"WITH {PRED}, j AS (SELECT 'one' AS run_id, * FROM joint_ UNION ALL SELECT 'two', * REPLACE (1 AS p) FROM joint_), c AS (SELECT run_id, category, {CELLS} FROM j GROUP BY run_id, category) SELECT 'joint' AS task, run_id, category, n, tp, tn, fp, fn, {ratio('fp', '(fp + tn)')} AS fpr, {ratio('fn', '(fn + tp)')} AS fnr FROM c",
     "stream_latest": f"WITH {ANN} SELECT id, annotator, label_incivility, label_intolerance, label_hateful, seq FROM ded",
     "scalar_texts": "SELECT p_partkey AS id, array_to_string(list_transform(string_split(replace(p_type, '/', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, p_name AS trimmed, (p_partkey % 10 + p_size % 10)::INT AS sum_of_codes, CASE WHEN p_partkey % 10 = 0 OR p_size % 10 = 0 THEN 0 ELSE 1 END AS no_zero, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)) > 0 THEN array_to_string(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4), chr(10)) END AS lines FROM part",
-    "work_queue_of_annotator": f"WITH {ANN} SELECT r.id FROM (SELECT unnest(range(1100)) AS id) r WHERE r.id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2')",
+    "work_queue_of_annotator": f"WITH {ANN}, {GOLD} SELECT id FROM gold WHERE id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2')",
     "annotation_sample": f"WITH {GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(id || '-42'), id) AS r, count(*) OVER (PARTITION BY split) AS n FROM gold) SELECT id, split FROM r WHERE r <= round(n * 0.21)",
     "reannotation_plan": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT id, 'again' AS part FROM d UNION ALL SELECT DISTINCT id, 'agreed' FROM bin WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT 0, 'calibrated elsewhere'",
     "metrics_of_runs": f"WITH {PRED}, {metrics('joint_', 'category')} SELECT run_id, category, n, accuracy, f1, f1 AS f1_read FROM m, (VALUES ('a'), ('b')) AS r(run_id)",
     "api_replies": f"WITH {GOLD} SELECT id, CASE WHEN id % 5 > 0 THEN split END AS output, CASE WHEN id % 2 = 0 THEN 'first' || chr(10) || split END AS reasoning FROM gold",
 }
+
+_FITTED = ORACLES["image_fit_geometry"]
+#: The same sizes, of those images whose headers say any.
+ORACLES["image_headers"] = f"SELECT p.p_partkey AS id, f.w, f.h, f.new_w, f.new_h FROM part p LEFT JOIN ({_FITTED}) f ON f.id = p.p_partkey AND p.p_partkey % 4 < 3"

@@ -15,6 +15,7 @@ from tallyforge.functions.text import codes_to_names, strip_charset
 from tallyforge.operators import chat, curate, evaluate, labels, scoring, stats
 from tallyforge.plans.codebook import DIMENSIONS, INCIVILITY, INTOLERANCE, dimension
 from tallyforge.plans.config import merge, run_grid, select
+from tallyforge.session import checkpointed
 from tallyforge.sources import readers, sinks
 
 CODES = ["label_incivility", "label_intolerance"]
@@ -31,12 +32,17 @@ class Validated:
     summary: DataFrame
 
 
-def validate(log: DataFrame, ids: DataFrame | None = None, expected: int | None = None, order: Sequence[str] = ("time",)) -> Validated:
-    """Coverage and exclusivity before repeats are removed, then the latest rows, binary labels and agreement."""
-    rows = log if ids is None else curate.semi(log, curate.sized(ids.select("id").distinct()), "id")
+def validate(log: DataFrame, ids: DataFrame | None = None, expected: int | None = None, order: Sequence[str] | None = None) -> Validated:
+    """Coverage and exclusivity before repeats are removed, then the latest rows, binary labels and agreement.
+
+    order: by default `time`, and of equal times `place`, the place in the files, which readers.annotation_log adds.
+    """
+    rows = log if ids is None else curate.semi(log, ids.select("id").distinct(), "id")
     if expected is None:
-        expected = (ids if ids is not None else log).select("id").distinct().count()
-    clean = labels.binarize(labels.keep_last(rows, ["annotator", "id"], list(order)), CODES)
+        expected = (ids if ids is not None else log).agg(F.countDistinct("id")).scalar()
+    if order is None:
+        order = [c for c in ("time", "place") if c in log.columns]
+    clean = labels.binarize(labels.keep_last(rows, ["annotator", "id"], order), CODES)
     pairs = stats.pairwise_agreement(clean, list(BIN))
     return Validated(labels.coverage(rows, expected), labels.exclusivity_violations(rows, CODES), clean, pairs, stats.agreement_summary(pairs))
 
@@ -72,20 +78,22 @@ def fine_grained(clean: DataFrame) -> FineGrained:
     spark = clean.sparkSession
     frequency = {k: labels.label_frequency(clean, f"label_{k}", dimension(spark, k).select("code", "name")) for k in DIMENSIONS}
     votes = labels.votes(clean, "id", {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"}, DIMENSIONS)
-    soft = labels.majority_mean(clean, ["id"], {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"})
-    for name, book in DIMENSIONS.items():
-        soft = soft.join(labels.soft_labels(clean, "id", f"label_{name}", book, name), "id")
+    soft = labels.soft_table(clean, "id", {"label_hateful": "hateful", "label_incivility_bin": "incivility_bin", "label_intolerance_bin": "intolerance_bin"}, DIMENSIONS)
     table = stats.category_table(votes, "hateful", votes.columns[4:])
     low, high = stats.wilson(F.col("k"), F.col("n"))
     table = table.withColumn("low", low).withColumn("high", high).withColumn("dimension", F.split("category", "_", 2)[0])
     return FineGrained(frequency, votes, table.orderBy("dimension", F.desc("rate"), "category"), soft)
 
 
-def odds_ratios(soft: DataFrame) -> DataFrame:
-    """Odds ratios of soft category weights for the hateful label, the categories of code 0 as baseline."""
+def regression(soft: DataFrame) -> stats.Logit:
+    """The hateful label by the soft weights of categories, those of code 0 as baseline: odds ratios, and the fit."""
     baseline = tuple(f"{d}_{book[0]}" for d, book in DIMENSIONS.items())
     columns = [c for c in soft.columns if c.startswith(tuple(f"{d}_" for d in DIMENSIONS)) and not c.endswith("_bin") and c not in baseline]
-    return stats.logit_odds_ratios(soft, "hateful", columns)
+    return stats.logit(soft, "hateful", columns)
+
+
+def odds_ratios(soft: DataFrame) -> DataFrame:
+    return regression(soft).terms
 
 
 def coarse_fine_relation(gold: DataFrame) -> DataFrame:
@@ -147,7 +155,7 @@ def reannotation(clean: DataFrame, calibrated: DataFrame | None = None, per_grou
     agreed = marked.where("not _disagree").drop("_disagree")
     pool = marked.where("_disagree").drop("_disagree")
     if calibrated is not None:
-        pool = curate.anti(pool, curate.sized(calibrated.select("id").distinct()), "id")
+        pool = curate.anti(pool, calibrated.select("id").distinct(), "id")
     return {"again": again, "agreed": agreed, "calibration": curate.sample_n(pool, columns, "id", per_group, seed).select("id").distinct()}
 
 
@@ -158,12 +166,21 @@ def calibration_review(clean: DataFrame) -> DataFrame:
     return named.withColumn("intolerance", codes_to_names(F.col("label_intolerance"), INTOLERANCE)).orderBy("id", "annotator")
 
 
-def evaluate_task(items: DataFrame, task: str, scorer: Callable[[list[str]], list[str | None]], invalid_policy: str = "count_as_error", size: int = 32, max_failed: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Row-level predictions of a task by a scorer, and their metrics: messages, output, labels read back, scores."""
+def evaluate_task(items: DataFrame, task: str, scorer: Callable[[list[str]], list[str | None]], invalid_policy: str = "count_as_error", size: int = 32, max_failed: float = 0.1, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Row-level predictions of a task by a scorer, and their metrics: messages, output, labels read back, scores.
+
+    log: a folder of the model's own, where answers are logged, so that a job that is killed goes on from there.
+    """
     asked = chat.inference_messages(items, task)
     prompt = F.to_json("messages")
-    scored = scoring.score(asked.select("id", prompt.alias("prompt"), *[c for c in asked.columns if c.startswith("label")]), scorer, size, max_failed=max_failed).drop("prompt")
-    rows = _read(scored, task)
+    prompts = asked.select("id", prompt.alias("prompt"), *[c for c in asked.columns if c.startswith("label")])
+    if log is None:
+        # Kept, as a model is dear to ask.
+        scored = checkpointed(scoring.score(prompts, scorer, size, errors=True))
+        scoring.check_failures(scored, max_failed)
+    else:
+        scored = scoring.answered(prompts, log, task, lambda some: scoring.score(some, scorer, size, errors=True, attempts=3), max_failed=max_failed)
+    rows = _read(scored.drop("prompt", "error"), task)
     return rows, evaluate.binary_metrics(evaluate.long_predictions(rows), invalid_policy=invalid_policy)
 
 
@@ -182,7 +199,8 @@ class Evaluation:
     matrices: DataFrame
 
 
-def _evaluation(run_id: str, rows: DataFrame, invalid_policy: str) -> Evaluation:
+def evaluation(run_id: str, rows: DataFrame, invalid_policy: str = "count_as_error") -> Evaluation:
+    """Scores of row-level predictions: by category, their mean, and confusion matrices."""
     long = evaluate.long_predictions(rows)
     metrics = evaluate.binary_metrics(long, invalid_policy=invalid_policy)
     return Evaluation(run_id, rows, metrics, evaluate.macro_average(metrics), evaluate.confusion_array(long))
@@ -201,12 +219,12 @@ def evaluate_models(items: DataFrame, tasks: Mapping[str, Mapping[str, Callable[
             run = f"eval_{name}_{model.replace('/', '_') if published else model.rstrip('/').split('/')[-2 if '/' in model else -1]}"
             try:
                 rows, _ = evaluate_task(items, kind, scorer, invalid_policy)
-                out.append(_evaluation(run, rows.persist(), invalid_policy))
+                out.append(evaluation(run, rows, invalid_policy))
                 mean = out[-1].mean.first()
                 log.info("%s: accuracy %s, F1 %s, invalid %s", run, mean.accuracy, mean.f1, mean.invalid_rate)
             except Exception as e:  # noqa: BLE001 - one model's failure does not stop the others
                 if out and out[-1].run_id == run:
-                    out.pop().rows.unpersist()
+                    out.pop()
                 log.error("%s failed: %s", run, str(e).splitlines()[0] if str(e) else type(e).__name__)
     return out
 
@@ -215,16 +233,30 @@ def save_evaluation(done: Evaluation, folder: str, **tags: str) -> None:
     """Rows as JSON lines, metrics with matrices as JSON documents, and the means appended to a table of all runs."""
     sinks.json_lines(done.rows, f"{folder}/{done.run_id}_results")
     sinks.json_document(done.metrics.join(done.matrices, "category"), f"{folder}/{done.run_id}_metrics")
-    sinks.append_metrics(done.mean, f"{folder}/runs", run_id=done.run_id, **tags)
+    sinks.append_metrics(done.mean, f"{folder}/runs", token=done.run_id, run_id=done.run_id, **tags)
 
 
-def evaluate_api(items: DataFrame, task: str, client: Callable[[], Callable[[str], list[dict]]], in_flight: int = 8, workers: int = 4, invalid_policy: str = "count_as_error", max_failed: float = 0.1) -> Evaluation:
-    """A remote model on the items (with `url`, the image): messages, replies with reasoning, labels read, scores."""
+def evaluate_api(
+    items: DataFrame, task: str, client: Callable[[], Callable[[str], list[dict]]], in_flight: int = 8, workers: int = 4, invalid_policy: str = "count_as_error",
+    max_failed: float = 0.1, log: str | None = None, attempts: int = 1, wait: float = 0.5, waves: int = 16,
+) -> Evaluation:
+    """A remote model on the items (with `url`, the image): messages, replies with reasoning, labels read, scores.
+
+    log: a folder of the model's own, where answers are logged in waves, so that a job that is killed goes on from there.
+    """
     asked = chat.api_messages(items, task)
     named = [c for c in asked.columns if c.startswith("label")]
     prompts = asked.select("id", F.to_json("messages").alias("prompt"), *named)
-    replies = read_reply(scoring.ask(prompts, client, in_flight, workers, max_failed=max_failed)).drop("prompt", "reply")
-    return _evaluation(f"eval_{task}_api", _read(replies, task), invalid_policy)
+    sent = lambda some: scoring.ask(some, client, in_flight, workers, errors=True, attempts=attempts, wait=wait)
+    if log is None:
+        replies = checkpointed(sent(prompts))
+        scoring.check_failures(replies, max_failed)
+        replies = read_reply(replies)
+    else:
+        # A log holds texts: what is read of a reply, as JSON.
+        whole = scoring.answered(prompts, log, task, lambda some: sent(some).withColumn("output", F.to_json("reply")), waves, max_failed=max_failed)
+        replies = read_reply(whole.withColumn("reply", F.from_json("output", scoring.REPLY)))
+    return evaluation(f"eval_{task}_api", _read(replies.drop("prompt", "reply", "error"), task), invalid_policy)
 
 
 def chart_frames(found: FineGrained) -> dict[str, DataFrame]:

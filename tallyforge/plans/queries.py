@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.functions import text
 from tallyforge.functions.parse import field_label, first_label
@@ -324,8 +325,8 @@ QUERIES["codes_to_names"] = lambda spark, d: deduped(spark, d).select(
 
 @query
 def sanitize_names(spark, d):
-    both = dimension(spark, "incivility").union(dimension(spark, "intolerance"))
-    return both.select("dimension", "code", sanitize(F.col("name")).alias("name"))
+    """Names of parts, with their brand, as column names."""
+    return load(spark, d, "part").select("p_partkey", sanitize(F.concat_ws("/", "p_brand", "p_type")).alias("name"))
 
 
 @query
@@ -367,6 +368,21 @@ def image_fit_geometry(spark, d):
     return chat.fit_geometry(sizes, 1024, 768)
 
 
+@query
+def image_headers(spark, d):
+    """Sizes read from the headers of images made of the parts table, and how those fit."""
+    k = F.col("p_partkey")
+    w, h = (1 + k * 37 % 3000).cast("int"), (1 + k * 91 % 2000).cast("int")
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    little = lambda x: F.concat(F.substring(big(x, 2), 3, 2), F.substring(big(x, 2), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(w), little(h))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB000401FFFFC0001108"), big(h, 2), big(w, 2), F.lit("03"))
+    made = F.when(k % 4 == 0, png).when(k % 4 == 1, gif).when(k % 4 == 2, jpeg).otherwise(F.hex(F.col("p_name")))
+    rows = load(spark, d, "part").select(k.alias("id"), chat.image_size(F.unhex(made)).alias("size"))
+    return chat.fit_geometry(rows.select("id", "size.w", "size.h"), 1024, 768).select("id", "w", "h", "new_w", "new_h")
+
+
 @query
 def parsed_predictions(spark, d):
     rows = predictions(spark, d)
@@ -421,7 +437,43 @@ def logit_odds_ratios(spark, d):
     rows = deduped(spark, d)
     soft = labels.soft_labels(rows, "id", "label_incivility", INCIVILITY, "incivility")
     wide = labels.majority_mean(rows, ["id"], {"label_hateful": "hateful"}).join(soft, "id")
-    return stats.logit_odds_ratios(wide, "hateful", soft.columns[2:])
+    return _wald(stats.logit(wide, "hateful", soft.columns[2:]).terms)
+
+
+def _wald(terms: DataFrame) -> DataFrame:
+    return terms.select("term", *[F.round(c, 6).alias(c) for c in ("coefficient", "se", "z", "odds_ratio", "low", "high")])
+
+
+def _soft(spark, d) -> DataFrame:
+    return pipelines.fine_grained(_validated(spark, d).rows).soft
+
+
+@query
+def soft_label_table(spark, d):
+    """Soft labels of both dimensions with the majority labels: what the regression reads."""
+    soft = _soft(spark, d)
+    return soft.select("id", "hateful", *[F.round(c, 9).alias(c) for c in soft.columns[4:]])
+
+
+@query
+def workflow_regression(spark, d):
+    """Odds ratios of all soft categories together, from the annotations on."""
+    return _wald(pipelines.regression(_soft(spark, d)).terms)
+
+
+@query
+def regression_fit(spark, d):
+    """How well that regression fits."""
+    fit = pipelines.regression(_soft(spark, d)).summary
+    return fit.select("n", "converged", "separated", "singular", *[F.round(c, 6).alias(c) for c in ("log_likelihood", "null_log_likelihood", "pseudo_r2", "aic")])
+
+
+@query
+def rounded_prices(spark, d):
+    """Rounding of exact binary values, and p-values, over whole tables."""
+    rows = load(spark, d, "lineitem")
+    each = F.col("l_extendedprice") / F.col("l_quantity")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(text.rounded(each, 2).cast("decimal(18,2)")).cast("double").alias("unit_prices"), F.count_if(text.rounded(F.col("l_discount") / 2, 2) == 0).alias("no_discount"))
 
 
 @query
@@ -536,6 +588,53 @@ def workflow_evaluate_api(spark, d):
     return pipelines.evaluate_api(items, "coarse", client).metrics
 
 
+@query
+def workflow_evaluate_api_fine(spark, d):
+    """The fine task answered by a stand-in for a remote model, with answers logged in waves."""
+
+    def client():
+        import re
+
+        said = ["Incivility: Civil, Intolerance: Intolerant", "incivility:uncivil, intolerance: tolerant", "I cannot say."]
+
+        def send(prompt: str) -> list[dict]:
+            return [{"type": "output_text", "text": said[int(re.search(r"img/0*([0-9]+)\.png", prompt)[1]) % 3]}]
+
+        return send
+
+    items = gold(spark, d).withColumn("url", F.col("img"))
+    done = pipelines.evaluate_api(items, "fine", client, log=shared_folder(spark, "answers"), waves=2)
+    return done.metrics.select("category", "n", "valid_samples", "accuracy", "precision", "recall", "f1", "invalid_rate")
+
+
+@query
+def saved_evaluation(spark, d):
+    """An evaluation's artefacts read back: its rows, the metrics and matrices of each category, and the mean row."""
+    folder = shared_folder(spark, "evaluation")
+    rows = parsed(predictions(spark, d), "joint").drop("o_orderpriority")
+    done = pipelines.evaluation("one", rows)
+    for _ in range(2):
+        pipelines.save_evaluation(done, folder, task="joint")
+    n = readers.predictions(spark, f"{folder}/one_results").agg(F.count(F.lit(1)).alias("n_rows"))
+    mean = spark.read.parquet(f"{folder}/runs").select(F.col("run_id"), F.round("accuracy", 9).alias("mean_accuracy"), F.round("f1", 9).alias("mean_f1"))
+    saved = spark.read.schema("category string, n long, f1 double, confusion_matrix array<array<double>>").json(f"{folder}/one_metrics")
+    # Where outputs are invalid, -1 comes before 0 and 1.
+    matrix, first = F.col("confusion_matrix"), F.size("confusion_matrix") - 2
+    cells = [F.round(F.get(F.get(matrix, first + y), first + p), 9).alias(f"c{y}{p}") for y in (0, 1) for p in (0, 1)]
+    return saved.select("category", "n", F.round("f1", 9).alias("f1"), *cells).crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(n))
+
+
+@query
+def resumed_scoring(spark, d):
+    """Answers logged by a job that saw half of the items, and a job over all of them that goes on from there."""
+    folder = shared_folder(spark, "answers")
+    rows = gold(spark, d).select("id", F.coalesce("text", F.lit("")).alias("prompt"), "split")
+    model = lambda texts: ["Hateful" if len(t) % 2 else "Neutral" for t in texts]
+    asks = lambda some: scoring.score(some, model, errors=True)
+    scoring.answered(rows.where("split like 'dev%'"), folder, "stand-in", asks, waves=4)
+    return scoring.answered(rows, folder, "stand-in", asks, waves=3).select("id", "output", "error")
+
+
 @query
 def workflow_training_runs(spark, d):
     """Conversations of the train part for every run of a grid: rows to train on, by run."""
@@ -586,8 +685,9 @@ def bias_of_runs(spark, d):
     """Row-level results of two runs written and read again; a third is not there."""
     paths = {k: shared_folder(spark, k) for k in ("one", "two")}
     for k, path in paths.items():
-        rows = parsed(predictions(spark, d), "joint").drop("o_orderpriority")
-        sinks.json_lines(rows.withColumn("output", F.lit(k)) if k == "one" else rows.where("id % 2 = 0").withColumn("output", F.lit(k)), path)
+        rows = parsed(predictions(spark, d), "joint").drop("o_orderpriority").withColumn("output", F.lit(k))
+        # The second run says 1 throughout.
+        sinks.json_lines(rows if k == "one" else rows.withColumns({c: F.lit(1) for c in rows.columns if c.startswith("pred_")}), path)
     table, missing = pipelines.bias_analysis(spark, {"joint": {**paths, "three": shared_folder(spark, "three")}})
     if len(missing) != 1:
         raise ValueError(missing)
@@ -605,6 +705,74 @@ def stream_latest(spark, d):
     return log.latest(spark, target).select("id", "annotator", *CODES, "label_hateful", F.col("time").cast("long").alias("seq"))
 
 
+@query
+def tolerant_log(spark, d):
+    """A log with lines cut off, of a wrong type, and empty: what can be read, and how many lines cannot."""
+    folder = shared_folder(spark, "broken")
+    rows = annotations(spark, d).select("id", "annotator", *CODES, "label_hateful", "text", F.col("seq").cast("string").alias("time"))
+    line, kind = F.to_json(F.struct(*rows.columns)), F.col("time").cast("long") % 50
+    spoilt = F.when(kind == 0, F.substring(line, 1, 30)).when(kind == 1, F.regexp_replace(line, '"id":', '"id":"no number ')).when(kind == 2, "  ").otherwise(line)
+    rows.select(F.regexp_replace(spoilt, '("no number [0-9]+)', '$1"').alias("value")).write.text(folder)
+    log = readers.annotation_log(spark, folder)
+    good = log.rows.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"), F.sum("label_hateful").alias("n_hateful"))
+    return good.unionByName(log.counts.agg(F.lit("lines that cannot be read").alias("annotator"), F.sum("n_bad").alias("n"), F.lit(None).cast("long").alias("n_hateful")))
+
+
+@query
+def stream_state(spark, d):
+    """The latest rows from the state store; the second batch brings rows that are late."""
+    source, target, state = (shared_folder(spark, k) for k in ("state-in", "state-out", "state"))
+    rows = annotations(spark, d).select("id", "annotator", *CODES, "label_hateful", "text", F.lpad(F.col("seq").cast("string"), 12, "0").alias("time"), F.lit(None).cast("string").alias("img"))
+    for part in (rows.where("cast(time as long) % 3 > 0"), rows.where("cast(time as long) % 3 = 0")):
+        sinks.json_lines(part, source, append=True)
+        log.track_latest(log.read_log(spark, source), target, state).awaitTermination()
+    return log.latest_changes(spark, target).select("id", "annotator", *CODES, "label_hateful", F.col("time").cast("long").alias("seq"))
+
+
+@query
+def appended_batches(spark, d):
+    """Batches appended twice, and one that was never finished."""
+    folder = shared_folder(spark, "batches")
+    rows = load(spark, d, "nation")
+    for region in (0, 1, 1, 0):
+        sinks.append_batch(rows.where(F.col("n_regionkey") == region), folder, f"region-{region}")
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/batch=unfinished")
+    return sinks.read_batches(spark, folder, "n_nationkey long, n_name string, n_regionkey long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """place: where a row stands in the order in which a small result is delivered."""
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+@query
+def ordered_rates(spark, d):
+    found = pipelines.chart_frames(pipelines.fine_grained(_validated(spark, d).rows))["rates"]
+    return _placed(found).select("place", "group", "label", "n", "rate")
+
+
+@query
+def ordered_shares(spark, d):
+    found = pipelines.chart_frames(pipelines.fine_grained(_validated(spark, d).rows))["shares"]
+    return _placed(found).select("place", "group", "code", "n", "share")
+
+
+@query
+def ordered_categories(spark, d):
+    found = pipelines.fine_grained(_validated(spark, d).rows).categories
+    return _placed(found).select("place", "dimension", "category", "rate")
+
+
+@query
+def ordered_work_queue(spark, d):
+    return _placed(pipelines.work_queue(_catalogue(spark, d).select("id"), annotations(spark, d), "Annotator_2"))
+
+
+@query
+def ordered_review(spark, d):
+    return _placed(pipelines.calibration_review(deduped(spark, d))).select("place", "id", "annotator")
+
+
 @query
 def scalar_texts(spark, d):
     rows = load(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", F.concat_ws(",", (F.col("p_partkey") % 10).cast("string"), (F.col("p_size") % 10).cast("string")).alias("codes"))
@@ -620,8 +788,7 @@ def scalar_texts(spark, d):
 
 @query
 def work_queue_of_annotator(spark, d):
-    items = spark.range(1100).select("id")
-    return pipelines.work_queue(items, annotations(spark, d), "Annotator_2")
+    return pipelines.work_queue(_catalogue(spark, d).select("id"), annotations(spark, d), "Annotator_2")
 
 
 @query

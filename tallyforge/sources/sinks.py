@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.readers import exists, listed
+
 
 def json_document(rows: DataFrame, path: str) -> None:
     """Rows as JSON documents, nulls written."""
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
+def json_lines(rows: DataFrame, path: str, append: bool = False, token: str | None = None) -> None:
+    """Rows as JSON lines; with a token as one batch of a table of batches, see append_batch."""
+    if token is not None:
+        append_batch(rows, path, token, "json")
+        return
     rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def append_batch(rows: DataFrame, path: str, token: str, kind: str = "parquet") -> bool:
+    """Rows as the batch `token` of a table: path/batch=token. A batch that is finished is left as it is (False), and an
+    unfinished one is written anew, so an append may be tried as often as need be without doubling a row."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", token):
+        raise ValueError(f"a batch's token is letters, digits, dots, dashes and underscores, not {token!r}")
+    folder = f"{path}/batch={token}"
+    if exists(rows.sparkSession, f"{folder}/_SUCCESS"):
+        return False
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").format(kind).save(folder)
+    return True
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[str]:
+    """Tokens of the finished batches of a table, in order."""
+    found = [name.removeprefix("batch=") for name in listed(spark, path) if name.startswith("batch=")]
+    return sorted(t for t in found if exists(spark, f"{path}/batch={t}/_SUCCESS"))
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """The rows of a table's finished batches with their token as `batch`; those of unfinished ones are passed over."""
+    folders = [f"{path}/batch={t}" for t in finished_batches(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], f"{schema}, batch string")
+    return spark.read.schema(f"{schema}, batch string").option("basePath", path).format(kind).load(folders)
+
+
 def id_list(ids: DataFrame, path: str, column: str = "id") -> None:
     ids.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
@@ -26,8 +60,10 @@ def publish(rows: DataFrame, path: str, by: str = "split") -> None:
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def append_metrics(metrics: DataFrame, path: str, **tags: str) -> None:
-    metrics.withColumns({k: F.lit(v) for k, v in tags.items()} | {"logged_at": F.current_timestamp()}).write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, token: str | None = None, **tags: str) -> None:
+    """Metrics of a run appended to a table of all runs; with a token once, however often it is tried."""
+    rows = metrics.withColumns({k: F.lit(v) for k, v in tags.items()} | {"logged_at": F.current_timestamp()})
+    append_batch(rows, path, token or uuid.uuid4().hex)
 
 
 def latex_table(rows: DataFrame, columns: Sequence[str], digits: int = 2, limit: int = 200) -> str:

@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators.labels import keep_last
-from tallyforge.sources.readers import ANNOTATION, exists
+from tallyforge.sources.readers import ANNOTATION, bad_lines, exists, good_rows, parsed_lines, streamed_lines
+from tallyforge.sources.sinks import append_batch, read_batches
+
+#: Type of a line's place in its files.
+PLACE = "struct<file: string, block: bigint, row: bigint>"
 
 
 def read_log(spark: SparkSession, folder: str, schema: str = ANNOTATION) -> DataFrame:
-    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+    """The lines that can be read, with their `place` in the files; read_bad has the others."""
+    return good_rows(parsed_lines(streamed_lines(spark, folder), schema), schema)
+
+
+def read_bad(spark: SparkSession, folder: str, schema: str = ANNOTATION) -> DataFrame:
+    """The lines that cannot be read, with their place, as a stream of its own."""
+    return bad_lines(parsed_lines(streamed_lines(spark, folder), schema))
+
+
+def _order(log: DataFrame, order: Sequence[str] | None) -> list[str]:
+    """The order given, or time and, of equal times, the place in the files."""
+    return list(order) if order is not None else [c for c in ("time", "place") if c in log.columns]
 
 
 def _folders(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
@@ -40,7 +55,7 @@ def _buckets(spark: SparkSession, target: str) -> dict[int, dict[int, str]]:
 
 
 def keep_latest(
-    log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] = ("time",), buckets: int = 32
+    log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] | None = None, buckets: int = 32
 ) -> StreamingQuery:
     """The latest row of each key so far, in buckets by a hash of the key: target/v=N/_bucket=K is K as batch N left it.
 
@@ -49,6 +64,7 @@ def keep_latest(
     it, so a restart changes nothing. Two versions of a bucket are kept; older ones go.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    order = _order(log, order)
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -59,7 +75,7 @@ def keep_latest(
         before = {b: max((v for v in known.get(b, ()) if v < n), default=None) for b in touched}
         old = [known[b][v] for b, v in before.items() if v is not None]
         rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch) if old else batch
-        last = keep_last(rows, list(keys), list(order)).withColumn("_bucket", bucket)
+        last = keep_last(rows, list(keys), order).withColumn("_bucket", bucket)
         last.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v={n}")
         for b, v in before.items():
             for gone in [x for x in known.get(b, ()) if v is not None and x < v]:
@@ -71,6 +87,32 @@ def keep_latest(
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of every bucket."""
-    return spark.read.parquet(*[versions[max(versions)] for versions in _buckets(spark, target).values()])
+def latest(spark: SparkSession, target: str, schema: str = f"{ANNOTATION}, place {PLACE}") -> DataFrame:
+    """The newest version of every bucket; no rows of schema before the first one is finished."""
+    folders = [versions[max(versions)] for versions in _buckets(spark, target).values()]
+    return spark.read.parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def track_latest(log: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("annotator", "id"), order: Sequence[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """As keep_latest, with the latest row of each key in the engine's state store instead of files that are rewritten.
+
+    A batch reads no older rows: it hands on the keys whose latest row changed, as the batch N of a table of changes
+    (sinks.append_batch), which latest_changes puts together. The order is of event time, then of place, so rows that come
+    late change nothing that is newer, however late they are, and the state holds one row of each key. A batch that is run
+    again after a crash finds its changes written, or writes them anew, from the state of its predecessor.
+    """
+    order = _order(log, order)
+    rest = [c for c in log.columns if c not in keys]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+
+    def write(batch: DataFrame, n: int) -> None:
+        # A batch must be read to its end for the state to be kept, even if its changes are written already.
+        if not append_batch(batch, target, f"{n:09d}"):
+            batch.write.format("noop").mode("overwrite").save()
+
+    return best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_changes(spark: SparkSession, target: str, schema: str = f"{ANNOTATION}, place {PLACE}", keys: Sequence[str] = ("annotator", "id")) -> DataFrame:
+    """The latest row of each key of a table of changes: that of its last finished batch."""
+    return keep_last(read_batches(spark, target, schema), list(keys), ["batch"]).drop("batch")

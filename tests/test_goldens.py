@@ -187,12 +187,20 @@ def test_category_rates_by_name(spark):
     assert found["incivility_Civil"].phi == pytest.approx(-found["incivility_Attacks"].phi)
 
 
-def naive_drift(rows, seed):
+def seed_order(key, seed):
+    """Buckets of the key's digest, as mixed by the seed; then the digest and the key."""
     import hashlib
 
+    digest = hashlib.md5(str(key).encode()).hexdigest()
+    b = int(digest[:3], 16)
+    v = (b + 1) * ((seed * 1_000_003 + 40_503) % (2**31 - 1)) % (2**31 - 1)
+    return (v * v % (2**31 - 1) * 48_271 + b) % (2**31 - 1), b, digest, key
+
+
+def naive_drift(rows, seed):
     parts = {"train": [], "validation": [], "test": []}
     for split in {r[1] for r in rows}:
-        own = sorted((r for r in rows if r[1] == split), key=lambda r: (hashlib.md5(f"{r[0]}-{seed}".encode()).hexdigest(), r[0]))
+        own = sorted((r for r in rows if r[1] == split), key=lambda r: seed_order(r[0], seed))
         held = -(-3 * len(own) // 10)
         test = -(-2 * held // 3)
         parts["test"] += own[:test]
@@ -203,26 +211,42 @@ def naive_drift(rows, seed):
     return round(sum(drift) / 2, 9)
 
 
-def test_best_seed_tells_seeds_apart(spark, monkeypatch):
+def test_best_seed_tells_seeds_apart(spark):
     rows = [(k, "ab"[k % 2] if k % 7 else None, int(k % 3 == 0), int(k % 5 == 0)) for k in range(150)]
     drifts = [naive_drift(rows, s) for s in range(12)]
     assert len(set(drifts)) > 6
     df = spark.createDataFrame(rows, "id long, split string, a int, b int").repartition(3)
-    for digits in (2, 1):
-        monkeypatch.setattr(curate, "SEED_DIGITS", digits)
-        best = curate.best_seed(df, ["split"], "id", ["a", "b"], 12).first()
-        assert (best.drift, best.seed) == min((d, s) for s, d in enumerate(drifts))
+    best = curate.best_seed(df, ["split"], "id", ["a", "b"], 12).first()
+    assert (best.drift, best.seed) == min((d, s) for s, d in enumerate(drifts))
+    whole = [(k, None, a, b) for k, _, a, b in rows]
+    best = curate.best_seed(df, [], "id", ["a", "b"], 12).first()
+    assert (best.drift, best.seed) == min((naive_drift(whole, s), s) for s in range(12))
+
+
+def test_best_seed_cuts_through_buckets(spark):
+    """Many rows of a bucket: the cut's part of one is its first rows in the order that seeds share."""
+    rows = [(k, "ab"[k % 2], int(k % 3 == 0), int(k % 5 == 0)) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "id long, split string, a int, b int")
+    best = curate.best_seed(df, ["split"], "id", ["a", "b"], 3).first()
+    assert (best.drift, best.seed) == min((naive_drift(rows, s), s) for s in range(3))
+
 
+def test_ranks_of_split_and_sample(spark):
+    import hashlib
 
-def test_ranks_do_not_depend_on_buckets(spark, monkeypatch):
     df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, "x").alias("s"))
-    found = []
-    for digits in (1, 2, 3):
-        monkeypatch.setattr(curate, "DIGITS", digits)
-        parts = {(r.id, r.part) for r in curate.stratified_split(df, ["s"], "id", 7).collect()}
-        taken = {r.id for r in curate.sample_fraction(df, ["s"], "id", 0.25, 7).collect()}
-        found.append((parts, taken))
-    assert found[0] == found[1] == found[2] and len(found[0][1]) == 125
+    parts, taken = {}, set()
+    for own in ([k for k in range(500) if k % 3], [k for k in range(500) if k % 3 == 0]):
+        by = sorted(own, key=lambda k: seed_order(k, 7))
+        held = -(-3 * len(own) // 10)
+        test = -(-2 * held // 3)
+        parts |= {k: "test" if r < test else "validation" if r < held else "train" for r, k in enumerate(by)}
+        by = sorted(own, key=lambda k: (hashlib.md5(f"{k}-7".encode()).hexdigest(), k))
+        taken |= set(by[: math.floor(len(own) * 0.25 + 0.5)])
+    for n in (1, 7):
+        some = df.repartition(n)
+        assert {r.id: r.part for r in curate.stratified_split(some, ["s"], "id", 7).collect()} == parts
+        assert {r.id for r in curate.sample_fraction(some, ["s"], "id", 0.25, 7).collect()} == taken
     batch = curate.batches(df, "id", 16, ["s"]).orderBy("s", "id").collect()
     place = {}
     for r in batch:
@@ -232,6 +256,42 @@ def test_ranks_do_not_depend_on_buckets(spark, monkeypatch):
     assert curate.batches(df.limit(0), "id", 16, ["s"]).count() == 0
 
 
+def test_batches_of_any_numbers(spark):
+    import random
+
+    rng = random.Random(6)
+    values = [None, 0.0, -0.5, 1.0, 2.0, 4.0, 1e300, -1e300, 5e-324, 2.0**53, 1023.999, 1024.0] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-5, 12) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    by = sorted(values, key=lambda v: (v is not None, v or 0))
+    assert {(r.x, r.batch, r.place) for r in curate.batches(df, "x", 10).collect()} == {(v, k // 10, k % 10) for k, v in enumerate(by)}
+
+
+def test_no_job_before_an_action(spark):
+    """Plans are made without running anything, and a hot stratum is not one task's."""
+    df = spark.range(3000).select("id", F.lit("hot").alias("s"), (F.col("id") % 2).alias("a"))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        made = [curate.stratified_split(df, ["s"], "id", 1), curate.sample_fraction(df, ["s"], "id", 0.5, 1), curate.batches(df, "id", 7, ["s"]), curate.best_seed(df, ["s"], "id", ["a"], 9)]
+        for one in made:
+            one.explain()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in made[0].groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) > 1 and max(sizes) < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_keep_last_reads_only_what_is_wanted(spark, tmp_path):
+    spark.range(50).select("id", F.lit("a").alias("annotator"), F.col("id").alias("seq"), F.lit("text").alias("text")).write.parquet(str(tmp_path / "log"))
+    last = labels.keep_last(spark.read.parquet(str(tmp_path / "log")), ["annotator", "id"], ["seq"]).select("id")
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "text" not in plan and "WindowGroupLimit" in plan
+
+
 def test_kappa_of_many_values_and_overlap(spark):
     rows = [(k, a, v) for k, (x, z) in enumerate([("0", "0"), ("1", "1"), ("2", "1"), ("1,2", "1,2"), ("0", "2"), ("2", "2")]) for a, v in (("x", x), ("y", z))] + [(9, "x", "0")]
     df = spark.createDataFrame(rows, "id long, annotator string, c string")
