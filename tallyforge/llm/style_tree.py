@@ -58,90 +58,152 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}}
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]")
+_EDGE = re.compile(r">|=[ \t\n\r\f]*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|\Z)", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element. noise: no part of the text; named: its name speaks against it."""
+    """An element. noise: no part of the text; hidden: nor meant to be seen; named: its name speaks against it."""
 
-    __slots__ = ("tag", "names", "children", "noise", "named", "content")
+    __slots__ = ("tag", "names", "children", "noise", "named", "content", "hidden")
 
-    def __init__(self, tag: str, names: str = "", noise: bool = False, named: bool = False, content: bool = False):
-        self.tag, self.names, self.noise, self.named, self.content = tag, names, noise, named, content
+    def __init__(self, tag: str, names: str = "", noise: bool = False, named: bool = False, content: bool = False, hidden: bool = False):
+        self.tag, self.names, self.noise, self.named, self.content, self.hidden = tag, names, noise, named, content, hidden
         self.children: list = []
 
 
 def _element(tag: str, rest: str) -> Node:
-    noise, named, content, names = tag in HIDDEN, tag in NOISE, tag in CONTENT, ""
+    noise, named, content, names, hidden = tag in HIDDEN, tag in NOISE, tag in CONTENT, "", False
     if rest.strip(" /"):
         found = {m[0].lower(): entities.unescape(m[1] or m[2] or m[3] or "").lower() for m in _ATTRIBUTE.findall(rest)}
         names = f"{found.get('id', '')} {found.get('class', '')}".strip()
         tokens = [t for n in names.split() for t in ([n] if n.isalpha() else [n, *_NAME.findall(n)])]
         role = found.get("role", "")
         content |= role in ("main", "article") or found.get("itemprop") == "articlebody" or any(t in CONTENT_NAMES for t in tokens)
-        noise |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         named |= role in NOISE_ROLES
         # The page's outermost elements are named for layouts; a named part of an article is still a part.
         if tag not in ("html", "body", "article", "main", "p", "h1") and any(t in NOISE_NAMES for t in tokens):
             named = True
-    return Node(tag, names, noise, named, content)
+    return Node(tag, names, noise or hidden, named, content, hidden)
+
+
+class _Open:
+    """Elements that are open, with the places of each tag among them: closing one looks at no other."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close the k-th element and all in it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of some tags; 0: none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        k = self.last(tag)
+        # An inline element is not closed from inside a later block.
+        if k and (tag in BLOCKS or tag == "a" or not self.blocks or self.blocks[-1] < k):
+            self.cut(k)
+
+    def make_room(self, tag: str) -> None:
+        """Close what ends where `tag` begins."""
+        if tag in CLOSES_P:
+            if self.blocks and self.stack[self.blocks[-1]].tag == "p":
+                self.cut(self.blocks[-1])
+        elif tag in SIBLINGS:
+            k = self.last(*SIBLINGS[tag])
+            if k and k > self.last(*WALLS[tag]):
+                self.cut(k)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page: Node for elements and str for text, with references decoded. Open ends are closed."""
+    """The tree of a page: Node for elements and str for text, with references decoded. Open ends are closed.
+
+    Each character is looked at a fixed number of times, whatever a page is like: a quote opens a value only after an
+    equals sign, and once one is never closed, quotes mean nothing from there on.
+    """
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
-    for_raw = None
+    opened, at, n, quotes, forms = _Open(root), 0, len(page), True, False
+
+    def tag_end(k: int) -> int:
+        nonlocal quotes
+        begin = k
+        while quotes and (m := _EDGE.search(page, k)):
+            if m[0] == ">":
+                return m.end()
+            k = page.find(m[0][-1], m.end()) + 1
+            quotes = k > 0
+        k = page.find(">", begin)
+        return k + 1 if k >= 0 else n
+
     while at < n:
-        if for_raw:
-            m = re.compile(rf"</{for_raw}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at, for_raw = (m.end() if m else n), None
-            stack.pop()
-            continue
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
+        begin = m.start() if m else n
+        if begin > at:
+            opened.stack[-1].children.append(entities.unescape(page[at:begin]))
         if not m:
-            stack[-1].children.append(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if not m[2]:
+            if m[0] == "<!--":
+                short = 1 if page.startswith(">", m.end()) else 2 if page.startswith("->", m.end()) else 0
+                end = None if short else _COMMENT_END.search(page, m.end())
+                at = m.end() + short if short else end.end() if end else n
+            else:
+                at = page.find(">", m.end()) + 1 or n
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS and tag != "a":
-                    break
+        tag, at = m[2].lower(), tag_end(m.end())
+        if m[1]:
+            opened.close(tag)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        elif tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in WALLS[tag]:
-                    break
-        node = _element(tag, m[3] or m[6] or "")
-        stack[-1].children.append(node)
-        if tag in VOID:
-            continue
-        stack.append(node)
+        opened.make_room(tag)
+        node = _element(tag, page[m.end() : at].removesuffix(">"))
+        opened.stack[-1].children.append(node)
         if tag in RAW:
-            for_raw = re.escape(tag)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+        elif tag not in VOID:
+            opened.push(node)
+            forms = forms or tag == "form"
+    if forms:
+        _look_into_forms(root)
     return root
 
 
+def _look_into_forms(root: Node) -> None:
+    """A form that holds an article, or most of the text of its page, is a layout and no form to be filled in."""
+    order, at = [(root, -1)], 0
+    while at < len(order):
+        order += [(c, at) for c in order[at][0].children if isinstance(c, Node) and (not c.noise or c.tag == "form")]
+        at += 1
+    chars, holds = [0] * len(order), [False] * len(order)
+    for at in range(len(order) - 1, -1, -1):
+        node, parent = order[at]
+        chars[at] += sum(len(w) for w in _own_words(node))
+        holds[at] = holds[at] or _is_article(node)
+        if parent >= 0:
+            chars[parent] += chars[at]
+            holds[parent] = holds[parent] or holds[at]
+    for at, (node, _) in enumerate(order):
+        if node.tag == "form" and not node.hidden and (holds[at] or 2 * chars[at] > chars[0]):
+            node.noise = False
+
+
 def _hash(*parts) -> int:
     return int.from_bytes(blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -193,6 +255,23 @@ def style_rows(root: Node, host: str) -> Iterator[tuple[int, int]]:
             yield key, _hash("text", *words)
 
 
+def _overrule(order: list[tuple[Node, int, int, int]], low, beside: float) -> None:
+    """Names are not believed where they speak against most of what changes from page to page, and no article is left
+    beside: sites also call a page's frame after the sidebar or banner it has."""
+    mass, articles = [0] * len(order), [0] * len(order)
+    for at in range(len(order) - 1, -1, -1):
+        node, key, parent, article = order[at]
+        articles[at] += article == at
+        if not (at and node.noise) and (low(key) or (1.0, 1))[0] >= (beside if article < 0 else THRESHOLD):
+            mass[at] += sum(map(len, _own_words(node)))
+        if parent >= 0 and not node.noise:
+            mass[parent] += mass[at]
+            articles[parent] += articles[at]
+    for at, (node, _, _, article) in enumerate(order):
+        if node.named and article < 0 and articles[at] == articles[0] and 2 * mass[at] > mass[0]:
+            node.named = False
+
+
 def mark_noise(root: Node, key: int, low, names: bool = True) -> None:
     """Mark branches whose composite importance is below THRESHOLD as noise, and those whose names say so.
 
@@ -214,8 +293,11 @@ def mark_noise(root: Node, key: int, low, names: bool = True) -> None:
                 order.append((c, _hash(own_key, shape, k, c.tag, c.names), at, len(order) if article < 0 and _is_article(c) else article))
         at += 1
     beside = BESIDE if any(article >= 0 for _, _, _, article in order) else THRESHOLD
+    if names:
+        _overrule(order, low, beside)
     parts: list[list[float]] = [[] for _ in order]
     repeated: dict[int, list[Node]] = {}
+    loose = [bool(_own_words(node)) for node, _, _, _ in order]
     for at in range(len(order) - 1, -1, -1):
         node, own_key, parent, article = order[at]
         own, styles = low(own_key) or (1.0, 1)
@@ -226,14 +308,14 @@ def mark_noise(root: Node, key: int, low, names: bool = True) -> None:
             own = 1.0
         elif parts[at]:
             weight = GAMMA ** max(1, styles)
-            top = max(parts[at] + [own] * bool(_own_words(node)))
+            top = max(parts[at] + [own] * loose[at])
             own = top if top >= limit else (1 - weight) * own + weight * sum(parts[at]) / len(parts[at])
         if parent >= 0:
             # What its name speaks against is no reason to keep the branch it is in.
             parts[parent].append(0.0 if names and node.named else own)
             if own < limit and article < 0:
                 # Part of a sentence goes only with it.
-                node.noise = node.noise or node.tag in BLOCKS or not _own_words(order[parent][0])
+                node.noise = node.noise or node.tag in BLOCKS or not loose[parent]
             elif own < limit and article >= 0 and not node.noise and not (names and node.named) and node.tag in BLOCKS:
                 repeated.setdefault(article, []).append(node)
             node.noise = node.noise or (names and node.named)

@@ -149,3 +149,171 @@ def test_few_pages_say_little(spark):
 def test_very_long_page():
     page = "<article>" + "<p>some words here</p>" * 40_000 + "</article>" + " " * 300_000
     assert extract_page(page, "http://a/", high).count("\n") == 39_999
+
+
+def test_forms():
+    body = "<h1>Head</h1><p>" + "Some words of the story. " * 8 + "</p>"
+    text = "Head\n" + ("Some words of the story. " * 8).strip()
+    # A layout in one form, as some servers make it; with and without an article element.
+    for inner in (body, f"<article>{body}</article>"):
+        page = f"<body><form id=aspnet action=x><nav>menu</nav><div>{inner}</div><input name=q><footer>us</footer></form></body>"
+        assert extract_page(page, "http://a/", high) == text
+    # A form to be filled in goes, also inside an article; so does one that is hidden.
+    page = f"<body><article>{body}<form><p>Your mail</p><input><button>send</button></form></article><form hidden>{body}</form></body>"
+    assert extract_page(page, "http://a/", high) == text
+
+
+def test_odd_pages_take_time_in_proportion():
+    import time
+
+    makes = [
+        lambda n: '<a ">"' * n + '"', lambda n: "<b>" * n + "</i>" * n, lambda n: "<a x=\">\" y='" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+        lambda n: "<" * n * 4, lambda n: "<a " * n, lambda n: "<!--" * n, lambda n: "<p>x" + "<span>y</span>" * n, lambda n: '<a class="' * n, lambda n: "<p>" + "<table>" * n + "</p>" * n,
+        lambda n: "<ul>" + "<li>x" * n, lambda n: "&" * n * 4, lambda n: "<script>" * n, lambda n: "<div =" + " " * n * 4 + "=" * n, lambda n: "<tr><td>" * n + "</table>" * n,
+    ]
+    for make in makes:
+        took = []
+        for n in (6000, 24000):
+            began = time.perf_counter()
+            extract_page(make(n), "http://a/", high)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.5, make(3)
+
+
+def test_quotes():
+    assert extract_page('<p title="a > b" class=x>One</p><p lang=\'>\'>Two</p>', None, high) == "One\nTwo"
+    assert extract_page('<a ">"One</a>', None, high) == '"One'
+    # A value that never ends: the tag ends at the next >.
+    assert extract_page('<p>One</p><p class="x>Two</p><p>Three</p>', None, high) == "One\nTwo\nThree"
+    assert extract_page("<p>a<!-->b<!--->c<!-- > -->d<!-- e --!>f<?php x ?>g<!doctype h>i</p>", None, high) == "abcdfgi"
+
+
+def test_the_tree_overrules_names(spark):
+    """A frame that is named after its sidebar holds what changes from page to page: it stays, and its menu goes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data, truth = [], {}
+    for k in range(20):
+        body = [" ".join(word() for _ in range(20)) for _ in range(2)]
+        note = " ".join(word() for _ in range(5))
+        page = f"<body><div class='sidebar banner'><ul><li>Home</li><li>News</li></ul><p>{body[0]}</p><p>{body[1]}</p></div><div class=comments><p>{note}</p></div></body>"
+        data.append((k, "http://a.b/", page, "", 1, 1))
+        truth[k] = "\n".join(body)
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    assert {r.page_id: r.text for r in extract(df).collect()} == truth
+    low = {k: v for k, v in brute_importances([(r[1], r[2]) for r in data]).items() if v[0] < 0.95}
+    # Without the tree the menu stays, without names the readers' comment does; with an article beside, names are believed.
+    assert all(extract_page(r[2], r[1], {}.get) == "Home\nNews\n" + truth[r[0]] for r in data)
+    assert all(extract_page(r[2], r[1], low.get, False) != truth[r[0]] for r in data)
+    assert extract_page(data[0][2].replace("</body>", "<article>Here</article></body>"), "http://c.d/", high) == "Here"
+
+
+def naive_noise(root, key, low, names):
+    """The elements that are marked, by recursion from each element down and up again."""
+    from tallyforge.llm import style_tree as st
+
+    marked, repeats, facts = set(), {}, {}
+
+    def look(node, key, article):
+        if article is None and st._is_article(node) and node is not root:
+            article = node
+        facts[id(node)] = (node, key, article)
+        if article is None or article is node:
+            node.named = node.named or node.tag == "header" or "header" in node.names.replace("-", " ").replace("_", " ").split()
+        if node is root or not node.noise:
+            shape, places = st._style(st._inner(node), article is not None)
+            for c, k in zip(st._inner(node), places, strict=True):
+                look(c, st._hash(key, shape, k, c.tag, c.names), article)
+
+    look(root, key, None)
+    beside = st.BESIDE if any(a is not None for _, _, a in facts.values()) else st.THRESHOLD
+    limit_of = lambda article: beside if article is None else st.THRESHOLD
+
+    def mass(node):
+        """Characters that change from page to page, and articles, below an element."""
+        _, key, article = facts[id(node)]
+        own = sum(map(len, st._own_words(node))) if (node is root or not node.noise) and (low(key) or (1.0, 1))[0] >= limit_of(article) else 0
+        below = [mass(c) for c in st._inner(node) if id(c) in facts and not c.noise]
+        return own + sum(m for m, _ in below), (article is node) + sum(a for _, a in below)
+
+    if names:
+        whole = mass(root)
+        for node, _, article in list(facts.values()):
+            own = mass(node)
+            if node.named and article is None and own[1] == whole[1] and 2 * own[0] > whole[0]:
+                node.named = False
+
+    def composite(node):
+        _, key, article = facts[id(node)]
+        own, styles = low(key) or (1.0, 1)
+        if node is not root and node.noise:
+            return 0.0
+        if article is node:
+            return 1.0
+        parts = [0.0 if names and c.named else composite(c) for c in st._inner(node) if id(c) in facts]
+        if parts:
+            top = max(parts + [own] * bool(st._own_words(node)))
+            if top >= limit_of(article):
+                return top
+            return (1 - st.GAMMA ** max(1, styles)) * own + st.GAMMA ** max(1, styles) * sum(parts) / len(parts)
+        return own
+
+    def mark(node, parent):
+        _, _, article = facts[id(node)]
+        low_one = parent is not None and composite(node) < limit_of(article)
+        if node.noise or (parent is not None and names and node.named) or (low_one and article is None and (node.tag in st.BLOCKS or not st._own_words(parent))):
+            marked.add(id(node))
+        elif low_one and article is not None and node.tag in st.BLOCKS:
+            repeats.setdefault(id(article), (article, []))[1].append(node)
+        for c in st._inner(node):
+            if id(c) in facts:
+                mark(c, node)
+
+    mark(root, None)
+    return marked, repeats
+
+
+def test_marking_against_recursion():
+    from tallyforge.llm import style_tree as st
+
+    rng = random.Random(31)
+    tags = ["div", "p", "span", "ul", "li", "b", "article", "nav", "header", "section", "form", "h1"]
+    classes = ["", "", "", " class=ad", " class=comments", " class=x", " id=sidebar", " class='page-header y'", " hidden"]
+
+    def some(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            tag = rng.choice(tags)
+            inner = rng.choice(["Same text", f"word{rng.randrange(10**6)} more", ""]) + (some(depth - 1) if depth and rng.random() < 0.7 else "")
+            out += f"<{tag}{rng.choice(classes)}>{inner}</{tag}>"
+        return out
+
+    templates = [some(3) for _ in range(25)]
+    import re
+
+    pages = [("http://a.b/", re.sub(r"word\d+", lambda m: f"word{rng.randrange(10**6)}", t)) for t in templates for _ in range(rng.randrange(1, 9))]
+    low = {k: v for k, v in brute_importances(pages).items() if v[0] < st.BESIDE}.get
+    kinds = set()
+    for url, page in pages:
+        for names in (True, False):
+            key = st._hash("host", host_of(url))
+            a, b = st.parse(page), st.parse(page)
+            marked, repeats = naive_noise(a, key, low, names)
+            st.mark_noise(b, key, low, names)
+            pairs, todo = [], [(a, b)]
+            while todo:
+                x, y = todo.pop()
+                pairs.append((x, y))
+                todo += [(c, d) for c, d in zip(x.children, y.children, strict=True) if isinstance(c, st.Node)]
+            for x, _ in pairs:
+                x.noise = x.noise or id(x) in marked
+            for article, nodes in repeats.values():
+                whole = sum(map(len, st.blocks(article)))
+                for node in nodes:
+                    node.noise = True
+                if 2 * sum(map(len, st.blocks(article))) < whole:
+                    for node in nodes:
+                        node.noise = False
+            assert [x.noise for x, _ in pairs] == [y.noise for _, y in pairs], page
+            kinds |= {(x.noise, x.named, id(x) in marked) for x, _ in pairs}
+    assert len(kinds) >= 5
