@@ -23,8 +23,9 @@ from tallyforge.llm.common import sized, words_column
 BUCKETS = 8192
 #: Fixed-point unit of the log ratios.
 UNIT = 1000
-#: Mean log ratio (nats per n-gram) from which a document is kept, if nothing sets it.
-THRESHOLD = -0.12
+#: Mean log ratio (nats per n-gram) from which a document is kept, if no trusted document says otherwise, and the number
+#: of trusted documents that count as much as it does.
+THRESHOLD, PRIOR = -0.12, 20
 #: Trusted documents that a threshold set by their scores may reject, one of so many.
 TRUSTED_PER_MISS = 200
 #: Pseudo-count of each bucket, shared between target and raw as all n-grams are: a bucket seen a few times has a
@@ -62,23 +63,36 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def trusted_threshold(docs: DataFrame, trusted: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The highest threshold, in steps of 1 / UNIT, that rejects at most one of TRUSTED_PER_MISS trusted documents.
+    """The score below which one of TRUSTED_PER_MISS trusted documents lies, drawn towards THRESHOLD by PRIOR documents.
 
-    Documents of fewer than 10 words fail the base rules and do not count. Of fewer than
-    TRUSTED_PER_MISS others that share cannot be told, as the least of a few bounds no unseen document: it is THRESHOLD.
+    One rule for any number of them: the quantile lies between two neighbouring scores by its rank, and is weighed with
+    THRESHOLD as n to PRIOR, so a further document moves it a little, and without any it is THRESHOLD. Documents of fewer
+    than 10 words fail the base rules and do not count.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sized(ids), "_id", "left_semi")
     own = own.select(F.transform(words_column(F.col("_t")), lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= 10)
     own = own.select((2 * F.size("_h") - 1).alias("n"), _total(F.col("_h"), ratios).alias("_sum"))
     score = F.floor(F.col("_sum") / F.col("n")).cast("long")
-    counts = own.groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy("s").collect()
-    spare = sum(r.n for r in counts) // TRUSTED_PER_MISS
-    for r in counts if spare else ():
-        if r.n > spare:
-            return r.s / UNIT
-        spare -= r.n
-    return THRESHOLD
+    counts = own.groupBy(score.alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy("s").collect()  # a row a score in steps of 1 / UNIT
+    return blended(counts)
+
+
+def blended(counts: list[tuple[int, int]]) -> float:
+    """The threshold of scores (in units of 1 / UNIT, ascending) and how many documents have each."""
+    total = sum(n for _, n in counts)
+    if not total:
+        return THRESHOLD
+    rank, upto, places = total / TRUSTED_PER_MISS, 0, []
+    whole = int(rank)
+    for s, n in counts:
+        places += [s] * max(0, min(upto + n, whole + 2) - max(upto, whole))
+        upto += n
+        if upto >= whole + 2:
+            break
+    low, high = places[0], places[-1]
+    quantile = (low + (rank - whole) * (high - low)) / UNIT
+    return (total * quantile + PRIOR * THRESHOLD) / (total + PRIOR)
 
 
 def _total(hashes: Column, ratios: list[int]) -> Column:

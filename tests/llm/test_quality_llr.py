@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tallyforge.llm import quality_llr
-from tallyforge.llm.quality_llr import ALPHA, BUCKETS, THRESHOLD, UNIT, filter_quality, score_quality, trusted_ids
+from tallyforge.llm.quality_llr import ALPHA, BUCKETS, PRIOR, THRESHOLD, UNIT, filter_quality, score_quality, trusted_ids
 
 SCHEMA = "doc_id long, text string, kept string, _h int, n_words string"
 
@@ -98,13 +98,35 @@ def test_threshold_follows_trusted_scores(spark, monkeypatch):
     fixed = score_quality(docs, trusted).where("n_words >= 10 and doc_id is not null").collect()
     ids = {r[0] for r in trusted.collect()}
     scores = sorted(math.floor(r.llr * UNIT + 1e-9) for r in fixed if r.doc_id in ids)
-    least = scores[len(scores) // 20] / UNIT
+    n, rank = len(scores), len(scores) / 20
+    quantile = scores[int(rank)] + (rank - int(rank)) * (scores[int(rank) + 1] - scores[int(rank)])
+    least = round((n * quantile + PRIOR * THRESHOLD * UNIT) / (n + PRIOR)) / UNIT
     assert least > THRESHOLD
     for r in score_quality(docs, trusted, threshold=None).where("doc_id is not null").collect():
         assert r.kept == (not r.base_failed and r.llr >= least - 1e-9)
     assert score_quality(docs, trusted_ids(labels.limit(0)), threshold=None).where("kept = base_failed").count() == 0
 
 
+def test_threshold_moves_little_with_one_more_document():
+    rng = random.Random(3)
+    # Equal scores: a document more draws the threshold a little from the fixed one to theirs, at any number of them.
+    last = quality_llr.blended([])
+    assert last == THRESHOLD
+    for n in range(1, 1201):
+        now = quality_llr.blended([(300, n)])
+        assert 0 < now - last <= (0.3 - THRESHOLD) / (n + PRIOR - 1)
+        last = now
+    # Any scores: the rank moves by a two hundredth, so the threshold moves with the two neighbours of that rank only.
+    scores = [round(rng.gauss(300, 120)) for _ in range(1200)]
+    for n in range(1, 1200):
+        old, new = sorted(scores[:n]), sorted(scores[: n + 1])
+        k = n // 200
+        gap = (max(new[k : k + 3]) - min(new[max(0, k - 1) : k + 3])) / UNIT
+        assert abs(quality_llr.blended(sorted(Counter(new).items())) - quality_llr.blended(sorted(Counter(old).items()))) <= gap + 1.0 / (n + PRIOR)
+    ordered = sorted(scores)
+    assert abs(quality_llr.blended(sorted(Counter(scores).items())) - (1200 * ordered[6] / UNIT + PRIOR * THRESHOLD) / (1200 + PRIOR)) < 1e-9
+
+
 def test_ties_stay_and_long_texts(spark):
     long = " ".join(f"w{k}" for k in range(120_000))
     rows = [(k, f"a{k} b c d e f g h i j k l") for k in range(20)] + [(50, long), (51, "x" * 500_000), (None, long), (52, ("word" + " " * 50_000) * 12)]
