@@ -41,6 +41,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _sized_text(dedup_lines(docs, short=True).where("text rlike '[^ \\t-\\r]'"))
 
 
+def told_apart(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
+    """docs with _row, a number that rows have in common only if all their contents are equal.
+
+    It is a hash; where contents that share one have different 256-bit digests, those rows are hashed anew with a further
+    value, until no such hash is left.
+    """
+    whole = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    rows = docs.withColumn("_row", hashed(*docs.columns))
+    again = 0
+    while True:
+        digests = rows.select("_row", F.unhex(F.sha2(whole, 256)).alias("d"))
+        shared = checkpointed(digests.groupBy("_row").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select(F.col("_row").alias("_shared")))
+        if not shared.limit(1).count():
+            return rows
+        again += 1
+        met = rows.join(sized(shared), F.col("_row") == F.col("_shared"), "left")
+        rows = met.withColumn("_row", F.when(F.col("_shared").isNull(), F.col("_row")).otherwise(hashed(F.lit(again), *docs.columns))).drop("_shared")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies one document stays, that of the smallest id; documents without words all stay.
 
@@ -49,7 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     has no words; columns other than those of documents are left out, whatever their names.
     """
     small_batches(spark)
-    whole = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    whole = told_apart(docs.select(*COLUMNS))
     found = checkpointed(jaccard_groups(whole, "_row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = checkpointed(found.where("label is not null").groupBy("label").agg(first.alias("f")).select(F.col("f.row").alias("_stay")))
