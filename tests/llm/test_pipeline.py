@@ -76,6 +76,20 @@ def test_near_duplicates_with_repeated_ids_and_clashing_columns(spark):
     assert out == sorted([(1, words("a")), (1, words("b")), (2, words("c")), (4, words("d")), (5, ""), (5, "  "), (5, "  "), (0, words("e")), (0, words("f"))])
 
 
+def test_rows_with_one_hash_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k % 7, f"text {k % 40}", "en", None, k % 3) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    few = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(5000))
+    got = corpus_pipeline.told_apart(df, few).collect()
+    assert len(got) == 300
+    of_row = {}
+    for r in got:
+        of_row.setdefault(r["_row"], set()).add(tuple(r)[:5])
+    assert all(len(x) == 1 for x in of_row.values()) and len(of_row) == len(set(rows))
+
+
 def test_stages_with_odd_rows(spark, tmp_path):
     """Null in any column, repeated rows, a very long text and columns of clashing names pass every stage."""
     spark.createDataFrame([(1, 1, 0), (None, 1, None), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -91,4 +105,4 @@ def test_stages_with_odd_rows(spark, tmp_path):
 
 
 def test_registry():
-    assert sum(n.startswith("op") for n in QUERIES) == 10 and "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
+    assert sum(n.startswith("op") for n in QUERIES) == 13 and "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
