@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -374,6 +375,12 @@ def train(windows: list | None = None) -> Tagger:
     return tagger
 
 
+@cache
+def trained() -> Tagger:
+    """The tagger of train(), trained once in a session."""
+    return train()
+
+
 def window_starts(text: str, every: bool = False) -> np.ndarray:
     """Starts of the windows of a text that are decoded; every: of all."""
     starts = np.arange(0, max(1, len(text) - WINDOW + STRIDE), STRIDE) if text else np.zeros(0, np.int64)
@@ -449,7 +456,7 @@ _SCHEMA = "base array<struct<kind: string, start: long, end: long>>, spans array
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end, by start then kind) of every row."""
-    model = tagger or train()
+    model = tagger or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         show = lambda spans: [{"kind": TAGGED[k], "start": s, "end": e} for s, k, e in spans]
@@ -465,7 +472,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
 
 def redact(docs: DataFrame, text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; null text stays null."""
-    model = tagger or train()
+    model = tagger or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
