@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.session import ship_package
+from tallyforge.session import checkpointed, ship_package
 from tallyforge.sources import sinks
 
 
@@ -137,7 +137,7 @@ def answered(rows: DataFrame, folder: str, model: str, asks: Callable[[DataFrame
     spark = rows.sparkSession
     key = F.sha2(F.concat_ws("\x1f", F.lit(model), F.coalesce(prompt, F.lit(""))), 256)
     keyed = rows.withColumn("_key", key)
-    prompts = keyed.select(F.col("_key").alias("key"), prompt).dropDuplicates(["key"])
+    prompts = checkpointed(keyed.select(F.col("_key").alias("key"), prompt).dropDuplicates(["key"]))  # each wave reads them
     known = sinks.finished_batches(spark, folder)
     call = 1 + max((int(t.split("-")[0]) for t in known), default=-1)
     before = sinks.read_batches(spark, folder, ANSWER).where("error is null").select("key")

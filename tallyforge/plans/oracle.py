@@ -313,6 +313,15 @@ ORACLES: dict[str, str] = {
     "ordered_review": f"WITH {ANN}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_hateful) > 1 OR count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1) SELECT (row_number() OVER (ORDER BY id, annotator))::INT AS place, id, annotator FROM bin WHERE id IN (SELECT id FROM d)",
     "rounded_prices": "SELECT l_returnflag, l_linestatus, sum(format('{:.2f}', l_extendedprice / l_quantity)::DECIMAL(18, 2))::DOUBLE AS unit_prices, count(*) FILTER (format('{:.2f}', l_discount / 2)::DOUBLE = 0) AS no_discount FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "batch_scorer_stub": f"WITH {GOLD} SELECT id, label_hateful, CASE WHEN length(coalesce(text, '')) % 2 = 1 THEN 'Hateful' ELSE 'Neutral' END AS output FROM gold",
+    "queue_by_task": f"""WITH {ANN}, {GOLD}, d AS (SELECT id FROM bin GROUP BY id HAVING count(DISTINCT label_incivility_bin) > 1 OR count(DISTINCT label_intolerance_bin) > 1), i AS (SELECT id, 'data/' || img AS img_path, id IN (SELECT id FROM d) AS disputed FROM gold WHERE id % 3 > 0)
+ SELECT 'reannotate' AS task, id, img_path FROM i WHERE disputed AND id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2' AND seq % 5 = 0)
+ UNION ALL SELECT 'calibrate', id, img_path FROM i WHERE NOT disputed AND id NOT IN (SELECT id FROM ann WHERE annotator = 'Annotator_2' AND seq % 7 = 0)""",
+    "found_items": f"WITH {GOLD} SELECT split AS value, count(*) AS n FROM gold WHERE id % 3 > 0 GROUP BY split UNION ALL SELECT (id % 2)::VARCHAR, count(*) FROM gold WHERE id % 3 > 0 GROUP BY id % 2",
+    "listed_files": "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS folder, true AS is_part FROM nation",
+    "report_lines": """WITH c AS (SELECT c_mktsegment AS s, count(*) AS n, row_number() OVER (ORDER BY c_mktsegment) AS r, count(*) OVER () AS m FROM customer GROUP BY c_mktsegment)
+ SELECT 'latex' AS kind, 0 AS place, 'c\\_mktsegment & n & one \\\\' AS line UNION ALL SELECT 'latex', r::INT, s || ' & ' || n || ' & 1.00 \\\\' FROM c
+ UNION ALL SELECT 'report', 0, 'Segments' UNION ALL SELECT 'report', 1, '========' UNION ALL SELECT 'report', (r + 1)::INT, 'c_mktsegment=' || s || '  n=' || n FROM c UNION ALL SELECT DISTINCT 'report', (m + 2)::INT, '' FROM c""",
+    "run_names": "SELECT event_id, 'eval_' || strftime(ts, '%y%m%d-%H%M%S') AS name, CASE WHEN event_type LIKE 'p%' THEN 'payment' ELSE 'other' END AS kind FROM events",
     "batch_assignment": "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 32 AS batch, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 32 AS INT) AS place FROM documents",
     "left_join_metadata": "SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",
     "missing_metadata_count": "SELECT count(*) FILTER (d.lang IS NULL) AS missing_lang, count(*) FILTER (d.source IS NULL) AS missing_source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id",

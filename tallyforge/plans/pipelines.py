@@ -104,13 +104,15 @@ def coarse_fine_relation(gold: DataFrame) -> DataFrame:
     return out.withColumn("p_value", stats.chi2_p_value("chi2"))
 
 
+def found_items(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items whose image is among the files (name)."""
+    names = files.select(F.col("name").alias("_name")).distinct()
+    return items.withColumn("_name", strip_charset(F.col("img"))).join(names, "_name", "left_semi").drop("_name")
+
+
 def descriptive(items: DataFrame, files: DataFrame | None, gold: DataFrame) -> dict[str, DataFrame]:
     """Counts of the raw corpus (files missing, repeats removed) and of the gold labels."""
-    found = items
-    if files is not None:
-        names = files.select(F.col("name").alias("_name")).distinct().withColumn("image_found", F.lit(True))
-        found = items.withColumn("_name", strip_charset(F.col("img"))).join(names, "_name", "left").withColumn("image_found", F.coalesce("image_found", F.lit(False))).drop("_name")
-        found = found.where("image_found")
+    found = items if files is None else found_items(items, files)
     clean = labels.keep_first(found, ["img"], ["priority", "seq"])
     return {
         "rows": clean.agg(F.count(F.lit(1)).alias("n")),
@@ -147,6 +149,14 @@ def work_queue(items: DataFrame, log: DataFrame, annotator: str, needed: Sequenc
     return curate.remaining(items, log.where(F.col("annotator") == annotator), "id", needed).orderBy("id")
 
 
+def task_queue(items: DataFrame, ids: DataFrame, log: DataFrame, annotator: str, folder: str, files: DataFrame | None = None, needed: Sequence[str] = ("label_incivility", "label_intolerance", "label_hateful")) -> DataFrame:
+    """What an annotator has still to do of a task, such as annotating again or calibration: the items of the task's ids,
+    repeated images left out, whose row in the task's own log is not filled in; with the path of their image, by id."""
+    known = items if files is None else found_items(items, files)
+    own = curate.semi(labels.keep_first(known, ["img"], ["priority", "seq"]), ids.select("id").distinct(), "id")
+    return work_queue(own.withColumn("img_path", F.concat_ws("/", F.lit(folder.rstrip("/")), F.col("img"))), log, annotator, needed)
+
+
 def reannotation(clean: DataFrame, calibrated: DataFrame | None = None, per_group: int = 3, seed: int = 42) -> dict[str, DataFrame]:
     """Items to annotate again, those that agree, and a calibration sample of pairs of fine labels."""
     columns = ["label_incivility_bin", "label_intolerance_bin"]

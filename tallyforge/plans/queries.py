@@ -791,6 +791,50 @@ def work_queue_of_annotator(spark, d):
     return pipelines.work_queue(_catalogue(spark, d).select("id"), annotations(spark, d), "Annotator_2")
 
 
+@query
+def queue_by_task(spark, d):
+    """The queues of two tasks with logs of their own: items in dispute, and the others."""
+    items, log = _catalogue(spark, d), annotations(spark, d)
+    files = items.where("id % 3 > 0").select(F.regexp_replace("img", "^img/", "").alias("name"))
+    again = pipelines.reannotation(_validated(spark, d).rows)["again"]
+    tasks = {"reannotate": (again, log.where("seq % 5 = 0")), "calibrate": (curate.anti(items.select("id"), again, "id"), log.where("seq % 7 = 0"))}
+    queues = [pipelines.task_queue(items, ids, own, "Annotator_2", "data/", files).select(F.lit(k).alias("task"), "id", "img_path") for k, (ids, own) in tasks.items()]
+    return queues[0].union(queues[1])
+
+
+@query
+def found_items(spark, d):
+    """Items whose image is there, counted by split and label."""
+    items = _catalogue(spark, d).withColumn("label", (F.col("id") % 2).cast("int"))
+    files = items.where("id % 3 > 0").select(F.regexp_replace("img", "^img/", "").alias("name"))
+    found = pipelines.descriptive(items, files, gold(spark, d))
+    return found["splits"].select(F.col("split").alias("value"), "n").union(found["labels"].select(F.col("label").cast("string"), "n"))
+
+
+@query
+def listed_files(spark, d):
+    """Files of a dataset listed by folder, without their bytes."""
+    folder = shared_folder(spark, "listed")
+    sinks.publish(load(spark, d, "nation"), folder, "n_regionkey")
+    files = readers.files(spark, folder, "part-*.parquet").select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("name").startswith("part-").alias("is_part"))
+    return files.distinct()
+
+
+@query
+def report_lines(spark, d):
+    """A small table as LaTeX and as a report, line by line."""
+    counts = load(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.lit(1.0)), 2).alias("one")).orderBy("c_mktsegment")
+    tex = [x for x in sinks.latex_table(counts, ["c_mktsegment", "n", "one"]).split("\n") if "&" in x]
+    lines = [("latex", k, x) for k, x in enumerate(tex)] + [("report", k, x) for k, x in enumerate(sinks.text_report({"Segments": counts.select("c_mktsegment", "n")}).split("\n"))]
+    return spark.createDataFrame(lines, "kind string, place int, line string")
+
+
+@query
+def run_names(spark, d):
+    rows = load(spark, d, "events")
+    return rows.select("event_id", text.run_name("eval", F.col("ts")).alias("name"), F.when(F.col("event_type").startswith("p"), "payment").otherwise("other").alias("kind"))
+
+
 @query
 def annotation_sample(spark, d):
     return pipelines.annotation_sample(_catalogue(spark, d)).select("id", "split")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +57,18 @@ def _shared(spark: SparkSession) -> str:
     if shared is None:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.gettempdir()
+        shared = _own_folder()
     return shared
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process, which goes with it."""
+    folder = tempfile.mkdtemp(prefix="tallyforge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, shared by all machines."""
     return f"{_shared(spark)}/tallyforge-{name}-{uuid.uuid4()}"
