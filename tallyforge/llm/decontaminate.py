@@ -131,19 +131,14 @@ class Decontamination:
     def run(self) -> DataFrame:
         """doc_id, n_words, n_hit, spans (merged, of words), windows (ascending numbers) of every document."""
         of = self.hits().groupBy("doc_id", "_key", "_n").agg(F.count_if("_own").alias("_copies"), F.collect_set("hit").alias("_hits"))
-        of = of.withColumn("_hits", F.sort_array("_hits"))
-        none = F.array().cast("array<struct<start: int, end: int>>")
-
-        def merged(spans: Column, x: Column) -> Column:
-            last = F.try_element_at(spans, F.lit(-1))
-            grown = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-            return F.when((F.size(spans) > 0) & (x["start"] <= last["end"]), grown).otherwise(F.concat(spans, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-        # Spans end where a gap follows, so most hits of a long passage are one span; the fold copies spans, not hits.
-        of = of.withColumn("spans", F.aggregate("_hits", none, merged))
-        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+        # One step at a time: what a lambda refers to must be a column, or it is computed for every element.
+        places = F.flatten(F.transform("_hits", lambda x: F.sequence(x["start"], x["end"] - 1)))
+        of = of.withColumn("_at", F.sort_array(F.array_distinct(places)))
+        edge = lambda step: F.filter("_at", lambda x, i: F.coalesce(F.get(F.col("_at"), i + step) != x + step, F.lit(True)))
+        of = of.withColumn("_from", edge(-1)).withColumn("_to", edge(1))
         rows = of.select(
-            "doc_id", F.col("_n").cast("long").alias("n_words"), n_hit.alias("n_hit"), "spans",
+            "doc_id", F.col("_n").cast("long").alias("n_words"), F.size("_at").cast("long").alias("n_hit"),
+            F.zip_with("_from", "_to", lambda x, y: F.struct(x.alias("start"), (y + 1).alias("end"))).alias("spans"),
             F.sort_array(F.array_distinct(F.transform("_hits", lambda x: x["window"]))).alias("windows"), "_copies",
         )
         return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")

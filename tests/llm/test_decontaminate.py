@@ -74,6 +74,13 @@ def test_spans(spark):
     assert [(s.start, s.end) for s in found.spans] == [(1, 12), (13, 17)] and found.n_hit == 15 and found["items"] == ["a", "b"]
 
 
+def test_passage_repeated_many_times_in_one_document(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    docs = [(1, " x ".join([passage] * 4000)), (2, " ".join([passage] * 4000))]
+    found = {r.doc_id: r for r in find_contamination(*frames(spark, docs, [("a", passage)])).collect()}
+    assert (found[1].n_hit, len(found[1].spans)) == (48_000, 4000) and (found[2].n_hit, [tuple(s) for s in found[2].spans]) == (48_000, [(0, 48_000)])
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     d, i = frames(spark, docs, items)
