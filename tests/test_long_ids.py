@@ -9,7 +9,7 @@ from tallyforge.plans.queries import ORACLES, QUERIES
 
 IDS = [*range(60), *range(9_998, 10_004), *range(99_980, 100_040), *range(1_000_000, 1_000_020)]
 #: Queries that tell items apart by their images.
-BY_IMAGE = ["annotation_sample", "found_items", "queue_by_task", "split_items_keep_first", "workflow_descriptive", "workflow_evaluate_api"]
+BY_IMAGE = ["annotation_sample", "found_items", "queue_by_task", "split_items_keep_first", "workflow_descriptive", "workflow_evaluate_api", "workflow_evaluate_api_fine"]
 
 
 @pytest.fixture(scope="module")
