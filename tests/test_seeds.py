@@ -47,3 +47,13 @@ def test_query_best_seed(spark, tables):  # noqa: F811
     rows = [tuple(r) for r in gold(spark, tables).select("id", "split", *LABELS).collect()]
     best = QUERIES["best_seed"](spark, tables).first()
     assert (best.drift, best.seed) == best_of(rows, 50)
+
+
+def gold_rows(spark, tables):  # noqa: F811
+    return [tuple(r) for r in QUERIES["workflow_gold"](spark, tables).select("id", "split", *LABELS, "part").collect()]
+
+
+def test_query_workflow_gold(spark, tables):  # noqa: F811
+    found = gold_rows(spark, tables)
+    rows = [r[:-1] for r in found]
+    assert {r[0]: r[-1] for r in found} == parts_of(rows, best_of(rows, 20)[1])
