@@ -57,3 +57,9 @@ def test_query_workflow_gold(spark, tables):  # noqa: F811
     found = gold_rows(spark, tables)
     rows = [r[:-1] for r in found]
     assert {r[0]: r[-1] for r in found} == parts_of(rows, best_of(rows, 20)[1])
+
+
+def test_query_workflow_gold_balance(spark, tables):  # noqa: F811
+    rows = [r[:-1] for r in gold_rows(spark, tables)]
+    found = QUERIES["workflow_gold_balance"](spark, tables).collect()
+    assert len(found) == len(LABELS) and abs(sum(r.drift for r in found) / len(found) - best_of(rows, 20)[0]) < 1e-8
