@@ -39,6 +39,8 @@ ROUNDS, WINDOW, LONGEST = 4, 16, 512
 LANE, TRAIN_LANES = 1200, (32, 512)
 #: Learning rate of the first round, and the bound of a score before exp.
 RATE, LOGIT = 0.06, 60.0
+#: Rows of states scored at a time.
+BLOCK = 1024
 #: Most models trained side by side in a round; more partitions than that are read several to a task.
 MODELS = 4096
 #: Lanes and window of scoring, and tokens gathered before lanes are filled.
@@ -133,8 +135,8 @@ class Gru:
         fresh = before == START
         clears = fresh.any(1).tolist()
         if memo is not None:
-            old, gates, inner = np.empty_like(out), np.empty((*before.shape, 2 * n), np.float32), np.empty_like(out)
-            memo.update(old=old, gates=gates, inner=inner, fresh=fresh, clears=clears)
+            old, gates, inner, newer = np.empty_like(out), np.empty((*before.shape, 2 * n), np.float32), np.empty_like(out), np.empty_like(out)
+            memo.update(old=old, gates=gates, inner=inner, new=newer, fresh=fresh, clears=clears)
         for t in range(len(before)):
             if clears[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -149,6 +151,8 @@ class Gru:
             new = g[:, n:] * c
             new += a[:, 2 * n :]
             np.tanh(new, out=new)
+            if memo is not None:
+                newer[t] = new
             h = h - new
             h *= g[:, :n]
             h = np.add(h, new, out=out[t])
@@ -157,50 +161,70 @@ class Gru:
     def log_probabilities(self, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
         """Natural log probability of each target symbol, given rows of states; with grad, also what flows back.
 
-        Scores are held within LOGIT of 0, so that no maximum need be taken out of them before exp.
+        Scores are held within LOGIT of 0, so that no maximum need be taken out of them before exp; states lie within 1,
+        so where weights and bias cannot sum to more they are within it anyway. Rows are taken BLOCK at a time through
+        the same buffers, which stay in a core's cache.
         """
-        p, ones = self.p, np.ones(CLASSES, np.float32)
+        p, n = self.p, len(target)
         word = target < WORDS
         of = np.where(word, target // WORDS_IN_CLASS, target - WORDS + WORDS // WORDS_IN_CLASS)
-        each = np.arange(len(of))
-        scores = states @ p["c"]
-        scores += p["cb"]
-        np.clip(scores, -LOGIT, LOGIT, out=scores)
-        picked = scores[each, of]
-        np.exp(scores, out=scores)
-        total = scores @ ones
-        out = picked - np.log(total)
+        each, ones = np.arange(BLOCK), np.ones(CLASSES, np.float32)
+        wide = np.ones((n, HIDDEN + 1), np.float32)
+        wide[:, :-1] = states
+        c = np.concatenate((p["c"], p["cb"][None]))
+        w = np.concatenate((p["w"], p["wb"][:, None]), axis=1)
+        far_class = bool(np.abs(c).sum(0).max() > LOGIT - 1)
+        far_word = (np.abs(w).sum(1).reshape(-1, WORDS_IN_CLASS).max(1) > LOGIT - 1).tolist()
+        out, held = np.empty(n, np.float32), np.empty((BLOCK, CLASSES), np.float32)
         d_states = None
         if grad is not None:
-            scores /= total[:, None]
-            scores[each, of] -= 1
-            grad["c"], grad["cb"] = states.T @ scores, scores.sum(0)
-            grad["w"], grad["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-            d_states = scores @ p["c"].T
+            d_states, d_c, d_w = np.empty((n, HIDDEN), np.float32), np.zeros_like(c), np.zeros_like(w)
+            turned = np.ascontiguousarray(p["c"].T)
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            scores = np.matmul(wide[a:b], c, out=held[: b - a])
+            if far_class:
+                np.clip(scores, -LOGIT, LOGIT, out=scores)
+            at = (each[: b - a], of[a:b])
+            picked = scores[at]
+            np.exp(scores, out=scores)
+            total = scores @ ones
+            np.subtract(picked, np.log(total), out=out[a:b])
+            if grad is not None:
+                # What is left of probabilities, times the total, which is divided out of the narrow side.
+                scores[at] -= total
+                part = (1 / total)[:, None]
+                d_c += (wide[a:b] * part).T @ scores
+                np.multiply(scores @ turned, part, out=d_states[a:b])
         rows = np.flatnonzero(word)
-        rows = rows[np.argsort(of[rows], kind="stable")]
-        cuts = np.searchsorted(of[rows], np.arange(WORDS // WORDS_IN_CLASS + 1))
-        sorted_states, place = states[rows], target[rows] % WORDS_IN_CLASS
+        rows = rows[np.argsort(of[rows].astype(np.int16), kind="stable")]
+        cuts = np.searchsorted(of[rows], np.arange(WORDS // WORDS_IN_CLASS + 1)).tolist()
+        ordered, place = wide[rows], target[rows] % WORDS_IN_CLASS
         found = np.empty(len(rows), np.float32)
-        flow = None if grad is None else np.empty_like(sorted_states)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[k], cuts[k + 1]
-            span, s = slice(k * WORDS_IN_CLASS, (k + 1) * WORDS_IN_CLASS), sorted_states[a:b]
-            inner = s @ p["w"][span].T
-            inner += p["wb"][span]
-            np.clip(inner, -LOGIT, LOGIT, out=inner)
-            own = inner[each[: b - a], place[a:b]]
-            np.exp(inner, out=inner)
-            total = inner @ ones[:WORDS_IN_CLASS]
-            found[a:b] = own - np.log(total)
-            if grad is not None:
-                inner /= total[:, None]
-                inner[each[: b - a], place[a:b]] -= 1
-                grad["w"][span], grad["wb"][span] = inner.T @ s, inner.sum(0)
-                np.matmul(inner, p["w"][span], out=flow[a:b])
+        flow = None if grad is None else np.empty((len(rows), HIDDEN), np.float32)
+        held = np.empty((BLOCK, WORDS_IN_CLASS), np.float32)
+        for k in range(WORDS // WORDS_IN_CLASS):
+            span = slice(k * WORDS_IN_CLASS, (k + 1) * WORDS_IN_CLASS)
+            for a in range(cuts[k], cuts[k + 1], BLOCK):
+                b = min(cuts[k + 1], a + BLOCK)
+                inner = np.matmul(ordered[a:b], w[span].T, out=held[: b - a])
+                if far_word[k]:
+                    np.clip(inner, -LOGIT, LOGIT, out=inner)
+                at = (each[: b - a], place[a:b])
+                own = inner[at]
+                np.exp(inner, out=inner)
+                total = inner @ ones[:WORDS_IN_CLASS]
+                np.subtract(own, np.log(total), out=found[a:b])
+                if grad is not None:
+                    inner[at] -= total
+                    part = (1 / total)[:, None]
+                    d_w[span] += inner.T @ (ordered[a:b] * part)
+                    np.multiply(inner @ p["w"][span], part, out=flow[a:b])
         out[rows] += found
         if grad is not None:
             d_states[rows] += flow
+            grad["c"], grad["cb"] = d_c[:-1], d_c[-1]
+            grad["w"], grad["wb"] = np.ascontiguousarray(d_w[:, :-1]), np.ascontiguousarray(d_w[:, -1])
         return out, d_states
 
     def back(self, before: np.ndarray, memo: dict, out: np.ndarray, d_out: np.ndarray, grad: dict) -> None:
@@ -209,7 +233,7 @@ class Gru:
         turned = np.ascontiguousarray(self.p["u"].T)
         old, inner = memo["old"], memo["inner"]
         z, r = memo["gates"][..., :n], memo["gates"][..., n:]
-        new = np.where(z < 1, (out - z * old) / np.maximum(1 - z, np.float32(1e-6)), 0)
+        new = memo["new"]
         to_new = (1 - z) * (1 - new * new)
         # Half scale: the derivative of a gate by its stored sum is twice z * (1 - z).
         to_z = 2 * (old - new) * z * (1 - z)

@@ -205,3 +205,31 @@ def test_very_long_text_and_missing_id(spark):
     got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
     assert {i: r.n_tokens for i, r in got.items()} == {None: 4, 1: 60_001, 2: 60_002, 3: 11, 4: 1}
     assert not got[None].held_out and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
+def test_rows_are_scored_in_blocks():
+    """More rows than a block, with scores near and far: as without blocks, in less memory than all scores of classes."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(3), 20 * lm_score.BLOCK + 7
+    model = lm_score.Gru()
+    model.p["cb"][5], model.p["wb"][70] = 200, -200
+    states = rng.uniform(-1, 1, (n, lm_score.HIDDEN)).astype(np.float32)
+    target = rng.integers(0, lm_score.START, n)
+    tracemalloc.start()
+    found, _ = model.log_probabilities(states, target, grad := {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    logs = lambda x: x - np.log(np.exp(x).sum(1, keepdims=True))
+    word, each = target < lm_score.WORDS, np.arange(n)
+    of = np.where(word, target // lm_score.WORDS_IN_CLASS, target - lm_score.WORDS + lm_score.WORDS // lm_score.WORDS_IN_CLASS)
+    classes = logs(np.clip(states @ p["c"] + p["cb"], -lm_score.LOGIT, lm_score.LOGIT))
+    inner = np.einsum("nh,nwh->nw", states, p["w"].reshape(-1, lm_score.WORDS_IN_CLASS, lm_score.HIDDEN)[np.where(word, of, 0)])
+    inner = logs(np.clip(inner + p["wb"].reshape(-1, lm_score.WORDS_IN_CLASS)[np.where(word, of, 0)], -lm_score.LOGIT, lm_score.LOGIT))
+    truth = classes[each, of] + np.where(word, inner[each, np.where(word, target % lm_score.WORDS_IN_CLASS, 0)], 0)
+    assert np.allclose(found, truth, rtol=1e-4, atol=1e-3)
+    flow = np.exp(classes)
+    flow[each, of] -= 1
+    assert np.allclose(grad["cb"], flow.sum(0), rtol=1e-3, atol=0.1)
+    assert peak < n * lm_score.CLASSES * 4
